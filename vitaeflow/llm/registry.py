@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitaeflow.llm import mixing, quality, sharding
+from vitaeflow.llm import language, mixing, quality, sharding, token_counts
 
-MODULES = (mixing, quality, sharding)
+MODULES = (mixing, token_counts, quality, sharding, language)
 
 
 def queries() -> dict:
