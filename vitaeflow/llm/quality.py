@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import SPACE_CHARS, SPACE_CLASS, let, read, text_or_empty, trimmed, word_array
+from vitaeflow.llm.common import SPACE_CLASS, let, read, text_or_empty, trimmed, word_array
 
 MIN_WORDS = 10
 #: A text whose words stand in repeated windows to more than this percentage fails.
@@ -31,6 +31,8 @@ MIN_KEPT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 NAVIGATION_MARKS = "|>»›·•"
 TERMINAL_LINE = r"[.!?…。！？:;]['\")\]»”’]*$"
+#: Fixed value: the end of a line that the terminal rule looks at.
+LINE_END = 16
 BOILERPLATE_LINE = (
     r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|"
     r"enable javascript|lorem ipsum|click here|sign up|log in|subscribe now|back to top|powered by|skip to content)\b"
@@ -38,77 +40,74 @@ BOILERPLATE_LINE = (
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    found = f"[{chars}]"
+    return F.when(text.rlike(found), F.length(text) - F.length(F.regexp_replace(text, found, ""))).otherwise(0).cast("long")
 
 
-def word_chars(text: Column) -> Column:
-    """Code points that stand in words."""
-    return F.length(F.translate(text, SPACE_CHARS, "")).cast("long")
-
-
-def repeated_words(words: Column) -> Column:
-    """Words that stand in a window of five words which the text has at least twice."""
-    last = F.size(words) - F.lit(WINDOW)
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
+def window_hashes(words: Column) -> Column:
+    """A hash for every window of ``WINDOW`` words; none: empty array."""
+    last = F.size(words) - F.lit(WINDOW - 1)
+    return F.when(last < 1, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    )
 
-    def covered(keys: Column) -> Column:
-        pairs = F.array_sort(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
-        def twice(ordered: Column) -> Column:
-            marked = F.transform(
-                ordered,
-                lambda x, i: F.when(
-                    (F.get(ordered, i - 1)["h"] == x["h"]) | (F.get(ordered, i + 1)["h"] == x["h"]), x["at"]
-                ),
-            )
-            return F.array_sort(F.filter(marked, lambda at: at.isNotNull()))
+def repeated_words(hashes: Column) -> Column:
+    """Words that stand in a window which the text has at least twice, from the windows' hashes."""
+    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
-        def length(starts: Column) -> Column:
-            steps = F.transform(starts, lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, i + 1) - at, F.lit(WINDOW))))
-            return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+    def twice(ordered: Column) -> Column:
+        marked = F.transform(
+            ordered,
+            lambda x, i: F.when((F.get(ordered, i - 1)["h"] == x["h"]) | (F.get(ordered, i + 1)["h"] == x["h"]), x["at"]),
+        )
+        return F.array_sort(F.filter(marked, lambda at: at.isNotNull()))
 
-        return let(let(pairs, twice), length)
+    def length(starts: Column) -> Column:
+        steps = F.transform(starts, lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, i + 1) - at, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    return (
-        F.when(last < 1, F.lit(0))
-        .otherwise(let(hashes, lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(covered(keys))))
-        .cast("long")
-    )
+    # Most texts repeat nothing, which the set of hashes shows without sorting.
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(let(pairs, twice), length)).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words breaks one of the line rules."""
-    n = F.size(F.split(trimmed(line), SPACE_CLASS + "+"))
-    upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    navigation = (_count_of(line, NAVIGATION_MARKS) >= 3) & (_count_of(line, NAVIGATION_MARKS) * 5 >= n)
-    unfinished = (n >= PUNCTUATION_MIN_WORDS) & ~trimmed(line).rlike(TERMINAL_LINE)
-    symbols = _count_of(line, SYMBOLS) * 2 >= n
-    shouting = (n >= PUNCTUATION_MIN_WORDS) & (letters >= 10) & (upper * 10 >= letters * 7)
-    return navigation | unfinished | symbols | shouting | line.rlike(BOILERPLATE_LINE)
+def line_fails(line: Column, phrases: Column) -> Column:
+    """Whether a line with words breaks one of the line rules; ``phrases``: its text holds a
+    boilerplate phrase. Cheap tests come first, words are counted only where they matter."""
+    body = trimmed(line)
+    n = F.size(F.split(body, SPACE_CLASS + "+"))
+    marks = _count_of(line, NAVIGATION_MARKS)
+    upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
+    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
+    navigation = line.rlike(f"[{NAVIGATION_MARKS}]") & (marks >= 3) & (marks * 5 >= n)
+    unfinished = ~F.substring(body, -LINE_END, LINE_END).rlike(TERMINAL_LINE) & (n >= PUNCTUATION_MIN_WORDS)
+    symbols = line.rlike(f"[{SYMBOLS}]") & (_count_of(line, SYMBOLS) * 2 >= n)
+    shouting = line.rlike(r"\p{Lu}{2}") & (letters >= 10) & (upper * 10 >= letters * 7) & (n >= PUNCTUATION_MIN_WORDS)
+    return navigation | unfinished | symbols | shouting | (phrases & line.rlike(BOILERPLATE_LINE))
 
 
-def clean_lines(text: Column) -> Column:
-    """The lines of a non-null text that pass, in order; blank lines stay."""
-    return F.filter(F.split(text, "\n"), lambda line: (trimmed(line) == "") | ~line_fails(line))
+def failing_lines(text: Column, phrases: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: (trimmed(line) != "") & line_fails(line, phrases))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, the base verdict, the kept share of the text and the verdict."""
+    """doc_id, the base counts, the base verdict, the word characters kept and the verdict."""
     text = F.col("text")
     words = F.col("words")
     lines = F.filter(F.split(text, "\n"), lambda line: trimmed(line) != "")
+    lost = F.transform(failing_lines(text, F.col("phrases")), lambda line: F.array_join(word_array(line), ""))
     base = (
         docs.select("doc_id", text_or_empty().alias("text"))
-        .withColumn("words", word_array(text))
+        .select("doc_id", "text", word_array(text).alias("words"), text.rlike(BOILERPLATE_LINE).alias("phrases"))
+        .select("*", window_hashes(words).alias("hashes"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), lines.alias("lines"))
         .select(
             "doc_id",
             F.size(words).cast("long").alias("n_words"),
-            word_chars(text).alias("word_chars"),
+            "word_chars",
             _count_of(text, SYMBOLS).alias("n_symbols"),
-            let(lines, lambda own: F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
-            let(words, repeated_words).alias("n_repeat_words"),
-            word_chars(F.array_join(clean_lines(text), "\n")).alias("kept_chars"),
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            repeated_words(F.col("hashes")).alias("n_repeat_words"),
+            (F.col("word_chars") - F.length(F.array_join(lost, ""))).cast("long").alias("kept_chars"),
         )
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -119,7 +118,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents' rows with the failing lines taken out of ``text``; null texts stay null."""
-    return docs.withColumn("text", F.array_join(clean_lines(F.col("text")), "\n"))
+    text = F.col("text")
+    kept = F.filter(F.split(text, "\n"), lambda line: (trimmed(line) == "") | ~line_fails(line, F.lit(True)))
+    return docs.withColumn("text", F.array_join(kept, "\n"))
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws,
 judged AS (SELECT *, (marks >= 3 AND marks * 5 >= len(ws))
     OR (len(ws) >= {PUNCTUATION_MIN_WORDS} AND NOT regexp_matches(regexp_replace(line, '{_SPACE}+$', ''), '[.!?…。！？:;][''")\]»”’]*$'))
     OR syms * 2 >= len(ws)
-    OR (len(ws) >= {PUNCTUATION_MIN_WORDS} AND lets >= 10 AND ups * 10 >= lets * 7)
+    OR (len(ws) >= {PUNCTUATION_MIN_WORDS} AND regexp_matches(line, '\p{{Lu}}{{2}}') AND lets >= 10 AND ups * 10 >= lets * 7)
     OR regexp_matches(line, '{BOILERPLATE_LINE}') AS bad
   FROM lw WHERE len(ws) > 0),
 perdoc AS (SELECT rid, count(*) - count(DISTINCT line) AS dups, sum(CASE WHEN bad THEN 0 ELSE chars END) AS kept_chars FROM judged GROUP BY rid),
