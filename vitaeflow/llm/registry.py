@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitaeflow.llm import language, mixing, quality, sharding, token_counts, toxicity
+from vitaeflow.llm import language, mixing, quality, sharding, token_counts, toxicity, warc
 
-MODULES = (mixing, token_counts, toxicity, quality, sharding, language)
+MODULES = (mixing, warc, token_counts, toxicity, quality, sharding, language)
 
 
 def queries() -> dict:
