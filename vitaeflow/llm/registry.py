@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitaeflow.llm import language, mixing, quality, sharding, token_counts, toxicity, warc
+from vitaeflow.llm import decontamination, language, mixing, quality, sharding, token_counts, toxicity, warc
 
-MODULES = (mixing, warc, token_counts, toxicity, quality, sharding, language)
+MODULES = (mixing, warc, token_counts, toxicity, quality, sharding, language, decontamination)
 
 
 def queries() -> dict:
