@@ -49,28 +49,15 @@ MAX_INDEX_WORDS = 4_000_000
 #: Words of texts that are looked up at once.
 CHUNK_WORDS = 400_000
 
-#: The white space between words, and upper case A to Z.
-_SPACES = " \t\n\x0b\f\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_TO_SPACE = str.maketrans(dict.fromkeys("\t\n\x0b\f\r", " "))
-
-
-def words_of(text: str) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z in lower case."""
-    return list(filter(None, text.translate(_LOWER).translate(_TO_SPACE).split(" ")))
-
-
-def _fast_words(text: str) -> list[str]:
-    # str.split() also splits at other white space; ASCII texts without separators 1C-1F agree with it.
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.lower().split()
-    return words_of(text)
+def words_of(text: bytes) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case: bytes methods know just these."""
+    return text.lower().split()
 
 
 class Segment:
     """A piece of an item with what verifying it takes."""
 
-    def __init__(self, item: int | None, row: int, words: list[str]):
+    def __init__(self, item: int | None, row: int, words: list[bytes]):
         self.item, self.row, self.words = item, row, words
         cut_at = len(words) - max(1, len(words) // 4)
         self.question = _shingles(words[:cut_at])
@@ -78,7 +65,7 @@ class Segment:
         self.answer = _shingles(words[max(0, min(cut_at, len(words) - SHINGLE)) :])
 
 
-def _shingles(words: list[str]) -> frozenset:
+def _shingles(words: list[bytes]) -> frozenset:
     if not words:
         return frozenset()
     n = min(SHINGLE, len(words))
@@ -88,10 +75,10 @@ def _shingles(words: list[str]) -> frozenset:
 class Index:
     """The inverted index over the segments of (item_id, text) rows."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         self.segments: list[Segment] = []
         self.parts: dict[int, list[int]] = {}
-        self.single: dict[str, list[int | None]] = {}
+        self.single: dict[bytes, list[int | None]] = {}
         for row, (item, text) in enumerate(items):
             words = words_of(text)
             if len(words) < 2:
@@ -102,7 +89,7 @@ class Index:
                 piece = words[max(0, min(k, len(words) - SEGMENT_WORDS)) : k + SEGMENT_WORDS]
                 self.parts.setdefault(row, []).append(len(self.segments))
                 self.segments.append(Segment(item, row, piece))
-        self.vocab: dict[str, int] = {}
+        self.vocab: dict[bytes, int] = {}
         for s in self.segments:
             for w in s.words:
                 self.vocab.setdefault(w, len(self.vocab))
@@ -179,14 +166,14 @@ class Index:
             cursors = moved
         return found
 
-    def verify(self, segment: int, passage: list[str]) -> tuple[float, float]:
+    def verify(self, segment: int, passage: list[bytes]) -> tuple[float, float]:
         """Shares of a segment's question and answer shingles that stand in a passage."""
         s = self.segments[segment]
         held = {n: set(zip(*(passage[k:] for k in range(n)), strict=False)) for n in {len(x) for x in s.question | s.answer}}
         share = lambda own: sum(x in held[len(x)] for x in own) / len(own) if own else 1.0
         return share(s.question), share(s.answer)
 
-    def look_up(self, texts: list[list[str]]) -> list[list[tuple]]:
+    def look_up(self, texts: list[list[bytes]]) -> list[list[tuple]]:
         """For each text, as words: (item, score, question overlap, answer overlap, first word)."""
         out: list[list[tuple]] = [[] for _ in texts]
         for t, words in enumerate(texts):
@@ -239,7 +226,7 @@ def _searching(shipped, names: list[str]):
             held, rows, size = [], [], 0
             for row, text in enumerate([*batch.column("text").to_pylist(), None]):
                 if text is not None:
-                    held.append(_fast_words(text))
+                    held.append(words_of(text))
                     rows.append(row)
                     size += len(held[-1])
                 if held and (text is None or size >= CHUNK_WORDS):
@@ -254,10 +241,10 @@ def _searching(shipped, names: list[str]):
     return run
 
 
-def _parts(items: list[tuple[int | None, str]]) -> Iterator[list[tuple[int | None, str]]]:
+def _parts(items: Iterator[tuple[int | None, bytes]]) -> Iterator[list[tuple[int | None, bytes]]]:
     held, size = [], 0
     for item in items:
-        own = item[1].count(" ") + 1
+        own = item[1].count(b" ") + 1
         if held and size + own > MAX_INDEX_WORDS:
             yield held
             held, size = [], 0
@@ -267,23 +254,46 @@ def _parts(items: list[tuple[int | None, str]]) -> Iterator[list[tuple[int | Non
         yield held
 
 
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes over all items, each of a bounded part of them."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().cast("binary").alias("text")).orderBy("item_id", "text")
+    yield from map(Index, _parts((r[0], bytes(r[1])) for r in items.toLocalIterator()))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of all items found in
     documents, first_word being where the passage begins."""
     spark = docs.sparkSession
-    light = docs.select("doc_id", text_or_empty().alias("text"))
+    light = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
     kind = light.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(n for n, _ in _FIELDS)]
     schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
-    items = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text")).orderBy("item_id", "text")
     found = None
-    for part in _parts([(r[0], r[1]) for r in items.toLocalIterator()]):
-        shipped = spark.sparkContext.broadcast(Index(part))
-        own = light.mapInArrow(_searching(shipped, names), schema)
+    for index in indexes(benchmark):
+        own = light.mapInArrow(_searching(spark.sparkContext.broadcast(index), names), schema)
         found = own if found is None else found.unionByName(own)
     return spark.createDataFrame([], schema) if found is None else found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns."""
+
+    def keeping(shipped):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+                clean = []
+                for k in range(0, len(texts), 500):
+                    clean += [not own for own in shipped.value.look_up([words_of(t) for t in texts[k : k + 500]])]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for index in indexes(benchmark):
+        docs = docs.mapInArrow(keeping(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return docs
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents and benchmark items that they hold."""
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -21,7 +21,7 @@ target 0; an empty table gives an empty result; further columns are ignored by `
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitaeflow.llm.common import cut, read, word_count
@@ -146,14 +146,17 @@ def size_plan(sizes: DataFrame, solved: DataFrame) -> DataFrame:
     return folded.select("source", F.explode(F.aggregate("items", start, take)["out"]).alias("x")).select("source", "x.*")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row of ``docs``."""
+def _draw() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("string").cast("binary")))
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
     light = cut(
         docs.select(
             F.col("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text").cast("string")).alias("size"),
-            F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("string").cast("binary"))).alias("draw"),
+            _draw().alias("draw"),
         )
     )
     sizes = cut(light.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -208,10 +211,27 @@ def mix(docs: DataFrame) -> DataFrame:
             "target",
             "copies",
             (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+            "draw",
         )
     )
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for every row of ``docs``."""
+    return _mixed(docs).drop("draw")
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows of one ``doc_id`` and text are taken for repeats of one row, and get their copies together.
+    """
+    copies = _mixed(docs).groupBy("doc_id", "draw").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), _draw().alias("draw")).dropDuplicates(["doc_id", "draw"])
+    met = rows.alias("d").join(copies.alias("c"), (F.col("d.draw") == F.col("c.draw")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mix(read(spark, sf_dir, "documents"))

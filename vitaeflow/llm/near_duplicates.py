@@ -303,6 +303,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns; rows without ``doc_id`` are all kept."""
+    keepers = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    one = docs.join(keepers, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -16,8 +16,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitaeflow.llm.common import cut, read
@@ -78,6 +79,42 @@ def _with_shards(shards: int):
     return run
 
 
+def _placed(key: Column, shards: int) -> Column:
+    def place(keys: pd.Series) -> pd.DataFrame:
+        mixed = mix(keys.to_numpy(np.int64))
+        return pd.DataFrame({"place": (mixed >> np.uint64(1)).astype(np.int64), "shard": jump(mixed, shards), "grown_shard": jump(mixed, shards + 1)})
+
+    return F.pandas_udf(place, "place long, shard int, grown_shard int")(key)
+
+
+def _first_slots(placed: DataFrame) -> DataFrame:
+    """(shard, part, first_slot): at most shards * 2**SUB_BUCKET_BITS rows whatever the input's size."""
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"))
+    return counted.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first_slot"))
+
+
+def _part() -> Column:
+    return F.shiftright("place", 63 - SUB_BUCKET_BITS).cast("int")
+
+
+def sharded_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs`` with all their columns and shard, slot and grown_shard (in place of
+    columns of those names)."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    kept = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
+    placed = docs.select(
+        F.struct(*kept).alias("row"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("crc"), _placed(key, shards).alias("x")
+    ).select("row", "crc", "x.*").withColumn("part", _part())
+    light = docs.select(_placed(key, shards).alias("x")).select("x.*").withColumn("part", _part())
+    order = Window.partitionBy("shard", "part").orderBy("place", "row.doc_id", "crc")
+    return (
+        placed.withColumn("within", F.row_number().over(order))
+        .join(F.broadcast(_first_slots(light)), ["shard", "part"])
+        .select("row.*", "shard", (F.col("first_slot") + F.col("within") - 1).cast("long").alias("slot"), "grown_shard")
+    )
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -88,24 +125,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     placed = cut(
         light.mapInArrow(_with_shards(shards), "doc_id long, size long, text_crc32 long, place long, shard int, grown_shard int")
-    ).withColumn("part", F.shiftright("place", 63 - SUB_BUCKET_BITS).cast("int"))
-    # At most shards * 2**SUB_BUCKET_BITS rows whatever the input's size, so it may be broadcast.
-    first = (
-        placed.groupBy("shard", "part")
-        .agg(F.count("*").alias("rows"))
-        .select(
-            "shard",
-            "part",
-            F.coalesce(
-                F.sum("rows").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ).alias("first_slot"),
-        )
-    )
+    ).withColumn("part", _part())
     order = Window.partitionBy("shard", "part").orderBy("place", "doc_id", "text_crc32", "size")
     return (
         placed.withColumn("within", F.row_number().over(order))
-        .join(F.broadcast(first), ["shard", "part"])
+        .join(F.broadcast(_first_slots(placed)), ["shard", "part"])
         .select(
             "doc_id",
             "size",

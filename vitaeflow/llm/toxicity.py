@@ -258,11 +258,20 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, costs: np.ndarra
     return Model(costs, slim, math.log(missed / (1 - missed)))
 
 
+_kept: list = []
+
+
+def _kept_for(model: Model) -> tuple[Restorer, dict[str, float], dict[str, tuple]]:
+    """What a worker process keeps for a model: its restorer and the features of known words."""
+    if not _kept or _kept[0] is not model:
+        _kept[:] = [model, (Restorer(model.costs), model.weights, {})]
+    return _kept[1]
+
+
 def _scoring(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
-        restorer, weights = Restorer(own.costs), own.weights
-        known: dict[str, tuple] = {}
+        restorer, weights, known = _kept_for(own)
 
         def hits(word: str) -> tuple:
             found = known.get(word)
@@ -299,6 +308,23 @@ def score(docs: DataFrame, model: Model, held_out: Column, threshold: float = TH
     return light.mapInArrow(_scoring(shipped, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+            text = batch.column("text").fill_null("")
+            none = pa.nulls(batch.num_rows)
+            return pa.RecordBatch.from_arrays([none, none, text], names=["doc_id", "held_out", "text"])
+
+        for batch in batches:
+            for scored in _scoring(shipped, threshold)(iter([texts(batch)])):
+                yield batch.filter(pa.compute.equal(scored.column("predicted"), 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def restore(docs: DataFrame, costs: np.ndarray) -> DataFrame:
     """doc_id and the restored words of each text, joined by spaces (spelled words at the end)."""
     model = docs.sparkSession.sparkContext.broadcast(costs)
