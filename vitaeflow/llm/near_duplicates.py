@@ -10,10 +10,10 @@ enumerated by leaving so many symbols of a chunk out of its key, so the pair mee
 
 Links are confirmed on the full sets of words. What is wanted are the components of the links, so a
 bucket isn't expanded into pairs. First each bucket's members are compared with one of them, its
-center, which is the one with most bucket mates overall. Then, as long as a bucket holds
-members of different components, each of those is compared with the nearest members (by signature,
-within ``DISTANCE``) of other components, then with all of them: no link between components is
-lost, and links within a component needn't be known.
+center, which is the one with most bucket mates overall. If a bucket then still holds members of
+different components within ``DISTANCE`` of each other, all of those are compared with each other
+by their full sets where they are, and links that connect them are returned, fewer than there are
+members: no link between components is lost, and links within a component needn't be known.
 
 Skew: exact copies collapse before anything is joined, counts are aggregated on the map side,
 buckets of one component are dropped, and joins on buckets are left to the engine's splitting.
@@ -45,9 +45,9 @@ SYMBOLS = 64
 CHUNKS = 12
 DISTANCE = 23
 CHUNK_ERRORS = DISTANCE // CHUNKS
-#: Neighbours that a bucket member is compared with in one round, and rounds before all are.
-NEAREST = 4
-ROUNDS = 4
+#: Cells up to which a bucket's sets are held as a matrix, and rows of it multiplied at once.
+DENSE_CELLS = 50_000_000
+BLOCK_ROWS = 256
 CACHE_ENTRIES = 500_000
 #: Shingles hashed at once.
 PIECE = 1 << 18
@@ -211,35 +211,83 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _nearest(limit: int | None):
-    """Pairs of members of one bucket, of different components and within DISTANCE."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(reps: np.ndarray, labels: np.ndarray, signed: list[bytes]) -> Iterator[pa.RecordBatch]:
-            symbols = np.frombuffer(b"".join(signed), dtype=np.uint16).reshape(-1, SYMBOLS)
-            kinds, at = np.unique(labels, return_inverse=True)
-            largest = np.bincount(at).argmax()
-            for i in np.flatnonzero(at != largest).tolist():  # every pair has an end outside of the largest
-                apart = (symbols != symbols[i]).sum(axis=1)
-                other = np.flatnonzero((at != at[i]) & (apart <= DISTANCE) & ((at == largest) | (reps > reps[i])))
-                if limit is not None and len(other) > limit:
-                    other = other[np.lexsort((reps[other], apart[other]))[:limit]]
-                if len(other):
-                    low, high = np.minimum(reps[i], reps[other]), np.maximum(reps[i], reps[other])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
-
-        last, held = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "rep", "component", "signature")), strict=True):
-                if row[0] != last:
-                    if len(held) > 1:
-                        yield from pairs(np.array([x[1] for x in held]), np.array([x[2] for x in held]), [x[3] for x in held])
-                    last, held = row[0], []
-                held.append(row)
-        if len(held) > 1:
-            yield from pairs(np.array([x[1] for x in held]), np.array([x[2] for x in held]), [x[3] for x in held])
-
-    return run
+def involved(components_of: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Which of a bucket's members have one of another component within DISTANCE."""
+    marked = np.zeros(len(symbols), dtype=bool)
+    for i in range(len(symbols)):
+        if not marked[i]:
+            near = (components_of != components_of[i]) & ((symbols != symbols[i]).sum(axis=1) <= DISTANCE)
+            marked |= near
+            marked[i] = near.any()
+    return marked
+
+
+def spanning_links(sets: list[np.ndarray], names: list[int]) -> list[tuple[int, int]]:
+    """Links between sets (sorted hashes) that connect all sets which links connect; ``names`` are
+    their components so far. All pairs are compared, but for those already connected."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = counts[at] > 1  # what stands in one set only is in no intersection
+    _, column = np.unique(at[common], return_inverse=True)
+    owner, width = owner[common], int(column.max()) + 1 if len(column) else 0
+    starts = np.searchsorted(owner, np.arange(len(sets) + 1))
+    dense = np.zeros((len(sets), width), dtype=np.float32) if len(sets) * width <= DENSE_CELLS else None
+    if dense is not None:
+        dense[owner, column] = 1
+    else:
+        order = np.argsort(column, kind="stable")
+        holders, first = owner[order], np.searchsorted(column[order], np.arange(width + 1))
+    _, label = np.unique(np.asarray(names), return_inverse=True)
+    found = []
+    for i in range(len(sets)):
+        if (label == label[0]).all():
+            break
+        if dense is not None:
+            if i % BLOCK_ROWS == 0:
+                block = dense[i : i + BLOCK_ROWS] @ dense.T
+            both = block[i % BLOCK_ROWS].astype(np.int64)
+        else:
+            own = column[starts[i] : starts[i + 1]]
+            both = np.bincount(np.concatenate([holders[first[c] : first[c + 1]] for c in own] or [holders[:0]]), minlength=len(sets))
+        near = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (sizes + sizes[i] - both)) & (label != label[i]))
+        for j in near.tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+    return found
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each bucket, from rows sorted by key."""
+    last, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in ("key", *columns)), strict=True):
+            if row[0] != last and held:
+                yield last, held
+                held = []
+            last = row[0]
+            held.append(row[1:])
+    if held:
+        yield last, held
+
+
+def _involving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, rows in _by_key(batches, ("rep", "component", "signature")):
+        if len({r[1] for r in rows}) > 1:
+            symbols = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint16).reshape(-1, SYMBOLS)
+            reps = np.array([r[0] for r in rows])[involved(np.array([r[1] for r in rows]), symbols)]
+            if len(reps):
+                digest = xxhash.xxh3_128_digest(reps.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(reps), pa.int64()), pa.array(reps), pa.array([digest] * len(reps), pa.binary())], names=["key", "rep", "digest"])
+
+
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sketcher = Sketcher()
+    for _, rows in _by_key(batches, ("rep", "component", "text")):
+        links = spanning_links([sketcher.hashes(words_of(r[2])) for r in rows], [r[1] for r in rows])
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k[e]][0] for k in links], pa.int64()) for e in (0, 1)], names=["a", "b"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -260,7 +308,7 @@ def classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]
     buckets = cut(keyed.join(shared, "key"))
     mates = buckets.groupBy("rep").agg(F.sum("size").alias("mates"))
     centers = buckets.join(mates, "rep").groupBy("key").agg(F.max(F.struct("mates", -F.col("rep")))["col2"].alias("center"))
-    star = buckets.join(centers.withColumn("center", -F.col("center")), "key").filter("rep <> center")
+    star = buckets.join(centers.select("key", (-F.col("center")).alias("center")), "key").filter("rep <> center")
     tried = cut(star.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct())
     # Only texts that share a bucket with another are needed from here on.
     needed = mates.select(F.col("rep").alias("id"))
@@ -268,26 +316,19 @@ def classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]
     texts = cut(raw.join(needed, "id").groupBy(F.col("id").alias("rep")).agg(F.min("text").alias("text")))
     edges = cut(confirmed(tried, texts))
     labels = components(edges)
+    # Buckets that still hold several components, without their centers, which were compared with all.
+    named = buckets.select("key", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     signed = of_set.select("rep", "signature").join(mates.select("rep"), "rep")
-    limit, turns = NEAREST, 0
-    while True:
-        named = buckets.select("key", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        members = named.join(mixed, "key").join(signed, "rep").repartition("key").sortWithinPartitions("key", "rep")
-        found = members.mapInArrow(_nearest(limit), "a long, b long").distinct()
-        pairs = cut(found.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if limit is None:
-                return of_set.select("set_key", "rep"), labels
-            limit = None
-            continue
-        tried = cut(tried.unionByName(pairs))
-        more = cut(confirmed(pairs, texts))
-        if not more.isEmpty():
-            edges = cut(edges.unionByName(more))
-            labels = components(edges)
-        turns += 1
-        limit = None if turns >= ROUNDS else limit
+    members = named.join(mixed.join(centers, "key").select("key", (-F.col("center")).alias("center")), "key").filter("rep <> center")
+    open_ = cut(members.join(signed, "rep").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_involving, "key long, rep long, digest binary"))
+    # Buckets with the same members in question are taken once.
+    once = open_.groupBy("digest").agg(F.min("key").alias("key")).select("key")
+    asked = open_.select("key", "rep").join(once, "key", "left_semi").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = cut(asked.join(texts, "rep").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_linking, "a long, b long").distinct())
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
+    return of_set.select("set_key", "rep"), labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
