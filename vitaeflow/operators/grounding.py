@@ -26,9 +26,11 @@ def solid_places(text: Column) -> Column:
 def native_matches(extractions: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds source, char_start, char_end, match_type (exact, normalized or null) and match_confidence.
 
-    The places of characters are made only for the rows that need them, in one pass over their source.
+    A source without its white space is made once, before the join; the places of its characters
+    only for the rows that need them, in one pass.
     """
-    texts = documents.select("doc_key", F.coalesce("text", F.lit("")).alias("source"))
+    whole = F.coalesce("text", F.lit(""))
+    texts = documents.select("doc_key", whole.alias("source"), without_space(whole).alias("_dense"))
     query, source = F.col("text"), F.col("source")
     given = truthy(query) & source.isNotNull()
     dense_query = without_space(query)
@@ -36,7 +38,7 @@ def native_matches(extractions: DataFrame, documents: DataFrame) -> DataFrame:
     searched = (
         extractions.join(texts, "doc_key", "left")
         .withColumn("_exact", F.when(given, F.instr(source, query)))
-        .withColumn("_blind", F.when(exact == 0, F.when(dense_query == "", 1).otherwise(F.instr(without_space(source), dense_query))))
+        .withColumn("_blind", F.when(exact == 0, F.when(dense_query == "", 1).otherwise(F.instr(F.col("_dense"), dense_query))))
     )
     span = F.transform(
         F.array(solid_places(source)),
@@ -49,7 +51,7 @@ def native_matches(extractions: DataFrame, documents: DataFrame) -> DataFrame:
         .withColumn("char_start", F.col("_span.start").cast("int"))
         .withColumn("char_end", F.when(F.col("match_type").isNotNull(), F.col("_span.end")).cast("int"))
         .withColumn("match_confidence", F.when(F.col("match_type") == "exact", 1.0).when(F.col("match_type") == "normalized", 0.85))
-        .drop("_exact", "_blind", "_span")
+        .drop("_exact", "_blind", "_span", "_dense")
     )
 
 
