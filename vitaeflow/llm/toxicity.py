@@ -28,21 +28,24 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaeflow.llm.common import id_remainder, read
+from vitaeflow.llm.near_duplicates import Sketcher, words_of
 
 FOLDS = 4
 HELD_OUT_FOLD = 2
 THRESHOLD = 0.3
 #: Labelled rows that are learned from, at most.
 TRAIN_ROWS = 20_000
-#: A feature counts if so many toxic rows have it and the lower bound, by so many standard errors,
-#: of its ratio of frequencies is so high.
-MIN_TOXIC_ROWS = 5
+#: A feature counts if so many toxic rows (and that share of them) have it and the lower bound, by so
+#: many standard errors, of its ratio of frequencies is so high. Near copies count once.
+MIN_TOXIC_ROWS = 8
+MIN_TOXIC_SHARE = 0.01
 MIN_RATIO = 6.0
 STANDARD_ERRORS = 2.0
 #: Features kept, at most: those seen in the most toxic rows.
@@ -220,6 +223,42 @@ def _counts_out(count: dict) -> pa.RecordBatch:
     )
 
 
+def _least_hash(text: Column) -> Column:
+    """The least hash of a text's shingles, which most near copies share."""
+
+    def least(texts: pd.Series) -> pd.Series:
+        sketcher = Sketcher()
+        return pd.Series([int(own[0] >> np.uint64(1)) if len(own := sketcher.hashes(words_of(t.encode()))) else -1 for t in texts], dtype="int64")
+
+    return F.pandas_udf(least, "long")(text)
+
+
+def select_features(counts: dict[str, tuple[int, int]], all_toxic: int, all_clean: int) -> dict[str, float]:
+    """Log odds of the features that are tied to toxic rows, from (toxic, clean) rows by feature.
+
+    The strongest come first. A word below an accepted beginning adds nothing; a beginning counts
+    only by the rows that the accepted words below it leave.
+    """
+
+    def strength(toxic: int, clean: int) -> tuple[float, float]:
+        ratio = math.log((toxic + 0.5) / (all_toxic + 1) * (all_clean + 1) / (clean + 0.5))
+        return ratio, ratio - STANDARD_ERRORS * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+
+    least = max(MIN_TOXIC_ROWS, MIN_TOXIC_SHARE * all_toxic)
+    able = [f for f, (t, c) in counts.items() if t >= least and strength(t, c)[1] >= math.log(MIN_RATIO)]
+    out: dict[str, float] = {}
+    for f in sorted(able, key=lambda f: (-round(strength(*counts[f])[0], 1), f.endswith("-"), -len(f), f)):
+        if len(out) == MAX_FEATURES or any(g in out for g in features(f.rstrip("-")) if g != f and g.endswith("-")):
+            continue
+        toxic, clean = counts[f]
+        if f.endswith("-"):
+            below = [counts[g] for g in out if g.startswith(f[:-1])]
+            toxic, clean = toxic - sum(t for t, _ in below), max(0, clean - sum(c for _, c in below))
+        if toxic >= least and strength(toxic, clean)[1] >= math.log(MIN_RATIO):
+            out[f] = strength(toxic, clean)[0]
+    return out
+
+
 class Model:
     """Letter costs, log odds by feature, and the log odds of a document without any."""
 
@@ -238,24 +277,17 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, costs: np.ndarra
         .limit(TRAIN_ROWS)
     )
     # TRAIN_ROWS rows of two numbers at most, so it may be broadcast.
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    labelled = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    rows = labelled.withColumn("sketch", _least_hash(F.col("text"))).groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     model = docs.sparkSession.sparkContext.broadcast(costs)
     counted = rows.mapInArrow(_feature_counts(model), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = counted.filter((F.col("toxic") >= MIN_TOXIC_ROWS) | (F.col("feature") == "")).orderBy(F.desc(F.col("feature") == ""), F.desc("toxic"), "clean", "feature").limit(20 * MAX_FEATURES).toArrow().to_pylist()
     whole = next((r for r in best if r["feature"] == ""), None)
     if whole is None or not whole["toxic"] or not whole["clean"]:
         return Model(costs, {}, -4.0)
-    weights = {}
-    for r in best:
-        if r["feature"]:
-            ratio = (r["toxic"] + 0.5) / (whole["toxic"] + 1) * (whole["clean"] + 1) / (r["clean"] + 0.5)
-            bound = math.log(ratio) - STANDARD_ERRORS * math.sqrt(1 / (r["toxic"] + 0.5) + 1 / (r["clean"] + 0.5))
-            if bound >= math.log(MIN_RATIO) and len(weights) < MAX_FEATURES:
-                weights[r["feature"]] = math.log(ratio)
-    # Beginnings of a word that is itself a feature, and longer ones of a feature, add nothing new.
-    slim = {f: w for f, w in weights.items() if not any(f != f2 and weights.get(f2, 0) >= w - 0.7 for f2 in features(f.rstrip("-")) if f2 != f)}
+    weights = select_features({r["feature"]: (r["toxic"], r["clean"]) for r in best if r["feature"]}, whole["toxic"], whole["clean"])
     missed = (whole["toxic"] / (whole["clean"] + whole["toxic"])) * 0.1
-    return Model(costs, slim, math.log(missed / (1 - missed)))
+    return Model(costs, weights, math.log(missed / (1 - missed)))
 
 
 _kept: list = []
