@@ -48,7 +48,7 @@ CHUNK_ERRORS = DISTANCE // CHUNKS
 #: Cells up to which a bucket's sets are held as a matrix, and rows of it multiplied at once.
 DENSE_CELLS = 50_000_000
 BLOCK_ROWS = 256
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 #: Shingles hashed at once.
 PIECE = 1 << 18
 
@@ -232,9 +232,9 @@ def spanning_links(sets: list[np.ndarray], names: list[int]) -> list[tuple[int,
     _, column = np.unique(at[common], return_inverse=True)
     owner, width = owner[common], int(column.max()) + 1 if len(column) else 0
     starts = np.searchsorted(owner, np.arange(len(sets) + 1))
-    dense = np.zeros((len(sets), width), dtype=np.float32) if len(sets) * width <= DENSE_CELLS else None
+    dense = np.zeros((len(sets), width), dtype=bool) if len(sets) * width <= DENSE_CELLS else None
     if dense is not None:
-        dense[owner, column] = 1
+        dense[owner, column] = True
     else:
         order = np.argsort(column, kind="stable")
         holders, first = owner[order], np.searchsorted(column[order], np.arange(width + 1))
@@ -245,7 +245,8 @@ def spanning_links(sets: list[np.ndarray], names: list[int]) -> list[tuple[int,
             break
         if dense is not None:
             if i % BLOCK_ROWS == 0:
-                block = dense[i : i + BLOCK_ROWS] @ dense.T
+                own = dense[i : i + BLOCK_ROWS].astype(np.float32)
+                block = np.hstack([own @ dense[k : k + BLOCK_ROWS].T.astype(np.float32) for k in range(0, len(sets), BLOCK_ROWS)])
             both = block[i % BLOCK_ROWS].astype(np.int64)
         else:
             own = column[starts[i] : starts[i + 1]]

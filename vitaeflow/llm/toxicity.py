@@ -52,7 +52,7 @@ STANDARD_ERRORS = 2.0
 MAX_FEATURES = 20_000
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 
 # The letters that a character may stand for, with channel costs in nats.
 LEET = {
