@@ -20,7 +20,8 @@ MIN_RATIO = 0.3
 
 def solid_places(text: Column) -> Column:
     """Places of a text's characters that are no white space."""
-    return F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(~c.rlike(r"(?U)^\s?$"), i)))
+    plain = lambda c: F.ascii(c).between(33, 126)  # noqa: E731  most characters need no pattern
+    return F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(plain(c) | ~c.rlike(r"(?U)^\s?$"), i)))
 
 
 def native_matches(extractions: DataFrame, documents: DataFrame) -> DataFrame:
