@@ -200,10 +200,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last")
     revisits = light.join(first, "digest").filter(F.col("page_id") > F.col("refers_to")).distinct()
     planned = keyed.join(revisits, ["page_id", "digest"], "left")
-    sample = [
-        record(r.page_id, r.url, bytes(r.payload), r.digest, None)
-        for r in keyed.orderBy(F.xxhash64("page_id"), "page_id").select("page_id", "url", F.substring("payload", 1, 16 << 10).alias("payload"), "digest").limit(TRAIN_RECORDS).collect()
-    ]
+    # The sample's keys are chosen first, so that no task sends payloads that aren't in it.
+    chosen = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_RECORDS).distinct()
+    taken = keyed.join(F.broadcast(chosen), "page_id").select("page_id", "url", F.substring("payload", 1, 16 << 10).alias("payload"), "digest")
+    sample = [record(r.page_id, r.url, bytes(r.payload), r.digest, None) for r in taken.limit(TRAIN_RECORDS).collect()]
     dictionary = pages.sparkSession.sparkContext.broadcast(train(sample))
     ordered = planned.sortWithinPartitions("page_id", "digest", "url")
     return cut(ordered.mapInArrow(_writing(folder, dictionary), "archive string, records long, bytes long"))
