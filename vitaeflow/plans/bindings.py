@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.operators.store import TalentStore, skill_bridge, skill_dimension
+from vitaeflow.operators.store import TalentStore, skill_bridge
 from vitaeflow.schema import TABLES
 
 _MONTH = "replace(substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7), '-', '.')"
@@ -43,7 +43,6 @@ VIEWS = {
     "jd_texts": """SELECT CAST(p_partkey AS BIGINT) AS jd_id, concat('We need ', p_name, CASE p_partkey % 6
         WHEN 0 THEN ' with Python, docker and MySQL, 3+ years, Bachelor, in Beijing, 20k-35K' WHEN 1 THEN ' knowing Java or JavaScript. 5 years of work. Master degree; Shanghai 15000-25000'
         WHEN 2 THEN ' PhD in SQL, REST and Go. remote. 10 yr' WHEN 3 THEN '. MBA, linux, 2019-2023, ba' WHEN 4 THEN ' college diploma, kafka, 2 year, 150K ~ 200k' ELSE '' END) AS text FROM {part}""",
-    "doc_lines": r"""SELECT CAST(doc_id AS BIGINT) AS doc_key, CAST(ord AS BIGINT) AS ord, line, text AS source, doc_id % 5 AS five FROM lines_of_documents""",
     "spans": """SELECT CAST(user_id AS BIGINT) AS doc_key, CAST(event_id AS BIGINT) AS ord, event_type AS type, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 2 AS STRING) ELSE '' END AS name,
       CAST(user_id * 7 + event_id % 211 AS BIGINT) AS start, CAST(user_id * 7 + event_id % 211 + CAST(floor(abs(value)) AS BIGINT) % 60 AS BIGINT) AS "end",
       CAST(event_id % 5 AS BIGINT) AS n_attrs, CAST(event_id % 17 AS BIGINT) AS text_length, CAST(event_id % 10 AS DOUBLE) / 10 AS confidence FROM {events}""",
@@ -73,7 +72,6 @@ DOC_LINES_SQL = r"""
 lines AS (SELECT CAST(doc_id AS BIGINT) AS doc_key, text AS source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents),
 doc_lines AS (SELECT doc_key, CAST(ord AS BIGINT) AS ord, source,
   CASE ord % 3 WHEN 1 THEN replace(line, ' ', '  ') WHEN 2 THEN '~' || line ELSE line END AS text FROM lines)"""
-del VIEWS["doc_lines"]
 
 
 def store(spark: SparkSession, sf_dir: str) -> TalentStore:
@@ -113,5 +111,3 @@ def ctes(*names: str) -> str:
             out.append({"skills": _SKILLS, "candidate_skills": _BRIDGE, "doc_lines": DOC_LINES_SQL}[name])
     return "WITH " + ",\n".join(out) + "\n"
 
-
-__all__ = ["MENTION_ORDER", "VIEWS", "binding", "ctes", "doc_lines", "skill_dimension", "store"]

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaeflow.functions import coerce, dates, filename, jd, scoring, text
-from vitaeflow.functions.text import filled
 from vitaeflow.operators import grounding, layout, matching, overlap, relations, resolution, search, store as stores, summary
 from vitaeflow.plans.bindings import MENTION_ORDER, binding, ctes, doc_lines, store
 
@@ -491,5 +490,3 @@ def match_rank_topk(spark, d):
 def match_many_jds_topk(spark, d):
     return matching.best_for_each(matching.profiles(store(spark, d)), _jds(spark))
 
-
-__all__ = ["ORACLE_SQL", "QUERIES", "filled"]
