@@ -27,7 +27,7 @@ class PipelineResult:
 
 def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | None = None) -> PipelineResult:
     """documents: (doc_key, source_file, text); extractions: schema.EXTRACTION. Nothing runs before a
-    result is used. Where several results are used, persist ``extractions`` of the result."""
+    result is used; the processed extractions are persisted, as relations, counts and graph all read them."""
     config = config or PipelineConfig()
     out = extractions
     if config.time_normalization:
@@ -43,6 +43,7 @@ def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | N
         out = confidence.score(out)
     if config.entity_resolution:
         out = resolution.resolve(out, config.entity_similarity_threshold)
+    out = out.persist()
     spark = documents.sparkSession
     edges = relations.infer(out) if config.relation_inference else spark.createDataFrame([], _EDGES)
     stats = summary.summarize(out, edges)
