@@ -10,9 +10,12 @@ text) is a query, and all segments at or above ``THRESHOLD`` are retrieved. A pa
 cannot reach it even with their highest impacts has an empty pivot and is skipped; this bound is
 taken for all passages of a batch at once, the walk over the postings for those left.
 
-A retrieved segment counts if at least ``OVERLAP`` of the five-word shingles of its question and of
-its answer (the last quarter of its words) stand in the passage. An item is found in a document if
-all of its segments are.
+Words are compared without the signs around them. A word of a segment is held by a passage if it
+stands there next to its neighbour, or to the neighbour after next with one other word between. An
+item is a candidate in a document once one of its segments is retrieved, and found if at least
+``OVERLAP`` of the words of its questions and of its answers (the last quarter of each segment) are
+held, over all of its segments: those not retrieved count with the passage that has most of their
+pairs. An item's score is the mean of its segments' best scores by words.
 
 Bounds: the index is built on the driver and shipped to the executors only while the items have at
 most ``MAX_INDEX_WORDS`` words; larger tables of items are indexed and searched part by part, each
@@ -27,6 +30,7 @@ time; empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -40,7 +44,6 @@ from vitaeflow.llm.common import read, text_or_empty
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
-SHINGLE = 5
 SEGMENT_WORDS = 64
 PASSAGE_WORDS = 128
 STEP = PASSAGE_WORDS // 2
@@ -48,10 +51,17 @@ BLOCK = 16
 MAX_INDEX_WORDS = 4_000_000
 #: Words of texts that are looked up at once.
 CHUNK_WORDS = 400_000
+# Signs that are taken off at both ends of words, as ASCII bytes and with UTF-8 signs.
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SIGN = rb"(?:[!-/:-@\[-`{-~]|\xc2[\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\x83\x88-\x91])+"
+_EDGES = re.compile(rb"\A" + _SIGN + rb"|" + _SIGN + rb"\Z")
+
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case: bytes methods know just these."""
-    return text.lower().split()
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case (bytes methods know just these) and
+    without signs at their ends; a word of signs only stays as it is."""
+    words = [w.strip(SIGNS) or w for w in text.lower().split()]
+    return words if text.isascii() else [w if w.isascii() else _EDGES.sub(b"", w) or w for w in words]
 
 
 class Segment:
@@ -59,17 +69,7 @@ class Segment:
 
     def __init__(self, item: int | None, row: int, words: list[bytes]):
         self.item, self.row, self.words = item, row, words
-        cut_at = len(words) - max(1, len(words) // 4)
-        self.question = _shingles(words[:cut_at])
-        # Shingles of the answer may begin in the question, so short answers have one.
-        self.answer = _shingles(words[max(0, min(cut_at, len(words) - SHINGLE)) :])
-
-
-def _shingles(words: list[bytes]) -> frozenset:
-    if not words:
-        return frozenset()
-    n = min(SHINGLE, len(words))
-    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        self.cut_at = len(words) - max(1, len(words) // 4)  # where the answer begins
 
 
 class Index:
@@ -166,12 +166,33 @@ class Index:
             cursors = moved
         return found
 
-    def verify(self, segment: int, passage: list[bytes]) -> tuple[float, float]:
-        """Shares of a segment's question and answer shingles that stand in a passage."""
-        s = self.segments[segment]
-        held = {n: set(zip(*(passage[k:] for k in range(n)), strict=False)) for n in {len(x) for x in s.question | s.answer}}
-        share = lambda own: sum(x in held[len(x)] for x in own) / len(own) if own else 1.0
-        return share(s.question), share(s.answer)
+    def verify(self, segment: int, passage: list[bytes]) -> np.ndarray:
+        """Which words of a segment a passage holds."""
+        words = self.segments[segment].words
+        held = np.zeros(len(words), dtype=bool)
+        for step in (1, 2):
+            there = set(zip(passage, passage[step:], strict=False))
+            both = np.fromiter((x in there for x in zip(words, words[step:], strict=False)), dtype=bool, count=max(0, len(words) - step))
+            held[: len(both)] |= both
+            held[step:] |= both
+        return held
+
+    def nearest(self, segment: int, places: np.ndarray, at: np.ndarray) -> tuple[int, float] | None:
+        """The passage that has most of a segment's pairs and its score, from the pairs of a text
+        (``places``) and where they stand; None if it has none of them."""
+        own = {}
+        for p in np.unique(places).tolist():
+            ids, weights = self.lists[p]
+            k = int(np.searchsorted(ids, segment))
+            if k < len(ids) and ids[k] == segment:
+                own[p] = float(weights[k])
+        if not own:
+            return None
+        mine = np.isin(places, list(own))
+        steps = np.bincount(at[mine] // STEP, minlength=2)
+        start = int(np.argmax(steps[:-1] + steps[1:])) * STEP
+        inside = mine & (at >= start) & (at < start + PASSAGE_WORDS - 1)
+        return start, sum(own[p] for p in sorted(set(places[inside].tolist())))
 
     def look_up(self, texts: list[list[bytes]]) -> list[list[tuple]]:
         """For each text, as words: (item, score, question overlap, answer overlap, first word)."""
@@ -201,17 +222,26 @@ class Index:
             a = np.searchsorted(at[lo:hi], first[t] + starts) + lo
             b = np.searchsorted(at[lo:hi], first[t] + starts + PASSAGE_WORDS - 1) + lo
             best: dict[int, tuple] = {}
+            held: dict[int, np.ndarray] = {}
             for k in np.flatnonzero(bound[b] - bound[a] >= THRESHOLD - 1e-6).tolist():
                 start = int(starts[k])
                 for segment, score in self.search(sorted(set(place[a[k] : b[k]].tolist())), THRESHOLD):
-                    question, answer = self.verify(segment, texts[t][start : start + PASSAGE_WORDS])
-                    if question >= OVERLAP and answer >= OVERLAP and (segment not in best or score > best[segment][0] + 1e-9):
-                        best[segment] = (score, question, answer, start)
+                    own = self.verify(segment, texts[t][start : start + PASSAGE_WORDS])
+                    held[segment] = held[segment] | own if segment in held else own
+                    if segment not in best or score > best[segment][0] + 1e-9:
+                        best[segment] = (score, start)
             for row in sorted({self.segments[s].row for s in best}):
-                own = [best[s] for s in self.parts[row] if s in best]
-                if len(own) == len(self.parts[row]):
-                    item = self.segments[self.parts[row][0]].item
-                    out[t].append((item, min(x[0] for x in own), min(x[1] for x in own), min(x[2] for x in own), own[0][3]))
+                for segment in self.parts[row]:
+                    if segment not in best and (near := self.nearest(segment, place[lo:hi], at[lo:hi] - first[t])):
+                        best[segment] = (near[1], near[0])
+                        held[segment] = self.verify(segment, texts[t][near[0] : near[0] + PASSAGE_WORDS])
+                own = [(self.segments[s], held.get(s)) for s in self.parts[row]]
+                question = sum(int(h[: s.cut_at].sum()) for s, h in own if h is not None) / sum(s.cut_at for s, _ in own)
+                answer = sum(int(h[s.cut_at :].sum()) for s, h in own if h is not None) / sum(len(s.words) - s.cut_at for s, _ in own)
+                if question >= OVERLAP and answer >= OVERLAP:
+                    scores = [best[s][0] * len(self.segments[s].words) for s in self.parts[row] if s in best]
+                    score = sum(scores) / sum(len(s.words) for s, _ in own)
+                    out[t].append((own[0][0].item, score, question, answer, next(best[s][1] for s in self.parts[row] if s in best)))
         return out
 
 
