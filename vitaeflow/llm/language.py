@@ -9,9 +9,12 @@ the four bytes, and for those not in it the tables of the shorter contexts. The
 shortest code for the whole text wins; its share among all languages, 2 ** -length each, is the
 score.
 
-The trees are learned from all eligible rows. What is brought to the driver are byte strings with
-at least ``MIN_SHARE`` of a language's bytes, so at most 1 / ``MIN_SHARE`` for each language and
-length, whatever the input's size.
+The trees are learned from all eligible rows and hold every byte string seen. The counts of strings
+of one and two bytes (at most 65,792 a language) are in every part of the model; those of three and
+four bytes are split by the two bytes before the last into parts of at most ``MAX_CELLS`` code
+lengths, as far as one such pair of bytes allows (65,536 strings a language). The driver builds one
+part at a time, a worker holds one at a time: it scores ``HELD_BYTES`` of text with each part in
+turn and adds up the bits. Most models are one part.
 
 Nulls and edge cases: texts that are null or have no letter get ``und`` with score 0, as does
 every text if nothing could be learned; a null ``doc_id`` is neither learned from nor held out;
@@ -36,8 +39,10 @@ FOLDS = 5
 HELD_OUT_FOLD = 0
 UNDETERMINED = "und"
 ORDER = 3
-#: Byte strings below this share of a language's bytes, or seen once, are left out of its tree.
-MIN_SHARE = 2e-6
+#: Code lengths in a part of the model: its strings times the languages.
+MAX_CELLS = 4_000_000
+#: Bytes of text that are scored with one part of a model of several before the next is loaded.
+HELD_BYTES = 32 << 20
 #: Bytes scored or counted at once.
 PIECE = 1 << 20
 #: Contexts before a text's first byte.
@@ -168,15 +173,21 @@ class Hashed:
 
 
 class Trees:
-    """Frozen context trees of all languages, as tables of code lengths in bits."""
+    """Frozen context trees of all languages, as tables of code lengths in bits.
 
-    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counted)
+    A part of them is made from the four-byte strings of some contexts of two bytes (``mine``, a mark
+    for each), and the counts of all two-byte strings.
+    """
+
+    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]], pairs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, mine: np.ndarray | None = None):
+        self.langs = sorted(counted if pairs is None else pairs)
+        self.mine = mine
+        none = (np.zeros(0, dtype=np.uint64), np.zeros(0))
         n = len(self.langs)
         levels = {o: [] for o in range(ORDER + 1)}  # by order: (keys, counts) of each language
         for lang in self.langs:
-            keys, counts = counted[lang]
             for o in range(ORDER, -1, -1):
+                keys, counts = counted.get(lang, none) if o > 1 or pairs is None else pairs[lang]
                 levels[o].append((keys, counts) if o == ORDER else _sum_by(keys & np.uint64((1 << 8 * (o + 1)) - 1), counts))
         # Escapes of contexts and lengths of contexts with their next byte, from short to long.
         self.escape: dict[int, Hashed | None] = {}
@@ -218,51 +229,101 @@ class Trees:
         """Bits that each text of a column without nulls takes in each language."""
         total = np.zeros((len(column), len(self.langs)))
         for got, rows, bounds in _pieces(column):
-            sums = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.bits(got, ORDER), axis=0, dtype=np.float64)])
+            bits = self.bits(got, ORDER) if self.mine is None else np.zeros((len(got), len(self.langs)), dtype=np.float32)
+            if self.mine is not None:
+                own = np.flatnonzero(self.mine[(got >> np.uint32(8)) & np.uint32(0xFFFF)])
+                bits[own] = self.bits(got[own], ORDER)
+            sums = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(bits, axis=0, dtype=np.float64)])
             total[rows] += sums[bounds[1:]] - sums[bounds[:-1]]
         return total
 
 
-def learn(docs: DataFrame, eligible: Column) -> Trees | None:
-    """Trees from text and lang of the eligible rows; None if there are none."""
-    rows = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = cut(gram_counts(rows))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "lang").filter((F.col("n") >= 2) & (F.col("n") >= F.lit(MIN_SHARE) * F.col("total"))).select("lang", "gram", "n").toArrow()
+class Parts:
+    """The languages and the broadcast parts of their trees, which add up."""
+
+    def __init__(self, langs: list[str], trees: list):
+        self.langs, self.trees = langs, trees
+
+    def score(self, column: pa.Array) -> np.ndarray:
+        """Bits that each text of a column without nulls takes in each language."""
+        total = np.zeros((len(column), len(self.langs)))
+        for shipped in self.trees:
+            total += shipped.value.score(column)
+            if len(self.trees) > 1:
+                shipped.__dict__.pop("_value", None)  # loaded again when it is needed
+        return total
+
+
+def _by_lang(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted strings and counts of each language in a table of lang, gram and n."""
     found = {}
-    for lang in kept.column("lang").unique().to_pylist():
-        part = kept.filter(pa.compute.equal(kept.column("lang"), lang))
+    for lang in table.column("lang").unique().to_pylist():
+        part = table.filter(pa.compute.equal(table.column("lang"), lang))
         keys = part.column("gram").to_numpy().astype(np.uint64)
         order = np.argsort(keys)
         found[lang] = (keys[order], part.column("n").to_numpy().astype(np.float64)[order])
-    return Trees(found) if found else None
+    return found
+
+
+def learn(docs: DataFrame, eligible: Column) -> Parts | None:
+    """Trees from text and lang of the eligible rows; None if there are none."""
+    rows = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    counts = cut(gram_counts(rows)).withColumn("context", F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int"))
+    pairs = _by_lang(counts.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow())
+    if not pairs:
+        return None
+    sizes = counts.groupBy("context").agg(F.count("*").alias("n")).orderBy("context").collect()  # 65,536 at most
+    part_of, part, size = np.zeros(1 << 16, dtype=np.int32), 0, 0
+    for context, n in sizes:
+        if size and (size + n) * len(pairs) > MAX_CELLS:
+            part, size = part + 1, 0
+        part_of[context] = part
+        size += n
+    spark, trees = docs.sparkSession, []
+    for k in range(part + 1):
+        own = counts
+        if part:
+            contexts = spark.createDataFrame([(c,) for c, _ in sizes if part_of[c] == k], "context int")
+            own = counts.join(F.broadcast(contexts), "context")
+        trees.append(spark.sparkContext.broadcast(Trees(_by_lang(own.select("lang", "gram", "n").toArrow()), pairs, part_of == k if part else None)))
+    return Parts(sorted(pairs), trees)
+
+
+def _batches_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``size`` bytes, or as they come for 0."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held) if len(held) > 1 else batch
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
-def _predicting(model, names: list[str]):
+def _predicting(model: Parts, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: Trees = model.value
-        for batch in batches:
-            bits = trees.score(batch.column("text"))
+        for batch in _batches_of(batches, HELD_BYTES if len(model.trees) > 1 else 0):
+            bits = model.score(batch.column("text"))
             shares = np.exp2(bits.min(axis=1, keepdims=True) - bits)
             best = bits.argmin(axis=1)
             sure = batch.column("known").to_numpy(zero_copy_only=False)
-            lang = np.where(sure, np.array(trees.langs, dtype=object)[best], UNDETERMINED)
+            lang = np.where(sure, np.array(model.langs, dtype=object)[best], UNDETERMINED)
             score = np.where(sure, 1.0 / shares.sum(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=names)
 
     return run
 
 
-def identify(docs: DataFrame, trees: Trees | None, held_out: Column) -> DataFrame:
+def identify(docs: DataFrame, trees: Parts | None, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     light = docs.select("doc_id", text.alias("text"), held_out.alias("held_out"), text.rlike(r"\p{L}").alias("known"))
     if trees is None:
         return light.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     kind = light.schema["doc_id"].dataType.simpleString()
-    model = docs.sparkSession.sparkContext.broadcast(trees)
     names = ["doc_id", "held_out", "lang_pred", "score"]
-    return light.mapInArrow(_predicting(model, names), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return light.mapInArrow(_predicting(trees, names), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
