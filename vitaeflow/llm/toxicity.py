@@ -7,12 +7,13 @@ be a mere separator, each at a cost. The Viterbi path under a trigram model of l
 counted over all documents, is the word restored. Words without such marks spell one path only,
 themselves.
 
-The restored text is then scored by the words and word beginnings that the labelled rows tie to
-toxic documents: a document's score is the logistic function of the summed log odds of what it
-holds.
+The restored text is then scored by its words and word beginnings: a document's score is the
+logistic function of the summed weights of what it holds. The weights are those of a logistic
+regression on all features of the labelled rows under a Laplace prior of rate ``PENALTY``, whatever
+their number; the prior leaves most of them zero. Near copies count once.
 
 Bounds: labels are learned from at most ``TRAIN_ROWS`` labelled rows, those with the smallest
-hashes. Letter counts are taken over the whole table and have at most 28 ** 3 entries.
+hashes; the driver holds a number for each feature of each of these rows. Letter counts are taken over the whole table and have at most 28 ** 3 entries.
 
 Nulls and edge cases: a null text counts as empty; an empty text gets the score of a document
 without any feature; a null ``doc_id`` is neither learned from nor held out; labels without a
@@ -34,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import id_remainder, read
+from vitaeflow.llm.common import cut, id_remainder, read
 from vitaeflow.llm.near_duplicates import Sketcher, words_of
 
 FOLDS = 4
@@ -42,14 +43,10 @@ HELD_OUT_FOLD = 2
 THRESHOLD = 0.3
 #: Labelled rows that are learned from, at most.
 TRAIN_ROWS = 20_000
-#: A feature counts if so many toxic rows (and that share of them) have it and the lower bound, by so
-#: many standard errors, of its ratio of frequencies is so high. Near copies count once.
-MIN_TOXIC_ROWS = 8
-MIN_TOXIC_SHARE = 0.01
-MIN_RATIO = 6.0
-STANDARD_ERRORS = 2.0
-#: Features kept, at most: those seen in the most toxic rows.
-MAX_FEATURES = 20_000
+#: Rate of the weights' prior: the log likelihood that a weight of 1 must bring.
+PENALTY = 0.5
+#: Rounds of fitting, at most; features taken in by a round; a fit ends at this excess of a slope.
+ROUNDS, ENTERING, TOLERANCE = 60, 1000, 0.05
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
 CACHE_ENTRIES = 100_000
@@ -200,29 +197,16 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) >= k)] if word else []
 
 
-def _feature_counts(model):
+def _feature_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, count = Restorer(model.value), {}
+        restorer = Restorer(model.value)
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for f in {f for w in set(restorer.text(text)) for f in features(w)} | {""}:
-                    own = count.setdefault(f, [0, 0])
-                    own[toxic] += 1
-            if len(count) > 1_000_000:
-                yield _counts_out(count)
-                count = {}
-        yield _counts_out(count)
+            held = [sorted({f for w in set(restorer.text(text)) for f in features(w)}) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(held, pa.list_(pa.string()))], names=["toxic", "features"])
 
     return run
 
 
-def _counts_out(count: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(count), pa.string()), pa.array([x[0] for x in count.values()], pa.int64()), pa.array([x[1] for x in count.values()], pa.int64())],
-        names=["feature", "clean", "toxic"],
-    )
-
-
 def _least_hash(text: Column) -> Column:
     """The least hash of a text's shingles, which most near copies share."""
 
@@ -233,41 +217,58 @@ def _least_hash(text: Column) -> Column:
     return F.pandas_udf(least, "long")(text)
 
 
-def select_features(counts: dict[str, tuple[int, int]], all_toxic: int, all_clean: int) -> dict[str, float]:
-    """Log odds of the features that are tied to toxic rows, from (toxic, clean) rows by feature.
+def fit_weights(owner: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
+    """The intercept and the weight of each feature by penalised logistic regression.
 
-    The strongest come first. A word below an accepted beginning adds nothing; a beginning counts
-    only by the rows that the accepted words below it leave.
+    Row ``owner[k]`` holds feature ``feature[k]``, no pair twice; ``toxic`` is 0 or 1 by row. Newton
+    steps by coordinate over the features that are in use or whose slope exceeds the penalty.
     """
-
-    def strength(toxic: int, clean: int) -> tuple[float, float]:
-        ratio = math.log((toxic + 0.5) / (all_toxic + 1) * (all_clean + 1) / (clean + 0.5))
-        return ratio, ratio - STANDARD_ERRORS * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-
-    least = max(MIN_TOXIC_ROWS, MIN_TOXIC_SHARE * all_toxic)
-    able = [f for f, (t, c) in counts.items() if t >= least and strength(t, c)[1] >= math.log(MIN_RATIO)]
-    out: dict[str, float] = {}
-    for f in sorted(able, key=lambda f: (-round(strength(*counts[f])[0], 1), f.endswith("-"), -len(f), f)):
-        if len(out) == MAX_FEATURES or any(g in out for g in features(f.rstrip("-")) if g != f and g.endswith("-")):
-            continue
-        toxic, clean = counts[f]
-        if f.endswith("-"):
-            below = [counts[g] for g in out if g.startswith(f[:-1])]
-            toxic, clean = toxic - sum(t for t, _ in below), max(0, clean - sum(c for _, c in below))
-        if toxic >= least and strength(toxic, clean)[1] >= math.log(MIN_RATIO):
-            out[f] = strength(toxic, clean)[0]
-    return out
+    rows = owner[np.argsort(feature, kind="stable")]
+    ends = np.r_[0, np.cumsum(np.bincount(feature))]
+    del owner, feature
+    weights = np.zeros(len(ends) - 1)
+    cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), len(weights)])  # about a million pairs at once
+    intercept = math.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5))
+    margin = np.full(len(toxic), intercept)
+    chance = 1 / (1 + np.exp(-margin))
+    for _ in range(ROUNDS):
+        left = toxic - chance
+        slopes = np.concatenate([np.add.reduceat(left[rows[ends[a] : ends[b]]], ends[a:b] - ends[a]) for a, b in zip(cuts, cuts[1:], strict=False)] or [weights])
+        excess = np.where(weights == 0, np.abs(slopes) - PENALTY, np.abs(slopes - PENALTY * np.sign(weights)))
+        if excess.max(initial=0.0) < TOLERANCE:
+            break
+        wanted = np.flatnonzero((weights == 0) & (excess >= TOLERANCE))
+        wanted = wanted[np.argsort(-excess[wanted], kind="stable")[:ENTERING]]
+        active = np.union1d(np.flatnonzero(weights), wanted)
+        for _ in range(3):
+            step = float((toxic - chance).sum() / max(1e-6, (chance * (1 - chance)).sum()))
+            step = max(-1.0, min(1.0, step))
+            intercept += step
+            margin += step
+            chance = 1 / (1 + np.exp(-margin))
+            for j in active.tolist():
+                own = rows[ends[j] : ends[j + 1]]
+                p = chance[own]
+                bend = max(float((p * (1 - p)).sum()), 0.01)
+                aim = weights[j] + float((toxic[own] - p).sum()) / bend
+                aim = math.copysign(max(0.0, abs(aim) - PENALTY / bend), aim)
+                step = max(-1.0, min(1.0, aim - weights[j]))
+                if step:
+                    weights[j] += step
+                    margin[own] += step
+                    chance[own] = 1 / (1 + np.exp(-margin[own]))
+    return intercept, weights
 
 
 class Model:
-    """Letter costs, log odds by feature, and the log odds of a document without any."""
+    """Letter costs, weights by feature, and the log odds of a document without any."""
 
     def __init__(self, costs: np.ndarray, weights: dict[str, float], prior: float):
         self.costs, self.weights, self.prior = costs, weights, prior
 
 
 def learn(docs: DataFrame, labels: DataFrame, eligible: Column, costs: np.ndarray) -> Model:
-    """Log odds from the labelled rows of ``docs`` whose ``doc_id`` is eligible."""
+    """Weights from the labelled rows of ``docs`` whose ``doc_id`` is eligible."""
     sample = (
         labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(eligible & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -280,14 +281,26 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, costs: np.ndarra
     labelled = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
     rows = labelled.withColumn("sketch", _least_hash(F.col("text"))).groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     model = docs.sparkSession.sparkContext.broadcast(costs)
-    counted = rows.mapInArrow(_feature_counts(model), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = counted.filter((F.col("toxic") >= MIN_TOXIC_ROWS) | (F.col("feature") == "")).orderBy(F.desc(F.col("feature") == ""), F.desc("toxic"), "clean", "feature").limit(20 * MAX_FEATURES).toArrow().to_pylist()
-    whole = next((r for r in best if r["feature"] == ""), None)
-    if whole is None or not whole["toxic"] or not whole["clean"]:
+    held = cut(rows.mapInArrow(_feature_rows(model), "toxic int, features array<string>"))
+    table = held.select("toxic", F.transform("features", lambda f: F.xxhash64(f)).alias("hashes")).toArrow()
+    toxic = table.column("toxic").to_numpy().astype(np.float64)
+    if not 0 < toxic.sum() < len(toxic):
         return Model(costs, {}, -4.0)
-    weights = select_features({r["feature"]: (r["toxic"], r["clean"]) for r in best if r["feature"]}, whole["toxic"], whole["clean"])
-    missed = (whole["toxic"] / (whole["clean"] + whole["toxic"])) * 0.1
-    return Model(costs, weights, math.log(missed / (1 - missed)))
+    # The pairs of rows and features are many, so few copies of them are held at once.
+    lists = table.column("hashes")
+    owner = np.repeat(np.arange(len(toxic), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
+    values = np.concatenate([chunk.flatten().to_numpy() for chunk in lists.chunks])
+    del table, lists
+    hashes = np.unique(values)
+    feature = np.concatenate([np.searchsorted(hashes, values[k : k + (1 << 20)]).astype(np.int32) for k in range(0, len(values), 1 << 20)] or [np.zeros(0, np.int32)])
+    del values
+    intercept, weights = fit_weights(owner, feature, toxic)
+    used = np.flatnonzero(weights)
+    by_hash = dict(zip(hashes[used].tolist(), weights[used].tolist(), strict=True))
+    # As many rows as the prior leaves weights.
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in by_hash], "hash long")
+    names = held.select(F.explode("features").alias("feature")).distinct().withColumn("hash", F.xxhash64("feature")).join(F.broadcast(wanted), "hash").collect()
+    return Model(costs, {r["feature"]: by_hash[r["hash"]] for r in names}, intercept)
 
 
 _kept: list = []
