@@ -2,8 +2,9 @@
 
 Disguised words are restored before scoring. A word with digits or signs among its letters, with
 letters repeated three times and more, with separators between its letters, or a run of single
-letters spells a lattice: every observed character could stand for several letters, be a repeat, or
-be a mere separator, each at a cost. The Viterbi path under a trigram model of letters, which is
+letters (whatever signs stand around them) spells a lattice: every observed character could stand for
+several letters, be a repeat, or be a mere separator, each at a cost. In a run, words may also end
+after any letter, and for scoring every piece of its letters counts that is a word with a weight. The Viterbi path under a trigram model of letters, which is
 counted over all documents, is the word restored. Words without such marks spell one path only,
 themselves.
 
@@ -49,6 +50,8 @@ PENALTY = 0.5
 ROUNDS, ENTERING, TOLERANCE = 60, 1000, 0.05
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
+#: Letters of a piece of a spelled run that is looked up as a word, at least.
+PIECE = 3
 CACHE_ENTRIES = 100_000
 
 # The letters that a character may stand for, with channel costs in nats.
@@ -104,8 +107,11 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p3)
 
 
-def decode(word: str, costs: np.ndarray) -> str:
-    """The likeliest letters behind a lower-case disguised word: the Viterbi path of its lattice."""
+def decode(word: str, costs: np.ndarray, ends: bool = False) -> str:
+    """The likeliest letters behind a lower-case disguised word: the Viterbi path of its lattice.
+
+    With ``ends`` a word may end after any letter, and the words are joined by spaces.
+    """
     paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for char in word:
         options: list[tuple[int, str, float]] = []
@@ -129,8 +135,12 @@ def decode(word: str, costs: np.ndarray) -> str:
                 now = cost + (COST_SEPARATOR if char in SEPARATORS else 2.0)
                 if now < after.get((a, b), (math.inf,))[0]:
                     after[a, b] = (now, way)
+        if ends:
+            for (a, b), (cost, way) in list(after.items()):
+                if b and (now := cost + costs[a, b, 0]) < after.get((b, 0), (math.inf,))[0]:
+                    after[b, 0] = (now, (way, " "))
         paths = after
-    way = min(((cost + costs[a, b, 0], k, way) for k, ((a, b), (cost, way)) in enumerate(paths.items())), default=(0, 0, ()))[2]
+    way = min(((cost + (costs[a, b, 0] if b or not ends else 0.0), k, way) for k, ((a, b), (cost, way)) in enumerate(paths.items())), default=(0, 0, ()))[2]
     out = []
     while way:
         way, letter = way
@@ -171,22 +181,31 @@ class Restorer:
             self.known[word] = found
         return found
 
-    def spelled(self, words: list[str]) -> list[str]:
-        """Words spelled by runs of three and more single characters."""
+    def runs(self, words: list[str]) -> list[str]:
+        """Runs of three and more single characters, without the signs around each."""
         out, run, last = [], [], -2
-        singles = [i for i, w in enumerate(words) if len(w) == 1]
+        singles = [(i, w if len(w) == 1 else x) for i, w in enumerate(words) if len(w) == 1 or not w.isalpha() and len(x := core(w) if w[-1] != "!" else core(w.rstrip("!"))) == 1]
         if len(singles) < 3:
             return out
-        for i in [*singles, -5]:
+        for i, char in [*singles, (-5, "")]:
             if i == last + 1:
-                run.append(words[i])
+                run.append(char)
             else:
                 if len(run) > 2:
-                    out.append(decode("".join(run), self.costs))
-                run = [words[i]] if i >= 0 else []
+                    out.append("".join(run))
+                run = [char]
             last = i
         return out
 
+    def spelled(self, words: list[str]) -> list[str]:
+        """Words spelled by runs of single characters, as they are likeliest divided."""
+        return [w for run in self.runs(words) for w in decode(run, self.costs, True).split()]
+
+    def divisions(self, words: list[str], longest: int) -> set[str]:
+        """All pieces of the letters spelled by runs of single characters, however divided."""
+        letters = {x for run in self.runs(words) for x in (decode(run, self.costs), decode(run, self.costs, True).replace(" ", ""))}
+        return {x[i:j] for x in letters for i in range(len(x)) for j in range(i + PIECE, min(len(x), i + longest) + 1)}
+
     def text(self, text: str) -> list[str]:
         words = text.lower().split()
         return [*map(self.word, words), *self.spelled(words)]
@@ -317,6 +336,7 @@ def _scoring(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
         restorer, weights, known = _kept_for(own)
+        longest = max(map(len, weights), default=0)
 
         def hits(word: str) -> tuple:
             found = known.get(word)
@@ -334,6 +354,9 @@ def _scoring(model, threshold: float):
                 held = {f for found in map(hits, set(words)) if found for f in found}
                 for spelled in restorer.spelled(words):
                     held.update(f for f in features(spelled) if f in weights)
+                for piece in restorer.divisions(words, longest):
+                    if weights.get(piece, 0.0) > 0 or weights.get(piece + "-", 0.0) > 0:
+                        held.update(f for f in features(piece) if f in weights)
                 odds = own.prior + sum(sorted(weights[f] for f in held))
                 scores.append(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))))
             score = pa.array(scores, pa.float64())
