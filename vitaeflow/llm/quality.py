@@ -30,9 +30,9 @@ MIN_KEPT_PERCENT = 50
 # Symbols counted by the base rules, link separators, terminal marks, phrases.
 SYMBOLS = "#*$%&|<>"
 NAVIGATION_MARKS = "|>»›·•"
-TERMINAL_LINE = r"[.!?…。！？:;]['\")\]»”’]*$"
-#: Fixed value: the end of a line that the terminal rule looks at.
-LINE_END = 16
+TERMINAL_MARKS = "[.!?…。！？:;]"
+#: Fixed value: quotes and brackets that may close a line after its terminal mark.
+CLOSERS = "'\")]»”’"
 BOILERPLATE_LINE = (
     r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|"
     r"enable javascript|lorem ipsum|click here|sign up|log in|subscribe now|back to top|powered by|skip to content)\b"
@@ -80,7 +80,8 @@ def line_fails(line: Column, phrases: Column) -> Column:
     upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     navigation = line.rlike(f"[{NAVIGATION_MARKS}]") & (marks >= 3) & (marks * 5 >= n)
-    unfinished = ~F.substring(body, -LINE_END, LINE_END).rlike(TERMINAL_LINE) & (n >= PUNCTUATION_MIN_WORDS)
+    last = F.substring(body, -1, 1)  # few lines end in closers, which take longer
+    unfinished = ~F.when(F.lit(CLOSERS).contains(last), F.substring(F.rtrim(body, F.lit(CLOSERS)), -1, 1)).otherwise(last).rlike(TERMINAL_MARKS) & (n >= PUNCTUATION_MIN_WORDS)
     symbols = line.rlike(f"[{SYMBOLS}]") & (_count_of(line, SYMBOLS) * 2 >= n)
     shouting = line.rlike(r"\p{Lu}{2}") & (letters >= 10) & (upper * 10 >= letters * 7) & (n >= PUNCTUATION_MIN_WORDS)
     return navigation | unfinished | symbols | shouting | (phrases & line.rlike(BOILERPLATE_LINE))
