@@ -47,7 +47,7 @@ def test_stages(spark, tmp_path):
     first = {}
     for i in sorted(clean):
         first.setdefault(texts[i], i)
-    sets = {i: near_duplicates.shingles(texts[i].encode().split()) for i in first.values()}
+    sets = {i: near_duplicates.Sketcher().hashes(texts[i].encode().split()) for i in first.values()}
     assert not any(near_duplicates.linked(sets[a], sets[b]) for a in sets for b in sets if a < b)
     assert Counter(r["doc_id"] for r in states["near_duplicates"]) == Counter(first.values())
     leaking = {i for i in first.values() if any(t in texts[i] for _, t in items)}

@@ -8,21 +8,27 @@ sets of similarity J differ in about (1 - J) of the symbols; all pairs of signat
 such a pair has at most ``CHUNK_ERRORS`` = DISTANCE // CHUNKS errors; all ways to place them are
 enumerated by leaving so many symbols of a chunk out of its key, so the pair meets in a bucket.
 
-Links are confirmed on the full sets of words. What is wanted are the components of the links, so a
-bucket isn't expanded into pairs. First each bucket's members are compared with one of them, its
-center, which is the one with most bucket mates overall. If a bucket then still holds members of
-different components within ``DISTANCE`` of each other, all of those are compared with each other
-by their full sets where they are, and links that connect them are returned, fewer than there are
-members: no link between components is lost, and links within a component needn't be known.
-
-Skew: exact copies collapse before anything is joined, counts are aggregated on the map side,
-buckets of one component are dropped, and joins on buckets are left to the engine's splitting.
+Links are confirmed on the full sets, as 64-bit hashes of all shingles. What is wanted are the
+components of the links, so a bucket isn't expanded into pairs. First each bucket's members are
+compared with one of them, its center, which is the one with most bucket mates overall. The members
+of buckets that then still hold several components are put together by center, once for all buckets
+of that center, and compared with each other, all with all, by their full sets. Only links that
+connect different components are returned, fewer than there are members: no link between components
+is lost, and links within a component needn't be known.
+
+Skew: exact copies collapse before anything is joined, counts are aggregated on the map side, and
+joins on buckets are left to the engine's splitting. The members around a center are cut into blocks
+of about ``BLOCK_MEMBERS`` members and ``BLOCK_SHINGLES`` shingles; every pair of blocks is a piece
+of work of its own, so a group of any size is spread over tasks and a task holds two blocks.
 
 Nulls and edge cases: a null text, or one without words, has the empty set and is linked with
 nothing; with fewer than five words the whole sequence is the one shingle; a row with a null
 ``doc_id`` is linked with nothing and has a null component (``kept`` false); repeated rows share
-their component and are all kept or not; an empty table gives an empty result; other columns of the
-input are ignored.
+their component and are all kept or not; texts under one ``doc_id`` are texts of their own, linked
+each by itself; very long texts are taken whole, in blocks of their own; an empty table gives an
+empty result; other columns of the input are ignored. ``without_copies`` keeps one row of each
+component (that with the smallest ``doc_id``, then the smallest hash of the row) with all its
+columns, and all rows without words or ``doc_id``.
 """
 
 from __future__ import annotations
@@ -33,10 +39,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import cut, read, text_or_empty
+from vitaeflow.llm.common import cut, read, text_or_empty, trimmed
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -45,10 +51,14 @@ SYMBOLS = 64
 CHUNKS = 12
 DISTANCE = 23
 CHUNK_ERRORS = DISTANCE // CHUNKS
-#: Cells up to which a bucket's sets are held as a matrix, and rows of it multiplied at once.
-DENSE_CELLS = 50_000_000
-BLOCK_ROWS = 256
-CACHE_ENTRIES = 150_000
+#: Members and shingles of a block of sets that are compared all with all, about.
+BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 1 << 19
+#: Shingles multiplied at once when blocks are compared.
+COLUMNS = 2048
+CACHE_ENTRIES = 100_000
+#: Texts of a batch that are held as Python objects at once.
+SLICE = 500
 #: Shingles hashed at once.
 PIECE = 1 << 18
 
@@ -63,15 +73,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    """The set of a text, given its words."""
-    if not words:
-        return set()
-    return set(zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else {tuple(words)}
-
-
-def linked(a: set, b: set) -> bool:
-    both = len(a & b)
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, as sorted distinct hashes, are linked."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
@@ -130,7 +134,13 @@ def bucket_keys(symbols: np.ndarray, chunks: int = CHUNKS, errors: int = CHUNK_E
     return np.stack(keys, axis=1).view(np.int64) if keys else np.zeros((len(wide), 0), dtype=np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
+def values(column: pa.Array) -> Iterator:
+    """The values of a column, few of them as Python objects at a time."""
+    for k in range(0, len(column), SLICE):
+        yield from column.slice(k, SLICE).to_pylist()
+
+
+_SKETCH = "doc_id long, row long, n_shingles long, set_key binary, signature binary"
 
 
 def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +155,7 @@ def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signed.extend(row.tobytes() for row in signatures(np.concatenate(held), starts))
                 held.clear()
 
-        texts = batch.column("text").to_pylist()
-        for text in texts:
+        for text in values(batch.column("text")):
             own = sketcher.hashes(words_of(text))
             sizes.append(len(own))
             set_keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
@@ -159,11 +168,29 @@ def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         rows = iter(signed)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.binary()), pa.array([next(rows) if n else None for n in sizes], pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "signature"],
+            [batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.binary()), pa.array([next(rows) if n else None for n in sizes], pa.binary())],
+            names=["doc_id", "row", "n_shingles", "set_key", "signature"],
         )
 
 
+def _hashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full sets of texts, as sorted hashes, in batches of at most SLICE rows."""
+    sketcher = Sketcher()
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            part = batch.slice(k, SLICE)
+            raw = [sketcher.hashes(words_of(text)).tobytes() for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(map(xxhash.xxh3_128_digest, raw), pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "set_key", "hashes"]
+            )
+
+
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column of hashes, without copying them."""
+    for k in range(len(column)):
+        yield np.frombuffer(column[k].as_buffer(), dtype=np.uint64)
+
+
 def _keying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = b"".join(batch.column("signature").to_pylist())
@@ -178,22 +205,16 @@ def _keying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, own = None, set()
     for batch in batches:
-        kept = []
-        for a, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in ("a", "text_a", "text_b")), strict=True):
-            if a != last:
-                last, own = a, shingles(words_of(text_a))
-            kept.append(linked(own, shingles(words_of(text_b))))
-        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        pairs = zip(_sets(batch.column("hashes_a")), _sets(batch.column("hashes_b")), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([linked(a, b) for a, b in pairs], pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    return rows.mapInArrow(_checking, "a long, b long")
+    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("hashes_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hashes_b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_checking, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,145 +232,178 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def involved(components_of: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Which of a bucket's members have one of another component within DISTANCE."""
-    marked = np.zeros(len(symbols), dtype=bool)
-    for i in range(len(symbols)):
-        if not marked[i]:
-            near = (components_of != components_of[i]) & ((symbols != symbols[i]).sum(axis=1) <= DISTANCE)
-            marked |= near
-            marked[i] = near.any()
-    return marked
-
-
-def spanning_links(sets: list[np.ndarray], names: list[int]) -> list[tuple[int, int]]:
-    """Links between sets (sorted hashes) that connect all sets which links connect; ``names`` are
-    their components so far. All pairs are compared, but for those already connected."""
-    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = counts[at] > 1  # what stands in one set only is in no intersection
-    _, column = np.unique(at[common], return_inverse=True)
-    owner, width = owner[common], int(column.max()) + 1 if len(column) else 0
-    starts = np.searchsorted(owner, np.arange(len(sets) + 1))
-    dense = np.zeros((len(sets), width), dtype=bool) if len(sets) * width <= DENSE_CELLS else None
-    if dense is not None:
-        dense[owner, column] = True
-    else:
-        order = np.argsort(column, kind="stable")
-        holders, first = owner[order], np.searchsorted(column[order], np.arange(width + 1))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets in ``a`` (rows) with all in ``b`` (columns)."""
+    both = np.zeros((len(a), len(b)), dtype=np.int64)
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(all_a, all_b)
+    if not len(shared):
+        return both
+
+    def by_column(entries: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), list(map(len, sets)))
+        at = np.minimum(np.searchsorted(shared, entries), len(shared) - 1)
+        hit = shared[at] == entries
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        return at, owner, np.searchsorted(at, np.arange(0, len(shared) + COLUMNS, COLUMNS))
+
+    (at_a, owner_a, cut_a), (at_b, owner_b, cut_b) = by_column(all_a, a), by_column(all_b, b)
+    for k, first in enumerate(range(0, len(shared), COLUMNS)):
+        width = min(COLUMNS, len(shared) - first)
+        one, two = np.zeros((len(a), width), dtype=np.float32), np.zeros((len(b), width), dtype=np.float32)
+        one[owner_a[cut_a[k] : cut_a[k + 1]], at_a[cut_a[k] : cut_a[k + 1]] - first] = 1
+        two[owner_b[cut_b[k] : cut_b[k + 1]], at_b[cut_b[k] : cut_b[k + 1]] - first] = 1
+        both += (one @ two.T).astype(np.int64)
+    return both
+
+
+def spanning_links(a: list[np.ndarray], b: list[np.ndarray], names: list[int]) -> list[tuple[int, int]]:
+    """Links between sets of ``a`` and sets of ``b`` (counted on from the last of ``a``) that connect
+    whatever all links between them connect; ``names`` are the sets' components so far."""
     _, label = np.unique(np.asarray(names), return_inverse=True)
+    if (label == label[0]).all():
+        return []
+    both = overlaps(a, b)
+    sizes_a, sizes_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+    near = (both > 0) & (100 * both >= PERCENT * (sizes_a[:, None] + sizes_b[None, :] - both)) & (label[: len(a), None] != label[None, len(a) :])
     found = []
-    for i in range(len(sets)):
-        if (label == label[0]).all():
-            break
-        if dense is not None:
-            if i % BLOCK_ROWS == 0:
-                own = dense[i : i + BLOCK_ROWS].astype(np.float32)
-                block = np.hstack([own @ dense[k : k + BLOCK_ROWS].T.astype(np.float32) for k in range(0, len(sets), BLOCK_ROWS)])
-            both = block[i % BLOCK_ROWS].astype(np.int64)
-        else:
-            own = column[starts[i] : starts[i + 1]]
-            both = np.bincount(np.concatenate([holders[first[c] : first[c + 1]] for c in own] or [holders[:0]]), minlength=len(sets))
-        near = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (sizes + sizes[i] - both)) & (label != label[i]))
-        for j in near.tolist():
-            if label[j] != label[i]:
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        for j in (np.flatnonzero(near[i]) + len(a)).tolist():
+            if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 found.append((i, j))
     return found
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of each bucket, from rows sorted by key."""
-    last, held = None, []
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the two blocks of a piece of work, whose rows are next to each other."""
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if last is not None:
+            a, b = held[: len(held) if last[1] == last[2] else first], held[0 if last[1] == last[2] else first :]
+            if a and b:
+                links = spanning_links([h for _, _, h in a], [h for _, _, h in b], [n for _, n, _ in (*a, *b)])
+                if links:
+                    both = [r for r, _, _ in (*a, *b)]
+                    yield pa.RecordBatch.from_arrays([pa.array([both[k[e]] for k in links], pa.int64()) for e in (0, 1)], names=["a", "b"])
+
+    last, held, first = None, [], 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in ("key", *columns)), strict=True):
-            if row[0] != last and held:
-                yield last, held
-                held = []
-            last = row[0]
-            held.append(row[1:])
-    if held:
-        yield last, held
-
-
-def _involving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, rows in _by_key(batches, ("rep", "component", "signature")):
-        if len({r[1] for r in rows}) > 1:
-            symbols = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint16).reshape(-1, SYMBOLS)
-            reps = np.array([r[0] for r in rows])[involved(np.array([r[1] for r in rows]), symbols)]
-            if len(reps):
-                digest = xxhash.xxh3_128_digest(reps.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(reps), pa.int64()), pa.array(reps), pa.array([digest] * len(reps), pa.binary())], names=["key", "rep", "digest"])
+        light = zip(*(batch.column(k).to_pylist() for k in ("center", "low", "high", "block", "rep", "component")), strict=True)
+        for (center, low, high, block, rep, component), own in zip(light, _sets(batch.column("hashes")), strict=True):
+            if (center, low, high) != last:
+                yield from settle()
+                last, held, first = (center, low, high), [], 0
+            held.append((rep, component, own.copy()))  # the batch needn't stay
+            first += block == low
+    yield from settle()
 
 
-def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketcher = Sketcher()
-    for _, rows in _by_key(batches, ("rep", "component", "text")):
-        links = spanning_links([sketcher.hashes(words_of(r[2])) for r in rows], [r[1] for r in rows])
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([rows[k[e]][0] for k in links], pa.int64()) for e in (0, 1)], names=["a", "b"])
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row that have one."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key and signature of every row; the last two null for empty sets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    """doc_id, row (its hash), n_shingles, set_key and signature of every row; the last two null for
+    empty sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(_sketching, _SKETCH)
 
 
-def classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(set_key, rep) of all classes, and (rep, component) of those that are linked with others."""
+def named_classes(sketched: DataFrame) -> DataFrame:
+    """(set_key, first, rep, n_shingles, signature) of all classes. A class is named by its smallest
+    ``doc_id``, first; of several classes with the same one (texts under one ``doc_id``) all but one
+    are named by a hash."""
     of_set = cut(
         sketched.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     )
+    name = F.xxhash64("set_key")
+    twice = of_set.groupBy("first").agg(F.count("*").alias("n"), F.min(name).alias("owner")).filter("n > 1").drop("n")
+    rep = F.when(F.col("owner").isNull() | (F.col("owner") == name), F.col("first")).otherwise(name)
+    return of_set.join(twice, "first", "left").select("set_key", "first", rep.alias("rep"), "n_shingles", "signature")
+
+
+def classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(set_key, component, component_id) of all classes: the name of their component and the smallest
+    ``doc_id`` in it."""
+    of_set = cut(named_classes(sketched))
     keyed = of_set.select("rep", "signature").mapInArrow(_keying, "rep long, key long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut(keyed.join(shared, "key"))
-    mates = buckets.groupBy("rep").agg(F.sum("size").alias("mates"))
-    centers = buckets.join(mates, "rep").groupBy("key").agg(F.max(F.struct("mates", -F.col("rep")))["col2"].alias("center"))
-    star = buckets.join(centers.select("key", (-F.col("center")).alias("center")), "key").filter("rep <> center")
-    tried = cut(star.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct())
-    # Only texts that share a bucket with another are needed from here on.
-    needed = mates.select(F.col("rep").alias("id"))
-    raw = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().cast("binary").alias("text"))
-    texts = cut(raw.join(needed, "id").groupBy(F.col("id").alias("rep")).agg(F.min("text").alias("text")))
-    edges = cut(confirmed(tried, texts))
+    mates = cut(buckets.groupBy("rep").agg(F.sum("size").alias("mates")))
+    centers = buckets.join(mates, "rep").groupBy("key").agg((-F.max(F.struct("mates", (-F.col("rep")).alias("r")))["r"]).alias("center"))
+    star = cut(buckets.select("key", "rep").join(centers, "key"))
+    tried = cut(star.filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct())
+    # Only sets that share a bucket with another are needed from here on.
+    needed = of_set.select("set_key", "first", "rep", "n_shingles").join(mates.select("rep"), "rep")
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    some = raw.join(needed.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_hashing, "doc_id long, set_key binary, hashes binary")
+    sets = cut(
+        some.join(needed.withColumnRenamed("first", "doc_id"), ["doc_id", "set_key"])
+        .groupBy("rep")
+        .agg(F.first("n_shingles").alias("n_shingles"), F.first("hashes").alias("hashes"))
+    )
+    edges = cut(confirmed(tried, sets))
     labels = components(edges)
     # Buckets that still hold several components, without their centers, which were compared with all.
-    named = buckets.select("key", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    signed = of_set.select("rep", "signature").join(mates.select("rep"), "rep")
-    members = named.join(mixed.join(centers, "key").select("key", (-F.col("center")).alias("center")), "key").filter("rep <> center")
-    open_ = cut(members.join(signed, "rep").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_involving, "key long, rep long, digest binary"))
-    # Buckets with the same members in question are taken once.
-    once = open_.groupBy("digest").agg(F.min("key").alias("key")).select("key")
-    asked = open_.select("key", "rep").join(once, "key", "left_semi").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = cut(asked.join(texts, "rep").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_linking, "a long, b long").distinct())
+    named = star.filter("rep <> center").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    asked = cut(named.join(mixed, "key", "left_semi").select("center", "rep", "component").distinct().join(sets.select("rep", "n_shingles"), "rep"))
+    work = F.greatest(F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
+    parts = asked.groupBy("center").agg(F.ceil(work).cast("int").alias("parts"))
+    placed = asked.join(parts, "center").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    pieces = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component"
+    )
+    work_of = ["center", "low", "high"]
+    whole = pieces.join(sets.select("rep", "hashes"), "rep").repartition(*work_of).sortWithinPartitions(*work_of, "block", "rep")
+    more = cut(whole.select(*work_of, "block", "rep", "component", "hashes").mapInArrow(_linking, "a long, b long").distinct())
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
-    return of_set.select("set_key", "rep"), labels
+    linked_sets = of_set.select("set_key", "first", "rep").join(labels, "rep")
+    smallest = linked_sets.groupBy("component").agg(F.min("first").alias("component_id"))
+    met = linked_sets.join(smallest, "component").select("set_key", "component", "component_id")
+    return of_set.select("set_key", "first", "rep").join(met, "set_key", "left").select(
+        "set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "first").alias("component_id")
+    )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+def _resolved(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, set_key, component and component_id of every row of ``docs``; the
+    component is null without words or ``doc_id``."""
     sketched = cut(sketches(docs))
-    of_set, labels = classes(docs, sketched)
-    named = of_set.join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    known = F.col("doc_id").isNotNull()
     return (
-        sketched.alias("s")
-        .join(named.alias("n"), "set_key", "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        sketched.drop("signature")
+        .join(classes(docs, sketched), "set_key", "left")
+        .withColumn("component", F.when(known, F.col("component")))
+        .withColumn("component_id", F.when(known, F.coalesce("component_id", "doc_id")))
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    return _resolved(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def without_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns; rows without ``doc_id`` are all kept."""
-    keepers = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    one = docs.join(keepers, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each component, with all its columns; rows without words or ``doc_id`` all stay."""
+    chosen = (
+        _resolved(docs)
+        .filter(F.col("component").isNotNull())
+        .groupBy("component")
+        .agg(F.min(F.struct("doc_id", "row")).alias("x"))
+        .select(F.col("x.doc_id").alias("chosen_id"), F.col("x.row").alias("chosen_row"))
+        .distinct()
+    )
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("id"), _row_hash(docs).alias("hash"))
+    one = rows.join(chosen, (F.col("id") == F.col("chosen_id")) & (F.col("hash") == F.col("chosen_row")), "left_semi").dropDuplicates(["id", "hash"]).select("whole.*")
+    return one.unionByName(docs.filter(F.col("doc_id").isNull() | (trimmed(text_or_empty()) == "")))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
