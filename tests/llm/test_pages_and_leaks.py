@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -69,11 +71,33 @@ def test_warc_of_an_empty_table(spark, tmp_path):
     assert made.count() == 0 and warc.read_archives(made, f"file://{tmp_path}").count() == 0
 
 
-def test_blocks():
+def texts(page):
+    return [x.text for x in html_text.lines(page)]
+
+
+def test_lines():
     page = "<html><title>t</title><nav><a href='/x'>X</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<p>four<br>five</article><div class='ad'>buy</div><script>var t='</p>'</script><!-- no --><footer>f</footer>"
-    assert [t for t, w in html_text.blocks(page) if w == "main"] == ["A & B", "one two three", "four", "five"]
-    assert [t for t, w in html_text.blocks(page) if w == "side"] == ["X", "buy", "f"]
-    assert html_text.blocks("") == [] and html_text.blocks("<script>never closed") == [] and html_text.blocks("a < b & c") == [("a < b & c", "open")]
+    assert texts(page) == ["A & B", "one two three", "four", "five"] and all(x.main for x in html_text.lines(page))
+    assert texts("") == [] and texts("<script>never closed") == [] and texts("a < b & c") == ["a < b & c"]
+    assert texts("one <a title=it's>link</a> two") == ["one link two"] and texts("x <b and <i y") == ["x"]
+    assert texts("<DIV>x</DIV\n>y<img alt='>'>z<![CDATA[q]]><?x?>") == ["x", "yz"]
+    assert texts("<p>long enough a text</p><span class=ad><span>buy</span> now</span> at once") == ["long enough a text", "at once"]
+
+
+def test_wrappers_are_no_furniture():
+    whole = "<p>The text of the page.</p>"
+    for around in ("<div class='layout no-sidebar'>{}</div>", "<form id=aspnetForm>{}</form>", "<article class='post related-topic-share'>{}</article>", "<div class=menu-open><h1>T</h1>{}</div>"):
+        assert "The text of the page." in texts("<nav>" + "menu " * 50 + "</nav>" + around.format(whole))
+    page = f"<div>{whole * 20}</div><article>A teaser</article>"
+    assert html_text.chosen(html_text.lines(page), set()).startswith("The text of the page.")
+    assert html_text.chosen(html_text.lines(f"<div>notice</div><article>{whole}</article>"), set()) == "The text of the page."
+
+
+@pytest.mark.parametrize("piece, end", [("<a b='", ""), ("<a b='x' ", ""), ('<a b="', "'"), ("<div>", "</q>" * 8000), ("<div class=menu>", "x"), ("<", ""), ("<!--", ""), ("</p", ""), ("<script", ""), ("<p x=", "")])
+def test_hostile_pages_take_linear_time(piece, end):
+    start = time.process_time()
+    html_text.lines(piece * 8000 + end)
+    assert time.process_time() - start < 0.5
 
 
 def lcs(a, b):
@@ -111,6 +135,84 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert html_text.extract(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def brute_texts(rows):
+    """Main texts by pairs, places and lines counted one by one."""
+    parsed = [(*html_text.place_of(u or ""), i, html_text.lines(h or "")) for i, u, h in rows]
+    order = sorted(range(len(rows)), key=lambda k: parsed[k][:3])
+    told = defaultdict(set)
+
+    def shared(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i].text == b[j].text else max(table[i + 1][j], table[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i].text == b[j].text:
+                yield i
+                i, j = i + 1, j + 1
+            elif table[i + 1][j] >= table[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+
+    for x, y in zip(order, order[1:], strict=False):
+        for k, other in ((x, y), (y, x)):
+            own = parsed[k][3]
+            if parsed[x][0] == parsed[y][0] and own:
+                same = list(shared(own, parsed[other][3]))
+                if sum(len(own[i].text) for i in same) <= 0.5 * sum(len(z.text) for z in own):
+                    told[k] |= set(same)
+    count = defaultdict(lambda: defaultdict(int))
+    size = defaultdict(lambda: defaultdict(int))
+    for k, same in told.items():
+        for i, x in enumerate(parsed[k][3]):
+            count[parsed[k][0], x.place][x.text] += i in same
+            size[parsed[k][0]][x.place] += len(x.text)
+    body = {h: max(v, key=v.get) for h, v in size.items()}
+    frame = {hp for hp, own in count.items() if body[hp[0]] != hp[1] and sum(own.values()) >= 3 and 2 * sum(v > 0 for v in own.values()) >= len(own)}
+    out = []
+    for k, (host, _, _, own) in enumerate(parsed):
+        left = [x for i, x in enumerate(own) if (host, x.place) not in frame and not (i in told.get(k, ()) and not x.main)]
+        inside, outside = (sum(len(x.text) for x in left if x.main == m) for m in (True, False))
+        alone = any(x.main for x in left) and not (outside >= 200 and outside > 4 * inside)
+        out.append(" ".join(x.text for x in left if x.main or not alone))
+    return out
+
+
+def marked_site(rng, k, quote=None):
+    """An article with a notice, which the site repeats with changing words, and sometimes a quotation."""
+    body = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(8, 30))) for _ in range(rng.randint(2, 6))]
+    if quote:
+        body.insert(rng.randrange(len(body)), quote)
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    return "<nav>menu</nav><article><h1>Title {}</h1>{}<div class=box{}>Read more of our news</div></article>".format(k, paragraphs, k), " ".join([f"Title {k}", *body])
+
+
+def test_differencing_acts_inside_articles_and_keeps_quotations(spark):
+    rng = random.Random(12)
+    quote = " ".join(f"q{k}" for k in range(20))
+    made = [marked_site(rng, k, quote if k % 2 else None) for k in range(30)]
+    rows = [(k, f"http://news.example/{k:03d}", html) for k, (html, _) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, rows)).collect()}
+    assert [got[k] for k in range(30)] == [text for _, text in made] == brute_texts(rows)
+    assert all("Read more" in html_text.chosen(html_text.lines(html), set()) for _, _, html in rows)  # differencing took it away
+
+
+def test_extraction_is_that_of_brute_force(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = []
+    for k in range(160):
+        host = f"h{rng.randrange(4)}.example"
+        page = marked_site(rng, k)[0] if k % 3 else site(rng.randrange(3), " ".join(f"u{rng.randrange(4000)}" for _ in range(rng.randint(1, 60))))
+        rows.append((k, f"https://{host}/a/{rng.randrange(300)}", rows[-1][2] if k % 17 == 5 else page))
+    rows += [(300, None, None), (301, "no url", "<p>x"), (302, "http://[", "y"), (303, "http://h1.example/a/7", "word " * 50_000)]
+    want = dict(zip((r[0] for r in rows), brute_texts(rows), strict=True))
+    for limit in (html_text.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(html_text, "BROADCAST_BYTES", limit)
+        assert {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, rows)).collect()} == want
+
+
 def test_leaks_are_those_of_brute_force(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice(["ta", "ro", "mi", "ke", "su"]) for _ in range(rng.randint(1, 3)))

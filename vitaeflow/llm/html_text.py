@@ -1,115 +1,210 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-A page is parsed into blocks of visible text; blocks inside menus, headers, footers, sidebars,
-forms, notices, adverts, comments, scripts and styles are marked as such. Within each host, pages
-are put in the order of their URL paths, and every page is compared with the page before and the
-page after it. The blocks are aligned by longest common subsequence and those shared are deleted,
-as they belong to the site, not to the page.
-
-Two pages may also share blocks because one is a copy of the other, or quotes it. So blocks inside
-a page's marked main element (article or main) are kept, and a neighbour that shares more than
-``COPY_SHARE`` of the text outside furniture is taken for a copy and not compared with. (Deleting
-shared blocks inside marked articles too took passages that many articles quote out of 211 of
-12,820 test pages.) A page with a main element yields the text in it, any other page what is left.
-
-Skew: only keys and 64-bit hashes of blocks are sorted, by range over (host, path), so that a host
-with a third of all pages is spread over many tasks. The first and last pages of a range meet their
-neighbours in a second, small step; there are two of them for each task. Then what to delete joins
-the pages by ``page_id``.
+A page is parsed into blocks of visible text, its lines. Within each host, pages are put in the order
+of their URL paths, and every page is compared with the page before and the page after it; their
+lines are aligned by longest common subsequence. What is shared belongs to the site, not to the
+page, unless one page is a copy of the other, or both quote the same. So
+
+* a neighbour that shares more than ``COPY_SHARE`` of the text is taken for a copy and not compared
+  with;
+* a place in the markup (the elements and classes a line stands in) is part of the site's frame if at
+  least ``FRAME_SHARE`` of its different lines in a host are shared, at ``FRAME_TIMES`` times or
+  more. All lines in such places are deleted on all pages of the host, in and out of its articles.
+  The place that holds most of the host's text is never one of them;
+* outside article and main elements, shared lines are deleted wherever they stand. Inside, they are
+  quoted passages as long as their place is not part of the frame. (Deleting them there too took
+  passages that many articles quote out of 211 of 12,820 test pages.)
+
+What the site doesn't repeat is told by its elements: menus, footers, sidebars and dialogs go, and
+page headers; forms, and elements whose class, id or role says that they are furniture, only if they
+hold at most half of the page's text and no main heading. Of what is left, article and main elements
+are taken alone, unless the text outside is over ``OUTSIDE`` times theirs.
+
+Skew: only 64-bit hashes of lines are sorted, by range over (host, path), so that a host with a third
+of all pages is spread over many tasks. The first and last pages of a range meet their neighbours in a
+second, small step; there are two of them for each task. Lines are counted by (host, place, line),
+map side first, and the frames of a host are dealt to its pages under ``SALTS`` keys. What to delete
+is broadcast only if its rows, counted before, take less than ``BROADCAST_BYTES``, and joined by
+``page_id`` otherwise.
 
 Nulls and edge cases: a null html counts as empty and gives the empty text; null urls form one host
 with empty paths; ties in the path are ordered by ``page_id``, then by content; repeated rows are
-copies of each other and both keep their text; unclosed and stray tags are tolerated, and an
-unclosed script or comment ends with the page; long pages are parsed whole; an empty table gives an
-empty result; other columns are ignored.
+copies of each other and both keep their text; unclosed and stray tags and quotes are tolerated, in
+time linear in the page's length; an unclosed script or comment, and a tag without end, end the page;
+long pages are parsed whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitaeflow.llm.common import cut, read, text_or_empty
 
-#: A neighbour that shares more of the unmarked text is a copy.
+#: A neighbour that shares more of the text is a copy.
 COPY_SHARE = 0.5
+#: A place is part of the frame from this share of shared lines on, and so many times shared.
+FRAME_SHARE, FRAME_TIMES = 0.5, 3
+#: Articles are taken alone unless the text outside is so many times as long, and so long at least.
+OUTSIDE, OUTSIDE_CHARS = 4, 200
 #: Products of lengths up to which the alignment is computed in full at once.
 ALIGN_CELLS = 4_000_000
+SALTS = 32
+BROADCAST_BYTES = 8 << 20
 
-# Elements by their role, and words of class, id and role that mark page furniture.
+# Elements by their role, and words of class, id and role that hint at page furniture.
 SKIPPED = frozenset("script style noscript template iframe svg object canvas select button textarea title".split())
-FURNITURE = frozenset("nav header footer aside form menu dialog".split())
+FURNITURE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
 FURNITURE_WORDS = re.compile(
     r"(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|header|footer|sidebar|aside|ads?|advert(isement)?s?|banner|promo|sponsored|"
     r"cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|respond|replies|disqus|widget|toolbar|pagination)($|[\s_-])",
     re.IGNORECASE,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\s|/)(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_SPACE = re.compile(r"\s+")
+# A tag with its attributes; and one that ends at the next ">" whatever is quoted.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[\"'])*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.IGNORECASE)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE) for name in SKIPPED}
+_TAG_BEGINS = re.compile(r"</?[a-zA-Z]")
+_DIGITS = re.compile(r"\d+")
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """Visible blocks of a page in order: (text, where), where being main, side or open."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, main
+class Line(NamedTuple):
+    """A visible block: its text, whether it stands in a main element, and its place in the markup."""
+
+    text: str
+    main: bool
+    place: int
+
+
+class _Wrap:
+    """An element that may be furniture: surely, or if it turns out to be small and without heading."""
+
+    __slots__ = ("above", "sure", "size", "headed")
+
+    def __init__(self, above: int, sure: bool):
+        self.above, self.sure, self.size, self.headed = above, sure, 0, False
+
+
+@lru_cache(1 << 14)
+def _place(above: int, name: str, classes: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{above}/{name}.{_DIGITS.sub('', classes)}") - (1 << 63)
+
+
+def lines(page: str) -> list[Line]:
+    """The visible blocks of a page in order, without those in furniture."""
+    out: list[tuple[Line, int]] = []
+    wraps = [_Wrap(0, False)]  # the page itself
+    stack: list[tuple[str, int, int, int]] = []  # element, wrap, main elements, place
+    open_names: dict[str, int] = {}
     held: list[str] = []
-    side = main = 0
+    wrap = main = place = 0
 
     def settle() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+        text = "".join(held)
         held.clear()
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
-            out.append((text, "side" if side else "main" if main else "open"))
+            out.append((Line(text, main > 0, place), wrap))
+            wraps[wrap].size += len(text)
 
-    at = 0
+    at, tag = 0, _TAG
     while True:
-        token = _TOKEN.search(page, at)
-        held.append(page[at : token.start()] if token else page[at:])
-        if token is None:
+        start = page.find("<", at)
+        if start < 0:
+            held.append(page[at:])
             break
-        at = token.end()
-        name = (token[2] or "").lower()
-        if not name:
-            continue
+        if start > at:
+            held.append(page[at:start])
+        found = tag.match(page, start)
+        if found is None:
+            if page.startswith(("<!", "<?"), start):
+                opening, closing = ("<!--", "-->") if page.startswith("<!--", start) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", start) else ("<", ">")
+                end = page.find(closing, start + len(opening))
+                if end < 0:
+                    break
+                at = end + len(closing)
+                continue
+            if _TAG_BEGINS.match(page, start):
+                tag = _LOOSE_TAG  # a quote or tag doesn't end: quotes aren't looked at from here on
+                found = tag.match(page, start)
+                if found is None:
+                    break
+            else:
+                held.append("<")
+                at = start + 1
+                continue
+        at = found.end()
+        ends, name, inner = found.groups()
+        if not name.islower():
+            name = name.lower()
         if name not in INLINE:
-            settle()
-        if token[1]:
-            if any(x[0] == name for x in stack):
+            if held:
+                settle()
+        elif not (ends or inner or open_names.get(name)):  # plain emphasis makes no difference
+            continue
+        if ends:
+            if open_names.get(name):
                 while True:
                     own = stack.pop()
-                    side -= own[1]
-                    main -= own[2]
+                    open_names[own[0]] -= 1
                     if own[0] == name:
                         break
+                if held and wrap != (stack[-1][1] if stack else 0):
+                    settle()
+                _, wrap, main, place = stack[-1] if stack else ("", 0, 0, 0)
         elif name in SKIPPED:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not (token[3] or "").endswith("/"):
-            marks = " ".join(next(filter(None, m[1:]), "") for m in _ATTRIBUTE.findall(token[3] or ""))
-            own = (name, name in FURNITURE or bool(marks and name not in ("html", "body") and FURNITURE_WORDS.search(marks)), name in MAIN)
+            end = _ENDS[name].search(page, at)
+            if end is None:
+                break
+            at = end.end()
+        elif name not in VOID and not inner.endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends
                 stack.pop()
-            stack.append(own)
-            side += own[1]
-            main += own[2]
+                open_names["p"] -= 1
+                _, wrap, main, place = stack[-1] if stack else ("", 0, 0, 0)
+            marks = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(inner)} if "=" in inner else {}
+            if name in FURNITURE or name == "header" and not main:
+                wraps.append(_Wrap(wrap, True))
+                wrap = len(wraps) - 1
+            elif name == "form" or marks and name not in MAIN and name not in ("html", "body") and FURNITURE_WORDS.search(" ".join(marks.values())):
+                if held:
+                    settle()
+                wraps.append(_Wrap(wrap, False))
+                wrap = len(wraps) - 1
+            wraps[wrap].headed |= name in ("h1", "main")
+            main += name in MAIN
+            if name not in INLINE:
+                place = _place(place, name, marks.get("class", ""))
+            stack.append((name, wrap, main, place))
+            open_names[name] = open_names.get(name, 0) + 1
     settle()
-    return out
+    for k in range(len(wraps) - 1, 0, -1):  # inner elements come after outer ones
+        if not wraps[k].sure:
+            above = wraps[wraps[k].above]
+            above.size += wraps[k].size
+            above.headed |= wraps[k].headed
+    away = [False]
+    for w in wraps[1:]:
+        away.append(away[w.above] or w.sure or not w.headed and 2 * w.size <= wraps[0].size)
+    return [line for line, k in out if not away[k]]
 
 
 def key_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 def place_of(url: str) -> tuple[str, str]:
@@ -166,41 +261,30 @@ def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row
 
 
-#: Roles as stored next to the hashes.
-_ROLE = {"main": 0, "open": 1, "side": 2}
-
-
-def shared_places(own: dict, other: dict) -> list[int]:
-    """Places of the blocks of a page that differencing with another page deletes."""
-    if own["host"] != other["host"]:
-        return []
-    a, b = np.asarray(own["keys"]), np.asarray(other["keys"])
-    roles = np.asarray(own["roles"])
+def shared_places(own: dict, other: dict) -> list[int] | None:
+    """Places of the lines of a page that it shares with another, None if they aren't compared."""
+    if own["host"] != other["host"] or not own["keys"]:
+        return None
     sizes = np.asarray(own["sizes"])
-    same = common(a, b)
-    text = sizes[roles < 2].sum()
-    if text and sum(sizes[i] for i, _ in same if roles[i] < 2) > COPY_SHARE * text:
-        return []
-    return [i for i, _ in same if roles[i] > 0]
+    same = [i for i, _ in common(np.asarray(own["keys"]), np.asarray(other["keys"]))]
+    return None if sizes[same].sum() > COPY_SHARE * sizes.sum() else same
 
 
-_LIGHT = "page_id long, digest long, host string, path string, keys array<bigint>, roles array<tinyint>, sizes array<int>"
+_LINES = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("main", pa.bool_()), ("size", pa.int32())]))
+_LIGHT = "page_id long, digest long, host string, path string, lines array<struct<key: bigint, place: bigint, main: boolean, size: int>>"
 
 
 def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for page, digest, url, html in zip(*(batch.column(k).to_pylist() for k in ("page_id", "digest", "url", "html")), strict=True):
-            found = blocks(html)
-            rows.append((page, digest, *place_of(url), [key_of(t) for t, _ in found], [_ROLE[w] for _, w in found], [len(t) for t, _ in found]))
+            rows.append((page, digest, *place_of(url), [{"key": key_of(x.text), "place": x.place, "main": x.main, "size": len(x.text)} for x in lines(html)]))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "digest", "host", "path", "keys", "roles", "sizes"]
-            )
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), _LINES]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "digest", "host", "path", "lines"])
 
 
-_PAIRED = f"{_LIGHT}, gone array<int>, edge int, part int"
+_PAIRED = "page_id long, digest long, host string, keys array<bigint>, sizes array<int>, gone array<int>, met int, edge int, part int"
 
 
 def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +292,43 @@ def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark.taskcontext import TaskContext
 
     part = TaskContext.get().partitionId()
+    ints = pa.list_(pa.int32())
     schema = pa.schema(
-        [("page_id", pa.int64()), ("digest", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("keys", pa.list_(pa.int64())), ("roles", pa.list_(pa.int8())), ("sizes", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32())), ("edge", pa.int32()), ("part", pa.int32())]
+        [("page_id", pa.int64()), ("digest", pa.int64()), ("host", pa.string()), ("keys", pa.list_(pa.int64())), ("sizes", ints), ("gone", ints), ("met", pa.int32()), ("edge", pa.int32()), ("part", pa.int32())]
     )
 
-    def out(row: dict, gone: set, edge: int) -> pa.RecordBatch:
-        kept = row if edge else row | {"keys": [], "roles": [], "sizes": []}  # only ends are compared again
-        return pa.RecordBatch.from_pylist([kept | {"gone": sorted(gone), "edge": edge, "part": part}], schema=schema)
+    def out(row: dict, shared: list, edge: int) -> dict:
+        kept = row if edge else row | {"keys": [], "sizes": []}  # only ends are compared again
+        found = [x for x in shared if x is not None]
+        return kept | {"gone": sorted({i for x in found for i in x}), "met": len(found), "edge": edge, "part": part}
 
-    last, gone, first = None, set(), True
+    last, shared, first = None, [], True
     for batch in batches:
+        done = []
         for row in batch.to_pylist():
             if last is not None:
-                yield out(last, gone | set(shared_places(last, row)), int(first))
-                gone, first = set(shared_places(row, last)), False
+                done.append(out(last, [*shared, shared_places(last, row)], int(first)))
+                shared, first = [shared_places(row, last)], False
             last = row
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
     if last is not None:
-        yield out(last, gone, 2 + int(first))
+        yield pa.RecordBatch.from_pylist([out(last, shared, 2 + int(first))], schema=schema)
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages, digests, gone, met = [], [], [], []
+        for row in batch.to_pylist():
+            other = row["before"] if row["at"] == 1 else row["after"]
+            found = shared_places(row["own"], other) if other else None
+            pages.append(row["page_id"])
+            digests.append(row["digest"])
+            gone.append(found or [])
+            met.append(int(found is not None))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pages, pa.int64()), pa.array(digests, pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(met, pa.int32())], names=["page_id", "digest", "gone", "met"]
+        )
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -233,45 +337,70 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return filled.withColumn("digest", F.xxhash64("url", "html"))
 
 
-def differences(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, gone) for the pages that lose blocks."""
-    rows = _keyed(pages).select(F.col("page_id").cast("long"), "digest", text_or_empty("url").alias("url"), "html")
-    light = cut(rows.mapInArrow(_sketching, _LIGHT))  # sorting by range reads it twice
-    parts = max(8, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = light.repartitionByRange(parts, "host", "path", "page_id", "digest").sortWithinPartitions("host", "path", "page_id", "digest")
+def shared_lines(light: DataFrame) -> DataFrame:
+    """(page_id, digest, gone) for pages that are compared with a neighbour: the shared lines."""
+    parts = max(8, int(light.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["host", "path", "page_id", "digest"]
+    narrow = light.select(*order, F.col("lines.key").alias("keys"), F.col("lines.size").alias("sizes"))
+    ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("path")
     paired = cut(ordered.mapInArrow(_pairing, _PAIRED))
     # Two rows for each task: the ends of neighbouring ranges are next to each other.
     ends = paired.filter("edge > 0").withColumn("at", F.explode(F.when(F.col("edge") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("edge"))))
-    order = Window.orderBy("part", "at")
-    page = F.struct("host", "keys", "roles", "sizes")
-    met = ends.select("page_id", "digest", "at", page.alias("own"), F.lag(page).over(order).alias("before"), F.lead(page).over(order).alias("after"))
-
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                other = row["before"] if row["at"] == 1 else row["after"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["page_id"]], pa.int64()), pa.array([row["digest"]], pa.int64()), pa.array([shared_places(row["own"], other) if other else []], pa.list_(pa.int32()))], names=["page_id", "digest", "gone"]
-                )
-
-    more = met.mapInArrow(meeting, "page_id long, digest long, gone array<int>")
+    along = Window.orderBy("part", "at")
+    page = F.struct("host", "keys", "sizes")
+    met = ends.select("page_id", "digest", "at", page.alias("own"), F.lag(page).over(along).alias("before"), F.lead(page).over(along).alias("after"))
+    more = met.mapInArrow(_meeting, "page_id long, digest long, gone array<int>, met int")
     return (
-        paired.select("page_id", "digest", "gone")
+        paired.select("page_id", "digest", "gone", "met")
         .unionByName(more)
-        .filter(F.size("gone") > 0)
+        .filter("met > 0")
         .groupBy("page_id", "digest")
         .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     )
 
 
+def frame_places(told: DataFrame) -> DataFrame:
+    """(host, frames): the places in the markup that are part of a host's frame, from the pages
+    (host, lines, gone) that were compared."""
+    spread = told.select("host", "gone", F.posexplode("lines").alias("i", "line"))
+    shared = F.array_contains("gone", F.col("i")).cast("int")
+    by_line = spread.groupBy("host", F.col("line.place").alias("place"), F.col("line.key").alias("key")).agg(F.sum(shared).alias("times"), F.sum("line.size").alias("size"))
+    by_place = by_line.groupBy("host", "place").agg(
+        F.count("*").alias("kinds"), F.sum((F.col("times") > 0).cast("long")).alias("repeated"), F.sum("times").alias("times"), F.sum("size").alias("size")
+    )
+    body = by_place.groupBy("host").agg(F.max(F.struct("size", "place"))["place"].alias("body"))
+    frame = by_place.filter((F.col("times") >= FRAME_TIMES) & (F.col("repeated") >= FRAME_SHARE * F.col("kinds")))
+    return frame.join(body, "host").filter("place <> body").groupBy("host").agg(F.collect_list("place").alias("frames"))
+
+
+def differences(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, gone) for the pages that lose lines."""
+    rows = _keyed(pages).select(F.col("page_id").cast("long"), "digest", text_or_empty("url").alias("url"), "html")
+    light = cut(rows.mapInArrow(_sketching, _LIGHT))  # sorting by range reads it twice
+    same_page = (F.col("l.digest") == F.col("s.digest")) & F.col("l.page_id").eqNullSafe(F.col("s.page_id"))
+    told = light.alias("l").join(shared_lines(light).alias("s"), same_page).select("l.page_id", "l.digest", "l.host", "l.lines", "s.gone")
+    frames = frame_places(told).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = light.withColumn("salt", F.pmod("digest", F.lit(SALTS)).cast("int"))
+    framed = salted.join(frames, ["host", "salt"]).select(
+        "page_id", "digest", F.filter(F.transform("lines", lambda x, i: F.when(F.array_contains("frames", x["place"]), i)), lambda i: i.isNotNull()).alias("gone")
+    )
+    # Shared lines outside main elements go wherever they stand.
+    loose = told.select("page_id", "digest", F.filter("gone", lambda i: ~F.get("lines", i)["main"]).alias("gone"))
+    return loose.unionByName(framed).filter(F.size("gone") > 0).groupBy("page_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def chosen(page: list[Line], gone: set[int]) -> str:
+    """The main text from a page's lines and the places of those that differencing deletes."""
+    left = [x for i, x in enumerate(page) if i not in gone]
+    inside = sum(len(x.text) for x in left if x.main)
+    outside = sum(len(x.text) for x in left if not x.main)
+    alone = any(x.main for x in left) and not (outside >= OUTSIDE_CHARS and outside > OUTSIDE * inside)
+    return " ".join(x.text for x in left if x.main or not alone)
+
+
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for html, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            found, lost = blocks(html), set(gone or ())
-            roles = {where for _, where in found}
-            wanted = "main" if "main" in roles else "open"
-            texts.append(" ".join(t for i, (t, where) in enumerate(found) if where == wanted and i not in lost))
+        texts = [chosen(lines(html), set(gone or ())) for html, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"]
         )
@@ -280,8 +409,10 @@ def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
     rows = _keyed(pages).alias("p")
-    gone = differences(pages).alias("g")
-    joined = rows.join(gone, (F.col("p.digest") == F.col("g.digest")) & F.col("p.page_id").cast("long").eqNullSafe(F.col("g.page_id")), "left")
+    gone = cut(differences(pages))
+    size = gone.agg(F.coalesce(F.sum(F.size("gone") * 4 + 64), F.lit(0))).first()[0]
+    told = (F.broadcast(gone) if size <= BROADCAST_BYTES else gone).alias("g")
+    joined = rows.join(told, (F.col("p.digest") == F.col("g.digest")) & F.col("p.page_id").cast("long").eqNullSafe(F.col("g.page_id")), "left")
     kind = rows.schema["page_id"].dataType.simpleString()
     return joined.select("p.page_id", "p.url", "html", "gone").mapInArrow(_extracting, f"page_id {kind}, url string, text string, n_chars long")
 
