@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vitaeflow.llm import mixing, quality, sharding
 
@@ -86,6 +85,28 @@ def test_mix_reruns_agree_and_takes_odd_rows(spark):
     assert rows.columns == frame.columns and rows.filter("doc_id = 2").count() == 1
 
 
+def test_rows_that_differ_in_other_columns_stay_apart(spark):
+    kind = "doc_id long, text string, source string, lang string, draw map<string, int>"
+    rows = [(1, "a b c d", "s1", "en", {"k": 1}), (1, "a b c d", "s2", "de", {"k": 1}), (1, "a b c d", "s2", "de", {"k": 2}), (None, "x", "s1", None, None), (None, "x", "s1", None, None)]
+    got = mixing.mixed_rows(spark.createDataFrame(rows, kind))
+    assert got.schema.simpleString() == spark.createDataFrame(rows, kind).schema.simpleString()
+    assert {(r["source"], (r["draw"] or {}).get("k")) for r in got.collect()} >= {("s2", 1), ("s2", 2)}
+
+
+def test_many_sizes_and_very_long_texts(spark):
+    rows = [(i, "w " * (i + 1), "s1") for i in range(700)] + [(9000, "w " * 60_000, "s2"), (9001, "w", "s2"), (9002, "w " * 90, "s2")]
+    got = mixing.mix(docs_of(spark, rows)).collect()
+    for s in ("s1", "s2"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= (1 if s == "s1" else 30_000)
+
+
+def test_a_balance_that_is_not_reached_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError, match="no balance"):
+        mixing.mix(docs_of(spark, [(i, "w " * (i + 1), f"s{i % 2}") for i in range(20)]))
+
+
 def test_jump_moves_rows_into_the_new_shard_only():
     mixed = sharding.mix(np.arange(-500, 20000))
     for n in (1, 2, 7, 40):
@@ -153,8 +174,11 @@ def test_quality_counts(spark):
     assert quality.judge(frame.limit(0)).count() == 0
 
 
-def test_native_plans(spark):
+def test_native_plans(spark, monkeypatch):
+    cuts, cut = [], mixing.cut
     frame = docs_of(spark, ODD)
     plan = quality.judge(frame)._jdf.queryExecution().toString() + mixing.mix(frame)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan.replace("pythonUDF", "Python"))
-    assert frame.select(F.lit(1)).count() == len(ODD)
+    monkeypatch.setattr(mixing, "cut", lambda df: cuts.append(df._jdf.queryExecution().toString()) or cut(df))
+    mixing.mix(frame)
+    assert len(cuts) > 5 and not re.search("Python|Arrow|Pandas", "".join(cuts).replace("pythonUDF", "Python"))

@@ -64,8 +64,18 @@ def id_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+
+    def hashable(field) -> Column:
+        kind, column = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+
+    return F.xxhash64(*map(hashable, docs.schema))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["cut", "id_remainder", "let", "read", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]
+__all__ = ["cut", "id_remainder", "let", "read", "row_hash", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]

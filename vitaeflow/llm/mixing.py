@@ -11,12 +11,17 @@ so many of them get one copy more that the words taken so far stay nearest to th
 (sizes from large to small). Which of them get it follows from a hash of the document.
 
 Skew: documents are pre-aggregated by (source, size); a pair holding over 1/1000 of all documents
-is split into parts, of which there are so few that their list may be broadcast.
+is split into parts, of which there are so few that their list may be broadcast. Sources are numbered
+range by range, and the level at which they are filled follows from sums over all of them, so that
+their number may be large as well.
 
 Nulls and edge cases: a null or empty text has size 0, takes 0 words and gets copy 1; null sources
 are one source, ordered last; repeated rows are counted one by one; a source without words has
-target 0; an empty table gives an empty result; further columns are ignored by ``mix`` and kept by
-``mixed_rows``.
+target 0; very long texts are counted whole; documents of one size and source with equal hashes are
+ordered by ``doc_id``, and those that are equal in that too get copies as if they were one; an empty
+table gives an empty result; further columns are ignored by ``mix`` and kept by ``mixed_rows``, which
+tells rows apart by all of their columns. If the balance isn't reached, an error says for how many
+sources.
 """
 
 from __future__ import annotations
@@ -24,40 +29,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import cut, read, word_count
+from vitaeflow.llm.common import cut, let, read, row_hash, word_count
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 #: Newton stops when each source's words are within this share of its target.
 TOLERANCE = 1e-7
-MAX_STEPS = 40
+#: Steps after which the balance counts as not to be reached: far more than halving needs.
+MAX_STEPS = 200
+#: Sizes that are folded into a list of their own.
+FOLDED = 128
 #: (source, size) pairs with more than 1 / HOT_SHARE of all documents are dealt out in parts.
 HOT_SHARE = 1000
 _EXP_LIMIT = 50.0
 
 
 def source_targets(sources: DataFrame) -> DataFrame:
-    """(source, words) to (source, words, weight, target). One row per source, so windows over all
-    of them are small.
+    """(source, words) to (source, words, weight, target).
 
-    Weights 1, 2, 3 repeat in code point order, null last. The level at which a unit of weight is
-    filled is found on the sources sorted by the level at which they are full.
+    Weights 1, 2, 3 repeat in code point order, null last. Sources that a share by weight would take
+    over their room are filled, and the rest is shared again until none is.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("double"))
-    full = weighed.withColumn("room", F.lit(MAX_COPIES) * F.col("words")).withColumn("full_at", F.col("room") / F.col("weight"))
-    by_level = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = full.withColumn(
-        "level", (F.sum("words").over(everything) - F.coalesce(F.sum("room").over(before), F.lit(0))) / F.sum("weight").over(rest)
-    )
-    # The first source not full at its own level sets the level of all.
-    set_by = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"]
-    return level.withColumn("common", set_by).select(
-        "source", "words", "weight", F.least(F.col("room").cast("double"), F.col("weight") * F.col("common")).alias("target")
-    )
+    by_name = F.col("source").asc_nulls_last()
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(sources.repartitionByRange(parts, by_name).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    first = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rank = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int")).cast("double")
+    weighed = cut(ranged.join(F.broadcast(first), "part").withColumn("weight", weight).withColumn("room", MAX_COPIES * F.col("words")).select("source", "words", "weight", "room"))
+    total, level, filled = weighed.agg(F.sum("words")).first()[0] or 0, 0.0, -1
+    while True:
+        full = F.col("room") <= F.col("weight") * level
+        now = weighed.agg(F.sum(full.cast("long")).alias("filled"), F.sum(F.when(full, F.col("room"))).alias("room"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
+        if now["filled"] in (None, filled) or not now["weight"]:
+            break
+        filled, level = now["filled"], (total - (now["room"] or 0)) / now["weight"]
+    return weighed.select("source", "words", "weight", F.least(F.col("room").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _rate(lam, size, mean):
@@ -67,20 +75,17 @@ def _rate(lam, size, mean):
 def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Solve the dual: (source, lam, mean) for ``sizes`` (source, size, n) and ``targets``.
 
-    A source that must be taken whole three times has a null multiplier: its rate is the cap.
+    A source that must be taken whole three times has a null multiplier: its rate is the cap. A step
+    that leaves the bounds known so far (none at first) halves what is between them, or doubles.
     """
+    whole = F.col("target") >= MAX_COPIES * F.col("words")
+    none = F.lit(None).cast("double")
     state = cut(
         targets.select(
-            "source",
-            "target",
-            F.greatest(F.col("mean"), F.lit(1.0)).alias("mean"),
-            F.lit(0.0).alias("lam"),
-            F.lit(-_EXP_LIMIT * 10).alias("low"),
-            F.lit(_EXP_LIMIT * 10).alias("high"),
-            (F.col("target") >= MAX_COPIES * F.col("words")).alias("capped"),
-            ((F.col("words") == 0) | (F.col("target") >= MAX_COPIES * F.col("words"))).alias("done"),
+            "source", "target", F.greatest(F.col("mean"), F.lit(1.0)).alias("mean"), F.lit(0.0).alias("lam"), none.alias("low"), none.alias("high"),
+            whole.alias("capped"), ((F.col("words") == 0) | whole).alias("done"),
         )
-    )
+    )
     for _ in range(MAX_STEPS):
         if state.filter(~F.col("done")).isEmpty():
             break
@@ -96,30 +101,33 @@ def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - F.try_divide(gap, F.col("slope"))
-        middle = (low + high) / 2
-        step = F.when((newton > low) & (newton < high), newton).otherwise(middle)
-        near = F.abs(gap) <= TOLERANCE * F.col("target")
+        wide = 2 * F.abs(F.col("lam")) + 1
+        middle = F.when(low.isNull(), F.col("lam") - wide).when(high.isNull(), F.col("lam") + wide).otherwise((low + high) / 2)
+        inside = newton.isNotNull() & F.coalesce(newton > low, newton > F.col("lam") - 4 * wide) & F.coalesce(newton < high, newton < F.col("lam") + 4 * wide)
+        step = F.when(inside, newton).otherwise(middle)
+        # Between neighbouring numbers there is nothing nearer.
+        near = (F.abs(gap) <= TOLERANCE * F.col("target")) | F.coalesce(high - low <= 1e-14 * F.abs(F.col("lam")), F.lit(False))
+        over = F.col("done") | near
         state = cut(
             state.alias("s")
             .join(now.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left")
             .select(
-                F.col("s.source").alias("source"),
-                "target",
-                "mean",
-                F.when(F.col("done") | near, F.col("lam")).otherwise(step).alias("lam"),
-                F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"),
-                F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"),
-                "capped",
-                (F.col("done") | near).alias("done"),
+                F.col("s.source").alias("source"), "target", "mean", F.when(over, F.col("lam")).otherwise(step).alias("lam"),
+                F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"),
+                "capped", over.alias("done"),
             )
-        )
+        )
+    left = state.filter(~F.col("done")).count()
+    if left:
+        raise RuntimeError(f"{left} sources have no balance after {MAX_STEPS} steps")
     return state.select("source", "target", "mean", F.when(~F.col("capped"), F.col("lam")).alias("lam"))
 
 
 def size_plan(sizes: DataFrame, solved: DataFrame) -> DataFrame:
     """(source, size, n, whole, extra): the copies all get, and how many documents get one more.
 
-    A source's distinct sizes, at most as many as its longest text has words, are folded in one row.
+    A source's distinct sizes, at most as many as its longest text has words, are folded in one row
+    (24 bytes each).
     """
     rate = F.when(F.col("lam").isNull(), F.lit(float(MAX_COPIES))).otherwise(_rate(F.col("lam"), F.col("size"), F.col("mean")))
     rated = (
@@ -131,7 +139,7 @@ def size_plan(sizes: DataFrame, solved: DataFrame) -> DataFrame:
     )
     item = F.struct(F.col("size"), "n", F.col("whole"), (F.col("rate") - F.col("whole")).alias("part"))
     folded = rated.groupBy("source").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,whole:bigint,extra:bigint>>").alias("out"))
+    extras = "array<struct<size:bigint,n:bigint,whole:bigint,extra:bigint>>"
 
     def take(state, x):
         owed = state["owed"] + x["n"] * x["part"] * x["size"]
@@ -143,20 +151,27 @@ def size_plan(sizes: DataFrame, solved: DataFrame) -> DataFrame:
             F.array_append(state["out"], F.struct(x["size"].alias("size"), x["n"].alias("n"), x["whole"].cast("bigint").alias("whole"), extra.alias("extra"))).alias("out"),
         )
 
-    return folded.select("source", F.explode(F.aggregate("items", start, take)["out"]).alias("x")).select("source", "x.*")
+    def take_some(state, first):
+        """Some sizes on a list of their own, as appending copies a list."""
+        some = F.aggregate(F.slice("items", first, FOLDED), F.struct(state["owed"].alias("owed"), F.array().cast(extras).alias("out")), take)
+        return let(some, lambda x: F.struct(x["owed"].alias("owed"), F.array_append(state["out"], x["out"]).alias("out")))
+
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast(f"array<{extras}>").alias("out"))
+    every = F.aggregate(F.sequence(F.lit(1), F.size("items"), F.lit(FOLDED)), start, take_some)
+    return folded.select("source", F.explode(F.flatten(every["out"])).alias("x")).select("source", "x.*")
 
 
 def _draw() -> Column:
     return F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("string").cast("binary")))
 
 
-def _mixed(docs: DataFrame) -> DataFrame:
+def _mixed(docs: DataFrame, draw: Column) -> DataFrame:
     light = cut(
         docs.select(
             F.col("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text").cast("string")).alias("size"),
-            _draw().alias("draw"),
+            draw.alias("draw"),
         )
     )
     sizes = cut(light.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -218,16 +233,15 @@ def _mixed(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken for every row of ``docs``."""
-    return _mixed(docs).drop("draw")
+    return _mixed(docs, _draw()).drop("draw")
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns.
-
-    Rows of one ``doc_id`` and text are taken for repeats of one row, and get their copies together.
-    """
-    copies = _mixed(docs).groupBy("doc_id", "draw").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), _draw().alias("draw")).dropDuplicates(["doc_id", "draw"])
+    """The rows of ``docs`` as often as the mix takes them, with all their columns; rows that are
+    equal in all columns get their copies together."""
+    whole = row_hash(docs)
+    copies = _mixed(docs, whole).groupBy("doc_id", "draw").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), whole.alias("draw")).dropDuplicates(["doc_id", "draw"])
     met = rows.alias("d").join(copies.alias("c"), (F.col("d.draw") == F.col("c.draw")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
     return met.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 

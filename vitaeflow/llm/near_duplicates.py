@@ -39,10 +39,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import cut, read, text_or_empty, trimmed
+from vitaeflow.llm.common import cut, read, row_hash, text_or_empty, trimmed
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -301,15 +301,10 @@ def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle()
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns of a row that have one."""
-    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))))
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, row (its hash), n_shingles, set_key and signature of every row; the last two null for
     empty sets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), text_or_empty().cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(_sketching, _SKETCH)
 
 
@@ -401,7 +396,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
         .select(F.col("x.doc_id").alias("chosen_id"), F.col("x.row").alias("chosen_row"))
         .distinct()
     )
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("id"), _row_hash(docs).alias("hash"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("id"), row_hash(docs).alias("hash"))
     one = rows.join(chosen, (F.col("id") == F.col("chosen_id")) & (F.col("hash") == F.col("chosen_row")), "left_semi").dropDuplicates(["id", "hash"]).select("whole.*")
     return one.unionByName(docs.filter(F.col("doc_id").isNull() | (trimmed(text_or_empty()) == "")))
 
