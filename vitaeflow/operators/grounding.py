@@ -18,41 +18,65 @@ from vitaeflow.functions.text import line_number, without_space
 MIN_RATIO = 0.3
 
 
+#: Characters of a piece of a source, whose solid characters are counted.
+PIECE = 256
+
+
 def solid_places(text: Column) -> Column:
     """Places of a text's characters that are no white space."""
     plain = lambda c: F.ascii(c).between(33, 126)  # noqa: E731  most characters need no pattern
     return F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(plain(c) | ~c.rlike(r"(?U)^\s?$"), i)))
 
 
+def solid_counts(text: Column) -> Column:
+    """Running numbers of solid characters, piece by piece; the text is cut in one pass."""
+    counts = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda piece: F.length(without_space(piece)))
+    return F.aggregate(counts, F.array().cast("array<int>"), lambda done, n: F.array_append(done, n + F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))))
+
+
+def nth_solid(text: Column, counts: Column, k: Column) -> Column:
+    """Place of the k-th (from 0) solid character of a text, null if there are fewer."""
+
+    def inside(before: Column) -> Column:
+        place = F.get(solid_places(F.substring(text, before * PIECE + 1, F.lit(PIECE))), k - F.coalesce(F.get(counts, before - 1), F.lit(0)))
+        return F.when(before < F.size(counts), before * PIECE + place)
+
+    return F.transform(F.array(F.size(F.filter(counts, lambda n: n <= k))), inside)[0]
+
+
+def first_place(text: Column, part: Column) -> Column:
+    """Place (from 1) of the first occurrence, 0 for none. Whether there is one is told faster."""
+    return F.when(F.contains(text, part), F.instr(text, part)).otherwise(0)
+
+
 def native_matches(extractions: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds source, char_start, char_end, match_type (exact, normalized or null) and match_confidence.
 
-    A source without its white space is made once, before the join; the places of its characters
-    only for the rows that need them, in one pass.
+    A source without its white space, and numbers of its solid characters by piece, are made once a
+    document, before the join. Each search runs once a row: its result passes a generator, which
+    filters and projections on it aren't moved through.
     """
     whole = F.coalesce("text", F.lit(""))
-    texts = documents.select("doc_key", whole.alias("source"), without_space(whole).alias("_dense"))
-    query, source = F.col("text"), F.col("source")
+    texts = documents.select("doc_key", whole.alias("source")).select("doc_key", "source", without_space(F.col("source")).alias("_dense"), solid_counts(F.col("source")).alias("_counts"))
+    query, source, counts = F.col("text"), F.col("source"), F.col("_counts")
     given = truthy(query) & source.isNotNull()
-    dense_query = without_space(query)
-    exact, blind = F.col("_exact"), F.col("_blind")
-    searched = (
-        extractions.join(texts, "doc_key", "left")
-        .withColumn("_exact", F.when(given, F.instr(source, query)))
-        .withColumn("_blind", F.when(exact == 0, F.when(dense_query == "", 1).otherwise(F.instr(F.col("_dense"), dense_query))))
+    joined = extractions.join(texts, "doc_key", "left")
+    exact = joined.select("*", F.inline(F.array(F.struct(F.when(given, first_place(source, query)).alias("_exact"), without_space(query).alias("_query")))))
+    blind_at = F.when(F.col("_exact") == 0, F.when(F.col("_query") == "", 1).otherwise(first_place(F.col("_dense"), F.col("_query"))))
+    found = exact.select("*", F.inline(F.array(F.struct(blind_at.alias("_blind")))))
+    blind = F.col("_blind")
+    kind = F.when(F.col("_exact") > 0, "exact").when((blind > 0) & (blind <= F.length("_dense")), "normalized")
+    span = F.when(F.col("match_type") == "exact", F.struct((F.col("_exact") - 1).alias("start"), (F.col("_exact") - 1 + F.length(query)).alias("end"))).when(
+        F.col("match_type") == "normalized",
+        F.struct(nth_solid(source, counts, blind - 1).alias("start"), F.coalesce(nth_solid(source, counts, blind - 1 + F.length("_query")), F.length(source)).alias("end")),
     )
-    span = F.transform(
-        F.array(solid_places(source)),
-        lambda at: F.struct(F.get(at, blind - 1).alias("start"), F.coalesce(F.get(at, blind - 1 + F.length(dense_query)), F.length(source)).alias("end")),
-    )[0]
-    placed = searched.withColumn("_span", F.when(exact > 0, F.struct((exact - 1).alias("start"), (exact - 1 + F.length(query)).alias("end"))).when(blind > 0, span))
-    kind = F.when(exact > 0, "exact").when(F.col("_span.start").isNotNull(), "normalized")
     return (
-        placed.withColumn("match_type", kind)
+        found.withColumn("match_type", kind)
+        .withColumn("_span", span)
         .withColumn("char_start", F.col("_span.start").cast("int"))
-        .withColumn("char_end", F.when(F.col("match_type").isNotNull(), F.col("_span.end")).cast("int"))
+        .withColumn("char_end", F.col("_span.end").cast("int"))
         .withColumn("match_confidence", F.when(F.col("match_type") == "exact", 1.0).when(F.col("match_type") == "normalized", 0.85))
-        .drop("_exact", "_blind", "_span", "_dense")
+        .drop("_exact", "_blind", "_query", "_span", "_dense", "_counts")
     )
 
 

@@ -271,15 +271,16 @@ def ground_exact(spark, d):
     return _grounded(spark, d).filter("match_type = 'exact'").select("doc_key", "ord", "char_start", "char_end")
 
 
-@query(_FOUND + r"""h AS (SELECT *, strpos(dense, q) AS at FROM n WHERE p = 0 AND strpos(dense, q) > 0)
-SELECT doc_key, ord, length(q) AS n_chars, regexp_replace(source[s + 1:e], '\s+', '', 'g') = q AS same FROM (SELECT *, s + length(text) AS e FROM (SELECT *, CAST(-1 AS BIGINT) AS s FROM h)) WHERE false
-UNION ALL SELECT doc_key, ord, length(q), true FROM h""")
+@query(ctes("doc_lines").rstrip() + r""",
+d AS (SELECT doc_key, source, regexp_replace(source, '\s+', '', 'g') AS dense,
+  list_filter(list_transform(string_split(source, ''), lambda c, i: CASE WHEN regexp_matches(c, '^\s$') THEN -1 ELSE i - 1 END), lambda i: i >= 0) AS places
+  FROM (SELECT CAST(doc_id AS BIGINT) AS doc_key, text AS source FROM documents)),
+q AS (SELECT doc_key, ord, regexp_replace(text, '\s+', '', 'g') AS q FROM doc_lines WHERE text <> '' AND strpos(source, text) = 0),
+h AS (SELECT doc_key, ord, places, length(source) AS n, strpos(dense, q) AS b, length(q) AS m FROM q JOIN d USING (doc_key))
+SELECT doc_key, ord, CAST(places[b] AS INTEGER) AS char_start, CAST(coalesce(places[b + m], n) AS INTEGER) AS char_end FROM h WHERE b > 0""")
 def ground_normalized(spark, d):
-    """What the white-space-blind search finds: the span's text without white space is the query's."""
-    found = _grounded(spark, d).filter("match_type = 'normalized'")
-    span = F.substring(F.col("source"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    dense = text.without_space(F.col("text"))
-    return found.select("doc_key", "ord", F.length(dense).cast("long").alias("n_chars"), (text.without_space(span) == dense).alias("same"))
+    """What the white-space-blind search finds; a span ends where the next solid character stands."""
+    return _grounded(spark, d).filter("match_type = 'normalized'").select("doc_key", "ord", "char_start", "char_end")
 
 
 @query(_FOUND + "h AS (SELECT * FROM x WHERE p > 0) SELECT doc_key, ord, CAST(length(source[1:p - 1]) - length(replace(source[1:p - 1], chr(10), '')) + 1 AS INTEGER) AS line FROM h")
