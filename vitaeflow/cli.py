@@ -100,7 +100,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         rows = search.statistics(store, given.by)
         print("\n".join(rows.toJSON().toLocalIterator())) if given.json else _table(rows)
     elif given.command == "match":
-        _table(matching.best(matching.profiles(store), jd_frame(spark, given.jd), given.top))
+        wanted = jd_frame(spark, given.jd)
+        _table(matching.best(matching.profiles(store, wanted), wanted, given.top))
     elif given.command == "delete":
         found = not store.candidates.filter(F.col("id") == given.id).isEmpty()
         if found:

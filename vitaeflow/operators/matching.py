@@ -9,22 +9,30 @@ from vitaeflow.functions import scoring
 from vitaeflow.operators.search import months_by_candidate
 from vitaeflow.operators.store import TalentStore, first_of
 
-#: Job descriptions up to this many are shipped to where the candidates are.
-MAX_BROADCAST_JDS = 10_000
 TOP = 10
 
 
-def profiles(store: TalentStore) -> DataFrame:
-    """One row a candidate: what scoring needs. Each child table is aggregated before it is joined."""
-    named = store.candidate_skills.join(store.skills.select(F.col("id").alias("skill_id"), "name"), "skill_id")
-    skills = named.groupBy(F.col("candidate_id").alias("id")).agg(F.collect_set(F.lower("name")).alias("skills"))
+def profiles(store: TalentStore, jds: DataFrame | None = None) -> DataFrame:
+    """One row a candidate: what scoring needs. Each child table is aggregated before it is joined.
+
+    With job descriptions only skills that one of them asks for are gathered; others don't count.
+    """
+    known = store.skills.select(F.col("id").alias("skill_id"), F.lower("name").alias("name"))
+    if jds is not None:
+        asked = jds.select(F.explode("skills").alias("word")).select(F.lower("word").alias("word")).distinct()
+        known = known.join(asked, F.contains("name", "word") | F.contains("word", "name"), "left_semi")
+    skills = store.candidate_skills.join(known, "skill_id").groupBy(F.col("candidate_id").alias("id")).agg(F.collect_set("name").alias("skills"))
     months = months_by_candidate(store.experiences).withColumnRenamed("candidate_id", "id")
     wishes = first_of(store.job_intentions, ["candidate_id"], ["id"]).select(F.col("candidate_id").alias("id"), "salary_min", "salary_max")
     return store.candidates.select("id", "name", "city", "education_level").join(skills, "id", "left").join(months, "id", "left").join(wishes, "id", "left")
 
 
 def scored(people: DataFrame, jds: DataFrame) -> DataFrame:
-    """Every job description (jd_id, skills, min_years, education, city, salary_range) with every profile."""
+    """Every job description (jd_id, skills, min_years, education, city, salary_range) with every profile.
+
+    All pairs are wanted. The engine ships the descriptions to the profiles if they are few by its
+    own measure, and pairs their partitions otherwise.
+    """
     j, p = (lambda c: F.col(f"j.{c}")), (lambda c: F.col(f"p.{c}"))
     parts = {
         "skill": scoring.skill_fit(j("skills"), p("skills")),
@@ -33,8 +41,7 @@ def scored(people: DataFrame, jds: DataFrame) -> DataFrame:
         "city": scoring.city_fit(j("city"), p("city")),
         "salary": scoring.salary_fit(j("salary_range"), p("salary_min"), p("salary_max")),
     }
-    few = jds.limit(MAX_BROADCAST_JDS + 1).count() <= MAX_BROADCAST_JDS
-    pairs = people.alias("p").crossJoin((F.broadcast(jds) if few else jds).alias("j"))
+    pairs = people.alias("p").crossJoin(jds.alias("j"))
     rows = pairs.select(j("jd_id").alias("jd_id"), p("id").alias("candidate_id"), p("name").alias("name"), p("city").alias("city"), p("education_level").alias("education"), *(v.alias(f"{k}_score") for k, v in parts.items()))
     total = sum((F.col(f"{k}_score") * w for k, w in scoring.FIT_WEIGHTS.items()), F.lit(0.0))
     return rows.withColumn("total_score", scoring.rounded(total)).withColumns({f"{k}_score": scoring.rounded(F.col(f"{k}_score")) for k in parts})

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from vitaeflow.functions.text import contains_like, keyword_list
 from vitaeflow.operators.store import TalentStore
 
+#: Rows of a page up to which its ids are shipped to the tables that are counted.
+MAX_PAGE = 10_000
 SUMMARY = ["id", "name", "gender", "age", "phone", "city", "education_level", "source_file"]
 
 
@@ -40,9 +42,10 @@ def search(
         found = found.join(months, "id", "left").filter(F.coalesce("total_months", F.lit(0)) >= 12 * min_years).drop("total_months")
     words = keyword_list(query) if query else []
     if words:
-        # One pass over the skills tells for each candidate which words its skills hold.
+        # One pass over the skills that hold a word tells for each candidate which words its skills hold.
         marks = [F.max(contains_like(F.col("name"), w)).alias(f"_k{i}") for i, w in enumerate(words)]
-        named = store.candidate_skills.join(store.skills.select(F.col("id").alias("skill_id"), "name"), "skill_id")
+        held = reduce(or_, (contains_like(F.col("name"), w) for w in words))
+        named = store.candidate_skills.join(store.skills.filter(held).select(F.col("id").alias("skill_id"), "name"), "skill_id")
         found = found.join(named.groupBy(F.col("candidate_id").alias("id")).agg(*marks), "id", "left")
         for i, w in enumerate(words):
             own = reduce(or_, (F.coalesce(contains_like(F.col(c), w), F.lit(False)) for c in ("name", "city", "education_level")))
@@ -87,7 +90,10 @@ def list_candidates(store: TalentStore, limit: int | None = 50, offset: int = 0)
     counts = (("experience_count", store.experiences), ("skill_count", store.candidate_skills), ("certification_count", store.certifications))
     out = out.select("id", "name", "city", "education_level", "source_file").orderBy(F.desc("id")).offset(offset)
     out = out.limit(limit) if limit is not None else out  # the page first, then what belongs to it
+    page = out.select(F.col("id").alias("candidate_id"))
     for name, df in counts:
+        if limit is not None and limit <= MAX_PAGE:
+            df = df.join(F.broadcast(page), "candidate_id", "left_semi")
         own = df.groupBy(F.col("candidate_id").alias("id")).agg(F.count("*").alias(name))
         out = out.join(own, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
     return out.orderBy(F.desc("id"))

@@ -484,10 +484,11 @@ for _name in scoring.FIT_WEIGHTS:
 
 @query(_PARTS_SQL + "SELECT * FROM t WHERE jd_id = 1 ORDER BY total_score DESC, candidate_id DESC LIMIT 10")
 def match_rank_topk(spark, d):
-    return matching.best(matching.profiles(store(spark, d)), _jds(spark).filter("jd_id = 1"))
+    wanted = _jds(spark).filter("jd_id = 1")
+    return matching.best(matching.profiles(store(spark, d), wanted), wanted)
 
 
 @query(_PARTS_SQL + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY total_score DESC, candidate_id DESC) AS INTEGER) AS rank FROM t) WHERE rank <= 10")
 def match_many_jds_topk(spark, d):
-    return matching.best_for_each(matching.profiles(store(spark, d)), _jds(spark))
+    return matching.best_for_each(matching.profiles(store(spark, d), _jds(spark)), _jds(spark))
 
