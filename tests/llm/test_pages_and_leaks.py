@@ -251,6 +251,50 @@ def test_index_parts_leave_nothing_out(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()} == {(i, i) for i in range(5)}
 
 
+def brute_overlaps(words, item):
+    """Question and answer overlap of an item of one segment with the passages that score enough."""
+    cut = len(item) - max(1, len(item) // 4)
+    out = []
+    for start in range(0, max(1, len(words) - 64), 64):
+        own = words[start : start + 128]
+        pairs = {(i, own[k], own[k + i]) for i in (1, 2) for k in range(len(own) - i)}
+        held = [any((i, item[k], item[k + i]) in pairs for i in (1, 2) if k + i < len(item)) or any((i, item[k - i], item[k]) in pairs for i in (1, 2) if k >= i) for k in range(len(item))]
+        share = sum((1, item[k], item[k + 1]) in pairs for k in range(len(item) - 1)) / (len(item) - 1)
+        out.append((share, held))
+    met = [h for s, h in out if s >= 0.6]
+    if not met:
+        return 0.0, 0.0
+    held = [any(h[k] for h in met) for k in range(len(item))]
+    return sum(held[:cut]) / cut, sum(held[cut:]) / (len(item) - cut)
+
+
+def test_partial_overlaps_are_judged_as_by_brute_force(spark):
+    rng = random.Random(14)
+    items = [(i, [f"i{i}w{k}" for k in range(rng.choice([12, 20, 33, 60]))]) for i in range(30)]  # pairs of equal weight
+    docs = []
+    for d in range(400):
+        words = [f"o{rng.randrange(900)}" for _ in range(rng.choice([20, 150, 400]))]
+        own = list(items[d % 30][1])
+        for _ in range(rng.randint(0, len(own) // 2)):
+            k = rng.randrange(len(own))
+            own[k : k + 1] = rng.choice([[], ["changed"], [own[k], "more"]])
+        at = rng.randrange(len(words))
+        words[at:at] = own
+        docs.append((d, " ".join(words)))
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["question_overlap"], r["answer_overlap"]) for r in found.collect()}
+    want = {(d, d % 30): brute_overlaps(t.split(), items[d % 30][1]) for d, t in docs}
+    want = {k: v for k, v in want.items() if min(v) >= 0.8}
+    assert 100 < len(want) < 390 and got == want
+
+
+def test_a_large_item_table_is_indexed_in_parts_by_words(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_INDEX_WORDS", 1000)
+    bench = spark.createDataFrame([(i, "\n".join(f"b{i}x{k}" for k in range(300))) for i in range(20)], "item_id long, text string")
+    made = list(decontamination.indexes(bench))
+    assert len(made) >= 6 and sum(len(x.items) for x in made) == 20 and max(len(x.words) for x in made) < 1700
+
+
 def test_wand_retrieves_all_above_the_threshold(monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK", 2)
     rng = random.Random(4)
@@ -260,7 +304,7 @@ def test_wand_retrieves_all_above_the_threshold(monkeypatch):
         pairs = sorted(rng.sample(range(len(index.pairs)), rng.randint(1, 12)))
         scores = {}
         for p in pairs:
-            for segment, w in zip(*index.lists[p], strict=True):
+            for segment, w in zip(*index.postings(p), strict=True):
                 scores[int(segment)] = scores.get(int(segment), 0) + w
         for threshold in (0.2, 0.5, 0.9):
             got = index.search(pairs, threshold)

@@ -17,14 +17,17 @@ item is a candidate in a document once one of its segments is retrieved, and fou
 held, over all of its segments: those not retrieved count with the passage that has most of their
 pairs. An item's score is the mean of its segments' best scores by words.
 
-Bounds: the index is built on the driver and shipped to the executors only while the items have at
-most ``MAX_INDEX_WORDS`` words; larger tables of items are indexed and searched part by part, each
-part within the bound, so no item is left out.
+Bounds: items are indexed in parts of at most ``MAX_INDEX_WORDS`` words (a longer item is a part of
+its own), counted by the engine before any text is fetched. The driver holds one part's texts at a
+time and its index, flat arrays of about 40 bytes a word besides the vocabulary. Every part is shipped
+to the executors and all documents are searched with it, so no item is left out.
 
 Nulls and edge cases: null texts of documents and items count as empty and match nothing; items
 with fewer than two words have no pair and are found by equality of the whole document; repeated
 items are reported each; a null ``doc_id`` passes through; repeated documents are reported each
-time; empty tables give an empty result; other columns are ignored.
+time; very long texts are searched whole, passage by passage; of passages with equal scores the first
+counts; empty tables give an empty result; other columns are ignored by ``find_leaks`` and kept, with
+the rows, by ``without_leaks``.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import read, text_or_empty
+from vitaeflow.llm.common import cut, read, text_or_empty, word_count
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -48,7 +51,7 @@ SEGMENT_WORDS = 64
 PASSAGE_WORDS = 128
 STEP = PASSAGE_WORDS // 2
 BLOCK = 16
-MAX_INDEX_WORDS = 4_000_000
+MAX_INDEX_WORDS = 1_000_000
 #: Words of texts that are looked up at once.
 CHUNK_WORDS = 400_000
 # Signs that are taken off at both ends of words, as ASCII bytes and with UTF-8 signs.
@@ -64,62 +67,71 @@ def words_of(text: bytes) -> list[bytes]:
     return words if text.isascii() else [w if w.isascii() else _EDGES.sub(b"", w) or w for w in words]
 
 
-class Segment:
-    """A piece of an item with what verifying it takes."""
-
-    def __init__(self, item: int | None, row: int, words: list[bytes]):
-        self.item, self.row, self.words = item, row, words
-        self.cut_at = len(words) - max(1, len(words) // 4)  # where the answer begins
-
-
 class Index:
-    """The inverted index over the segments of (item_id, text) rows."""
+    """The inverted index over the segments of (item_id, text) rows, in flat arrays.
+
+    Segment k has the words ``words[starts[k] : starts[k + 1]]`` and belongs to row ``rows[k]``; the
+    segments with pair p, and their impacts, are at ``heads[p] : heads[p + 1]`` of ``ids`` and
+    ``weights``, their blocks' highest impacts at ``tops[p] : tops[p + 1]`` of ``highs``.
+    """
 
-    def __init__(self, items: list[tuple[int | None, bytes]]):
-        self.segments: list[Segment] = []
-        self.parts: dict[int, list[int]] = {}
+    def __init__(self, items: Iterator[tuple[int | None, bytes]]):
+        self.vocab: dict[bytes, int] = {}
         self.single: dict[bytes, list[int | None]] = {}
-        for row, (item, text) in enumerate(items):
+        self.items: list[int | None] = []
+        pieces, rows = [], []
+        for item, text in items:
             words = words_of(text)
+            self.items.append(item)
             if len(words) < 2:
                 if words:
                     self.single.setdefault(words[0], []).append(item)
                 continue
-            for k in range(0, len(words), SEGMENT_WORDS):
-                piece = words[max(0, min(k, len(words) - SEGMENT_WORDS)) : k + SEGMENT_WORDS]
-                self.parts.setdefault(row, []).append(len(self.segments))
-                self.segments.append(Segment(item, row, piece))
-        self.vocab: dict[bytes, int] = {}
-        for s in self.segments:
-            for w in s.words:
-                self.vocab.setdefault(w, len(self.vocab))
-        postings: dict[int, dict[int, int]] = {}
-        width = len(self.vocab)
-        for k, s in enumerate(self.segments):
-            ids = [self.vocab[w] for w in s.words]
-            for a, b in zip(ids, ids[1:], strict=False):
-                own = postings.setdefault(a * width + b, {})
-                own[k] = own.get(k, 0) + 1
-        n, mean = max(1, len(self.segments)), np.mean([len(s.words) - 1 for s in self.segments] or [1])
-        idf = {p: math.log(1 + (n - len(own) + 0.5) / (len(own) + 0.5)) for p, own in postings.items()}
-
-        def impact(pair: int, k: int, tf: int) -> float:
-            length = len(self.segments[k].words) - 1
-            return idf[pair] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-
-        whole = np.zeros(len(self.segments))
-        for p, own in postings.items():
-            for k, tf in own.items():
-                whole[k] += impact(p, k, tf)
-        self.pairs = np.array(sorted(postings), dtype=np.int64)
-        self.lists = [(np.array(sorted(postings[p])), np.array([impact(p, k, postings[p][k]) / whole[k] for k in sorted(postings[p])])) for p in self.pairs.tolist()]
-        self.blocks = [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) for _, w in self.lists]
-        self.highest = np.array([w.max() for _, w in self.lists])
+            own = np.fromiter((self.vocab.setdefault(w, len(self.vocab)) for w in words), dtype=np.int32, count=len(words))
+            for k in range(0, len(own), SEGMENT_WORDS):
+                pieces.append(own[max(0, min(k, len(own) - SEGMENT_WORDS)) : k + SEGMENT_WORDS])
+                rows.append(len(self.items) - 1)
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self.rows = np.array(rows, dtype=np.int64)
+        self.starts = np.r_[0, np.cumsum(lengths)]
+        self.words = np.concatenate([*pieces, np.zeros(0, dtype=np.int32)])
+        del pieces
+        self.cuts = lengths - np.maximum(1, lengths // 4)  # where the answers begin
+        # All pairs with their segments, sorted; equal ones become one posting with its frequency.
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.flatnonzero(owner[:-1] == owner[1:]) if len(owner) else owner
+        codes = self.words[inside].astype(np.int64) * len(self.vocab) + self.words[inside + 1]
+        order = np.lexsort((owner[inside], codes))
+        codes, owner = codes[order], owner[inside][order]
+        new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])]) if len(codes) else order
+        tf = np.diff(np.r_[new, len(codes)])
+        codes, self.ids = codes[new], owner[new]
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else new
+        self.pairs, self.heads = codes[first], np.r_[first, len(codes)]
+        held = np.diff(self.heads)
+        idf = np.repeat(np.log(1 + (len(lengths) - held + 0.5) / (held + 0.5)), held)
+        pairs_in = lengths - 1
+        mean = pairs_in.mean() if len(pairs_in) else 1.0
+        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * pairs_in[self.ids] / mean))
+        self.weights = impact / np.bincount(self.ids, weights=impact, minlength=len(lengths))[self.ids] if len(impact) else impact
+        self.highest = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        blocks = -(-held // BLOCK)
+        self.tops = np.r_[0, np.cumsum(blocks)]
+        at = np.arange(blocks.sum()) - np.repeat(self.tops[:-1], blocks)  # the place of each block in its list
+        self.highs = np.maximum.reduceat(self.weights, np.repeat(first, blocks) + at * BLOCK) if len(first) else np.zeros(0)
+
+    def postings(self, pair: int) -> tuple[np.ndarray, np.ndarray]:
+        """The segments that hold a pair, and its impacts in them."""
+        return self.ids[self.heads[pair] : self.heads[pair + 1]], self.weights[self.heads[pair] : self.heads[pair + 1]]
+
+    def segments_of(self, row: int) -> range:
+        return range(int(np.searchsorted(self.rows, row)), int(np.searchsorted(self.rows, row, side="right")))
 
     def search(self, pairs: list[int], threshold: float) -> list[tuple[int, float]]:
         """All segments that score at least ``threshold`` for the pairs' lists: block-max WAND."""
         slack = threshold - 1e-9
-        cursors = [[int(self.lists[p][0][0]), p, 0] for p in pairs]  # segment, list, place
+        lists = {p: self.postings(p) for p in pairs}
+        cursors = [[int(lists[p][0][0]), p, 0] for p in pairs]  # segment, list, place
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -137,14 +149,14 @@ class Index:
             # The blocks in which the segment would stand bound its score more tightly.
             tight, ends = 0.0, []
             for _, p, at in cursors[: pivot + 1]:
-                ids = self.lists[p][0]
+                ids = lists[p][0]
                 block = (at + int(np.searchsorted(ids[at:], segment))) // BLOCK
-                if block < len(self.blocks[p]):
-                    tight += self.blocks[p][block]
+                if block < self.tops[p + 1] - self.tops[p]:
+                    tight += self.highs[self.tops[p] + block]
                     ends.append(int(ids[min(len(ids), (block + 1) * BLOCK) - 1]))
             if tight >= slack:
                 if cursors[0][0] == segment:
-                    score = sum(self.lists[p][1][at] for s, p, at in cursors[: pivot + 1] if s == segment)
+                    score = sum(lists[p][1][at] for s, p, at in cursors[: pivot + 1] if s == segment)
                     if score >= slack:
                         found.append((segment, float(score)))
                     target = segment + 1
@@ -157,7 +169,7 @@ class Index:
             moved = []
             for i, c in enumerate(cursors):
                 if i <= pivot and c[0] < target:
-                    ids = self.lists[c[1]][0]
+                    ids = lists[c[1]][0]
                     c[2] += int(np.searchsorted(ids[c[2] :], target))
                     if c[2] == len(ids):
                         continue
@@ -166,9 +178,9 @@ class Index:
             cursors = moved
         return found
 
-    def verify(self, segment: int, passage: list[bytes]) -> np.ndarray:
-        """Which words of a segment a passage holds."""
-        words = self.segments[segment].words
+    def verify(self, segment: int, passage: list[int]) -> np.ndarray:
+        """Which words of a segment a passage (numbers of its words, -1 for others) holds."""
+        words = self.words[self.starts[segment] : self.starts[segment + 1]].tolist()
         held = np.zeros(len(words), dtype=bool)
         for step in (1, 2):
             there = set(zip(passage, passage[step:], strict=False))
@@ -182,7 +194,7 @@ class Index:
         (``places``) and where they stand; None if it has none of them."""
         own = {}
         for p in np.unique(places).tolist():
-            ids, weights = self.lists[p]
+            ids, weights = self.postings(p)
             k = int(np.searchsorted(ids, segment))
             if k < len(ids) and ids[k] == segment:
                 own[p] = float(weights[k])
@@ -226,22 +238,23 @@ class Index:
             for k in np.flatnonzero(bound[b] - bound[a] >= THRESHOLD - 1e-6).tolist():
                 start = int(starts[k])
                 for segment, score in self.search(sorted(set(place[a[k] : b[k]].tolist())), THRESHOLD):
-                    own = self.verify(segment, texts[t][start : start + PASSAGE_WORDS])
+                    own = self.verify(segment, ids[first[t] + start : min(first[t] + start + PASSAGE_WORDS, first[t + 1])].tolist())
                     held[segment] = held[segment] | own if segment in held else own
                     if segment not in best or score > best[segment][0] + 1e-9:
                         best[segment] = (score, start)
-            for row in sorted({self.segments[s].row for s in best}):
-                for segment in self.parts[row]:
+            for row in sorted({int(self.rows[s]) for s in best}):
+                parts = self.segments_of(row)
+                for segment in parts:
                     if segment not in best and (near := self.nearest(segment, place[lo:hi], at[lo:hi] - first[t])):
                         best[segment] = (near[1], near[0])
-                        held[segment] = self.verify(segment, texts[t][near[0] : near[0] + PASSAGE_WORDS])
-                own = [(self.segments[s], held.get(s)) for s in self.parts[row]]
-                question = sum(int(h[: s.cut_at].sum()) for s, h in own if h is not None) / sum(s.cut_at for s, _ in own)
-                answer = sum(int(h[s.cut_at :].sum()) for s, h in own if h is not None) / sum(len(s.words) - s.cut_at for s, _ in own)
+                        begin = first[t] + near[0]
+                        held[segment] = self.verify(segment, ids[begin : min(begin + PASSAGE_WORDS, first[t + 1])].tolist())
+                n, cut_at = np.diff(self.starts[parts.start : parts.stop + 1]), self.cuts[parts.start : parts.stop]
+                question = sum(int(held[s][: self.cuts[s]].sum()) for s in parts if s in held) / int(cut_at.sum())
+                answer = sum(int(held[s][self.cuts[s] :].sum()) for s in parts if s in held) / int((n - cut_at).sum())
                 if question >= OVERLAP and answer >= OVERLAP:
-                    scores = [best[s][0] * len(self.segments[s].words) for s in self.parts[row] if s in best]
-                    score = sum(scores) / sum(len(s.words) for s, _ in own)
-                    out[t].append((own[0][0].item, score, question, answer, next(best[s][1] for s in self.parts[row] if s in best)))
+                    score = sum(best[s][0] * int(n[s - parts.start]) for s in parts if s in best) / int(n.sum())
+                    out[t].append((self.items[row], score, question, answer, next(best[s][1] for s in parts if s in best)))
         return out
 
 
@@ -271,23 +284,21 @@ def _searching(shipped, names: list[str]):
     return run
 
 
-def _parts(items: Iterator[tuple[int | None, bytes]]) -> Iterator[list[tuple[int | None, bytes]]]:
-    held, size = [], 0
-    for item in items:
-        own = item[1].count(b" ") + 1
-        if held and size + own > MAX_INDEX_WORDS:
-            yield held
-            held, size = [], 0
-        held.append(item)
-        size += own
-    if held:
-        yield held
-
-
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes over all items, each of a bounded part of them."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().cast("binary").alias("text")).orderBy("item_id", "text")
-    yield from map(Index, _parts((r[0], bytes(r[1])) for r in items.toLocalIterator()))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
+    order = ["item_id", "text"]
+    # Parts are ranges of a running number of words, taken range by range of items.
+    parts = int(benchmark.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(items.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()).withColumn("words", word_count(F.col("text"))))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = ranged.groupBy("range").agg(F.sum("words").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("first") + F.coalesce(F.sum("words").over(within), F.lit(0))
+    numbered = cut(ranged.join(F.broadcast(first), "range").withColumn("part", F.floor(at / MAX_INDEX_WORDS)))
+    for part in [r["part"] for r in numbered.select("part").distinct().orderBy("part").collect()]:
+        own = numbered.filter(F.col("part") == part).select("item_id", F.col("text").cast("binary").alias("text")).orderBy(*order)
+        yield Index((r[0], bytes(r[1])) for r in own.toLocalIterator())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
