@@ -17,7 +17,8 @@ connect different components are returned, fewer than there are members: no link
 is lost, and links within a component needn't be known.
 
 Skew: exact copies collapse before anything is joined, counts are aggregated on the map side, and
-joins on buckets are left to the engine's splitting. The members around a center are cut into blocks
+joins on buckets are left to the engine's splitting. Classes with more than 1 / ``HOT_SHARE`` of all
+rows, of which there can't be more than ``HOT_SHARE``, are broadcast to their rows. The members around a center are cut into blocks
 of about ``BLOCK_MEMBERS`` members and ``BLOCK_SHINGLES`` shingles; every pair of blocks is a piece
 of work of its own, so a group of any size is spread over tasks and a task holds two blocks.
 
@@ -57,6 +58,8 @@ BLOCK_SHINGLES = 1 << 19
 #: Shingles multiplied at once when blocks are compared.
 COLUMNS = 2048
 CACHE_ENTRIES = 100_000
+#: Classes with more than this share of all rows are broadcast to them.
+HOT_SHARE = 1000
 #: Texts of a batch that are held as Python objects at once.
 SLICE = 500
 #: Shingles hashed at once.
@@ -309,23 +312,23 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def named_classes(sketched: DataFrame) -> DataFrame:
-    """(set_key, first, rep, n_shingles, signature) of all classes. A class is named by its smallest
+    """(set_key, first, rep, rows, n_shingles, signature) of all classes. A class is named by its smallest
     ``doc_id``, first; of several classes with the same one (texts under one ``doc_id``) all but one
     are named by a hash."""
     of_set = cut(
         sketched.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     )
     name = F.xxhash64("set_key")
     twice = of_set.groupBy("first").agg(F.count("*").alias("n"), F.min(name).alias("owner")).filter("n > 1").drop("n")
     rep = F.when(F.col("owner").isNull() | (F.col("owner") == name), F.col("first")).otherwise(name)
-    return of_set.join(twice, "first", "left").select("set_key", "first", rep.alias("rep"), "n_shingles", "signature")
+    return of_set.join(twice, "first", "left").select("set_key", "first", rep.alias("rep"), "rows", "n_shingles", "signature")
 
 
 def classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(set_key, component, component_id) of all classes: the name of their component and the smallest
-    ``doc_id`` in it."""
+    """(set_key, rows, component, component_id) of all classes: their number of rows, the name of their
+    component and the smallest ``doc_id`` in it."""
     of_set = cut(named_classes(sketched))
     keyed = of_set.select("rep", "signature").mapInArrow(_keying, "rep long, key long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -363,8 +366,8 @@ def classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     linked_sets = of_set.select("set_key", "first", "rep").join(labels, "rep")
     smallest = linked_sets.groupBy("component").agg(F.min("first").alias("component_id"))
     met = linked_sets.join(smallest, "component").select("set_key", "component", "component_id")
-    return of_set.select("set_key", "first", "rep").join(met, "set_key", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "first").alias("component_id")
+    return of_set.select("set_key", "first", "rep", "rows").join(met, "set_key", "left").select(
+        "set_key", "rows", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "first").alias("component_id")
     )
 
 
@@ -372,10 +375,16 @@ def _resolved(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_shingles, set_key, component and component_id of every row of ``docs``; the
     component is null without words or ``doc_id``."""
     sketched = cut(sketches(docs))
+    named = cut(classes(docs, sketched))
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    hot, cold = (named.filter(f"rows * {HOT_SHARE} {sign} {total}").drop("rows") for sign in (">", "<="))
+    rows = sketched.drop("signature")
+    some = rows.filter(F.col("set_key").isNotNull())
+    none = rows.filter(F.col("set_key").isNull()).withColumns({"component": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long")})
+    met = some.join(F.broadcast(hot), "set_key").unionByName(some.join(F.broadcast(hot), "set_key", "left_anti").join(cold, "set_key", "left"))
     known = F.col("doc_id").isNotNull()
     return (
-        sketched.drop("signature")
-        .join(classes(docs, sketched), "set_key", "left")
+        met.unionByName(none)
         .withColumn("component", F.when(known, F.col("component")))
         .withColumn("component_id", F.when(known, F.coalesce("component_id", "doc_id")))
     )
