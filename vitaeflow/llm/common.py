@@ -6,10 +6,13 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that separates words, as a regex class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
+#: Rows of a batch that is handed to Python, at most.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrow_map(df: DataFrame, function, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, with batches of at most ``BATCH_ROWS`` rows from here on in the session: the
+    engine's 10,000 long texts at once, in and out, take more memory than the work itself."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(size)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(size, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -78,4 +90,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["cut", "id_remainder", "let", "read", "row_hash", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]
+__all__ = ["arrow_map", "cut", "id_remainder", "let", "read", "row_hash", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]

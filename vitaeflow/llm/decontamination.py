@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import cut, read, text_or_empty, word_count
+from vitaeflow.llm.common import arrow_map, cut, read, text_or_empty, word_count
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -311,7 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     found = None
     for index in indexes(benchmark):
-        own = light.mapInArrow(_searching(spark.sparkContext.broadcast(index), names), schema)
+        own = light.transform(arrow_map, _searching(spark.sparkContext.broadcast(index), names), schema)
         found = own if found is None else found.unionByName(own)
     return spark.createDataFrame([], schema) if found is None else found
 
@@ -331,7 +331,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(keeping(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        docs = docs.transform(arrow_map, keeping(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return docs
 
 

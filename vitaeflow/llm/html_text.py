@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import cut, read, text_or_empty
+from vitaeflow.llm.common import arrow_map, cut, read, text_or_empty
 
 #: A neighbour that shares more of the text is a copy.
 COPY_SHARE = 0.5
@@ -343,13 +343,13 @@ def shared_lines(light: DataFrame) -> DataFrame:
     order = ["host", "path", "page_id", "digest"]
     narrow = light.select(*order, F.col("lines.key").alias("keys"), F.col("lines.size").alias("sizes"))
     ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("path")
-    paired = cut(ordered.mapInArrow(_pairing, _PAIRED))
+    paired = cut(ordered.transform(arrow_map, _pairing, _PAIRED))
     # Two rows for each task: the ends of neighbouring ranges are next to each other.
     ends = paired.filter("edge > 0").withColumn("at", F.explode(F.when(F.col("edge") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("edge"))))
     along = Window.orderBy("part", "at")
     page = F.struct("host", "keys", "sizes")
     met = ends.select("page_id", "digest", "at", page.alias("own"), F.lag(page).over(along).alias("before"), F.lead(page).over(along).alias("after"))
-    more = met.mapInArrow(_meeting, "page_id long, digest long, gone array<int>, met int")
+    more = met.transform(arrow_map, _meeting, "page_id long, digest long, gone array<int>, met int")
     return (
         paired.select("page_id", "digest", "gone", "met")
         .unionByName(more)
@@ -376,7 +376,7 @@ def frame_places(told: DataFrame) -> DataFrame:
 def differences(pages: DataFrame) -> DataFrame:
     """(page_id, digest, gone) for the pages that lose lines."""
     rows = _keyed(pages).select(F.col("page_id").cast("long"), "digest", text_or_empty("url").alias("url"), "html")
-    light = cut(rows.mapInArrow(_sketching, _LIGHT))  # sorting by range reads it twice
+    light = cut(rows.transform(arrow_map, _sketching, _LIGHT))  # sorting by range reads it twice
     same_page = (F.col("l.digest") == F.col("s.digest")) & F.col("l.page_id").eqNullSafe(F.col("s.page_id"))
     told = light.alias("l").join(shared_lines(light).alias("s"), same_page).select("l.page_id", "l.digest", "l.host", "l.lines", "s.gone")
     frames = frame_places(told).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -414,7 +414,7 @@ def extract(pages: DataFrame) -> DataFrame:
     told = (F.broadcast(gone) if size <= BROADCAST_BYTES else gone).alias("g")
     joined = rows.join(told, (F.col("p.digest") == F.col("g.digest")) & F.col("p.page_id").cast("long").eqNullSafe(F.col("g.page_id")), "left")
     kind = rows.schema["page_id"].dataType.simpleString()
-    return joined.select("p.page_id", "p.url", "html", "gone").mapInArrow(_extracting, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("p.page_id", "p.url", "html", "gone").transform(arrow_map, _extracting, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import cut, read, row_hash, text_or_empty, trimmed
+from vitaeflow.llm.common import arrow_map, cut, read, row_hash, text_or_empty, trimmed
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -217,7 +217,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("hashes_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_checking, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "hashes_a", "hashes_b").transform(arrow_map, _checking, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, row (its hash), n_shingles, set_key and signature of every row; the last two null for
     empty sets."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(_sketching, _SKETCH)
+    return rows.transform(arrow_map, _sketching, _SKETCH)
 
 
 def named_classes(sketched: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """(set_key, rows, component, component_id) of all classes: their number of rows, the name of their
     component and the smallest ``doc_id`` in it."""
     of_set = cut(named_classes(sketched))
-    keyed = of_set.select("rep", "signature").mapInArrow(_keying, "rep long, key long")
+    keyed = of_set.select("rep", "signature").transform(arrow_map, _keying, "rep long, key long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut(keyed.join(shared, "key"))
     mates = cut(buckets.groupBy("rep").agg(F.sum("size").alias("mates")))
@@ -340,7 +340,7 @@ def classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     # Only sets that share a bucket with another are needed from here on.
     needed = of_set.select("set_key", "first", "rep", "n_shingles").join(mates.select("rep"), "rep")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    some = raw.join(needed.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_hashing, "doc_id long, set_key binary, hashes binary")
+    some = raw.join(needed.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").transform(arrow_map, _hashing, "doc_id long, set_key binary, hashes binary")
     sets = cut(
         some.join(needed.withColumnRenamed("first", "doc_id"), ["doc_id", "set_key"])
         .groupBy("rep")
@@ -360,7 +360,7 @@ def classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     )
     work_of = ["center", "low", "high"]
     whole = pieces.join(sets.select("rep", "hashes"), "rep").repartition(*work_of).sortWithinPartitions(*work_of, "block", "rep")
-    more = cut(whole.select(*work_of, "block", "rep", "component", "hashes").mapInArrow(_linking, "a long, b long").distinct())
+    more = cut(whole.select(*work_of, "block", "rep", "component", "hashes").transform(arrow_map, _linking, "a long, b long").distinct())
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     linked_sets = of_set.select("set_key", "first", "rep").join(labels, "rep")

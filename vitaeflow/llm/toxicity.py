@@ -4,9 +4,8 @@ Disguised words are restored before scoring. A word with digits or signs among i
 letters repeated three times and more, with separators between its letters, or a run of single
 letters (whatever signs stand around them) spells a lattice: every observed character could stand for
 several letters, be a repeat, or be a mere separator, each at a cost. In a run, words may also end
-after any letter, and for scoring every piece of its letters counts that is a word with a weight. The Viterbi path under a trigram model of letters, which is
-counted over all documents, is the word restored. Words without such marks spell one path only,
-themselves.
+after any letter, and for scoring every piece of its letters counts that is a word with a weight. The
+Viterbi path under a trigram model of letters, which is counted over the characters of all documents, is the word restored. Words without such marks stay as they are.
 
 The restored text is then scored by its words and word beginnings: a document's score is the
 logistic function of the summed weights of what it holds. The weights are those of a logistic
@@ -14,13 +13,17 @@ regression on all features of the labelled rows under a Laplace prior of rate ``
 their number; the prior leaves most of them zero. Near copies count once.
 
 Bounds: labels are learned from at most ``TRAIN_ROWS`` labelled rows, those with the smallest
-hashes; the driver holds a number for each feature of each of these rows. Letter counts are taken over the whole table and have at most 28 ** 3 entries.
+hashes; the driver holds two numbers for each feature of each of these rows, some 200 bytes a row at a
+hundred words. Letter counts are taken over the whole table and have at most 28 ** 3 entries. Workers
+hold the features of ``FEATURE_ROWS`` texts at a time.
 
 Nulls and edge cases: a null text counts as empty; an empty text gets the score of a document
 without any feature; a null ``doc_id`` is neither learned from nor held out; labels without a
 ``doc_id`` or a mark are not used; where nothing can be learned every score is the prior; long
-texts are scored whole; repeated rows are scored alike; an empty table gives an empty result; other
-columns of the input are ignored.
+texts are scored whole; repeated rows are scored alike; of paths of equal cost the first is taken,
+and a score of just the threshold is toxic; a ``doc_id`` labelled both ways is toxic; an empty table
+gives an empty result; other columns of the input are ignored by ``score`` and kept by
+``without_toxic``.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import cut, id_remainder, read
-from vitaeflow.llm.near_duplicates import Sketcher, words_of
+from vitaeflow.llm.common import arrow_map, cut, id_remainder, read
+from vitaeflow.llm.near_duplicates import Sketcher, values, words_of
 
 FOLDS = 4
 HELD_OUT_FOLD = 2
@@ -52,7 +55,9 @@ ROUNDS, ENTERING, TOLERANCE = 60, 1000, 0.05
 BEGINNINGS = (4, 5, 6)
 #: Letters of a piece of a spelled run that is looked up as a word, at least.
 PIECE = 3
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 50_000
+#: Rows whose features are held as Python objects at once.
+FEATURE_ROWS = 100
 
 # The letters that a character may stand for, with channel costs in nats.
 LEET = {
@@ -65,7 +70,7 @@ COST_SAME, COST_LEET, COST_MASK, COST_REPEAT, COST_SEPARATOR = 0.05, 0.5, 1.6, 0
 #: Signs that are taken off at both ends of a word.
 EDGES = ".,;:?\"'()[]{}<>«»“”„‘’…-–—_~·`%&/\\^=|*#"
 
-LETTERS = 28  # 0: no letter, 1 to 26: a to z, 27: a byte of another letter
+LETTERS = 28  # 0: no letter, 1 to 26: a to z, 27: another character than those of ASCII
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
@@ -81,9 +86,16 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(raw, dtype=np.uint8)
+        before = np.zeros(2, dtype=np.int64)
         for a in range(int(offsets[0]), int(offsets[-1]), 1 << 21):
-            kind = _CLASS[data[max(int(offsets[0]), a - 2) : min(a + (1 << 21), int(offsets[-1]))]]
+            part = data[a : min(a + (1 << 21), int(offsets[-1]))]
+            first = (part & 0xC0) != 0x80  # a character's further bytes don't count
+            starts = np.unique(offsets[:-1][(offsets[:-1] >= a) & (offsets[:-1] < a + len(part))]) - a
+            # Texts have nothing before them.
+            kind = np.insert(_CLASS[part[first]], np.repeat(np.cumsum(first)[starts] - 1, 2), 0)
+            kind = np.concatenate([before, kind])
             total += np.bincount((kind[:-2] * LETTERS + kind[1:-1]) * LETTERS + kind[2:], minlength=LETTERS**3)
+            before = kind[-2:]
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -92,7 +104,7 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     """Costs in nats of each letter after two others, from all texts of ``docs``."""
     counted = (
         docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .mapInArrow(_letter_counts, "gram long, n long")
+        .transform(arrow_map, _letter_counts, "gram long, n long")
         .groupBy("gram")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -149,6 +161,7 @@ def decode(word: str, costs: np.ndarray, ends: bool = False) -> str:
 
 
 _DISGUISED = re.compile(r"(.)\1\1|[^\W\d_].*[^\w'’-]|[^\w'’-].*[^\W\d_]|[^\W\d_].*\d|\d.*[^\W\d_]|(?:^|[.\-_~·'’])[^\W\d_](?:[.\-_~·'’][^\W\d_]){2}")
+_THRICE = re.compile(r"(.)\1\1")
 _EDGE_RUN = re.compile(r"^([^\w])\1\1+|([^\w])\2\2+$")
 
 
@@ -165,12 +178,14 @@ class Restorer:
         self.known: dict[str, str] = {}
 
     def word(self, word: str) -> str:
+        if word.isalpha() and not _THRICE.search(word):
+            return word
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= CACHE_ENTRIES:
                 self.known.clear()
             found = core(word)
-            if found and not (found[-1] != "!" and found.isalpha() and not re.search(r"(.)\1\1", found)):
+            if found and not (found[-1] != "!" and found.isalpha() and not _THRICE.search(found)):
                 bare = found.rstrip("!")
                 if not bare or bare.isdigit():
                     found = bare
@@ -197,18 +212,19 @@ class Restorer:
             last = i
         return out
 
-    def spelled(self, words: list[str]) -> list[str]:
+    def spelled(self, runs: list[str]) -> list[str]:
         """Words spelled by runs of single characters, as they are likeliest divided."""
-        return [w for run in self.runs(words) for w in decode(run, self.costs, True).split()]
+        return [w for run in runs for w in decode(run, self.costs, True).split()]
 
-    def divisions(self, words: list[str], longest: int) -> set[str]:
+    def divisions(self, runs: list[str], longest: int) -> Iterator[str]:
         """All pieces of the letters spelled by runs of single characters, however divided."""
-        letters = {x for run in self.runs(words) for x in (decode(run, self.costs), decode(run, self.costs, True).replace(" ", ""))}
-        return {x[i:j] for x in letters for i in range(len(x)) for j in range(i + PIECE, min(len(x), i + longest) + 1)}
+        for run in runs:
+            for x in {decode(run, self.costs), decode(run, self.costs, True).replace(" ", "")}:
+                yield from (x[i:j] for i in range(len(x)) for j in range(i + PIECE, min(len(x), i + longest) + 1))
 
     def text(self, text: str) -> list[str]:
         words = text.lower().split()
-        return [*map(self.word, words), *self.spelled(words)]
+        return [*map(self.word, words), *self.spelled(self.runs(words))]
 
 
 def features(word: str) -> list[str]:
@@ -220,8 +236,10 @@ def _feature_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
         for batch in batches:
-            held = [sorted({f for w in set(restorer.text(text)) for f in features(w)}) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(held, pa.list_(pa.string()))], names=["toxic", "features"])
+            for k in range(0, batch.num_rows, FEATURE_ROWS):
+                part = batch.slice(k, FEATURE_ROWS)
+                held = [sorted({f for w in set(restorer.text(text)) for f in features(w)}) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(held, pa.list_(pa.string()))], names=["toxic", "features"])
 
     return run
 
@@ -236,15 +254,16 @@ def _least_hash(text: Column) -> Column:
     return F.pandas_udf(least, "long")(text)
 
 
-def fit_weights(owner: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
+def fit_weights(pairs: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
     """The intercept and the weight of each feature by penalised logistic regression.
 
-    Row ``owner[k]`` holds feature ``feature[k]``, no pair twice; ``toxic`` is 0 or 1 by row. Newton
-    steps by coordinate over the features that are in use or whose slope exceeds the penalty.
+    ``pairs`` holds feature << 32 | row for the features that rows hold, no pair twice, and is put in
+    order; ``toxic`` is 0 or 1 by row. Newton steps by coordinate over the features that are in use or
+    whose slope exceeds the penalty.
     """
-    rows = owner[np.argsort(feature, kind="stable")]
-    ends = np.r_[0, np.cumsum(np.bincount(feature))]
-    del owner, feature
+    pairs.sort()
+    rows = (pairs & 0xFFFFFFFF).astype(np.int32)
+    ends = np.searchsorted(pairs, np.arange(int(pairs[-1] >> 32) + 2 if len(pairs) else 1, dtype=np.int64) << 32)
     weights = np.zeros(len(ends) - 1)
     cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), len(weights)])  # about a million pairs at once
     intercept = math.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5))
@@ -300,20 +319,25 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, costs: np.ndarra
     labelled = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
     rows = labelled.withColumn("sketch", _least_hash(F.col("text"))).groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     model = docs.sparkSession.sparkContext.broadcast(costs)
-    held = cut(rows.mapInArrow(_feature_rows(model), "toxic int, features array<string>"))
+    held = cut(rows.transform(arrow_map, _feature_rows(model), "toxic int, features array<string>"))
     table = held.select("toxic", F.transform("features", lambda f: F.xxhash64(f)).alias("hashes")).toArrow()
     toxic = table.column("toxic").to_numpy().astype(np.float64)
     if not 0 < toxic.sum() < len(toxic):
         return Model(costs, {}, -4.0)
-    # The pairs of rows and features are many, so few copies of them are held at once.
+    # The pairs of rows and features are many, so there is one array of them, filled piece by piece.
     lists = table.column("hashes")
-    owner = np.repeat(np.arange(len(toxic), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
-    values = np.concatenate([chunk.flatten().to_numpy() for chunk in lists.chunks])
-    del table, lists
-    hashes = np.unique(values)
-    feature = np.concatenate([np.searchsorted(hashes, values[k : k + (1 << 20)]).astype(np.int32) for k in range(0, len(values), 1 << 20)] or [np.zeros(0, np.int32)])
-    del values
-    intercept, weights = fit_weights(owner, feature, toxic)
+    chunks = lists.chunks
+    hashes = np.zeros(0, dtype=np.int64)
+    for chunk in chunks:
+        hashes = np.union1d(hashes, chunk.flatten().to_numpy())
+    pairs, at, row = np.empty(sum(len(c.flatten()) for c in chunks), dtype=np.int64), 0, 0
+    for chunk in chunks:
+        flat = chunk.flatten().to_numpy()
+        owner = np.repeat(np.arange(row, row + len(chunk)), pa.compute.list_value_length(chunk).to_numpy())
+        pairs[at : at + len(flat)] = (np.searchsorted(hashes, flat) << 32) | owner
+        at, row = at + len(flat), row + len(chunk)
+    del table, lists, chunks
+    intercept, weights = fit_weights(pairs, toxic)
     used = np.flatnonzero(weights)
     by_hash = dict(zip(hashes[used].tolist(), weights[used].tolist(), strict=True))
     # As many rows as the prior leaves weights.
@@ -349,12 +373,13 @@ def _scoring(model, threshold: float):
 
         for batch in batches:
             scores = []
-            for text in batch.column("text").to_pylist():
+            for text in values(batch.column("text")):
                 words = text.lower().split()
                 held = {f for found in map(hits, set(words)) if found for f in found}
-                for spelled in restorer.spelled(words):
+                runs = restorer.runs(words)
+                for spelled in restorer.spelled(runs):
                     held.update(f for f in features(spelled) if f in weights)
-                for piece in restorer.divisions(words, longest):
+                for piece in restorer.divisions(runs, longest):
                     if weights.get(piece, 0.0) > 0 or weights.get(piece + "-", 0.0) > 0:
                         held.update(f for f in features(piece) if f in weights)
                 odds = own.prior + sum(sorted(weights[f] for f in held))
@@ -373,7 +398,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, threshold: float = TH
     light = docs.select("doc_id", held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = light.schema["doc_id"].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return light.mapInArrow(_scoring(shipped, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return light.transform(arrow_map, _scoring(shipped, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -390,7 +415,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             for scored in _scoring(shipped, threshold)(iter([texts(batch)])):
                 yield batch.filter(pa.compute.equal(scored.column("predicted"), 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def restore(docs: DataFrame, costs: np.ndarray) -> DataFrame:
@@ -404,7 +429,7 @@ def restore(docs: DataFrame, costs: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     light = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return light.mapInArrow(run, light.schema)
+    return light.transform(arrow_map, run, light.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
