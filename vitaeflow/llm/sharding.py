@@ -3,12 +3,16 @@
 A document's shard follows from its ``doc_id`` and the number of shards alone. There is no ring
 table, and when a shard is appended only the rows that move into the new shard change place.
 
-Within a shard, rows get slots 0, 1, ... in the order of the mixed key. Each shard is numbered in
-``SUB_BUCKETS`` parts with the part's first slot added, so no task ever sorts a whole shard.
+Within a shard, rows get slots 0, 1, ... in the order of their part, then of the mixed key. Parts are
+told by the first bits of the mixed key and of the text's crc32, and numbered on their own with the
+part's first slot added. So no task sorts a whole shard, and rows with one ``doc_id`` or none, which
+the law puts into one shard, are spread by their texts.
 
 Nulls and edge cases: a null ``doc_id`` is hashed as if it were -1; a null or empty text has size
-16 and crc32 0; repeated rows share a shard and get slots of their own; an empty table gives an
-empty result; further columns of the input are ignored by ``assign_shards``.
+16 and crc32 0; repeated rows share a shard and get slots of their own, in no particular order among
+equal ones; very long texts are read whole for their size and crc32 and not moved by
+``assign_shards``; an empty table gives an empty result; further columns of the input are ignored by
+``assign_shards`` and kept by ``sharded_rows``.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from vitaeflow.llm.common import cut, read
 SHARDS = 40
 #: Parts of a shard that are numbered on their own: the top bits of the mixed key.
 SUB_BUCKET_BITS = 6
+#: Parts of each of these: the top bits of the text's crc32.
+TEXT_BITS = 4
 #: Bytes a row takes besides its text.
 ROW_OVERHEAD = 16
 
@@ -88,14 +94,16 @@ def _placed(key: Column, shards: int) -> Column:
 
 
 def _first_slots(placed: DataFrame) -> DataFrame:
-    """(shard, part, first_slot): at most shards * 2**SUB_BUCKET_BITS rows whatever the input's size."""
+    """(shard, part, first_slot): at most shards * 2 ** (SUB_BUCKET_BITS + TEXT_BITS) rows whatever the
+    input's size."""
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counted = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"))
     return counted.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first_slot"))
 
 
-def _part() -> Column:
-    return F.shiftright("place", 63 - SUB_BUCKET_BITS).cast("int")
+def _part(crc: str) -> Column:
+    """A row's part of its shard, from the columns place and ``crc`` (32 bits, unsigned)."""
+    return (F.shiftright("place", 63 - SUB_BUCKET_BITS) * F.lit(1 << TEXT_BITS) + F.shiftright(crc, 32 - TEXT_BITS)).cast("int")
 
 
 def sharded_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -103,10 +111,9 @@ def sharded_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     columns of those names)."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
     kept = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
-    placed = docs.select(
-        F.struct(*kept).alias("row"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("crc"), _placed(key, shards).alias("x")
-    ).select("row", "crc", "x.*").withColumn("part", _part())
-    light = docs.select(_placed(key, shards).alias("x")).select("x.*").withColumn("part", _part())
+    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("crc")
+    placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), crc, _placed(key, shards).alias("x")).select("row", "crc", "x.*").withColumn("part", _part("crc"))
+    light = docs.select(crc, _placed(key, shards).alias("x")).select("crc", "x.*").withColumn("part", _part("crc"))
     order = Window.partitionBy("shard", "part").orderBy("place", "row.doc_id", "crc")
     return (
         placed.withColumn("within", F.row_number().over(order))
@@ -125,7 +132,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     placed = cut(
         light.mapInArrow(_with_shards(shards), "doc_id long, size long, text_crc32 long, place long, shard int, grown_shard int")
-    ).withColumn("part", _part())
+    ).withColumn("part", _part("text_crc32"))
     order = Window.partitionBy("shard", "part").orderBy("place", "doc_id", "text_crc32", "size")
     return (
         placed.withColumn("within", F.row_number().over(order))
@@ -172,7 +179,7 @@ walk AS (
 ),
 landed AS (SELECT rid, shards, max(shard) AS shard FROM walk GROUP BY rid, shards)
 SELECT k.doc_id, k.size, k.crc AS text_crc32, 'key' AS law, CAST(a.shard AS INTEGER) AS shard,
-  CAST(row_number() OVER (PARTITION BY a.shard ORDER BY k.mixed // 2::UHUGEINT, k.doc_id, k.crc, k.size) - 1 AS BIGINT) AS slot,
+  CAST(row_number() OVER (PARTITION BY a.shard ORDER BY k.mixed // {1 << 64 - SUB_BUCKET_BITS}::UHUGEINT, k.crc // {1 << 32 - TEXT_BITS}, k.mixed // 2::UHUGEINT, k.doc_id, k.crc, k.size) - 1 AS BIGINT) AS slot,
   CAST(g.shard AS INTEGER) AS grown_shard
 FROM keyed k JOIN landed a ON a.rid = k.rid AND a.shards = {SHARDS} JOIN landed g ON g.rid = k.rid AND g.shards = {SHARDS + 1}
 """
