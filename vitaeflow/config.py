@@ -20,6 +20,7 @@ class PipelineConfig:
     confidence_threshold: float = 0.3
     overlap_threshold: float = 0.5
     entity_similarity_threshold: float = 0.7
+    # Accepted, as files of settings have them, and without an effect on any stage.
     scope_window: int = 50
     type_aware_dedup: bool = False
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitaeflow.functions.coerce import safe_int, truthy
@@ -43,11 +43,22 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
 
 
+def _named() -> Column:
+    return F.coalesce(filled(F.col("attributes.name")), F.col("text"))
+
+
+def first_candidates(extractions: DataFrame) -> DataFrame:
+    """The first candidate of each document."""
+    return first_of(extractions.filter(F.col("type") == "candidate"), ["doc_key"], ["ord"])
+
+
 def document_status(documents: DataFrame, extractions: DataFrame) -> DataFrame:
-    """(doc_key, status): ok, or why a document can't be imported."""
-    seen = extractions.groupBy("doc_key").agg(F.count("*").alias("items"), F.count_if(F.col("type") == "candidate").alias("people"))
-    return documents.select("doc_key").join(seen, "doc_key", "left").select(
-        "doc_key", F.when(F.coalesce("items", F.lit(0)) == 0, "no extractions").when(F.col("people") == 0, "no candidate").otherwise("ok").alias("status")
+    """(doc_key, status): ok for the documents that an import adds, or why it leaves them out."""
+    seen = extractions.groupBy("doc_key").agg(F.count("*").alias("items"))
+    people = first_candidates(extractions).select("doc_key", F.coalesce(truthy(_named()), F.lit(False)).alias("named"))
+    return documents.select("doc_key").join(seen, "doc_key", "left").join(people, "doc_key", "left").select(
+        "doc_key",
+        F.when(F.coalesce("items", F.lit(0)) == 0, "no extractions").when(F.col("named").isNull(), "no candidate").when(~F.col("named"), "no name").otherwise("ok").alias("status"),
     )
 
 
@@ -75,13 +86,13 @@ def skill_bridge(mentions: DataFrame, skills: DataFrame, order: list[str]) -> Da
 
 
 def import_extractions(extractions: DataFrame, store: TalentStore, source_file: str = "doc_key") -> TalentStore:
-    """The store with all documents added that have a candidate; the first candidate counts.
+    """The store with all documents added whose first candidate has a name or a text.
 
     Documents get ids in the order of their keys. Nothing is written before all is checked.
     """
     a = lambda k: F.col(f"attributes.{k}")
-    named = F.coalesce(filled(a("name")), F.col("text"))
-    people = first_of(extractions.filter(F.col("type") == "candidate").filter(truthy(named)), ["doc_key"], ["ord"])
+    named = _named()
+    people = first_candidates(extractions).filter(truthy(named))
     people = numbered(people, ["doc_key"], "id", _max_id(store.candidates)).persist()
     candidates = people.select(
         "id", named.alias("name"), a("gender").alias("gender"), safe_int(a("age")).alias("age"), a("phone").alias("phone"), a("email").alias("email"), a("city").alias("city"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitaeflow.functions import coerce, dates, filename, jd, scoring, text
 from vitaeflow.operators import grounding, layout, matching, overlap, relations, resolution, search, store as stores, summary
 from vitaeflow.plans.bindings import MENTION_ORDER, binding, ctes, doc_lines, store
+from vitaeflow.schema import ATTRIBUTES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,6 +168,60 @@ def import_candidate_first(spark, d):
     return stores.first_of(rows, ["doc_key"], ["ord"])
 
 
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    """Extractions made of the test tables: candidates, some unnamed, second or missing, and what they did."""
+    a = lambda rows, kind, ord_, text_, **given: rows.select(
+        F.col("candidate_id").cast("string").alias("doc_key"), ord_.cast("int").alias("ord"), F.lit(kind).alias("type"), text_.alias("text"),
+        F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTRIBUTES)).alias("attributes"),
+    )
+    people = binding(spark, d, "candidates").withColumn("candidate_id", F.col("id"))
+    k = F.col("id")
+    name = F.when(k % 4 == 0, "").when(k % 9 == 0, None).otherwise(F.col("name"))
+    age = F.when(k % 3 == 0, F.lit("31")).when(k % 3 == 1, F.lit("4x"))
+    rows = a(people.filter("id % 11 <> 0"), "candidate", F.lit(0), F.when(k % 18 != 0, F.concat(F.lit("Candidate "), "name")), name=name, age=age, city=F.col("city"), education_level=F.col("education_level"))
+    rows = rows.unionByName(a(people.filter("id % 10 = 0"), "candidate", F.lit(1), F.col("name"), name=F.lit("Second")))
+    work = binding(spark, d, "experiences")
+    rows = rows.unionByName(a(work, "experience", k + 2, F.col("company"), company=F.col("company"), title=F.col("title"), period_start=F.when(k % 2 == 0, F.col("start_date")).otherwise(""), start_date=F.when(k % 3 == 0, "2000.01").otherwise(F.col("start_date")), duration_months=F.col("duration_months")))
+    return rows.unionByName(a(binding(spark, d, "certifications"), "certification", k + 2, F.col("name"), name=F.when(k % 2 == 0, F.col("name")), issuer=F.lit("board")))
+
+
+def _imported(spark: SparkSession, d: str) -> stores.TalentStore:
+    return stores.import_extractions(_told(spark, d), stores.TalentStore.empty(spark))
+
+
+_IMPORT = ctes("candidates", "experiences", "certifications").rstrip() + """,
+told AS (SELECT id AS k, coalesce(nullif(CASE WHEN id % 4 = 0 THEN '' WHEN id % 9 = 0 THEN NULL ELSE name END, ''), CASE WHEN id % 18 <> 0 THEN 'Candidate ' || name END) AS name,
+    CASE WHEN id % 3 = 0 THEN 31 END AS age, city, education_level FROM candidates WHERE id % 11 <> 0
+  UNION ALL SELECT id, 'Second', NULL, NULL, NULL FROM candidates WHERE id % 10 = 0 AND id % 11 = 0),
+people AS (SELECT CAST(row_number() OVER (ORDER BY CAST(k AS VARCHAR)) AS BIGINT) AS id, k, name, CAST(age AS BIGINT) AS age, city, education_level FROM told WHERE name <> '')
+"""
+
+
+@query(_IMPORT + "SELECT id, name, age, city, education_level, CAST(k AS VARCHAR) AS source_file FROM people")
+def import_candidates(spark, d):
+    """The first candidate of each document with a name or text, numbered in the order of the documents."""
+    return _imported(spark, d).candidates.select("id", "name", "age", "city", "education_level", "source_file")
+
+
+@query(_IMPORT + """SELECT CAST(row_number() OVER (ORDER BY p.id, x.id) AS BIGINT) AS id, p.id AS candidate_id, company, title,
+  CASE WHEN x.id % 2 = 0 THEN start_date WHEN x.id % 3 = 0 THEN '2000.01' ELSE start_date END AS start_date, duration_months FROM people p JOIN experiences x ON x.candidate_id = p.k""")
+def import_experiences(spark, d):
+    return _imported(spark, d).experiences.select("id", "candidate_id", "company", "title", "start_date", "duration_months")
+
+
+@query(_IMPORT + "SELECT CAST(row_number() OVER (ORDER BY p.id, x.id) AS BIGINT) AS id, p.id AS candidate_id, x.name, 'board' AS issuer FROM people p JOIN certifications x ON x.candidate_id = p.k")
+def import_certifications(spark, d):
+    return _imported(spark, d).certifications.select("id", "candidate_id", "name", "issuer")
+
+
+@query(_IMPORT + """SELECT CAST(c.id AS VARCHAR) AS doc_key, CASE WHEN c.id IN (SELECT k FROM people) THEN 'ok' WHEN c.id IN (SELECT k FROM told) THEN 'no name'
+  WHEN c.id IN (SELECT candidate_id FROM experiences UNION ALL SELECT candidate_id FROM certifications) THEN 'no candidate' ELSE 'no extractions' END AS status FROM candidates c""")
+def import_status(spark, d):
+    """Which documents an import adds, and why it leaves out the others."""
+    documents = binding(spark, d, "candidates").select(F.col("id").cast("string").alias("doc_key"))
+    return stores.document_status(documents, _told(spark, d))
+
+
 _NUMBERS = "CASE {k} % 6 WHEN 0 THEN concat(' ', CAST({k} AS STRING), ' ') WHEN 1 THEN concat(CAST({k} AS STRING), '.5') WHEN 2 THEN concat('-', CAST({k} AS STRING)) WHEN 3 THEN 'abc' WHEN 4 THEN '' ELSE CAST({k} AS STRING) END"
 
 
@@ -307,7 +362,17 @@ def overlap_pairs(spark, d):
     return overlap.overlap_pairs(binding(spark, d, "spans"), bin_width=64)
 
 
-@query()
+_LAPPED = """(least(e."end", x[1]."end") - greatest(e.start, x[1].start) > 0 AND least(e."end" - e.start, x[1]."end" - x[1].start) > 0
+  AND NOT (e.name <> '' AND x[1].name <> '' AND e.name <> x[1].name)
+  AND (least(e."end", x[1]."end") - greatest(e.start, x[1].start)) / CAST(least(e."end" - e.start, x[1]."end" - x[1].start) AS DOUBLE) > 0.5)"""
+_WEAKER = "(x[1].n, x[1].l, x[1].c) <= (e.n, e.l, e.c)"
+_BLOCK = f"coalesce(list_position(list_transform(kept, lambda e: {_LAPPED} AND {_WEAKER}), true), len(kept) + 1)"
+
+
+@query(ctes("spans").rstrip() + f""",
+items AS (SELECT doc_key, list([{{'start': start, 'ord': ord, 'end': "end", 'name': coalesce(name, ''), 'n': n_attrs, 'l': text_length, 'c': confidence}}] ORDER BY start, ord) AS xs FROM spans WHERE start IS NOT NULL GROUP BY doc_key, type),
+folded AS (SELECT doc_key, list_reduce(xs, lambda kept, x: list_concat(list_filter(kept, lambda e, i: i >= {_BLOCK} OR NOT {_LAPPED}), CASE WHEN {_BLOCK} > len(kept) THEN x ELSE [] END)) AS kept FROM items)
+SELECT doc_key, unnest(kept).ord AS ord FROM folded UNION ALL SELECT doc_key, ord FROM spans WHERE start IS NULL""")
 def dedup_greedy(spark, d):
     return overlap.survivors(binding(spark, d, "spans"))
 
@@ -378,7 +443,7 @@ def alias_rewrite(spark, d):
 
 
 _EDGES_SQL = _FAKE_SQL.rstrip() + """,
-edges AS (SELECT p.doc_key, p.ord AS from_ord, x.ord AS to_ord, CASE x.type WHEN 'experience' THEN 'worked_at' WHEN 'education' THEN 'studied_at' ELSE 'has_skill' END AS type,
+edges AS (SELECT p.doc_key, p.ord AS from_ord, x.ord AS to_ord, p.text AS "from", x.text AS "to", 'resume' AS scope, CASE x.type WHEN 'experience' THEN 'worked_at' WHEN 'education' THEN 'studied_at' ELSE 'has_skill' END AS type,
   coalesce(nullif(x.summary_cn, ''), x.text) AS target_name, round(x.confidence * 0.85::DOUBLE + 1e-9::DOUBLE, 3) AS confidence
   FROM c p JOIN c x ON p.doc_key = x.doc_key WHERE p.type = 'candidate' AND x.type IN ('experience', 'education', 'skill'))
 """
@@ -392,26 +457,43 @@ def _inferred(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_EDGES_SQL + "SELECT * FROM edges")
 def infer_relations(spark, d):
-    return _inferred(spark, d).select("doc_key", "from_ord", "to_ord", "type", "target_name", "confidence")
+    return _inferred(spark, d).select("doc_key", "from_ord", "to_ord", "from", "to", "scope", "type", "target_name", "confidence")
 
 
 @query(_FAKE_SQL + r"""SELECT doc_key, ord, CASE WHEN summary_cn IS NOT NULL THEN summary_cn[1:50] ELSE coalesce(nullif(trim(regexp_replace(text, '\s+', ' ', 'g'))[1:50], ''), concat_ws('_', 'Entity', doc_key, ord)) END AS name, type AS entityType,
-  concat_ws('|', summary_cn, printf('Confidence: %.2f', round(confidence + 1e-9::DOUBLE, 2)), CASE WHEN summary_cn IS NULL THEN 'Text: ' || nullif(text[1:100], '') END) AS observations FROM c WHERE type IN ('entity', 'rule') AND confidence >= 0.3""")
+  concat_ws('|', summary_cn, CASE WHEN ord % 5 > 0 THEN 'Source: ' || CASE WHEN ord % 2 = 0 THEN 'some.md' ELSE 'unknown' END || ':' || (ord % 5) END, printf('Confidence: %.2f', round(confidence + 1e-9::DOUBLE, 2)),
+    CASE WHEN ord % 2 = 1 THEN 'trigger_context: when ' || ord END, CASE WHEN ord % 4 = 1 THEN 'consequence: then' END, CASE WHEN ord % 3 = 0 THEN 'reason: why' END,
+    CASE WHEN summary_cn IS NULL THEN 'Text: ' || nullif(text[1:100], '') END) AS observations FROM c WHERE type IN ('entity', 'rule') AND confidence >= 0.3""")
 def kg_nodes(spark, d):
     from vitaeflow.operators import graph
 
-    none = F.lit(None).cast("string")
-    rows = _typed(spark, d).withColumns({k: none for k in ("trigger_context", "consequence", "reason", "source_file")} | {"source_location": F.struct(F.lit(None).cast("int").alias("line"))})
+    k = F.col("ord")
+    notes = {"trigger_context": F.when(k % 2 == 1, F.concat(F.lit("when "), k.cast("string"))), "consequence": F.when(k % 4 == 1, "then").otherwise(""), "reason": F.when(k % 3 == 0, "why")}
+    rows = _typed(spark, d).withColumns(notes | {"source_file": F.when(k % 2 == 0, "some.md"), "source_location": F.struct((k % 5).cast("int").alias("line"))})
     return graph.nodes(rows).withColumn("observations", F.array_join("observations", "|"))
 
 
-@query(_EDGES_SQL + "SELECT doc_key, 'relates_to' AS \"relationType\", count(*) AS n FROM edges WHERE confidence >= 0.3 GROUP BY 1")
+@query(_EDGES_SQL + """SELECT doc_key, "from", "to", 'relates_to' AS "relationType" FROM edges WHERE confidence >= 0.3
+  UNION ALL SELECT doc_key, text[1:4], summary_cn, CASE WHEN ord % 2 = 0 THEN 'knows' ELSE 'relates_to' END FROM c WHERE type = 'entity' AND confidence >= 0.3""")
 def kg_edges(spark, d):
+    """Told relations with their own type, inferred ones as relates_to, with both ends."""
     from vitaeflow.operators import graph
 
-    none = F.lit(None).cast("string")
-    told = _typed(spark, d).withColumns({k: none for k in ("from", "to", "relation_type")})
-    return graph.edges(told, _inferred(spark, d)).groupBy("doc_key", "relationType").agg(F.count("*").alias("n"))
+    rows = _typed(spark, d).withColumn("type", F.when(F.col("type") == "entity", "relation").otherwise(F.col("type")))
+    told = rows.withColumns({"from": F.substring("text", 1, 4), "to": F.col("summary_cn"), "relation_type": F.when(F.col("ord") % 2 == 0, "knows")})
+    return graph.edges(told, _inferred(spark, d))
+
+
+@query(_FAKE_SQL + """, t1 AS (SELECT coalesce(type, 'unknown') AS k, count(*) AS n FROM c GROUP BY 1), m1 AS (SELECT coalesce(match_type, 'none') AS k, count(*) AS n FROM c GROUP BY 1)
+SELECT count(*) AS total_extractions, round(avg(confidence), 3) AS avg_confidence, count(*) FILTER (WHERE confidence >= 0.7) AS high, count(*) FILTER (WHERE confidence >= 0.3 AND confidence < 0.7) AS medium, count(*) FILTER (WHERE confidence < 0.3) AS low,
+  (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM t1) AS by_type, (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM m1) AS match_quality,
+  (SELECT sum(a.n * b.n) FROM (SELECT doc_key, count(*) AS n FROM c WHERE type = 'candidate' GROUP BY 1) a JOIN (SELECT doc_key, count(*) AS n FROM c WHERE type IN ('experience', 'education', 'skill') GROUP BY 1) b USING (doc_key))::BIGINT AS inferred_relations FROM c""")
+def pipeline_summary(spark, d):
+    """All counts of a batch in one row."""
+    rows = _typed(spark, d).withColumn("source_location", F.struct("match_type"))
+    told = summary.summarize(rows, _inferred(spark, d))
+    flat = lambda name: F.array_join(F.transform(F.array_sort(F.map_entries(name)), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",").alias(name)
+    return told.select("total_extractions", "avg_confidence", "high", "medium", "low", flat("by_type"), flat("match_quality"), "inferred_relations")
 
 
 # --- job descriptions and matching --------------------------------------------------------------

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.functions.filename import parse_filename, stem
+from vitaeflow.functions.filename import parse_filename
 from vitaeflow.functions.text import clean_noise_lines
 from vitaeflow.operators.layout import document_texts
 from vitaeflow.sources import docx, pdf
+from vitaeflow.sources.extractions import document_keys
 
 _BLOCKS = "array<struct<page:int,x0:double,y0:double,x1:double,y1:double,text:string,kind:int,width:double>>"
 
@@ -40,11 +41,12 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_key, source_file, text, status, meta) of the files in a folder; meta is what names say."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    listed = spark.read.format("binaryFile").load(path)
+    files = listed.select("path", "content")
     parsed = files.mapInPandas(_parse, f"path string, text string, blocks {_BLOCKS}, status string")
     blocks = parsed.filter(F.size("blocks") > 0).select(F.col("path").alias("doc_key"), F.explode("blocks").alias("b")).select("doc_key", "b.*")
     laid = document_texts(blocks).select(F.col("doc_key").alias("path"), F.col("text").alias("_laid"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return parsed.join(laid, "path", "left").select(
-        stem(F.col("path")).alias("doc_key"), name.alias("source_file"), clean_noise_lines(F.coalesce("text", "_laid")).alias("text"), "status", parse_filename(name).alias("meta")
+    return parsed.join(laid, "path", "left").join(document_keys(listed), "path").select(
+        "doc_key", name.alias("source_file"), clean_noise_lines(F.coalesce("text", "_laid")).alias("text"), "status", parse_filename(name).alias("meta")
     )

@@ -23,10 +23,12 @@ def watch(spark: SparkSession, extractions: str, documents: DataFrame, out: str,
     rows = files.select(stem(F.col("_metadata.file_path")).alias("doc_key"), F.posexplode(items(F.col("value"))).alias("ord", "x")).select("doc_key", "ord", "x.*")
 
     def handle(batch: DataFrame, number: int) -> None:
-        result = pipeline.run(documents, batch.select(*EXTRACTION.fieldNames()).persist(), config)
+        rows = batch.select(*EXTRACTION.fieldNames()).persist()
+        result = pipeline.run(documents, rows, config)
         result.extractions.write.mode("overwrite").parquet(f"{out}/extractions/batch={number}")
         result.relations.write.mode("overwrite").parquet(f"{out}/relations/batch={number}")
-        batch.unpersist()
+        result.extractions.unpersist()
+        rows.unpersist()
 
     writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
