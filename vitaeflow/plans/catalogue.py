@@ -308,6 +308,44 @@ def json_shapes(spark, d):
     return rows.select("id", F.explode(items(F.col("value"), "struct<k:bigint>")).alias("x"), "kind").select("id", F.col("x.k").alias("k"), "kind")
 
 
+_RUN = "<w:r><w:rPr>{1}</w:rPr><w:t>{0}</w:t></w:r>"
+_WORD_XML = "concat('<w:document xmlns:w=\"http://schemas.openxmlformats.org/wordprocessingml/2006/main\"><w:body>'" + "".join(f", {x}" for x in (
+    """'<w:p><w:pPr><w:pStyle w:val="Heading', id % 8, '"/></w:pPr><w:r><w:t>', name, '</w:t></w:r></w:p><w:p/>'""",
+    """'<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>', name, '</w:t></w:r><w:r><w:rPr><w:b w:val="1"/></w:rPr><w:t>!</w:t></w:r><w:r><w:t> of </w:t></w:r><w:r><w:rPr><w:i/></w:rPr><w:t>', city, '</w:t></w:r><w:r><w:rPr><w:b w:val="0"/></w:rPr><w:t> plain</w:t></w:r></w:p>'""",
+    """'<w:p><w:pPr><w:pStyle w:val="List ', CASE WHEN id % 2 = 0 THEN 'Bullet' ELSE 'Number' END, '"/></w:pPr><w:r><w:rPr><w:b/><w:i/></w:rPr><w:t>item</w:t></w:r></w:p>'""",
+    """'<w:p><w:pPr><w:numPr><w:numId w:val="', id % 3, '"/></w:numPr></w:pPr><w:r><w:t>a&amp;b</w:t><w:tab/><w:t>c</w:t></w:r></w:p>'""",
+    """'<w:tbl><w:tr><w:tc><w:p><w:r><w:t>k</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>v</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>', id, '</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p><w:p><w:r><w:t>', source_file, '</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'""",
+)) + ", '</w:body></w:document>')"
+_KINDS = "CASE id % 10 WHEN 7 THEN 'xyz' WHEN 8 THEN 'md' WHEN 9 THEN 'DOC' ELSE 'docx' END"
+
+
+@query(ctes("candidates").rstrip() + f""", f AS (SELECT *, {_KINDS} AS kind FROM candidates)
+SELECT concat('in/', id, '.', kind) AS path, CASE kind WHEN 'xyz' THEN NULL WHEN 'md' THEN concat('# ', name) ELSE concat(repeat('#', CAST(least(6, greatest(1, id % 8)) AS INTEGER)), ' ', name, chr(10), chr(10),
+  '**', name, '!** of *', city, '* plain', chr(10), chr(10), CASE WHEN id % 2 = 0 THEN '- ' ELSE '1. ' END, '***item***', chr(10), chr(10), CASE WHEN id % 3 > 0 THEN '- ' ELSE '' END, 'a&b', chr(9), 'c', chr(10), chr(10),
+  '| k | v |', chr(10), '| --- | --- |', chr(10), '| ', id, ' | x <br> ', source_file, ' |') END AS text, CASE kind WHEN 'xyz' THEN 'no parser for .xyz' ELSE 'ok' END AS status FROM f""")
+def parse_word_files(spark, d):
+    """Word files made of the test tables, and others, through the parser that their names ask for."""
+    import io
+    import zipfile
+
+    from vitaeflow.sources.documents import parse_files
+
+    made = binding(spark, d, "candidates").select(F.expr(f"concat('in/', id, '.', {_KINDS})").alias("path"), F.expr(_WORD_XML).alias("xml"), F.concat(F.lit("# "), "name").alias("plain"))
+
+    def pack(frames):
+        for frame in frames:
+            contents = []
+            for path, xml, plain in zip(frame["path"], frame["xml"], frame["plain"], strict=True):
+                held = io.BytesIO()
+                if path.lower().endswith(("docx", "doc")):
+                    with zipfile.ZipFile(held, "w") as archive:
+                        archive.writestr("word/document.xml", xml)
+                contents.append(held.getvalue() or plain.encode())
+            yield frame.assign(content=contents)[["path", "content"]]
+
+    return parse_files(made.mapInPandas(pack, "path string, content binary")).select("path", "text", "status")
+
+
 # --- grounding, spans, confidence, resolution, relations ----------------------------------------
 def _grounded(spark: SparkSession, d: str) -> DataFrame:
     lines = doc_lines(spark, d).drop("source")

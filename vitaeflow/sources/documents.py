@@ -39,11 +39,16 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "text", "blocks", "status"])
 
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """(path, text, blocks, status) of (path, content): a PDF has blocks, any other file a text."""
+    return files.mapInPandas(_parse, f"path string, text string, blocks {_BLOCKS}, status string")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_key, source_file, text, status, meta) of the files in a folder; meta is what names say."""
     listed = spark.read.format("binaryFile").load(path)
     files = listed.select("path", "content")
-    parsed = files.mapInPandas(_parse, f"path string, text string, blocks {_BLOCKS}, status string")
+    parsed = parse_files(files)
     blocks = parsed.filter(F.size("blocks") > 0).select(F.col("path").alias("doc_key"), F.explode("blocks").alias("b")).select("doc_key", "b.*")
     laid = document_texts(blocks).select(F.col("doc_key").alias("path"), F.col("text").alias("_laid"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
