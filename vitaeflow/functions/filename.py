@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vitaeflow.functions.text import filled, strip
 
+# What stands in and after the brackets of a name; in them a tag and the rest, then
+# position, city and salary, or position and city; after them a person and more.
 _OUTER = r"[【\[](.+)[】\]]([^【\[]*)"
 _TAG = r"^[【\[]([^】\]]+)[】\]]\s*(.*)"
 _FULL = r"^(.+?)_(.+?)\s+(\d+(?:-\d+)?K)"
