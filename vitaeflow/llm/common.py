@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever the engine can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the shared folder and forget its lineage."""
     shared_dir(df.sparkSession)
@@ -90,4 +96,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["arrow_map", "cut", "id_remainder", "let", "read", "row_hash", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]
+__all__ = ["arrow_map", "cut", "id_remainder", "let", "read", "remove", "row_hash", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]

@@ -58,6 +58,8 @@ PIECE = 3
 CACHE_ENTRIES = 50_000
 #: Rows whose features are held as Python objects at once.
 FEATURE_ROWS = 100
+#: Slices in which the features of labelled rows come to the driver.
+SLICES = 8
 
 # The letters that a character may stand for, with channel costs in nats.
 LEET = {
@@ -262,7 +264,7 @@ def fit_weights(pairs: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray
     whose slope exceeds the penalty.
     """
     pairs.sort()
-    rows = (pairs & 0xFFFFFFFF).astype(np.int32)
+    rows = pairs.astype(np.int32)  # the lower half
     ends = np.searchsorted(pairs, np.arange(int(pairs[-1] >> 32) + 2 if len(pairs) else 1, dtype=np.int64) << 32)
     weights = np.zeros(len(ends) - 1)
     cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), len(weights)])  # about a million pairs at once
@@ -320,24 +322,30 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, costs: np.ndarra
     rows = labelled.withColumn("sketch", _least_hash(F.col("text"))).groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     model = docs.sparkSession.sparkContext.broadcast(costs)
     held = cut(rows.transform(arrow_map, _feature_rows(model), "toxic int, features array<string>"))
-    table = held.select("toxic", F.transform("features", lambda f: F.xxhash64(f)).alias("hashes")).toArrow()
-    toxic = table.column("toxic").to_numpy().astype(np.float64)
+    hashed = held.select("toxic", F.transform("features", lambda f: F.xxhash64(f)).alias("hashes"))
+    sliced = cut(hashed.withColumn("slice", F.pmod(F.hash("hashes"), F.lit(SLICES))))
+    marks, counts, owned = [], [], []
+    for k in range(SLICES):  # the pairs of rows and features are many, so they come in slices
+        table = sliced.filter(F.col("slice") == k).drop("slice").toArrow().combine_chunks()
+        if table.num_rows:
+            lists = table.column("hashes").combine_chunks()
+            own, places = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            marks.append(table.column("toxic").to_numpy().astype(np.float64))
+            counts.append(pa.compute.list_value_length(lists).to_numpy())
+            owned.append((own, places.astype(np.int32)))
+    toxic = np.concatenate([*marks, np.zeros(0)])
     if not 0 < toxic.sum() < len(toxic):
         return Model(costs, {}, -4.0)
-    # The pairs of rows and features are many, so there is one array of them, filled piece by piece.
-    lists = table.column("hashes")
-    chunks = lists.chunks
-    hashes = np.zeros(0, dtype=np.int64)
-    for chunk in chunks:
-        hashes = np.union1d(hashes, chunk.flatten().to_numpy())
-    pairs, at, row = np.empty(sum(len(c.flatten()) for c in chunks), dtype=np.int64), 0, 0
-    for chunk in chunks:
-        flat = chunk.flatten().to_numpy()
-        owner = np.repeat(np.arange(row, row + len(chunk)), pa.compute.list_value_length(chunk).to_numpy())
-        pairs[at : at + len(flat)] = (np.searchsorted(hashes, flat) << 32) | owner
-        at, row = at + len(flat), row + len(chunk)
-    del table, lists, chunks
+    hashes = np.unique(np.concatenate([own for own, _ in owned]))
+    pairs, at, row = np.empty(sum(len(places) for _, places in owned), dtype=np.int64), 0, 0
+    for n in counts:
+        own, places = owned.pop(0)
+        pairs[at : at + len(places)] = np.searchsorted(hashes, own)[places]
+        pairs[at : at + len(places)] <<= 32
+        pairs[at : at + len(places)] |= np.repeat(np.arange(row, row + len(n)), n)
+        at, row = at + len(places), row + len(n)
     intercept, weights = fit_weights(pairs, toxic)
+    del pairs
     used = np.flatnonzero(weights)
     by_hash = dict(zip(hashes[used].tolist(), weights[used].tolist(), strict=True))
     # As many rows as the prior leaves weights.
