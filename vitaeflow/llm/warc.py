@@ -16,7 +16,9 @@ Bounds: the dictionary is trained from at most ``TRAIN_RECORDS`` records and has
 Nulls and edge cases: a null payload is archived as empty; a null url is left out of the record; a
 null key is always a response and never referred to; repeated rows that hold the smallest key are
 all responses; control characters in urls are percent-encoded; payloads are never cut; an empty
-table gives no archive and an empty result; other columns of the input are ignored.
+table gives no archive and an empty result; other columns of the input are ignored. Archives stay where
+they were written; ``read_archives`` gives the length of a response's payload as read, that of a
+revisit's, which has none, as its header says.
 """
 
 from __future__ import annotations
@@ -225,7 +227,8 @@ def _reading(folder: str):
                 rows, size = [], 0
                 for x in records(folder, path):
                     f = x["fields"]
-                    rows.append((number(f.get("x-key")), f.get("warc-target-uri"), int(f["x-payload-length"]), f["warc-payload-digest"].removeprefix("sha256:"), x["type"], number(f.get("x-refers-to-key")), x["payload"]))
+                    length = int(f["x-payload-length"]) if x["payload"] is None else len(x["payload"])
+                    rows.append((number(f.get("x-key")), f.get("warc-target-uri"), length, f["warc-payload-digest"].removeprefix("sha256:"), x["type"], number(f.get("x-refers-to-key")), x["payload"]))
                     size += len(x["payload"] or b"") + 100
                     if size >= OUT_BYTES:
                         yield batch_of(rows)
