@@ -88,32 +88,33 @@ def longest_block(query: str, source: str, autojunk: bool = True) -> tuple[int,
 
 def fuzzy_block(query: Column, source: Column, autojunk: bool = True) -> Column:
     def find(queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        found = [longest_block(q or "", s or "", autojunk) for q, s in zip(queries, texts, strict=True)]
+        found = [longest_block(q, s, autojunk) if q and s else (0, 0) for q, s in zip(queries, texts, strict=True)]
         return pd.DataFrame(found, columns=["start", "size"])
 
     return F.pandas_udf(find, "start int, size int")(query, source)
 
 
 def ground(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
-    """Adds source_location to every extraction; texts not found have match_type none."""
+    """Adds source_location to every extraction; texts not found have match_type none.
+
+    One pass: only texts that the native search doesn't find, and their sources, are sent to Python.
+    """
     found = native_matches(extractions, documents)
-    rest = found.filter(F.col("match_type").isNull() & truthy(F.col("text")))
-    done = found.filter(F.col("match_type").isNotNull() | ~F.coalesce(truthy(F.col("text")), F.lit(False)))
-    ratio = F.col("block.size") / F.length("text")
-    hit = ratio >= min_ratio
-    fuzzy = (
-        rest.withColumn("block", fuzzy_block(F.col("text"), F.col("source"), autojunk))
-        .withColumn("match_type", F.when(hit, "fuzzy").otherwise("none"))
-        .withColumn("char_start", F.when(hit, F.col("block.start")))
-        .withColumn("char_end", F.when(hit, F.col("block.start") + F.col("block.size")))
-        .withColumn("match_confidence", F.when(hit, ratio * 0.8).otherwise(0.1))
-        .drop("block")
+    given = F.coalesce(truthy(F.col("text")), F.lit(False))
+    left = given & F.col("match_type").isNull()
+    block = fuzzy_block(F.when(left, F.col("text")), F.when(left, F.col("source")), autojunk)
+    searched = found.withColumn("_left", left).withColumn("_block", block)
+    ratio = F.col("_block.size") / F.length("text")
+    hit = F.col("_left") & (ratio >= min_ratio)
+    placed = searched.select(
+        *extractions.columns,
+        "source",
+        F.when(hit, F.col("_block.start")).otherwise(F.col("char_start")).alias("char_start"),
+        F.when(hit, F.col("_block.start") + F.col("_block.size")).otherwise(F.col("char_end")).alias("char_end"),
+        F.when(hit, "fuzzy").when(F.col("_left"), "none").otherwise(F.col("match_type")).alias("match_type"),
+        F.when(hit, ratio * 0.8).when(F.col("_left"), 0.1).otherwise(F.col("match_confidence")).alias("match_confidence"),
     )
     located = F.struct(
         "char_start", "char_end", F.when(F.col("char_start").isNotNull(), line_number(F.col("source"), F.col("char_start"))).alias("line"), "match_type", F.col("match_confidence").alias("confidence")
     )
-    return (
-        done.unionByName(fuzzy)
-        .withColumn("source_location", F.when(F.col("match_type").isNotNull(), located))
-        .drop("source", "match_type", "char_start", "char_end", "match_confidence")
-    )
+    return placed.select(*extractions.columns, F.when(F.col("match_type").isNotNull(), located).alias("source_location"))

@@ -23,11 +23,18 @@ class PipelineResult:
     stats: DataFrame
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what was persisted, once the results have been used."""
+        for df in self.held:
+            df.unpersist()
 
 
 def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | None = None) -> PipelineResult:
     """documents: (doc_key, source_file, text); extractions: schema.EXTRACTION. Nothing runs before a
-    result is used; the processed extractions are persisted, as relations, counts and graph all read them."""
+    result is used. What several later stages read is persisted and held by the result until it is
+    released: the grounded, the scored and the processed extractions."""
     config = config or PipelineConfig()
     out = extractions
     if config.time_normalization:
@@ -37,16 +44,23 @@ def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | N
     out = grounding.ground(out, documents) if config.source_grounding else out.withColumn("source_location", F.lit(None).cast(_LOCATION))
     files = documents.select("doc_key", F.col("source_file").alias("_file"))
     out = out.join(files, "doc_key", "left").withColumn("source_file", F.coalesce("source_file", "_file")).drop("_file")
+    held = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
     if config.overlap_dedup:
+        out = hold(out)
         out = overlap.deduplicate(out, config.overlap_threshold)
     if config.confidence_scoring:
         out = confidence.score(out)
     if config.entity_resolution:
-        out = resolution.resolve(out, config.entity_similarity_threshold)
-    out = out.persist()
+        out = resolution.resolve(hold(out), config.entity_similarity_threshold)
+    out = hold(out)
     spark = documents.sparkSession
     edges = relations.infer(out) if config.relation_inference else spark.createDataFrame([], _EDGES)
     stats = summary.summarize(out, edges)
     if not config.kg_injection:
-        return PipelineResult(out, edges, stats)
-    return PipelineResult(out, edges, stats, graph.nodes(out, config.confidence_threshold), graph.edges(out, edges, config.confidence_threshold))
+        return PipelineResult(out, edges, stats, held=tuple(held))
+    return PipelineResult(out, edges, stats, graph.nodes(out, config.confidence_threshold), graph.edges(out, edges, config.confidence_threshold), tuple(held))
