@@ -36,8 +36,8 @@ def test_weights_are_the_optimum():
     rng = np.random.default_rng(13)
     held = rng.random((120, 40)) < 0.2
     toxic = (held[:, 0] | (rng.random(120) < 0.1)).astype(float)
-    owner, feature = np.nonzero(held)
-    intercept, weights = toxicity.fit_weights((feature << 32) | owner, toxic)
+    feature, owner = np.nonzero(held.T)
+    intercept, weights = toxicity.fit_weights(owner, np.r_[0, np.cumsum(np.bincount(feature, minlength=40))], toxic)
     slopes = (toxic - 1 / (1 + np.exp(-intercept - held @ weights))) @ held
     assert weights[0] > 1 and (np.abs(slopes[weights == 0]) <= toxicity.PENALTY + toxicity.TOLERANCE).all()
     assert np.allclose(slopes[weights != 0], toxicity.PENALTY * np.sign(weights[weights != 0]), atol=toxicity.TOLERANCE)

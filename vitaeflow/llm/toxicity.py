@@ -256,16 +256,12 @@ def _least_hash(text: Column) -> Column:
     return F.pandas_udf(least, "long")(text)
 
 
-def fit_weights(pairs: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
+def fit_weights(rows: np.ndarray, ends: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
     """The intercept and the weight of each feature by penalised logistic regression.
 
-    ``pairs`` holds feature << 32 | row for the features that rows hold, no pair twice, and is put in
-    order; ``toxic`` is 0 or 1 by row. Newton steps by coordinate over the features that are in use or
-    whose slope exceeds the penalty.
+    Feature j stands in the rows ``rows[ends[j] : ends[j + 1]]``; ``toxic`` is 0 or 1 by row. Newton
+    steps by coordinate over the features that are in use or whose slope exceeds the penalty.
     """
-    pairs.sort()
-    rows = pairs.astype(np.int32)  # the lower half
-    ends = np.searchsorted(pairs, np.arange(int(pairs[-1] >> 32) + 2 if len(pairs) else 1, dtype=np.int64) << 32)
     weights = np.zeros(len(ends) - 1)
     cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), len(weights)])  # about a million pairs at once
     intercept = math.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5))
@@ -274,7 +270,11 @@ def fit_weights(pairs: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray
     for _ in range(ROUNDS):
         left = toxic - chance
         slopes = np.concatenate([np.add.reduceat(left[rows[ends[a] : ends[b]]], ends[a:b] - ends[a]) for a, b in zip(cuts, cuts[1:], strict=False)] or [weights])
-        excess = np.where(weights == 0, np.abs(slopes) - PENALTY, np.abs(slopes - PENALTY * np.sign(weights)))
+        used = np.flatnonzero(weights)
+        aside = np.abs(slopes[used] - PENALTY * np.sign(weights[used]))
+        excess = np.abs(slopes, out=slopes)
+        excess -= PENALTY
+        excess[used] = aside
         if excess.max(initial=0.0) < TOLERANCE:
             break
         wanted = np.flatnonzero((weights == 0) & (excess >= TOLERANCE))
@@ -322,30 +322,29 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, costs: np.ndarra
     rows = labelled.withColumn("sketch", _least_hash(F.col("text"))).groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     model = docs.sparkSession.sparkContext.broadcast(costs)
     held = cut(rows.transform(arrow_map, _feature_rows(model), "toxic int, features array<string>"))
-    hashed = held.select("toxic", F.transform("features", lambda f: F.xxhash64(f)).alias("hashes"))
-    sliced = cut(hashed.withColumn("slice", F.pmod(F.hash("hashes"), F.lit(SLICES))))
-    marks, counts, owned = [], [], []
-    for k in range(SLICES):  # the pairs of rows and features are many, so they come in slices
-        table = sliced.filter(F.col("slice") == k).drop("slice").toArrow().combine_chunks()
-        if table.num_rows:
-            lists = table.column("hashes").combine_chunks()
-            own, places = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-            marks.append(table.column("toxic").to_numpy().astype(np.float64))
-            counts.append(pa.compute.list_value_length(lists).to_numpy())
-            owned.append((own, places.astype(np.int32)))
-    toxic = np.concatenate([*marks, np.zeros(0)])
+    hashed = cut(held.select(F.monotonically_increasing_id().alias("row"), "toxic", F.transform("features", lambda f: F.xxhash64(f)).alias("hashes")))
+    light = hashed.select("row", "toxic", F.size("hashes").alias("n")).toArrow()
+    order = np.argsort(light.column("row").to_numpy())
+    ids, toxic = light.column("row").to_numpy()[order], light.column("toxic").to_numpy().astype(np.float64)[order]
     if not 0 < toxic.sum() < len(toxic):
         return Model(costs, {}, -4.0)
-    hashes = np.unique(np.concatenate([own for own, _ in owned]))
-    pairs, at, row = np.empty(sum(len(places) for _, places in owned), dtype=np.int64), 0, 0
-    for n in counts:
-        own, places = owned.pop(0)
-        pairs[at : at + len(places)] = np.searchsorted(hashes, own)[places]
-        pairs[at : at + len(places)] <<= 32
-        pairs[at : at + len(places)] |= np.repeat(np.arange(row, row + len(n)), n)
-        at, row = at + len(places), row + len(n)
-    intercept, weights = fit_weights(pairs, toxic)
-    del pairs
+    # The pairs of rows and features are many, so they come in slices, each with all rows of its features.
+    rows = np.empty(int(light.column("n").to_numpy().sum()), dtype=np.int32)
+    hashes, ends, at = [], [], 0
+    for k in range(SLICES):
+        table = hashed.select("row", F.filter("hashes", lambda h: F.pmod(h, F.lit(SLICES)) == k).alias("hashes")).toArrow()  # noqa: B023
+        lists = table.column("hashes").combine_chunks()
+        owner = np.repeat(np.searchsorted(ids, table.column("row").to_numpy()).astype(np.int32), pa.compute.list_value_length(lists).to_numpy())
+        flat = lists.flatten().to_numpy()
+        by = np.argsort(flat, kind="stable")
+        rows[at : at + len(by)], flat = owner[by], flat[by]
+        new = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]][: len(flat)])
+        hashes.append(flat[new])
+        ends.append(new + at)
+        at += len(by)
+    del table, lists, owner, flat, by, new
+    hashes, ends = np.concatenate(hashes), np.concatenate([*ends, [at]])
+    intercept, weights = fit_weights(rows, ends, toxic)
     used = np.flatnonzero(weights)
     by_hash = dict(zip(hashes[used].tolist(), weights[used].tolist(), strict=True))
     # As many rows as the prior leaves weights.
