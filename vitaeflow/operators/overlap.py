@@ -72,6 +72,12 @@ def survivors(spans: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return kept.unionByName(spans.filter(F.col("start").isNull()).select("doc_key", F.col("ord").cast("long").alias("ord")))
 
 
+def fold_counts(spans: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: how many spans there were, how many were removed, how many remain."""
+    both = spans.select(F.lit(1).alias("before"), F.lit(0).alias("remaining")).unionByName(kept.select(F.lit(0).alias("before"), F.lit(1).alias("remaining")))
+    return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("before", "remaining"))).select("before", (F.col("before") - F.col("remaining")).alias("removed"), "remaining")
+
+
 def spans_of(extractions: DataFrame) -> DataFrame:
     """The spans of grounded extractions."""
     raw = F.from_json(F.to_json(F.struct(*(c for c in extractions.columns if c not in ("text", "source_location", "type", "confidence", "doc_key", "ord")))), "map<string,string>")

@@ -407,14 +407,24 @@ _WEAKER = "(x[1].n, x[1].l, x[1].c) <= (e.n, e.l, e.c)"
 _BLOCK = f"coalesce(list_position(list_transform(kept, lambda e: {_LAPPED} AND {_WEAKER}), true), len(kept) + 1)"
 
 
-@query(ctes("spans").rstrip() + f""",
+_FOLDED = ctes("spans").rstrip() + f""",
 items AS (SELECT doc_key, list([{{'start': start, 'ord': ord, 'end': "end", 'name': coalesce(name, ''), 'n': n_attrs, 'l': text_length, 'c': confidence}}] ORDER BY start, ord) AS xs FROM spans WHERE start IS NOT NULL GROUP BY doc_key, type),
-folded AS (SELECT doc_key, list_reduce(xs, lambda kept, x: list_concat(list_filter(kept, lambda e, i: i >= {_BLOCK} OR NOT {_LAPPED}), CASE WHEN {_BLOCK} > len(kept) THEN x ELSE [] END)) AS kept FROM items)
-SELECT doc_key, unnest(kept).ord AS ord FROM folded UNION ALL SELECT doc_key, ord FROM spans WHERE start IS NULL""")
+folded AS (SELECT doc_key, list_reduce(xs, lambda kept, x: list_concat(list_filter(kept, lambda e, i: i >= {_BLOCK} OR NOT {_LAPPED}), CASE WHEN {_BLOCK} > len(kept) THEN x ELSE [] END)) AS kept FROM items),
+left_over AS (SELECT doc_key, unnest(kept).ord AS ord FROM folded UNION ALL SELECT doc_key, ord FROM spans WHERE start IS NULL)
+"""
+
+
+@query(_FOLDED + "SELECT * FROM left_over")
 def dedup_greedy(spark, d):
     return overlap.survivors(binding(spark, d, "spans"))
 
 
+@query(_FOLDED + "SELECT (SELECT count(*) FROM spans) AS before, (SELECT count(*) FROM spans) - (SELECT count(*) FROM left_over) AS removed, (SELECT count(*) FROM left_over) AS remaining")
+def dedup_counts(spark, d):
+    spans = binding(spark, d, "spans")
+    return overlap.fold_counts(spans, overlap.survivors(spans))
+
+
 _FAKE_SQL = ctes("doc_lines").rstrip() + """,
 t AS (SELECT doc_key, ord, text, CASE ord % 7 WHEN 0 THEN 'candidate' WHEN 1 THEN 'experience' WHEN 2 THEN 'skill' WHEN 3 THEN 'entity' WHEN 4 THEN 'education' WHEN 5 THEN NULL ELSE 'rule' END AS type,
   CASE WHEN ord % 2 = 0 THEN 'summary ' || text[1:5] END AS summary_cn, CASE ord % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE NULL END AS match_type FROM doc_lines),
