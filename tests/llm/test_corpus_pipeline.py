@@ -23,7 +23,7 @@ def make(spark, folder):
             words[20:20] = items[i % 6][1].split()
         if i % 11 == 2:
             words = rows[i - 1][1].split()
-        labels.append((i, 1, int(bad or ("moron" in words))))
+        labels.append((i, 1, int("moron" in words)))  # a copy is labelled as its text is
         rows.append((i, " ".join(words), "en", f"s{i % 4}", len(" ".join(words))))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
