@@ -60,6 +60,8 @@ COLUMNS = 2048
 CACHE_ENTRIES = 100_000
 #: Classes with more than this share of all rows are broadcast to them.
 HOT_SHARE = 1000
+#: Keys under which the members around a center learn their number of blocks.
+SALTS = 32
 #: Texts of a batch that are held as Python objects at once.
 SLICE = 500
 #: Shingles hashed at once.
@@ -353,8 +355,10 @@ def classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     asked = cut(named.join(mixed, "key", "left_semi").select("center", "rep", "component").distinct().join(sets.select("rep", "n_shingles"), "rep"))
     work = F.greatest(F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
-    parts = asked.groupBy("center").agg(F.ceil(work).cast("int").alias("parts"))
-    placed = asked.join(parts, "center").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # Only centers of several blocks are told, under SALTS keys each, as their members are many.
+    parts = asked.groupBy("center").agg(F.ceil(work).cast("int").alias("parts")).filter("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SALTS)).cast("int")).join(parts, ["center", "salt"], "left")
+    placed = salted.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     pieces = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component"
     )
