@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,6 +43,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_batches(df: DataFrame, rows: int) -> DataFrame:
+    """:func:`cut`, with batches of at most ``rows`` rows handed to Python while it runs."""
+    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(size)
+    conf.set(size, str(rows))
+    try:
+        return cut(df)
+    finally:
+        conf.set(size, before)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df``, computed once, with ``name``: 0, 1, ... in the given order, which tells all rows apart.
+
+    Rows are sorted by ranges; a range's first number follows from the sizes of those before it, of
+    which there are as many as partitions.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    within = (1 << 33) - 1  # the engine's own numbers hold the partition above 33 bits
+    ranged = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_k", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy(F.shiftright("_k", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return ranged.join(F.broadcast(first), F.shiftright("_k", 33) == F.col("_part")).withColumn(name, F.col("_first") + F.col("_k").bitwiseAND(within)).drop("_k", "_part", "_first")
+
+
 def arrow_map(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow``, with batches of at most ``BATCH_ROWS`` rows from here on in the session: the
     engine's 10,000 long texts at once, in and out, take more memory than the work itself."""
@@ -96,4 +123,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["arrow_map", "cut", "id_remainder", "let", "read", "remove", "row_hash", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]
+__all__ = ["arrow_map", "cut", "cut_in_batches", "id_remainder", "let", "numbered", "read", "remove", "row_hash", "shared_dir", "text_or_empty", "trimmed", "word_array", "word_count"]
