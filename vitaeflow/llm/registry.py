@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitaeflow.llm import decontamination, embedding_links, html_text, language, mixing, near_duplicates, quality, sharding, token_counts, toxicity, warc
+from vitaeflow.llm import collocations, decontamination, divergence, embedding_links, html_text, language, mixing, near_duplicates, quality, sharding, token_counts, toxicity, warc
 
-MODULES = (mixing, warc, token_counts, toxicity, html_text, near_duplicates, quality, sharding, language, decontamination, embedding_links)
+MODULES = (mixing, warc, token_counts, toxicity, html_text, near_duplicates, quality, sharding, language, decontamination, embedding_links, collocations, divergence)
 
 
 def queries() -> dict:
