@@ -177,14 +177,29 @@ class Sets:
                 self.labels = further
 
 
-def _below(level: Level, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _below(tree: Tree, depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The children of nodes, and for each the place of its parent among ``nodes``."""
+    if depth + 1 == len(tree.levels):
+        return nodes, np.arange(len(nodes))
+    level = tree.levels[depth]
     n = level.first[nodes + 1] - level.first[nodes]
     parent = np.repeat(np.arange(len(nodes)), n)
     start = level.first[nodes] - (np.cumsum(n) - n)
     return level.children[start[parent] + np.arange(len(parent))], parent
 
 
+def descended(a: Tree, b: Tree, la: int, lb: int, rows: np.ndarray, cols: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> Iterator[tuple]:
+    """The children of open pairs (i, j) of nodes, as rows, columns and which of their pairs are to meet."""
+    some_rows, some_cols = np.unique(i), np.unique(j)
+    met = np.zeros((len(some_rows), len(some_cols)), dtype=bool)
+    met[np.searchsorted(some_rows, i), np.searchsorted(some_cols, j)] = True
+    (more_rows, of_row), (more_cols, of_col) = _below(a, la, rows[some_rows]), _below(b, lb, cols[some_cols])
+    for k in range(0, len(more_rows), ROWS):
+        part = met[of_row[k : k + ROWS]]
+        used = np.flatnonzero(part.any(axis=0)[of_col])
+        yield depth, more_rows[k : k + ROWS], more_cols[used], part[:, of_col[used]]
+
+
 def verdicts(cosines: np.ndarray, r: np.ndarray, s: np.ndarray, single: np.ndarray, reach: float = REACH, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of nodes by their cosines, covering radii and whether both are single vectors: which are
     linked as a whole, and which are open."""
@@ -206,30 +221,26 @@ def traversed(a: Tree, b: Tree, cosine: float = COSINE) -> tuple[np.ndarray, np.
         la, lb = min(depth, len(a.levels) - 1), min(depth, len(b.levels) - 1)
         x, y = a.levels[la], b.levels[lb]
         cosines = a.units[x.points[rows]] @ b.units[y.points[cols]].T
-        widest = x.radii[rows].max() + y.radii[cols].max() + reach
-        i, j = np.nonzero(asked & (cosines >= 1 - widest * widest / 2 - MARGIN))
+        r, s = x.radii[rows], y.radii[cols]
+        # Most nodes are single vectors, for which one bound holds; the rows and columns of others have their own.
+        met = cosines >= 1 - reach * reach / 2 - MARGIN
+        broad, wide = np.flatnonzero(r), np.flatnonzero(s)
+        met[broad] = cosines[broad] >= 1 - (r[broad, None] + s[None, :] + reach) ** 2 / 2 - MARGIN
+        met[:, wide] = cosines[:, wide] >= 1 - (r[:, None] + s[None, wide] + reach) ** 2 / 2 - MARGIN
+        i, j = np.divmod(np.flatnonzero(met & asked), len(cols))
         if not len(i):
             continue
         single = (x.sizes[rows[i]] == 1) & (y.sizes[cols[j]] == 1)
-        whole, further = verdicts(cosines[i, j], x.radii[rows[i]], y.radii[cols[j]], single, reach, cosine)
+        whole, further = verdicts(cosines[i, j], r[i], s[j], single, reach, cosine)
         if whole.any():
             p, q = rows[i[whole]], cols[j[whole]]
             sums[0][la] += np.bincount(p, weights=y.weights[q], minlength=len(x.points)).astype(np.int64)
             sums[1][lb] += np.bincount(q, weights=x.weights[p], minlength=len(y.points)).astype(np.int64)
             sets.join(x.points[p], y.points[q] + offset)
         i, j = i[further], j[further]
-        if not len(i):
-            continue
-        some_rows, some_cols = np.unique(i), np.unique(j)
-        met = np.zeros(asked.shape, dtype=bool)
-        met[i, j] = True
-        met = met[np.ix_(some_rows, some_cols)]
-        down = (lambda tree, level, k, nodes: _below(level, nodes) if k + 1 < len(tree.levels) else (nodes, np.arange(len(nodes))))
-        (more_rows, of_row), (more_cols, of_col) = down(a, x, la, rows[some_rows]), down(b, y, lb, cols[some_cols])
-        for k in range(0, len(more_rows), ROWS):
-            part = met[of_row[k : k + ROWS]]
-            used = np.flatnonzero(part.any(axis=0)[of_col])
-            stack.append((depth + 1, more_rows[k : k + ROWS], more_cols[used], part[:, of_col[used]]))
+        for own in (r[i] > 0, r[i] == 0):  # broad nodes meet many, others only broad ones
+            if own.any():
+                stack += descended(a, b, la, lb, rows, cols, i[own], j[own], depth + 1)
     totals = []
     for tree, own, shift in ((a, sums[0], 0), (b, sums[1], offset))[: 1 if same else 2]:
         total = np.zeros(len(tree.units), dtype=np.int64)
