@@ -399,11 +399,11 @@ f AS (SELECT lang, k, phrase, any_value(g) AS g, count(*) AS f FROM grams GROUP
 totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
 c AS (SELECT * FROM f WHERE k > 1 AND f >= {MIN_COUNT}),
 cuts AS (
-  SELECT c.lang, c.k, c.phrase, c.f AS a, i AS at, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  SELECT c.lang, c.k, c.phrase, c.f AS a, i AS first, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
   FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c
   JOIN f x ON x.lang = c.lang AND x.k = i AND x.phrase = array_to_string(c.g[1:i], chr(32))
   JOIN f y ON y.lang = c.lang AND y.k = c.k - i AND y.phrase = array_to_string(c.g[i + 1:c.k], chr(32))),
-scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, at) = 1),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, first) = 1),
 inner_parts AS (SELECT lang, unnest([array_to_string(g[1:2], chr(32)), array_to_string(g[2:3], chr(32))]) AS phrase, f FROM c WHERE k = 3),
 longer AS (SELECT lang, phrase, max(f) AS f FROM inner_parts GROUP BY ALL),
 kept AS (SELECT s.* FROM scored s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase AND s.k = 2 WHERE o.f IS NULL OR 100 * o.f < {PART_PERCENT} * s.a),
