@@ -1,120 +1,179 @@
 """Grounding: where in its source does an extraction's text stand?
 
-Exact and white-space-blind search are column expressions on the join by doc_key. Only the rows
-that neither finds go through Python, as the longest matching block has no built-in counterpart.
+All texts of a document are searched in one pass over its source, which is held once, by an automaton of
+all patterns; first as they are, then without white space on either side. Only texts and sources that
+this doesn't bring together are looked at for their longest common block, by joins (see ``blocks``).
+
+Sources travel in pieces, so that no batch holds more than ``ROWS`` pieces, and are put together one at a
+time. Documents with over ``TEXTS`` texts are dealt to several tasks if they have more than one in ``HOT_SHARE``
+of all texts; there can't be more of these than ``HOT_SHARE``, and they are broadcast.
 """
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_right
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vitaeflow.functions.coerce import truthy
-from vitaeflow.functions.text import line_number, without_space
+from vitaeflow.operators.blocks import longest_blocks
+from vitaeflow.operators.keys import cut
 
 MIN_RATIO = 0.3
-
-
-#: Characters of a piece of a source, whose solid characters are counted.
-PIECE = 256
-
-
-def solid_places(text: Column) -> Column:
-    """Places of a text's characters that are no white space."""
-    plain = lambda c: F.ascii(c).between(33, 126)  # noqa: E731  most characters need no pattern
-    return F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(plain(c) | ~c.rlike(r"(?U)^\s?$"), i)))
-
-
-def solid_counts(text: Column) -> Column:
-    """Running numbers of solid characters, piece by piece; the text is cut in one pass."""
-    counts = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda piece: F.length(without_space(piece)))
-    return F.aggregate(counts, F.array().cast("array<int>"), lambda done, n: F.array_append(done, n + F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))))
-
-
-def nth_solid(text: Column, counts: Column, k: Column) -> Column:
-    """Place of the k-th (from 0) solid character of a text, null if there are fewer."""
-
-    def inside(before: Column) -> Column:
-        place = F.get(solid_places(F.substring(text, before * PIECE + 1, F.lit(PIECE))), k - F.coalesce(F.get(counts, before - 1), F.lit(0)))
-        return F.when(before < F.size(counts), before * PIECE + place)
-
-    return F.transform(F.array(F.size(F.filter(counts, lambda n: n <= k))), inside)[0]
-
-
-def first_place(text: Column, part: Column) -> Column:
-    """Place (from 1) of the first occurrence, 0 for none. Whether there is one is told faster."""
-    return F.when(F.contains(text, part), F.instr(text, part)).otherwise(0)
-
-
-def native_matches(extractions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds source, char_start, char_end, match_type (exact, normalized or null) and match_confidence.
-
-    A source without its white space, and numbers of its solid characters by piece, are made once a
-    document, before the join. Each search runs once a row: its result passes a generator, which
-    filters and projections on it aren't moved through.
-    """
+CONFIDENCE = {"exact": 1.0, "normalized": 0.85, "none": 0.1}
+#: Share of a block's part of its text that counts as confidence.
+FUZZY = 0.8
+#: Characters of a piece of a source.
+PIECE = 8192
+TEXTS = 10_000
+HOT_SHARE = 1000
+#: Patterns of fewer characters are looked for one by one: an automaton would tell all their places.
+SHORT = 4
+#: In sources of this many characters those are common that stand there more than 1 + length // 100 times.
+LONG, COMMON = 200, 100
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
+
+
+def first_places(source: str, patterns: list[str]) -> list[int]:
+    """The first place of each pattern in a source, -1 for none, in one pass for all that aren't short."""
+    places = [source.find(p) if len(p) < SHORT else -1 for p in patterns]
+    numbers: dict[str, list[int]] = {}
+    for k, p in enumerate(patterns):
+        if len(p) >= SHORT:
+            numbers.setdefault(p, []).append(k)
+    if not numbers:
+        return places
+    automaton = ahocorasick.Automaton()
+    for p, own in numbers.items():
+        automaton.add_word(p, (len(p), own))
+    automaton.make_automaton()
+    missing = len(numbers)
+    for end, (size, own) in automaton.iter(source):
+        if places[own[0]] < 0:
+            for k in own:
+                places[k] = end - size + 1
+            missing -= 1
+            if not missing:
+                break
+    return places
+
+
+def find_all(source: str, texts: list[str]) -> list[tuple]:
+    """(start, end, line, kind) of each text in a source; all None if it isn't found with or without white
+    space. A text found without it ends where the next solid character stands."""
+    codes = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.flatnonzero(codes == 10).tolist()
+    line = lambda start: bisect_right(ends, start - 1) + 1
+    out: list[tuple] = [(None, None, None, None)] * len(texts)
+    left = []
+    for k, at in enumerate(first_places(source, texts)):
+        if at >= 0:
+            out[k] = (at, at + len(texts[k]), line(at), "exact")
+        else:
+            left.append(k)
+    if left:
+        solid = np.flatnonzero(~np.isin(codes, _SPACES)).tolist()
+        place = lambda k: solid[k] if k < len(solid) else len(source)
+        queries = ["".join(texts[k].split()) for k in left]
+        for k, query, at in zip(left, queries, first_places("".join(source.split()), queries), strict=True):
+            if at >= 0:
+                out[k] = (place(at), place(at + len(query)), line(place(at)), "normalized")
+    return out
+
+
+def common_characters(source: str) -> str:
+    """The characters that make up more than a hundredth of a long source; there are less than a hundred."""
+    if len(source) < LONG:
+        return ""
+    codes, counts = np.unique(np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
+    return "".join(map(chr, codes[counts > len(source) // COMMON + 1].tolist()))
+
+
+def _searching(key_type: pa.DataType):
+    """Rows of one document are next to each other: the pieces of its source, then its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle() -> Iterator[pa.RecordBatch]:
+            if texts and pieces:
+                source = "".join(pieces)
+                found = find_all(source, texts)
+                common = common_characters(source) if any(x[3] is None for x in found) else None
+                columns = [[last[0]] * len(texts), texts, *zip(*found, strict=True), [common if x[3] is None else None for x in found]]
+                kinds = [key_type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_key", "text", "char_start", "char_end", "line", "match_type", "common"])
+
+        last, pieces, texts = None, [], []
+        for batch in batches:
+            for key, part, at, body in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "part", "at", "body")), strict=True):
+                if (key, part) != last:
+                    yield from settle()
+                    last, pieces, texts = (key, part), [], []
+                if at is not None:
+                    pieces.append(body)
+                else:
+                    texts.append(body)
+                    if len(texts) >= 2 * TEXTS:
+                        yield from settle()
+                        texts = []
+        yield from settle()
+
+    return run
+
+
+def search(texts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_key, text, char_start, char_end, line, match_type, common) of the distinct texts (doc_key, text)
+    of documents (doc_key, text); match_type is exact, normalized or null, in which case ``common`` has the
+    common characters of the source."""
+    counts = texts.groupBy("doc_key").agg(F.count("*").alias("n"))
+    total = texts.agg(F.count("*").alias("total"))
+    hot = counts.filter(F.col("n") > TEXTS).join(F.broadcast(total)).filter(F.col("n") * HOT_SHARE > F.col("total")).select("doc_key", F.ceil(F.col("n") / TEXTS).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    asked = texts.join(F.broadcast(hot), "doc_key", "left").select("doc_key", F.pmod(F.xxhash64("text"), parts).cast("int").alias("part"), F.lit(None).cast("int").alias("at"), F.col("text").alias("body"))
     whole = F.coalesce("text", F.lit(""))
-    texts = documents.select("doc_key", whole.alias("source")).select("doc_key", "source", without_space(F.col("source")).alias("_dense"), solid_counts(F.col("source")).alias("_counts"))
-    query, source, counts = F.col("text"), F.col("source"), F.col("_counts")
-    given = truthy(query) & source.isNotNull()
-    joined = extractions.join(texts, "doc_key", "left")
-    exact = joined.select("*", F.inline(F.array(F.struct(F.when(given, first_place(source, query)).alias("_exact"), without_space(query).alias("_query")))))
-    blind_at = F.when(F.col("_exact") == 0, F.when(F.col("_query") == "", 1).otherwise(first_place(F.col("_dense"), F.col("_query"))))
-    found = exact.select("*", F.inline(F.array(F.struct(blind_at.alias("_blind")))))
-    blind = F.col("_blind")
-    kind = F.when(F.col("_exact") > 0, "exact").when((blind > 0) & (blind <= F.length("_dense")), "normalized")
-    span = F.when(F.col("match_type") == "exact", F.struct((F.col("_exact") - 1).alias("start"), (F.col("_exact") - 1 + F.length(query)).alias("end"))).when(
-        F.col("match_type") == "normalized",
-        F.struct(nth_solid(source, counts, blind - 1).alias("start"), F.coalesce(nth_solid(source, counts, blind - 1 + F.length("_query")), F.length(source)).alias("end")),
-    )
-    return (
-        found.withColumn("match_type", kind)
-        .withColumn("_span", span)
-        .withColumn("char_start", F.col("_span.start").cast("int"))
-        .withColumn("char_end", F.col("_span.end").cast("int"))
-        .withColumn("match_confidence", F.when(F.col("match_type") == "exact", 1.0).when(F.col("match_type") == "normalized", 0.85))
-        .drop("_exact", "_blind", "_query", "_span", "_dense", "_counts")
-    )
-
-
-def longest_block(query: str, source: str, autojunk: bool = True) -> tuple[int, int]:
-    """Start in the source and length of the longest common block."""
-    block = difflib.SequenceMatcher(None, query, source, autojunk=autojunk).find_longest_match(0, len(query), 0, len(source))
-    return block.b, block.size
-
-
-def fuzzy_block(query: Column, source: Column, autojunk: bool = True) -> Column:
-    def find(queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        found = [longest_block(q, s, autojunk) if q and s else (0, 0) for q, s in zip(queries, texts, strict=True)]
-        return pd.DataFrame(found, columns=["start", "size"])
-
-    return F.pandas_udf(find, "start int, size int")(query, source)
+    bodies = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    sources = documents.select("doc_key", F.posexplode(F.when(whole == "", F.array(F.lit(""))).otherwise(bodies)).alias("at", "body"))
+    dealt = sources.join(F.broadcast(hot), "doc_key", "left").select("doc_key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "at", "body")
+    rows = dealt.unionByName(asked).repartition("doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"))
+    kind = texts.schema["doc_key"].dataType
+    return rows.mapInArrow(_searching(to_arrow_type(kind)), f"doc_key {kind.simpleString()}, text string, char_start int, char_end int, line int, match_type string, common string")
+
+
+def asked_texts(extractions: DataFrame) -> DataFrame:
+    """The distinct texts to look for, by document."""
+    return extractions.filter(truthy(F.col("text"))).select("doc_key", "text").distinct()
+
+
+def locations(texts: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
+    """(doc_key, text, source_location) of the distinct texts that are found. The search runs at once, and
+    what it finds is kept in the shared folder."""
+    found = cut(search(texts, documents))
+    sure = F.when(F.col("match_type") == "exact", CONFIDENCE["exact"]).otherwise(CONFIDENCE["normalized"])
+    every = found.filter("match_type IS NOT NULL").withColumn("confidence", sure).drop("common")
+    missing = found.filter("match_type IS NULL").select("doc_key", "text", ("common" if autojunk else F.lit("").alias("common")))
+    if not missing.isEmpty():
+        blocks = longest_blocks(missing, documents)
+        ratio = F.col("size") / F.length("text")
+        fuzzy = blocks.filter((F.col("size") > 0) & (ratio >= min_ratio)).select(
+            "doc_key", "text", F.col("start").alias("char_start"), (F.col("start") + F.col("size")).alias("char_end"), "line", F.lit("fuzzy").alias("match_type"), (ratio * FUZZY).alias("confidence")
+        )
+        every = every.unionByName(fuzzy)
+    return every.select("doc_key", "text", F.struct("char_start", "char_end", "line", "match_type", "confidence").alias("source_location"))
 
 
 def ground(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
-    """Adds source_location to every extraction; texts not found have match_type none.
-
-    One pass: only texts that the native search doesn't find, and their sources, are sent to Python.
-    """
-    found = native_matches(extractions, documents)
-    given = F.coalesce(truthy(F.col("text")), F.lit(False))
-    left = given & F.col("match_type").isNull()
-    block = fuzzy_block(F.when(left, F.col("text")), F.when(left, F.col("source")), autojunk)
-    searched = found.withColumn("_left", left).withColumn("_block", block)
-    ratio = F.col("_block.size") / F.length("text")
-    hit = F.col("_left") & (ratio >= min_ratio)
-    placed = searched.select(
-        *extractions.columns,
-        "source",
-        F.when(hit, F.col("_block.start")).otherwise(F.col("char_start")).alias("char_start"),
-        F.when(hit, F.col("_block.start") + F.col("_block.size")).otherwise(F.col("char_end")).alias("char_end"),
-        F.when(hit, "fuzzy").when(F.col("_left"), "none").otherwise(F.col("match_type")).alias("match_type"),
-        F.when(hit, ratio * 0.8).when(F.col("_left"), 0.1).otherwise(F.col("match_confidence")).alias("match_confidence"),
-    )
-    located = F.struct(
-        "char_start", "char_end", F.when(F.col("char_start").isNotNull(), line_number(F.col("source"), F.col("char_start"))).alias("line"), "match_type", F.col("match_confidence").alias("confidence")
+    """Adds source_location to every extraction; texts not found have match_type none, extractions
+    without text no location. Sources meet distinct texts only; what comes back are places."""
+    found = locations(asked_texts(extractions), documents, min_ratio, autojunk)
+    nowhere = F.struct(
+        *(F.lit(None).cast("int").alias(c) for c in ("char_start", "char_end", "line")), F.lit("none").alias("match_type"), F.lit(CONFIDENCE["none"]).alias("confidence")
     )
-    return placed.select(*extractions.columns, F.when(F.col("match_type").isNotNull(), located).alias("source_location"))
+    given = F.coalesce(truthy(F.col("text")), F.lit(False))
+    plain = extractions.select(*(c for c in extractions.columns if c != "source_location"))
+    joined = plain.join(found, ["doc_key", "text"], "left")
+    return joined.select(*plain.columns, F.when(given, F.coalesce("source_location", nowhere)).alias("source_location"))

@@ -1,11 +1,25 @@
-"""Dense surrogate keys in the order of a column, without a single task for all rows."""
+"""Dense surrogate keys in the order of a column, without a single task for all rows; lineage cuts."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, keep it in the folder of ``spark.checkpoint.dir`` and forget its lineage. Where that
+    is unset, in local sessions, a temporary folder is taken."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='extractions-')}")
+    return df.checkpoint(eager=True)
+
+
 def numbered(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
     """Adds ``name``: after + 1, after + 2, ... in the given order.
 

@@ -5,10 +5,16 @@ Spans: (doc_key, ord, type, name, start, end, n_attrs, text_length, confidence).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 THRESHOLD = 0.5
+#: Characters of a bin. Spans count for the bin where they start, however long they are.
+BIN = 4096
 
 
 def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -40,35 +46,69 @@ def overlap_pairs(spans: DataFrame, threshold: float = THRESHOLD, bin_width: int
     return pairs.select(F.col("a.doc_key").alias("doc_key"), F.col("a.ord").alias("ord"), F.col("b.ord").alias("other"), ratio.alias("ratio"))
 
 
+def segments(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``segment``: spans of one document and type in different segments don't overlap.
+
+    A sweep over bins of starts: a segment ends before a bin that no span of an earlier bin reaches into.
+    Only bins are put in order, so a document of any size is cut without a task that sees all its spans.
+    """
+    kind = F.coalesce(F.concat(F.lit("="), "type"), F.lit("")).alias("kind")  # null is a type of its own
+    binned = spans.select("*", kind, F.floor(F.col("start") / BIN).alias("bin"))
+    bins = binned.groupBy("doc_key", "kind", "bin").agg(F.min("start").alias("low"), F.max("end").alias("high"))
+    along = Window.partitionBy("doc_key", "kind").orderBy("bin")
+    reach = F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = bins.withColumn("fresh", F.coalesce(reach <= F.col("low"), F.lit(True)).cast("int"))
+    numbered = cuts.select("doc_key", "kind", "bin", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    return binned.join(numbered, ["doc_key", "kind", "bin"]).drop("bin")
+
+
+def _folding(threshold: float, key_type: pa.DataType):
+    """(doc_key, ord) of the spans that stay, segment by segment, whose spans come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("doc_key", "kind", "segment", "start", "end", "ord", "name", "n_attrs", "text_length", "confidence")
+        last, active = None, []  # kept spans that later ones may overlap, in order
+        for batch in batches:
+            out = []
+            for *place, start, end, order, name, n, size, sure in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if place != last:
+                    out += [(x[0], x[3]) for x in active]
+                    last, active = place, []
+                kept, blocked, rank = [], False, (n, size, sure)
+                for x in active:
+                    _, low, high, other, label, strength = x
+                    if high <= start:  # nothing that follows overlaps it
+                        out.append((x[0], other))
+                        continue
+                    common, shorter = min(end, high) - max(start, low), min(end - start, high - low)
+                    conflict = not blocked and common > 0 and shorter > 0 and common / shorter > threshold and not (name and label and name != label)
+                    if conflict and rank > strength:
+                        continue
+                    blocked = blocked or conflict
+                    kept.append(x)
+                if not blocked:
+                    kept.append((place[0], start, end, order, name, rank))
+                active = kept
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], key_type), pa.array([x[1] for x in out], pa.int64())], names=["doc_key", "ord"])
+        if active:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in active], key_type), pa.array([x[3] for x in active], pa.int64())], names=["doc_key", "ord"])
+
+    return run
+
+
 def survivors(spans: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_key, ord) of the spans that stay.
 
     In order of their start, each span meets those kept so far: of two that overlap, the one with
     more attributes (then longer text, then confidence) stays; one that loses to any kept span is
-    left out. Only keys and what is compared are folded, by document and type.
+    left out. Segments are folded on their own; a fold holds the spans that reach beyond the last start.
     """
-    item = F.struct(
-        F.col("start").cast("long").alias("start"), F.col("ord").cast("long").alias("ord"), F.col("end").cast("long").alias("end"), F.coalesce("name", F.lit("")).alias("name"),
-        F.struct(F.col("n_attrs").cast("long").alias("n"), F.col("text_length").cast("long").alias("l"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("c")).alias("rank"),
-    )
-    located = spans.filter(F.col("start").isNotNull()).groupBy("doc_key", "type").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = located.schema["items"].dataType.elementType.simpleString()
-    none = F.array().cast(f"array<{kind}>")
-
-    def conflict(k, x):
-        named = (k["name"] != "") & (x["name"] != "") & (k["name"] != x["name"])
-        return ~named & (overlap_ratio(k["start"], k["end"], x["start"], x["end"]) > threshold)
-
-    def meet(kept, x):
-        def step(state, k):
-            loses = ~state["blocked"] & conflict(k, x) & (x["rank"] <= k["rank"])
-            drops = ~state["blocked"] & conflict(k, x) & (x["rank"] > k["rank"])
-            return F.struct(F.when(drops, state["kept"]).otherwise(F.array_append(state["kept"], k)).alias("kept"), (state["blocked"] | loses).alias("blocked"))
-
-        start = F.struct(none.alias("kept"), F.lit(False).alias("blocked"))
-        return F.aggregate(kept, start, step, lambda s: F.when(s["blocked"], s["kept"]).otherwise(F.array_append(s["kept"], x)))
-
-    kept = located.select("doc_key", F.explode(F.aggregate("items", none, meet)).alias("x")).select("doc_key", F.col("x.ord").alias("ord"))
+    longs = [F.col(c).cast("long").alias(c) for c in ("start", "end", "ord", "n_attrs", "text_length")]
+    located = spans.filter(F.col("start").isNotNull()).select("doc_key", "type", F.coalesce("name", F.lit("")).alias("name"), *longs, F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
+    dealt = segments(located).repartition("doc_key", "kind", "segment").sortWithinPartitions("doc_key", "kind", "segment", "start", "ord")
+    key = spans.schema["doc_key"].dataType
+    kept = dealt.mapInArrow(_folding(threshold, to_arrow_type(key)), f"doc_key {key.simpleString()}, ord long")
     return kept.unionByName(spans.filter(F.col("start").isNull()).select("doc_key", F.col("ord").cast("long").alias("ord")))
 
 

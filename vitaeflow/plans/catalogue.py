@@ -347,10 +347,14 @@ def parse_word_files(spark, d):
 
 
 # --- grounding, spans, confidence, resolution, relations ----------------------------------------
-def _grounded(spark: SparkSession, d: str) -> DataFrame:
-    lines = doc_lines(spark, d).drop("source")
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc_key"), "text")
-    return grounding.native_matches(lines, docs)
+def _lines_and_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return doc_lines(spark, d).drop("source"), spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc_key"), "text")
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that are found as they are or without white space."""
+    lines, docs = _lines_and_documents(spark, d)
+    return lines.join(grounding.search(grounding.asked_texts(lines), docs), ["doc_key", "text"])
 
 
 _FOUND = ctes("doc_lines").rstrip() + r""",
@@ -361,7 +365,7 @@ n AS (SELECT *, regexp_replace(text, '\s+', '', 'g') AS q, regexp_replace(source
 
 @query(_FOUND + "h AS (SELECT * FROM x WHERE p > 0) SELECT doc_key, ord, CAST(p - 1 AS INTEGER) AS char_start, CAST(p - 1 + length(text) AS INTEGER) AS char_end FROM h")
 def ground_exact(spark, d):
-    return _grounded(spark, d).filter("match_type = 'exact'").select("doc_key", "ord", "char_start", "char_end")
+    return _searched(spark, d).filter("match_type = 'exact'").select("doc_key", "ord", "char_start", "char_end")
 
 
 @query(ctes("doc_lines").rstrip() + r""",
@@ -373,20 +377,44 @@ h AS (SELECT doc_key, ord, places, length(source) AS n, strpos(dense, q) AS b, l
 SELECT doc_key, ord, CAST(places[b] AS INTEGER) AS char_start, CAST(coalesce(places[b + m], n) AS INTEGER) AS char_end FROM h WHERE b > 0""")
 def ground_normalized(spark, d):
     """What the white-space-blind search finds; a span ends where the next solid character stands."""
-    return _grounded(spark, d).filter("match_type = 'normalized'").select("doc_key", "ord", "char_start", "char_end")
+    return _searched(spark, d).filter("match_type = 'normalized'").select("doc_key", "ord", "char_start", "char_end")
 
 
 @query(_FOUND + "h AS (SELECT * FROM x WHERE p > 0) SELECT doc_key, ord, CAST(length(source[1:p - 1]) - length(replace(source[1:p - 1], chr(10), '')) + 1 AS INTEGER) AS line FROM h")
 def ground_line_no(spark, d):
-    return _grounded(spark, d).filter("match_type = 'exact'").select("doc_key", "ord", text.line_number(F.col("source"), F.col("char_start")).alias("line"))
+    return _searched(spark, d).filter("match_type = 'exact'").select("doc_key", "ord", "line")
+
+
+_BLOCKS = ctes("doc_lines").rstrip() + r""",
+docs AS (SELECT CAST(doc_id AS BIGINT) AS doc_key, text AS source, regexp_replace(text, '\s+', '', 'g') AS dense, length(text) AS n FROM documents),
+places AS (SELECT doc_key, list_filter(list_transform(string_split(source, ''), lambda c, i: CASE WHEN regexp_matches(c, '^\s$') THEN -1 ELSE i - 1 END), lambda i: i >= 0) AS places FROM docs),
+texts AS (SELECT row_number() OVER () AS id, doc_key, text FROM (SELECT DISTINCT doc_key, text FROM doc_lines WHERE text <> '')),
+x AS (SELECT id, doc_key, text, source, n, dense, strpos(source, text) AS p, regexp_replace(text, '\s+', '', 'g') AS q FROM texts JOIN docs USING (doc_key)),
+y AS (SELECT *, CASE WHEN p > 0 THEN 0 WHEN q = '' THEN 1 ELSE strpos(dense, q) END AS b FROM x),
+sure AS (SELECT id, p - 1 AS s, p - 1 + length(text) AS e, 'exact' AS kind, 1.0::DOUBLE AS confidence FROM y WHERE p > 0
+  UNION ALL SELECT id, coalesce(places[b], n), coalesce(places[b + length(q)], n), 'normalized', 0.85::DOUBLE FROM y JOIN places USING (doc_key) WHERE p = 0 AND b > 0),
+m AS (SELECT id, doc_key, text, source, n FROM y WHERE p = 0 AND b = 0),
+chars AS (SELECT doc_key, n, unnest(string_split(source, '')) AS c, generate_subscripts(string_split(source, ''), 1) - 1 AS j FROM docs SEMI JOIN m USING (doc_key)),
+rare AS (SELECT doc_key, c, j FROM (SELECT *, count(*) OVER (PARTITION BY doc_key, c) AS k FROM chars) WHERE n < 200 OR k <= n // 100 + 1),
+own AS (SELECT id, doc_key, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM m),
+pairs AS (SELECT id, i, j, i - row_number() OVER (PARTITION BY id, j - i ORDER BY i) AS run FROM own JOIN rare USING (doc_key, c)),
+runs AS (SELECT id, min(i) AS i, min(j) AS j, count(*) AS k FROM pairs GROUP BY id, j - i, run),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC, i, j) = 1),
+seeds AS (SELECT m.*, coalesce(i, 0) AS i, coalesce(j, 0) AS j, coalesce(k, 0) AS k FROM m LEFT JOIN best USING (id)),
+sides AS (SELECT *, reverse(text[1:i]) AS a1, reverse(source[1:j]) AS b1, text[i + k + 1:] AS a2, source[j + k + 1:j + k + length(text)] AS b2 FROM seeds),
+grown AS (SELECT *,
+  coalesce(list_position(list_transform(range(1, least(length(a1), length(b1)) + 1), lambda z: a1[z] <> b1[z]), true) - 1, least(length(a1), length(b1))) AS before,
+  coalesce(list_position(list_transform(range(1, least(length(a2), length(b2)) + 1), lambda z: a2[z] <> b2[z]), true) - 1, least(length(a2), length(b2))) AS after FROM sides),
+found AS (SELECT * FROM sure UNION ALL SELECT id, j - before, j + k + after, 'fuzzy', ((before + k + after) / length(text)::DOUBLE) * 0.8::DOUBLE FROM grown WHERE before + k + after > 0 AND (before + k + after) / length(text)::DOUBLE >= 0.3)
+"""
 
 
-@query()
+@query(_BLOCKS + """SELECT l.doc_key, l.ord, CAST(f.s AS INTEGER) AS char_start, CAST(f.e AS INTEGER) AS char_end, CAST(length(l.source[1:f.s]) - length(replace(l.source[1:f.s], chr(10), '')) + 1 AS INTEGER) AS line,
+  CASE WHEN t.id IS NOT NULL THEN coalesce(f.kind, 'none') END AS match_type, CASE WHEN t.id IS NOT NULL THEN coalesce(f.confidence, 0.1::DOUBLE) END AS confidence
+  FROM doc_lines l LEFT JOIN texts t ON t.doc_key = l.doc_key AND t.text = l.text LEFT JOIN found f USING (id)""")
 def ground_fuzzy(spark, d):
-    """All lines; those that the native search doesn't find are found by their longest block."""
-    lines = doc_lines(spark, d).drop("source")
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc_key"), "text")
-    return grounding.ground(lines, docs).select("doc_key", "ord", "source_location.*")
+    """All lines; those that no search finds are found by their longest block."""
+    return grounding.ground(*_lines_and_documents(spark, d)).select("doc_key", "ord", "source_location.*")
 
 
 _PAIR = """s AS (SELECT * FROM spans WHERE "end" > start),
@@ -478,11 +506,60 @@ def entity_similarity_contain(spark, d):
     return both.select("a", "b", resolution.containment_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-@query()
+_SIMILAR = """WITH RECURSIVE e AS (SELECT p_type AS doc_key, p_name AS name, min(CAST(p_partkey AS BIGINT)) AS ord, row_number() OVER (PARTITION BY p_type ORDER BY min(p_partkey)) AS k FROM part GROUP BY 1, 2),
+names AS (SELECT DISTINCT name FROM e),
+pairs AS (SELECT a.name AS a, b.name AS b FROM names a JOIN names b ON a.name <> b.name),
+-- The longest equal block of each stretch of both names; what stands before and behind it are stretches again.
+blocks AS (
+  SELECT a, b, 0 AS a1, length(a) AS a2, 0 AS b1, length(b) AS b2 FROM pairs WHERE NOT contains(a, b) AND NOT contains(b, a)
+  UNION ALL
+  SELECT a, b, CASE side WHEN 0 THEN a1 ELSE i + n END, CASE side WHEN 0 THEN i ELSE a2 END, CASE side WHEN 0 THEN b1 ELSE j + n END, CASE side WHEN 0 THEN j ELSE b2 END
+  FROM (SELECT *, best.n AS n, -best.i AS i, -best.j AS j FROM (SELECT *, {best} AS best FROM blocks WHERE a2 > a1 AND b2 > b1)), (VALUES (0), (1)) s(side) WHERE n > 0),
+matched AS MATERIALIZED (SELECT a, b, sum(n) AS m FROM (SELECT a, b, coalesce({best}.n, 0) AS n FROM blocks WHERE a2 > a1 AND b2 > b1) GROUP BY 1, 2),
+likeness AS MATERIALIZED (SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 0.9::DOUBLE * least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 2.0::DOUBLE * coalesce(m, 0) / (length(a) + length(b)) END AS similarity
+  FROM pairs LEFT JOIN matched USING (a, b)),
+""".replace("{best}", """list_max(flatten(list_transform(range(a1, a2), lambda i: list_transform(range(b1, b2), lambda j: {
+    'n': list_max(list_filter(range(0, least(a2 - i, b2 - j) + 1), lambda z: a[i + 1:i + z] = b[j + 1:j + z])), 'i': -i, 'j': -j}))))""")
+_GREEDY = _SIMILAR + """before AS MATERIALIZED (SELECT x.doc_key, x.k, list(y.name ORDER BY y.k) AS near FROM e x JOIN e y ON y.doc_key = x.doc_key AND y.k < x.k JOIN likeness s ON s.a = y.name AND s.b = x.name WHERE s.similarity >= 0.7 GROUP BY 1, 2),
+steps AS MATERIALIZED (SELECT e.doc_key, e.k, e.name, coalesce(b.near, []) AS near FROM e LEFT JOIN before b USING (doc_key, k)),
+walk AS (
+  SELECT DISTINCT doc_key, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seeds, '' AS name, '' AS seed FROM e
+  UNION ALL
+  SELECT w.doc_key, w.k + 1, CASE WHEN len(list_intersect(seeds, near)) = 0 THEN list_append(seeds, s.name) ELSE seeds END, s.name,
+    coalesce(list_filter(near, lambda x: list_contains(seeds, x))[1], s.name)
+  FROM walk w JOIN steps s ON s.doc_key = w.doc_key AND s.k = w.k + 1),
+told AS (SELECT w.doc_key, e.ord, w.name AS text, first_value(w.name) OVER (PARTITION BY w.doc_key, w.seed ORDER BY contains(w.name, ' '), length(w.name) DESC, e.k) AS canonical
+  FROM walk w JOIN e ON e.doc_key = w.doc_key AND e.k = w.k)
+"""
+
+
+@query(_SIMILAR.rstrip().rstrip(",") + "\nSELECT * FROM likeness")
+def entity_similarity(spark, d):
+    """All pairs of names, in either order: the ratio of matching blocks depends on it."""
+    import pandas as pd
+
+    names = _entities(spark, d).select("text").distinct()
+    pairs = names.select(F.col("text").alias("a")).join(names.select(F.col("text").alias("b")), F.col("a") != F.col("b"))
+    ratio = F.pandas_udf(lambda a, b: pd.Series(map(resolution.similarity, a, b), dtype="float64"), "double")
+    return pairs.select("a", "b", ratio("a", "b").alias("similarity"))
+
+
+@query(_GREEDY + "SELECT * FROM told")
 def entity_clusters(spark, d):
     return resolution.clusters(_entities(spark, d))
 
 
+@query(_GREEDY + """SELECT doc_key, ord, 'entity' AS type, text, NULL AS "from", NULL AS "to" FROM told WHERE text IN (SELECT canonical FROM told t WHERE t.doc_key = told.doc_key)
+  UNION ALL SELECT p_type, CAST(p_partkey AS BIGINT), 'relation', 'told', x.canonical, concat('not ', p_name) FROM part JOIN told x ON x.doc_key = p_type AND x.text = p_name""")
+def entity_resolution(spark, d):
+    """Canonical entities stay, others go, and relations speak of canonical ones."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    none = F.lit(None).cast("string")
+    entities = _entities(spark, d).select("doc_key", "ord", F.lit("entity").alias("type"), "text", none.alias("from"), none.alias("to"))
+    told = part.select(F.col("p_type").alias("doc_key"), F.col("p_partkey").cast("long").alias("ord"), F.lit("relation").alias("type"), F.lit("told").alias("text"), F.col("p_name").alias("from"), F.concat(F.lit("not "), "p_name").alias("to"))
+    return resolution.resolve(entities.unionByName(told))
+
+
 @query("SELECT CAST(l_orderkey AS BIGINT) AS doc_key, coalesce(CASE WHEN l_returnflag = 'R' THEN 'returned' END, l_returnflag) AS \"from\", l_linestatus AS \"to\", count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def alias_rewrite(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").cast("long").alias("doc_key"), F.col("l_returnflag").alias("from"), F.col("l_linestatus").alias("to"))
