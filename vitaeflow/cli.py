@@ -101,7 +101,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("\n".join(rows.toJSON().toLocalIterator())) if given.json else _table(rows)
     elif given.command == "match":
         wanted = jd_frame(spark, given.jd)
-        _table(matching.best(matching.profiles(store, wanted), wanted, given.top))
+        _table(matching.best_in_store(store, wanted, given.top).orderBy("rank").drop("rank"))
     elif given.command == "delete":
         found = not store.candidates.filter(F.col("id") == given.id).isEmpty()
         if found:

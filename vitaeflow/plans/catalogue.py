@@ -385,7 +385,7 @@ def ground_line_no(spark, d):
     return _searched(spark, d).filter("match_type = 'exact'").select("doc_key", "ord", "line")
 
 
-_BLOCKS = ctes("doc_lines").rstrip() + r""",
+_BLOCK_STEPS = r""",
 docs AS (SELECT CAST(doc_id AS BIGINT) AS doc_key, text AS source, regexp_replace(text, '\s+', '', 'g') AS dense, length(text) AS n FROM documents),
 places AS (SELECT doc_key, list_filter(list_transform(string_split(source, ''), lambda c, i: CASE WHEN regexp_matches(c, '^\s$') THEN -1 ELSE i - 1 END), lambda i: i >= 0) AS places FROM docs),
 texts AS (SELECT row_number() OVER () AS id, doc_key, text FROM (SELECT DISTINCT doc_key, text FROM doc_lines WHERE text <> '')),
@@ -409,6 +409,9 @@ found AS (SELECT * FROM sure UNION ALL SELECT id, j - before, j + k + after, 'fu
 """
 
 
+_BLOCKS = ctes("doc_lines").rstrip() + _BLOCK_STEPS
+
+
 @query(_BLOCKS + """SELECT l.doc_key, l.ord, CAST(f.s AS INTEGER) AS char_start, CAST(f.e AS INTEGER) AS char_end, CAST(length(l.source[1:f.s]) - length(replace(l.source[1:f.s], chr(10), '')) + 1 AS INTEGER) AS line,
   CASE WHEN t.id IS NOT NULL THEN coalesce(f.kind, 'none') END AS match_type, CASE WHEN t.id IS NOT NULL THEN coalesce(f.confidence, 0.1::DOUBLE) END AS confidence
   FROM doc_lines l LEFT JOIN texts t ON t.doc_key = l.doc_key AND t.text = l.text LEFT JOIN found f USING (id)""")
@@ -435,11 +438,12 @@ _WEAKER = "(x[1].n, x[1].l, x[1].c) <= (e.n, e.l, e.c)"
 _BLOCK = f"coalesce(list_position(list_transform(kept, lambda e: {_LAPPED} AND {_WEAKER}), true), len(kept) + 1)"
 
 
-_FOLDED = ctes("spans").rstrip() + f""",
+_FOLD_STEPS = f""",
 items AS (SELECT doc_key, list([{{'start': start, 'ord': ord, 'end': "end", 'name': coalesce(name, ''), 'n': n_attrs, 'l': text_length, 'c': confidence}}] ORDER BY start, ord) AS xs FROM spans WHERE start IS NOT NULL GROUP BY doc_key, type),
 folded AS (SELECT doc_key, list_reduce(xs, lambda kept, x: list_concat(list_filter(kept, lambda e, i: i >= {_BLOCK} OR NOT {_LAPPED}), CASE WHEN {_BLOCK} > len(kept) THEN x ELSE [] END)) AS kept FROM items),
 left_over AS (SELECT doc_key, unnest(kept).ord AS ord FROM folded UNION ALL SELECT doc_key, ord FROM spans WHERE start IS NULL)
 """
+_FOLDED = ctes("spans").rstrip() + _FOLD_STEPS
 
 
 @query(_FOLDED + "SELECT * FROM left_over")
@@ -506,21 +510,24 @@ def entity_similarity_contain(spark, d):
     return both.select("a", "b", resolution.containment_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-_SIMILAR = """WITH RECURSIVE e AS (SELECT p_type AS doc_key, p_name AS name, min(CAST(p_partkey AS BIGINT)) AS ord, row_number() OVER (PARTITION BY p_type ORDER BY min(p_partkey)) AS k FROM part GROUP BY 1, 2),
+_NAMES = """WITH RECURSIVE e AS (SELECT p_type AS doc_key, p_name AS name, min(CAST(p_partkey AS BIGINT)) AS ord, row_number() OVER (PARTITION BY p_type ORDER BY min(p_partkey)) AS k FROM part GROUP BY 1, 2),
 names AS (SELECT DISTINCT name FROM e),
-pairs AS (SELECT a.name AS a, b.name AS b FROM names a JOIN names b ON a.name <> b.name),
+alike AS (SELECT a.name AS a, b.name AS b FROM names a JOIN names b ON a.name <> b.name),
+"""
+_SIMILAR_STEPS = """
 -- The longest equal block of each stretch of both names; what stands before and behind it are stretches again.
 blocks AS (
-  SELECT a, b, 0 AS a1, length(a) AS a2, 0 AS b1, length(b) AS b2 FROM pairs WHERE NOT contains(a, b) AND NOT contains(b, a)
+  SELECT a, b, 0 AS a1, length(a) AS a2, 0 AS b1, length(b) AS b2 FROM alike WHERE NOT contains(a, b) AND NOT contains(b, a)
   UNION ALL
   SELECT a, b, CASE side WHEN 0 THEN a1 ELSE i + n END, CASE side WHEN 0 THEN i ELSE a2 END, CASE side WHEN 0 THEN b1 ELSE j + n END, CASE side WHEN 0 THEN j ELSE b2 END
   FROM (SELECT *, best.n AS n, -best.i AS i, -best.j AS j FROM (SELECT *, {best} AS best FROM blocks WHERE a2 > a1 AND b2 > b1)), (VALUES (0), (1)) s(side) WHERE n > 0),
 matched AS MATERIALIZED (SELECT a, b, sum(n) AS m FROM (SELECT a, b, coalesce({best}.n, 0) AS n FROM blocks WHERE a2 > a1 AND b2 > b1) GROUP BY 1, 2),
 likeness AS MATERIALIZED (SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 0.9::DOUBLE * least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 2.0::DOUBLE * coalesce(m, 0) / (length(a) + length(b)) END AS similarity
-  FROM pairs LEFT JOIN matched USING (a, b)),
+  FROM alike LEFT JOIN matched USING (a, b)),
 """.replace("{best}", """list_max(flatten(list_transform(range(a1, a2), lambda i: list_transform(range(b1, b2), lambda j: {
     'n': list_max(list_filter(range(0, least(a2 - i, b2 - j) + 1), lambda z: a[i + 1:i + z] = b[j + 1:j + z])), 'i': -i, 'j': -j}))))""")
-_GREEDY = _SIMILAR + """before AS MATERIALIZED (SELECT x.doc_key, x.k, list(y.name ORDER BY y.k) AS near FROM e x JOIN e y ON y.doc_key = x.doc_key AND y.k < x.k JOIN likeness s ON s.a = y.name AND s.b = x.name WHERE s.similarity >= 0.7 GROUP BY 1, 2),
+_SIMILAR = _NAMES + _SIMILAR_STEPS
+_GREEDY_STEPS = """before AS MATERIALIZED (SELECT x.doc_key, x.k, list(y.name ORDER BY y.k) AS near FROM e x JOIN e y ON y.doc_key = x.doc_key AND y.k < x.k JOIN likeness s ON s.a = y.name AND s.b = x.name WHERE s.similarity >= 0.7 GROUP BY 1, 2),
 steps AS MATERIALIZED (SELECT e.doc_key, e.k, e.name, coalesce(b.near, []) AS near FROM e LEFT JOIN before b USING (doc_key, k)),
 walk AS (
   SELECT DISTINCT doc_key, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seeds, '' AS name, '' AS seed FROM e
@@ -531,6 +538,7 @@ walk AS (
 told AS (SELECT w.doc_key, e.ord, w.name AS text, first_value(w.name) OVER (PARTITION BY w.doc_key, w.seed ORDER BY contains(w.name, ' '), length(w.name) DESC, e.k) AS canonical
   FROM walk w JOIN e ON e.doc_key = w.doc_key AND e.k = w.k)
 """
+_GREEDY = _SIMILAR + _GREEDY_STEPS
 
 
 @query(_SIMILAR.rstrip().rstrip(",") + "\nSELECT * FROM likeness")
@@ -621,6 +629,84 @@ def pipeline_summary(spark, d):
     return told.select("total_extractions", "avg_confidence", "high", "medium", "low", flat("by_type"), flat("match_quality"), "inferred_relations")
 
 
+# --- all stages in order ------------------------------------------------------------------------
+_KINDS_SAID = ("candidate", "entity", "experience", "entity", "skill", "relation", "education", "entity", "rule", None)
+_SAID = ctes("doc_lines").replace("WITH ", "WITH RECURSIVE ", 1).replace("doc_lines AS (", "plain AS (").rstrip() + """,
+said AS (SELECT CAST(p.doc_key AS VARCHAR) AS doc_key, p.ord, p.source, [{kinds}][p.ord % 10 + 1] AS type, CASE WHEN p.ord % 10 IN (1, 3, 7) THEN p.text[1:12] ELSE p.text END AS text,
+  CASE WHEN p.ord % 2 = 0 THEN 'summary ' || p.text[1:5] END AS summary_cn, printf('2019.%02d', p.ord % 12 + 1) AS period_start, CASE WHEN p.ord % 30 = 0 THEN 'Ann' END AS name,
+  CASE WHEN p.ord % 10 = 5 THEN q.text[1:12] END AS "from", CASE WHEN p.ord % 10 = 5 THEN 'all' END AS "to", CASE WHEN p.ord % 20 = 5 THEN 'knows' END AS relation_type
+  FROM plain p LEFT JOIN plain q ON q.doc_key = p.doc_key AND q.ord = p.ord - 2),
+doc_lines AS (SELECT CAST(doc_key AS BIGINT) AS doc_key, ord, source, text FROM said)""".replace("{kinds}", ", ".join("NULL" if k is None else f"'{k}'" for k in _KINDS_SAID))
+_STAGES_SQL = _SAID + _BLOCK_STEPS.rstrip() + """,
+grounded AS (
+  SELECT s.*, CAST(f.s AS BIGINT) AS start, CAST(f.e AS BIGINT) AS "end", length(s.source[1:f.s]) - length(replace(s.source[1:f.s], chr(10), '')) + 1 AS line, CASE WHEN t.id IS NOT NULL THEN coalesce(f.kind, 'none') END AS match_type
+  FROM said s LEFT JOIN texts t ON CAST(t.doc_key AS VARCHAR) = s.doc_key AND t.text = s.text LEFT JOIN found f USING (id)),
+spans AS (SELECT doc_key, ord, type, name, start, "end", 2 + CAST(summary_cn IS NOT NULL AS INT) + CAST(coalesce("from", '') <> '' AS INT) + CAST("to" IS NOT NULL AS INT) + CAST(relation_type IS NOT NULL AS INT) AS n_attrs,
+  length(text) AS text_length, 0.0::DOUBLE AS confidence FROM grounded)""" + _FOLD_STEPS.rstrip() + """,
+scored AS (SELECT g.*, round(least(1.0, greatest(0.0, (CASE match_type WHEN 'exact' THEN 1.0::DOUBLE WHEN 'normalized' THEN 0.85 WHEN 'fuzzy' THEN 0.6 ELSE 0.1 END) * 0.35::DOUBLE
+  + (CASE WHEN summary_cn IS NULL THEN 0.0::DOUBLE ELSE 1 / 3.0::DOUBLE END) * 0.25::DOUBLE
+  + (CASE WHEN length(text) = 0 THEN 0.0::DOUBLE WHEN length(text) < 10 THEN length(text) / 10.0::DOUBLE WHEN length(text) <= 200 THEN 1.0 ELSE greatest(0.3, 1.0 - (length(text) - 200) / 800.0::DOUBLE) END) * 0.2::DOUBLE
+  + (CASE WHEN type IS NULL THEN 0.5::DOUBLE WHEN type IN ('entity', 'rule', 'relation') THEN 0.9 ELSE 0.7 END) * 0.2::DOUBLE)) + 1e-9::DOUBLE, 3) AS confidence
+  FROM grounded g SEMI JOIN left_over o ON o.doc_key = g.doc_key AND o.ord = g.ord),
+e AS (SELECT doc_key, text AS name, min(ord) AS ord, row_number() OVER (PARTITION BY doc_key ORDER BY min(ord)) AS k FROM scored WHERE type = 'entity' AND text <> '' GROUP BY 1, 2),
+alike AS (SELECT DISTINCT a.name AS a, b.name AS b FROM e a JOIN e b ON a.doc_key = b.doc_key AND a.k < b.k),""" + _SIMILAR_STEPS + _GREEDY_STEPS.rstrip() + """,
+alias AS (SELECT doc_key, text, any_value(canonical) AS canonical FROM told GROUP BY 1, 2),
+out AS (
+  SELECT s.* EXCLUDE ("from", "to"), coalesce(a.canonical, s."from") AS "from", coalesce(b.canonical, s."to") AS "to"
+  FROM scored s LEFT JOIN alias a ON s.type = 'relation' AND a.doc_key = s.doc_key AND a.text = s."from" LEFT JOIN alias b ON s.type = 'relation' AND b.doc_key = s.doc_key AND b.text = s."to"
+  WHERE s.type IS DISTINCT FROM 'entity' OR s.text = '' OR s.text IN (SELECT canonical FROM alias c WHERE c.doc_key = s.doc_key)),
+inferred AS (
+  SELECT p.doc_key, x.ord, coalesce(p.name, p.text) AS "from", x.text AS "to", CASE x.type WHEN 'experience' THEN 'worked_at' WHEN 'education' THEN 'studied_at' ELSE 'has_skill' END AS type,
+    coalesce(CASE WHEN x.type = 'skill' THEN x.name END, x.summary_cn, x.text) AS target_name, round(x.confidence * 0.85::DOUBLE + 1e-9::DOUBLE, 3) AS confidence
+  FROM out p JOIN out x ON p.doc_key = x.doc_key WHERE p.type = 'candidate' AND x.type IN ('experience', 'education', 'skill'))
+SELECT 'extraction' AS part, doc_key, ord, coalesce(type, '') AS name, concat_ws('|', text, period_start, start, "end", line, match_type, printf('%.3f', confidence), "from", "to", concat(doc_key, '.md')) AS value FROM out
+UNION ALL SELECT 'relation', doc_key, ord, type, concat_ws('|', "from", "to", target_name, printf('%.3f', confidence)) FROM inferred
+UNION ALL SELECT 'node', doc_key, ord, coalesce(summary_cn[1:50], nullif(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:50], ''), concat_ws('_', 'Entity', doc_key, ord)),
+  concat_ws('|', type, summary_cn, CASE WHEN line > 0 THEN concat('Source: ', doc_key, '.md:', line) END, printf('Confidence: %.2f', round(confidence + 1e-9::DOUBLE, 2)), CASE WHEN summary_cn IS NULL THEN 'Text: ' || nullif(text[1:100], '') END)
+  FROM out WHERE type IN ('entity', 'rule') AND confidence >= 0.3
+UNION ALL SELECT 'edge', doc_key, -1, 'relates_to', concat_ws('|', "from", "to") FROM inferred WHERE confidence >= 0.3
+UNION ALL SELECT 'edge', doc_key, -1, coalesce(relation_type, 'relates_to'), concat_ws('|', "from", "to") FROM out WHERE type = 'relation' AND confidence >= 0.3
+"""
+
+
+def _said(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and extractions made of their lines: of all types, some shortened, relations that name entities."""
+    from vitaeflow.schema import EXTRACTION
+
+    lines = doc_lines(spark, d).drop("source").withColumn("doc_key", F.col("doc_key").cast("string"))
+    before = lines.select("doc_key", (F.col("ord") + 2).alias("ord"), F.substring("text", 1, 12).alias("_before"))
+    k, none = F.col("ord"), F.lit(None)
+    told = k % 10 == 5
+    attributes = {"period_start": F.concat(F.lit("2019/"), (k % 12 + 1).cast("string")), "name": F.when(k % 30 == 0, "Ann")}
+    given = {
+        "type": F.get(F.array(*map(F.lit, _KINDS_SAID)), (k % 10).cast("int")), "text": F.when((k % 10).isin(1, 3, 7), F.substring("text", 1, 12)).otherwise(F.col("text")),
+        "summary_cn": F.when(k % 2 == 0, F.concat(F.lit("summary "), F.substring("text", 1, 5))), "from": F.when(told, F.col("_before")), "to": F.when(told, "all"), "relation_type": F.when(k % 20 == 5, "knows"),
+        "doc_key": F.col("doc_key"), "ord": k, "attributes": F.struct(*(attributes.get(f.name, none).cast(f.dataType).alias(f.name) for f in ATTRIBUTES)),
+    }
+    rows = lines.join(before, ["doc_key", "ord"], "left").select(*(given.get(f.name, none).cast(f.dataType).alias(f.name) for f in EXTRACTION))
+    documents = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_key"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"), "text")
+    return documents, rows
+
+
+@query(_STAGES_SQL)
+def pipeline_all_stages(spark, d):
+    """Dates, grounding, overlaps, confidence, entities, relations and graph, in this order, on all documents."""
+    from vitaeflow.config import PipelineConfig
+    from vitaeflow.plans import pipeline
+
+    result = pipeline.run(*_said(spark, d), PipelineConfig(kg_injection=True))
+    shown = lambda c: F.format_string("%.3f", F.col(c))
+    at = lambda c: F.col(f"source_location.{c}").cast("string")
+    row = lambda part, order, name, *value: [F.lit(part).alias("part"), "doc_key", order.cast("long").alias("ord"), name.alias("name"), F.concat_ws("|", *value).alias("value")]
+    parts = [
+        result.extractions.select(*row("extraction", F.col("ord"), F.coalesce("type", F.lit("")), "text", "attributes.period_start", *map(at, ("char_start", "char_end", "line", "match_type")), shown("confidence"), "from", "to", "source_file")),
+        result.relations.select(*row("relation", F.col("to_ord"), F.col("type"), "from", "to", "target_name", shown("confidence"))),
+        result.nodes.select(*row("node", F.col("ord"), F.col("name"), "entityType", F.array_join("observations", "|"))),
+        result.edges.select(*row("edge", F.lit(-1), F.col("relationType"), "from", "to")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # --- job descriptions and matching --------------------------------------------------------------
 _JD_FIELDS = r"""SELECT jd_id,
   coalesce(CAST(nullif(regexp_extract(lower(text), '(\d+)\s*(?:years?|yr)', 1), '') AS INTEGER), CAST(nullif(regexp_extract(lower(text), '(\d+)\s*\+?\s*(?:years?|yr)', 1), '') AS INTEGER)) AS min_years,
@@ -692,10 +778,10 @@ for _name in scoring.FIT_WEIGHTS:
 @query(_PARTS_SQL + "SELECT * FROM t WHERE jd_id = 1 ORDER BY total_score DESC, candidate_id DESC LIMIT 10")
 def match_rank_topk(spark, d):
     wanted = _jds(spark).filter("jd_id = 1")
-    return matching.best(matching.profiles(store(spark, d), wanted), wanted)
+    return matching.best_in_store(store(spark, d), wanted).drop("rank")
 
 
 @query(_PARTS_SQL + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY total_score DESC, candidate_id DESC) AS INTEGER) AS rank FROM t) WHERE rank <= 10")
 def match_many_jds_topk(spark, d):
-    return matching.best_for_each(matching.profiles(store(spark, d), _jds(spark)), _jds(spark))
+    return matching.best_in_store(store(spark, d), _jds(spark))
 

@@ -32,7 +32,8 @@ class PipelineResult:
 
 
 def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | None = None) -> PipelineResult:
-    """documents: (doc_key, source_file, text); extractions: schema.EXTRACTION. Nothing runs before a
+    """documents: (doc_key, source_file, text); extractions: schema.EXTRACTION. The searches of grounding and the
+    rounds of entity resolution run at once and keep what they find in the shared folder; all else runs when a
     result is used. What several later stages read is persisted and held by the result until it is
     released: the grounded, the scored and the processed extractions."""
     config = config or PipelineConfig()
