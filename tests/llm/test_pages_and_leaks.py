@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import time
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -72,12 +74,12 @@ def test_warc_of_an_empty_table(spark, tmp_path):
 
 
 def texts(page):
-    return [x.text for x in html_text.lines(page)]
+    return [x.text for x in html_text.lines(page) if not x.away]
 
 
 def test_lines():
     page = "<html><title>t</title><nav><a href='/x'>X</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<p>four<br>five</article><div class='ad'>buy</div><script>var t='</p>'</script><!-- no --><footer>f</footer>"
-    assert texts(page) == ["A & B", "one two three", "four", "five"] and all(x.main for x in html_text.lines(page))
+    assert texts(page) == ["A & B", "one two three", "four", "five"] and all(x.main for x in html_text.lines(page) if not x.away)
     assert texts("") == [] and texts("<script>never closed") == [] and texts("a < b & c") == ["a < b & c"]
     assert texts("one <a title=it's>link</a> two") == ["one link two"] and texts("x <b and <i y") == ["x"]
     assert texts("<DIV>x</DIV\n>y<img alt='>'>z<![CDATA[q]]><?x?>") == ["x", "yz"]
@@ -135,20 +137,49 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert html_text.extract(pages_of(spark, rows).limit(0)).count() == 0
 
 
+class Blocks(HTMLParser):
+    """The lines of a well-formed page: text, main, heading, place, place around, furniture."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.held, self.out = [], [], []
+        self.feed(page)
+        self.settle()
+
+    def settle(self):
+        text = " ".join("".join(self.held).split())
+        self.held = []
+        if text:
+            place = tuple((t, re.sub(r"[0-9]", "", c)) for t, c in self.stack)
+            names = [t for t, _ in self.stack]
+            away = any(t in ("nav", "footer", "aside") or c in ("ad", "comments", "menu", "sidebar") for t, c in self.stack)
+            self.out.append((text, "article" in names, any(t[0] == "h" and t[1:].isdigit() for t in names), place, place[:-1], away))
+
+    def handle_starttag(self, tag, attrs):
+        self.settle()
+        self.stack.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        self.settle()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.held.append(data)
+
+
 def brute_texts(rows):
-    """Main texts by pairs, places and lines counted one by one."""
-    parsed = [(*html_text.place_of(u or ""), i, html_text.lines(h or "")) for i, u, h in rows]
-    order = sorted(range(len(rows)), key=lambda k: parsed[k][:3])
-    told = defaultdict(set)
+    """Main texts by pairs, places and lines counted one by one; pages are read by another parser."""
+    parsed = [(*html_text.place_of(u or ""), i, Blocks(h or "").out) for i, u, h in rows]
+    order = sorted(range(len(rows)), key=lambda k: (*parsed[k][:3], k))
 
     def shared(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(len(a) - 1, -1, -1):
             for j in range(len(b) - 1, -1, -1):
-                table[i][j] = table[i + 1][j + 1] + 1 if a[i].text == b[j].text else max(table[i + 1][j], table[i][j + 1])
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(table[i + 1][j], table[i][j + 1])
         i = j = 0
         while i < len(a) and j < len(b):
-            if a[i].text == b[j].text:
+            if a[i][0] == b[j][0]:
                 yield i
                 i, j = i + 1, j + 1
             elif table[i + 1][j] >= table[i][j + 1]:
@@ -156,27 +187,38 @@ def brute_texts(rows):
             else:
                 j += 1
 
-    for x, y in zip(order, order[1:], strict=False):
-        for k, other in ((x, y), (y, x)):
-            own = parsed[k][3]
-            if parsed[x][0] == parsed[y][0] and own:
-                same = list(shared(own, parsed[other][3]))
-                if sum(len(own[i].text) for i in same) <= 0.5 * sum(len(z.text) for z in own):
-                    told[k] |= set(same)
-    count = defaultdict(lambda: defaultdict(int))
-    size = defaultdict(lambda: defaultdict(int))
+    told, near = defaultdict(set), defaultdict(list)
+    for k in order:
+        host, own = parsed[k][0], parsed[k][3]
+        if not own or any([x[0] for x in own] == [x[0] for x in parsed[j][3]] for j in near[host]):
+            continue
+        for j in near[host]:
+            for x, y in ((k, j), (j, k)):
+                same = list(shared(parsed[x][3], parsed[y][3]))
+                if sum(len(parsed[x][3][i][0]) for i in same) <= 0.5 * sum(len(z[0]) for z in parsed[x][3]):
+                    told[x] |= set(same)
+        near[host] = [*near[host], k][-32:]
+    n, times, size, inside = (defaultdict(lambda: defaultdict(int)) for _ in range(4))
     for k, same in told.items():
-        for i, x in enumerate(parsed[k][3]):
-            count[parsed[k][0], x.place][x.text] += i in same
-            size[parsed[k][0]][x.place] += len(x.text)
-    body = {h: max(v, key=v.get) for h, v in size.items()}
-    frame = {hp for hp, own in count.items() if body[hp[0]] != hp[1] and sum(own.values()) >= 3 and 2 * sum(v > 0 for v in own.values()) >= len(own)}
+        for i, (text, main, heading, place, _, _) in enumerate(parsed[k][3]):
+            host = parsed[k][0]
+            n[host][place] += 1
+            times[host][place] += i in same
+            size[host][place] += len(text)
+            inside[host][place] |= main or heading
+    frame = set()
+    for host, own in n.items():
+        body = max(size[host], key=size[host].get)
+        for place, count in own.items():
+            least = 0.5 if inside[host][place] or place[:-1] == body[:-1] else max(0.05, 1.5 * times[host][body] / own[body])
+            if place != body and times[host][place] >= 3 and times[host][place] / count >= least:
+                frame.add((host, place))
     out = []
     for k, (host, _, _, own) in enumerate(parsed):
-        left = [x for i, x in enumerate(own) if (host, x.place) not in frame and not (i in told.get(k, ()) and not x.main)]
-        inside, outside = (sum(len(x.text) for x in left if x.main == m) for m in (True, False))
-        alone = any(x.main for x in left) and not (outside >= 200 and outside > 4 * inside)
-        out.append(" ".join(x.text for x in left if x.main or not alone))
+        left = [x for i, x in enumerate(own) if (host, x[3]) not in frame and not (i in told.get(k, ()) and not x[1]) and not x[5]]
+        inner, outer = (sum(len(x[0]) for x in left if x[1] == m) for m in (True, False))
+        alone = any(x[1] for x in left) and not (outer >= 200 and outer > 4 * inner)
+        out.append(" ".join(x[0] for x in left if x[1] or not alone))
     return out
 
 
@@ -199,6 +241,43 @@ def test_differencing_acts_inside_articles_and_keeps_quotations(spark):
     assert all("Read more" in html_text.chosen(html_text.lines(html), set()) for _, _, html in rows)  # differencing took it away
 
 
+def test_furniture_goes_at_any_length():
+    prose = "<p>The text of the page, in a few more words.</p>"
+    long = "".join(f"<p>Somebody says something of their own about it, number {k}</p>" for k in range(60))
+    menu = "".join(f"<p>Entry {k}</p>" for k in range(60))
+    want = ["The text of the page, in a few more words."]
+    for page in (
+        f"<article>{prose}<div class=comments>{long}</div></article>", f"<div>{prose}</div><div id='comments'>{long}</div>", f"<div class=menu>{menu}</div>{prose}", f"<div class='left sidebar'><h1>More</h1>{long}</div>{prose}",
+        f"<article>{prose}<div class=alert>Please note that we use your data</div></article>", f"<div hidden>{long}</div>{prose}", f"<form>{long}</form><article>{prose}</article>", f"<div class=menu>{menu}</div><div class='content share'>{prose}</div>",
+        f"<div class='page-with-sidebar sidebar'><div class=sidebar>{menu}</div><main>{prose}</main></div>", f"<p data-x='hidden'></p>{prose}<div class=x hidden=until-found>{long}</div>",
+    ):
+        assert texts(page) == want, page
+    assert texts(f"<div class=menu>{menu}</div>") == []
+
+
+def random_site(rng, pages):
+    """Pages with menus, adverts and footers of a host's own words, in no marked elements; texts are their own."""
+    words, ads = [f"m{k}" for k in range(12)], [f"Buy some {k} now" for k in range(5)]
+    out = []
+    for k in range(pages):
+        body = [" ".join(f"u{rng.randrange(5000)}" for _ in range(rng.randint(6, 25))) for _ in range(rng.randint(2, 5))]
+        menu = "".join(f"<li>{w}</li>" for w in rng.sample(words, 4))
+        page = f"<div class=top><ul>{menu}</ul></div><div class=promo{k}x><b>{rng.choice(ads)}</b></div><div class=text><h2>Title {k % 9} of it</h2>{''.join(f'<p>{x}</p>' for x in body)}</div><div class=end>{rng.choice(ads)} and so on</div>"
+        out.append((page, " ".join([f"Title {k % 9} of it", *body])))
+    return out
+
+
+def test_frames_of_changing_lines_are_told_by_places(spark, monkeypatch):
+    rng = random.Random(3)
+    made = random_site(rng, 60)
+    rows = [(k, f"http://s.example/{rng.randrange(10**6):06d}", html) for k, (html, _) in enumerate(made)]
+    for changed in ({}, {"RUN": 40, "WIDTH": 12}):
+        for name, value in changed.items():
+            monkeypatch.setattr(html_text, name, value)
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, rows)).collect()}
+        assert all(text.endswith(got[k]) and len(got[k]) >= len(text) - 15 for k, (_, text) in enumerate(made))  # a title that others have may go
+
+
 def test_extraction_is_that_of_brute_force(spark, monkeypatch):
     rng = random.Random(13)
     rows = []

@@ -1,30 +1,31 @@
-"""Main text of web pages by differencing with the page of the nearest URL.
-
-A page is parsed into blocks of visible text, its lines. Within each host, pages are put in the order
-of their URL paths, and every page is compared with the page before and the page after it; their
-lines are aligned by longest common subsequence. What is shared belongs to the site, not to the
-page, unless one page is a copy of the other, or both quote the same. So
-
-* a neighbour that shares more than ``COPY_SHARE`` of the text is taken for a copy and not compared
-  with;
-* a place in the markup (the elements and classes a line stands in) is part of the site's frame if at
-  least ``FRAME_SHARE`` of its different lines in a host are shared, at ``FRAME_TIMES`` times or
-  more. All lines in such places are deleted on all pages of the host, in and out of its articles.
-  The place that holds most of the host's text is never one of them;
+"""Main text of web pages by differencing with pages of near URLs.
+
+A page is parsed into blocks of visible text, its lines, menus and footers included. Within each host,
+pages are put in the order of their URL paths, and every page is compared with up to ``WIDTH`` pages before and
+after it; their lines are aligned by longest common subsequence. What is shared belongs to the site, not
+to the page, unless one page is a copy of the other, or both quote the same. So
+
+* pages with equal lines are taken once, and a pair that shares more than ``COPY_SHARE`` of a page's text tells
+  nothing about that page;
+* a place in the markup (the elements and classes a line stands in) is part of the site's frame if its lines
+  recur: at least ``FRAME_LEAST`` of them, at ``FRAME_TIMES`` or more, are shared with some page, and
+  ``FRAME_FACTOR`` times the share among the lines of the body, the place that holds most of the host's text. In
+  article and main elements, beside the body and in headings at least ``FRAME_SHARE`` must be shared. All
+  lines in such places are deleted on all pages of the host. The body is never one of them;
 * outside article and main elements, shared lines are deleted wherever they stand. Inside, they are
-  quoted passages as long as their place is not part of the frame. (Deleting them there too took
-  passages that many articles quote out of 211 of 12,820 test pages.)
+  quoted passages as long as their place is not part of the frame.
 
-What the site doesn't repeat is told by its elements: menus, footers, sidebars and dialogs go, and
-page headers; forms, and elements whose class, id or role says that they are furniture, only if they
-hold at most half of the page's text and no main heading. Of what is left, article and main elements
+What a site doesn't repeat, or has too few pages to tell, is told by its elements: menus, footers, sidebars,
+dialogs, page headers and hidden elements go, and forms and elements whose class, id or role says that they are
+furniture, however long they are. Two kinds of the latter stay: those that hold an article or main element, and
+the longest one if without it no line of ``PROSE`` words were left. Of what is left, article and main elements
 are taken alone, unless the text outside is over ``OUTSIDE`` times theirs.
 
-Skew: only 64-bit hashes of lines are sorted, by range over (host, path), so that a host with a third
-of all pages is spread over many tasks. The first and last pages of a range meet their neighbours in a
-second, small step; there are two of them for each task. Lines are counted by (host, place, line),
-map side first, and the frames of a host are dealt to its pages under ``SALTS`` keys. What to delete
-is broadcast only if its rows, counted before, take less than ``BROADCAST_BYTES``, and joined by
+Skew: pages are numbered in the order of (host, path) by ranges, and cut into runs of ``RUN`` pages, each with
+the last ``WIDTH`` pages of the run before; so a host with a third of all pages is spread over many tasks, and the
+result doesn't depend on their number. Only 64-bit hashes of lines are compared and moved. Lines are counted by
+(host, place, line), map side first, and the frames of a host are dealt to its pages under ``SALTS`` keys. What
+to delete is broadcast only if its rows, counted before, take less than ``BROADCAST_BYTES``, and joined by
 ``page_id`` otherwise.
 
 Nulls and edge cases: a null html counts as empty and gives the empty text; null urls form one host
@@ -46,15 +47,20 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaeflow.llm.common import arrow_map, cut, read, text_or_empty
+from vitaeflow.llm.common import arrow_map, cut, numbered, read, text_or_empty
 
-#: A neighbour that shares more of the text is a copy.
+#: Pages before and after a page that it is compared with, and pages of a run.
+WIDTH, RUN = 32, 256
+#: A page that shares more of the text is a copy.
 COPY_SHARE = 0.5
-#: A place is part of the frame from this share of shared lines on, and so many times shared.
-FRAME_SHARE, FRAME_TIMES = 0.5, 3
+#: From which share of shared lines on, and so many times shared, a place is part of the frame; how many times
+#: the share of the body; and the share that is asked of places in articles.
+FRAME_LEAST, FRAME_TIMES, FRAME_FACTOR, FRAME_SHARE = 0.05, 3, 1.5, 0.5
+#: Words of a line of prose.
+PROSE = 5
 #: Articles are taken alone unless the text outside is so many times as long, and so long at least.
 OUTSIDE, OUTSIDE_CHARS = 4, 200
 #: Products of lengths up to which the alignment is computed in full at once.
@@ -70,7 +76,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
 FURNITURE_WORDS = re.compile(
     r"(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|header|footer|sidebar|aside|ads?|advert(isement)?s?|banner|promo|sponsored|"
-    r"cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|respond|replies|disqus|widget|toolbar|pagination)($|[\s_-])",
+    r"cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|related|comments?|respond|replies|disqus|widget|toolbar|pagination)($|[\s_-])",
     re.IGNORECASE,
 )
 # A tag with its attributes; and one that ends at the next ">" whatever is quoted.
@@ -79,24 +85,31 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.IGNORECASE)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE) for name in SKIPPED}
 _TAG_BEGINS = re.compile(r"</?[a-zA-Z]")
+_QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
+_HEADING = re.compile(r"h[1-6]")
 
 
 class Line(NamedTuple):
-    """A visible block: its text, whether it stands in a main element, and its place in the markup."""
+    """A visible block: its text, whether it stands in a main element and is a heading, its place in the markup
+    and that of the element around, and whether its elements say that it is furniture."""
 
     text: str
     main: bool
+    heading: bool
     place: int
+    above: int
+    away: bool
 
 
 class _Wrap:
-    """An element that may be furniture: surely, or if it turns out to be small and without heading."""
+    """An element that may be furniture: surely, or unless it holds a main element or all of the prose."""
 
-    __slots__ = ("above", "sure", "size", "headed")
+    __slots__ = ("above", "sure", "size", "mains", "prose")
 
     def __init__(self, above: int, sure: bool):
-        self.above, self.sure, self.size, self.headed = above, sure, 0, False
+        self.above, self.sure, self.size, self.mains, self.prose = above, sure, 0, 0, False
 
 
 @lru_cache(1 << 14)
@@ -105,21 +118,24 @@ def _place(above: int, name: str, classes: str) -> int:
 
 
 def lines(page: str) -> list[Line]:
-    """The visible blocks of a page in order, without those in furniture."""
-    out: list[tuple[Line, int]] = []
+    """The visible blocks of a page in order."""
+    out: list[tuple] = []
     wraps = [_Wrap(0, False)]  # the page itself
-    stack: list[tuple[str, int, int, int]] = []  # element, wrap, main elements, place
+    stack: list[tuple[str, int, int, int, int, bool]] = []  # element, wrap, main elements, place, that around, heading
     open_names: dict[str, int] = {}
     held: list[str] = []
-    wrap = main = place = 0
+    wrap = main = place = above = 0
+    heading = False
+    outside = ("", 0, 0, 0, 0, False)
 
     def settle() -> None:
         text = "".join(held)
         held.clear()
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
-            out.append((Line(text, main > 0, place), wrap))
+            out.append((text, main > 0, heading, place, above, wrap))
             wraps[wrap].size += len(text)
+            wraps[wrap].prose = wraps[wrap].prose or text.count(" ") + 1 >= PROSE
 
     at, tag = 0, _TAG
     while True:
@@ -165,7 +181,7 @@ def lines(page: str) -> list[Line]:
                         break
                 if held and wrap != (stack[-1][1] if stack else 0):
                     settle()
-                _, wrap, main, place = stack[-1] if stack else ("", 0, 0, 0)
+                _, wrap, main, place, above, heading = stack[-1] if stack else outside
         elif name in SKIPPED:
             end = _ENDS[name].search(page, at)
             if end is None:
@@ -175,9 +191,11 @@ def lines(page: str) -> list[Line]:
             if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends
                 stack.pop()
                 open_names["p"] -= 1
-                _, wrap, main, place = stack[-1] if stack else ("", 0, 0, 0)
+                _, wrap, main, place, above, heading = stack[-1] if stack else outside
             marks = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(inner)} if "=" in inner else {}
-            if name in FURNITURE or name == "header" and not main:
+            if name in FURNITURE or name == "header" and not main or "hidden" in inner.lower() and _HIDDEN.search(_QUOTED.sub("", inner)):
+                if held:
+                    settle()
                 wraps.append(_Wrap(wrap, True))
                 wrap = len(wraps) - 1
             elif name == "form" or marks and name not in MAIN and name not in ("html", "body") and FURNITURE_WORDS.search(" ".join(marks.values())):
@@ -185,22 +203,37 @@ def lines(page: str) -> list[Line]:
                     settle()
                 wraps.append(_Wrap(wrap, False))
                 wrap = len(wraps) - 1
-            wraps[wrap].headed |= name in ("h1", "main")
-            main += name in MAIN
+            if name in MAIN:
+                main += 1
+                wraps[wrap].mains += 1
             if name not in INLINE:
-                place = _place(place, name, marks.get("class", ""))
-            stack.append((name, wrap, main, place))
+                above, place = place, _place(place, name, marks.get("class", ""))
+                heading = heading or _HEADING.fullmatch(name) is not None
+            stack.append((name, wrap, main, place, above, heading))
             open_names[name] = open_names.get(name, 0) + 1
     settle()
     for k in range(len(wraps) - 1, 0, -1):  # inner elements come after outer ones
         if not wraps[k].sure:
-            above = wraps[wraps[k].above]
-            above.size += wraps[k].size
-            above.headed |= wraps[k].headed
-    away = [False]
-    for w in wraps[1:]:
-        away.append(away[w.above] or w.sure or not w.headed and 2 * w.size <= wraps[0].size)
-    return [line for line, k in out if not away[k]]
+            own, around = wraps[k], wraps[wraps[k].above]
+            around.size += own.size
+            around.mains += own.mains
+            around.prose = around.prose or own.prose
+
+    def furniture(spared: set[int]) -> list[bool]:
+        away = [False]
+        for k, w in enumerate(wraps[1:], 1):
+            away.append(away[w.above] or w.sure or not w.mains and k not in spared)
+        return away
+
+    away = furniture(set())
+    if len(wraps) > 1 and not any(not away[k] and text.count(" ") + 1 >= PROSE for text, *_, k in out):
+        longest = max((k for k in range(1, len(wraps)) if not wraps[k].sure and wraps[k].prose), key=lambda k: wraps[k].size, default=0)
+        spared = set()
+        while longest:
+            spared.add(longest)
+            longest = wraps[longest].above
+        away = furniture(spared)
+    return [Line(*line, away[k]) for *line, k in out]
 
 
 def key_of(text: str) -> int:
@@ -261,74 +294,77 @@ def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row
 
 
-def shared_places(own: dict, other: dict) -> list[int] | None:
-    """Places of the lines of a page that it shares with another, None if they aren't compared."""
-    if own["host"] != other["host"] or not own["keys"]:
-        return None
-    sizes = np.asarray(own["sizes"])
-    same = [i for i, _ in common(np.asarray(own["keys"]), np.asarray(other["keys"]))]
-    return None if sizes[same].sum() > COPY_SHARE * sizes.sum() else same
+def shared_lines(a: list[int], b: list[int], both: set[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two pages' lines, of which they share ``both``, as pairs of places."""
+    at, to = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
+    one, two = [a[i] for i in at], [b[j] for j in to]
+    if one == two:
+        return list(zip(at, to, strict=True))
+    return [(at[i], to[j]) for i, j in common(np.asarray(one), np.asarray(two))]
 
 
-_LINES = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("main", pa.bool_()), ("size", pa.int32())]))
-_LIGHT = "page_id long, digest long, host string, path string, lines array<struct<key: bigint, place: bigint, main: boolean, size: int>>"
+_LINES = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("above", pa.int64()), ("inside", pa.bool_()), ("main", pa.bool_()), ("size", pa.int32())]))
+_LIGHT = "page_id long, digest long, host string, path string, lines array<struct<key: bigint, place: bigint, above: bigint, inside: boolean, main: boolean, size: int>>"
 
 
 def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for page, digest, url, html in zip(*(batch.column(k).to_pylist() for k in ("page_id", "digest", "url", "html")), strict=True):
-            rows.append((page, digest, *place_of(url), [{"key": key_of(x.text), "place": x.place, "main": x.main, "size": len(x.text)} for x in lines(html)]))
+            own = [{"key": key_of(x.text), "place": x.place, "above": x.above, "inside": x.main or x.heading, "main": x.main, "size": len(x.text)} for x in lines(html)]
+            rows.append((page, digest, *place_of(url), own))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), _LINES]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "digest", "host", "path", "lines"])
 
 
-_PAIRED = "page_id long, digest long, host string, keys array<bigint>, sizes array<int>, gone array<int>, met int, edge int, part int"
+class _Page:
+    """A page that waits for those after it."""
 
+    __slots__ = ("at", "own", "keys", "known", "sizes", "whole", "gone", "met")
 
-def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares neighbours of a sorted range; the range's ends are marked (1 first, 2 last, 3 both)."""
-    from pyspark.taskcontext import TaskContext
+    def __init__(self, at: int, own: bool, keys: list[int], sizes: list[int]):
+        self.at, self.own, self.keys, self.known, self.sizes, self.whole, self.gone, self.met = at, own, keys, set(keys), sizes, sum(sizes), set(), 0
+
+    def tell(self, same: list[int]) -> None:
+        if sum(self.sizes[i] for i in same) <= COPY_SHARE * self.whole:
+            self.gone.update(same)
+            self.met += 1
+
+
+_PAIRED = "at long, gone array<int>, met int"
 
-    part = TaskContext.get().partitionId()
-    ints = pa.list_(pa.int32())
-    schema = pa.schema(
-        [("page_id", pa.int64()), ("digest", pa.int64()), ("host", pa.string()), ("keys", pa.list_(pa.int64())), ("sizes", ints), ("gone", ints), ("met", pa.int32()), ("edge", pa.int32()), ("part", pa.int32())]
-    )
 
-    def out(row: dict, shared: list, edge: int) -> dict:
-        kept = row if edge else row | {"keys": [], "sizes": []}  # only ends are compared again
-        found = [x for x in shared if x is not None]
-        return kept | {"gone": sorted({i for x in found for i in x}), "met": len(found), "edge": edge, "part": part}
+def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the pages of each run, which are next to each other in order, with those of the same host around
+    them; the first ones belong to the run before and are there for the others."""
+
+    def out(pages: list[_Page]) -> Iterator[pa.RecordBatch]:
+        told = [p for p in pages if p.met]
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array([p.at for p in told]), pa.array([sorted(p.gone) for p in told], pa.list_(pa.int32())), pa.array([p.met for p in told], pa.int32())], names=["at", "gone", "met"])
 
-    last, shared, first = None, [], True
+    last, near = None, []
     for batch in batches:
         done = []
-        for row in batch.to_pylist():
-            if last is not None:
-                done.append(out(last, [*shared, shared_places(last, row)], int(first)))
-                shared, first = [shared_places(row, last)], False
-            last = row
-        if done:
-            yield pa.RecordBatch.from_pylist(done, schema=schema)
-    if last is not None:
-        yield pa.RecordBatch.from_pylist([out(last, shared, 2 + int(first))], schema=schema)
-
-
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages, digests, gone, met = [], [], [], []
-        for row in batch.to_pylist():
-            other = row["before"] if row["at"] == 1 else row["after"]
-            found = shared_places(row["own"], other) if other else None
-            pages.append(row["page_id"])
-            digests.append(row["digest"])
-            gone.append(found or [])
-            met.append(int(found is not None))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(pages, pa.int64()), pa.array(digests, pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(met, pa.int32())], names=["page_id", "digest", "gone", "met"]
-        )
+        for run, at, own, host, keys, sizes in zip(*(batch.column(c).to_pylist() for c in ("run", "at", "own", "host", "keys", "sizes")), strict=True):
+            if (run, host) != last:
+                done += near
+                last, near = (run, host), []
+            if not keys or any(keys == p.keys for p in near):  # copies are taken once
+                continue
+            page = _Page(at, own, keys, sizes)
+            for other in near:
+                if own or other.own:
+                    both = page.known & other.known
+                    pairs = shared_lines(keys, other.keys, both) if both else []
+                    page.tell([i for i, _ in pairs])
+                    other.tell([j for _, j in pairs])
+            near.append(page)
+            if len(near) > WIDTH:
+                done.append(near.pop(0))
+        yield from out(done)
+    yield from out(near)
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -337,48 +373,36 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return filled.withColumn("digest", F.xxhash64("url", "html"))
 
 
-def shared_lines(light: DataFrame) -> DataFrame:
-    """(page_id, digest, gone) for pages that are compared with a neighbour: the shared lines."""
-    parts = max(8, int(light.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["host", "path", "page_id", "digest"]
-    narrow = light.select(*order, F.col("lines.key").alias("keys"), F.col("lines.size").alias("sizes"))
-    ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("path")
-    paired = cut(ordered.transform(arrow_map, _pairing, _PAIRED))
-    # Two rows for each task: the ends of neighbouring ranges are next to each other.
-    ends = paired.filter("edge > 0").withColumn("at", F.explode(F.when(F.col("edge") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("edge"))))
-    along = Window.orderBy("part", "at")
-    page = F.struct("host", "keys", "sizes")
-    met = ends.select("page_id", "digest", "at", page.alias("own"), F.lag(page).over(along).alias("before"), F.lead(page).over(along).alias("after"))
-    more = met.transform(arrow_map, _meeting, "page_id long, digest long, gone array<int>, met int")
-    return (
-        paired.select("page_id", "digest", "gone", "met")
-        .unionByName(more)
-        .filter("met > 0")
-        .groupBy("page_id", "digest")
-        .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    )
+def told_pages(light: DataFrame) -> DataFrame:
+    """(at, gone) for the numbered pages that are compared with others: the lines they share."""
+    run = F.floor(F.col("at") / RUN)
+    ahead = F.array(F.struct(run.alias("run"), F.lit(True).alias("own")), F.struct((run + 1).alias("run"), F.lit(False).alias("own")))
+    dealt = F.explode(F.when(F.col("at") % RUN >= RUN - WIDTH, ahead).otherwise(F.slice(ahead, 1, 1)))
+    rows = light.select("at", "host", F.col("lines.key").alias("keys"), F.col("lines.size").alias("sizes"), dealt.alias("x")).select("x.run", "at", "x.own", "host", "keys", "sizes")
+    paired = rows.repartition("run").sortWithinPartitions("run", "at").transform(arrow_map, _pairing, _PAIRED)
+    return paired.groupBy("at").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def frame_places(told: DataFrame) -> DataFrame:
     """(host, frames): the places in the markup that are part of a host's frame, from the pages
     (host, lines, gone) that were compared."""
     spread = told.select("host", "gone", F.posexplode("lines").alias("i", "line"))
-    shared = F.array_contains("gone", F.col("i")).cast("int")
-    by_line = spread.groupBy("host", F.col("line.place").alias("place"), F.col("line.key").alias("key")).agg(F.sum(shared).alias("times"), F.sum("line.size").alias("size"))
-    by_place = by_line.groupBy("host", "place").agg(
-        F.count("*").alias("kinds"), F.sum((F.col("times") > 0).cast("long")).alias("repeated"), F.sum("times").alias("times"), F.sum("size").alias("size")
+    shared = F.array_contains("gone", F.col("i")).cast("long")
+    by_place = spread.groupBy("host", F.col("line.place").alias("place")).agg(
+        F.first("line.above").alias("above"), F.bool_or("line.inside").alias("inside"), F.count("*").alias("n"), F.sum(shared).alias("times"), F.sum("line.size").alias("size")
     )
-    body = by_place.groupBy("host").agg(F.max(F.struct("size", "place"))["place"].alias("body"))
-    frame = by_place.filter((F.col("times") >= FRAME_TIMES) & (F.col("repeated") >= FRAME_SHARE * F.col("kinds")))
-    return frame.join(body, "host").filter("place <> body").groupBy("host").agg(F.collect_list("place").alias("frames"))
+    share = F.col("times") / F.col("n")
+    body = by_place.groupBy("host").agg(F.max(F.struct("size", "place", "above", share.alias("share"))).alias("body"))
+    least = F.when(F.col("inside") | (F.col("above") == F.col("body.above")), FRAME_SHARE).otherwise(F.greatest(F.lit(FRAME_LEAST), FRAME_FACTOR * F.col("body.share")))
+    frame = by_place.join(body, "host").filter((F.col("place") != F.col("body.place")) & (F.col("times") >= FRAME_TIMES) & (share >= least))
+    return frame.groupBy("host").agg(F.collect_list("place").alias("frames"))
 
 
 def differences(pages: DataFrame) -> DataFrame:
     """(page_id, digest, gone) for the pages that lose lines."""
     rows = _keyed(pages).select(F.col("page_id").cast("long"), "digest", text_or_empty("url").alias("url"), "html")
-    light = cut(rows.transform(arrow_map, _sketching, _LIGHT))  # sorting by range reads it twice
-    same_page = (F.col("l.digest") == F.col("s.digest")) & F.col("l.page_id").eqNullSafe(F.col("s.page_id"))
-    told = light.alias("l").join(shared_lines(light).alias("s"), same_page).select("l.page_id", "l.digest", "l.host", "l.lines", "s.gone")
+    light = numbered(cut(rows.transform(arrow_map, _sketching, _LIGHT)), ["host", "path", "page_id", "digest"], "at")
+    told = cut(light.join(told_pages(light), "at").select("page_id", "digest", "host", "lines", "gone"))
     frames = frame_places(told).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = light.withColumn("salt", F.pmod("digest", F.lit(SALTS)).cast("int"))
     framed = salted.join(frames, ["host", "salt"]).select(
@@ -391,7 +415,7 @@ def differences(pages: DataFrame) -> DataFrame:
 
 def chosen(page: list[Line], gone: set[int]) -> str:
     """The main text from a page's lines and the places of those that differencing deletes."""
-    left = [x for i, x in enumerate(page) if i not in gone]
+    left = [x for i, x in enumerate(page) if i not in gone and not x.away]
     inside = sum(len(x.text) for x in left if x.main)
     outside = sum(len(x.text) for x in left if not x.main)
     alone = any(x.main for x in left) and not (outside >= OUTSIDE_CHARS and outside > OUTSIDE * inside)
