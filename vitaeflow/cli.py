@@ -13,7 +13,8 @@ from vitaeflow.config import PipelineConfig
 from vitaeflow.functions.jd import parse_jd
 from vitaeflow.functions.text import cell
 from vitaeflow.operators import matching, search
-from vitaeflow.operators.store import TalentStore, delete_candidates, document_status, import_extractions
+from vitaeflow.operators.store import document_status
+from vitaeflow.operators.store_folder import StoreFolder
 from vitaeflow.plans import pipeline
 from vitaeflow.sources.documents import read_documents
 from vitaeflow.sources.extractions import read_extractions, read_texts, write_result
@@ -24,17 +25,6 @@ def _table(df: DataFrame, widths: dict[str, int] | None = None) -> None:
     df.select(*(cell(F.col(c), widths.get(c, 0)).alias(c) for c in df.columns)).show(1000, truncate=False)
 
 
-def _latest(path: str) -> str:
-    """The store's newest version: stores are written to numbered folders and never in place."""
-    versions = sorted(int(p.name) for p in Path(path).glob("*") if p.name.isdigit())
-    return f"{path}/{versions[-1]}" if versions else ""
-
-
-def _save(store: TalentStore, path: str) -> None:
-    last = _latest(path)
-    store.write(f"{path}/{int(last.rpartition('/')[2]) + 1 if last else 1}")
-
-
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="vitaeflow", description=__doc__)
     sub = out.add_subparsers(dest="command", required=True)
@@ -47,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     db = ("--db", {"default": "talent-store"})
     add("parse", ("input", {}), ("--output", {"required": True}))
     add("pipeline", ("--input", {"required": True}), ("--source", {"required": True}), ("--output", {"required": True}), ("--config", {}), ("--kg", {"action": "store_true"}))
-    add("import", ("--input", {"required": True}), db)
+    add("import", ("--input", {"required": True}), ("--refuse-known", {"action": "store_true"}), db)
     add("search", ("query", {"nargs": "?"}), ("--skill", {}), ("--city", {}), ("--min-years", {"type": float}), ("--education", {}), db)
     add("detail", ("id", {"type": int}), db)
     add("list", ("--limit", {"type": int, "default": 50}), ("--offset", {"type": int, "default": 0}), db)
@@ -80,11 +70,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         config = PipelineConfig.of(given.config, **({"kg_injection": True} if given.kg else {}))
         write_result(pipeline.run(read_texts(spark, given.source), extractions, config), given.output)
         return int(not status.filter("status <> 'ok'").isEmpty())
-    store = TalentStore.read(spark, _latest(given.db)) if _latest(given.db) else TalentStore.empty(spark)
+    folder = StoreFolder(spark, given.db)
+    store = folder.read()
     if given.command == "import":
         extractions, files = read_extractions(spark, given.input)
         status = files.filter("status <> 'ok'").unionByName(document_status(files.filter("status = 'ok'"), extractions)).persist()
-        _save(import_extractions(extractions, store), given.db)
+        folder.add(extractions, refuse_known=given.refuse_known)
         _table(status.orderBy("doc_key"))
         return int(not status.filter("status <> 'ok'").isEmpty())
     if given.command == "search":
@@ -103,10 +94,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         wanted = jd_frame(spark, given.jd)
         _table(matching.best_in_store(store, wanted, given.top).orderBy("rank").drop("rank"))
     elif given.command == "delete":
-        found = not store.candidates.filter(F.col("id") == given.id).isEmpty()
-        if found:
-            _save(delete_candidates(store, spark.createDataFrame([(given.id,)], "id long")), given.db)
-        return int(not found)
+        return int(not folder.delete(spark.createDataFrame([(given.id,)], "id long")))
     return 0
 
 

@@ -23,11 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
     """Adds ``name``: after + 1, after + 2, ... in the given order.
 
-    Rows are put into ranges; a range's first number follows from the counts of those before it, of
+    Rows are put into ranges, which are kept in the shared folder; a range's first number follows from the counts of those before it, of
     which there are as many as partitions.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

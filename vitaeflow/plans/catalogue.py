@@ -182,24 +182,29 @@ def _told(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.unionByName(a(people.filter("id % 10 = 0"), "candidate", F.lit(1), F.col("name"), name=F.lit("Second")))
     work = binding(spark, d, "experiences")
     rows = rows.unionByName(a(work, "experience", k + 2, F.col("company"), company=F.col("company"), title=F.col("title"), period_start=F.when(k % 2 == 0, F.col("start_date")).otherwise(""), start_date=F.when(k % 3 == 0, "2000.01").otherwise(F.col("start_date")), duration_months=F.col("duration_months")))
-    return rows.unionByName(a(binding(spark, d, "certifications"), "certification", k + 2, F.col("name"), name=F.when(k % 2 == 0, F.col("name")), issuer=F.lit("board")))
+    taught = binding(spark, d, "educations")
+    rows = rows.unionByName(a(taught, "education", k + 2, F.col("school"), school=F.col("school"), major=F.when(k % 8 == 0, "physics"), degree=F.col("degree"), period_end=F.when(k % 12 == 0, F.col("start_date")), end_date=F.lit("2001.01"), gpa=F.when(k % 20 == 0, "3.5")))
+    wishes = binding(spark, d, "job_intentions")
+    rows = rows.unionByName(a(wishes, "job_intention", k + 2, F.col("position"), position=F.when(k % 2 == 0, F.col("position")), salary_min=F.col("salary_min"), salary_max=F.when(k % 3 == 0, "much").otherwise(F.col("salary_max")), entry_date=F.when(k % 4 == 0, "soon")))
+    rows = rows.unionByName(a(wishes, "self_evaluation", k + 3, F.concat(F.lit("likes "), "position"), text=F.when(k % 3 == 0, "calm").when(k % 3 == 1, ""), traits=F.when(k % 2 == 0, F.array(F.lit("calm"), F.col("position")))))
+    return rows.unionByName(a(binding(spark, d, "certifications"), "certification", k + 2, F.col("name"), name=F.when(k % 2 == 0, F.col("name")), issuer=F.lit("board"), date=F.when(k % 3 == 0, "2020.02")))
 
 
 def _imported(spark: SparkSession, d: str) -> stores.TalentStore:
     return stores.import_extractions(_told(spark, d), stores.TalentStore.empty(spark))
 
 
-_IMPORT = ctes("candidates", "experiences", "certifications").rstrip() + """,
-told AS (SELECT id AS k, coalesce(nullif(CASE WHEN id % 4 = 0 THEN '' WHEN id % 9 = 0 THEN NULL ELSE name END, ''), CASE WHEN id % 18 <> 0 THEN 'Candidate ' || name END) AS name,
+_IMPORT = ctes("candidates", "experiences", "educations", "job_intentions", "certifications").rstrip() + """,
+told AS (SELECT id AS k, coalesce(CASE WHEN id % 4 = 0 THEN '' WHEN id % 9 = 0 THEN NULL ELSE name END, CASE WHEN id % 18 <> 0 THEN 'Candidate ' || name END, '') AS name,
     CASE WHEN id % 3 = 0 THEN 31 END AS age, city, education_level FROM candidates WHERE id % 11 <> 0
   UNION ALL SELECT id, 'Second', NULL, NULL, NULL FROM candidates WHERE id % 10 = 0 AND id % 11 = 0),
-people AS (SELECT CAST(row_number() OVER (ORDER BY CAST(k AS VARCHAR)) AS BIGINT) AS id, k, name, CAST(age AS BIGINT) AS age, city, education_level FROM told WHERE name <> '')
+people AS (SELECT CAST(row_number() OVER (ORDER BY CAST(k AS VARCHAR)) AS BIGINT) AS id, k, name, CAST(age AS BIGINT) AS age, city, education_level FROM told)
 """
 
 
 @query(_IMPORT + "SELECT id, name, age, city, education_level, CAST(k AS VARCHAR) AS source_file FROM people")
 def import_candidates(spark, d):
-    """The first candidate of each document with a name or text, numbered in the order of the documents."""
+    """The first candidate of each document, numbered in the order of the documents."""
     return _imported(spark, d).candidates.select("id", "name", "age", "city", "education_level", "source_file")
 
 
@@ -209,13 +214,31 @@ def import_experiences(spark, d):
     return _imported(spark, d).experiences.select("id", "candidate_id", "company", "title", "start_date", "duration_months")
 
 
-@query(_IMPORT + "SELECT CAST(row_number() OVER (ORDER BY p.id, x.id) AS BIGINT) AS id, p.id AS candidate_id, x.name, 'board' AS issuer FROM people p JOIN certifications x ON x.candidate_id = p.k")
+@query(_IMPORT + "SELECT CAST(row_number() OVER (ORDER BY p.id, x.id) AS BIGINT) AS id, p.id AS candidate_id, x.name, 'board' AS issuer, CASE WHEN x.id % 3 = 0 THEN '2020.02' END AS date, CAST(NULL AS VARCHAR) AS expiry FROM people p JOIN certifications x ON x.candidate_id = p.k")
 def import_certifications(spark, d):
-    return _imported(spark, d).certifications.select("id", "candidate_id", "name", "issuer")
+    return _imported(spark, d).certifications
 
 
-@query(_IMPORT + """SELECT CAST(c.id AS VARCHAR) AS doc_key, CASE WHEN c.id IN (SELECT k FROM people) THEN 'ok' WHEN c.id IN (SELECT k FROM told) THEN 'no name'
-  WHEN c.id IN (SELECT candidate_id FROM experiences UNION ALL SELECT candidate_id FROM certifications) THEN 'no candidate' ELSE 'no extractions' END AS status FROM candidates c""")
+@query(_IMPORT + """SELECT CAST(row_number() OVER (ORDER BY p.id, x.id) AS BIGINT) AS id, p.id AS candidate_id, school, CASE WHEN x.id % 8 = 0 THEN 'physics' END AS major, degree, CAST(NULL AS VARCHAR) AS start_date,
+  CASE WHEN x.id % 12 = 0 THEN start_date ELSE '2001.01' END AS end_date, CASE WHEN x.id % 20 = 0 THEN '3.5' END AS gpa FROM people p JOIN educations x ON x.candidate_id = p.k""")
+def import_educations(spark, d):
+    return _imported(spark, d).educations
+
+
+@query(_IMPORT + """SELECT CAST(row_number() OVER (ORDER BY p.id, x.id) AS BIGINT) AS id, p.id AS candidate_id, CASE WHEN x.id % 2 = 0 THEN position END AS position, CAST(NULL AS VARCHAR) AS industry, CAST(NULL AS VARCHAR) AS city, salary_min,
+  CASE WHEN x.id % 3 <> 0 THEN salary_max END AS salary_max, CASE WHEN x.id % 4 = 0 THEN 'soon' END AS entry_date FROM people p JOIN job_intentions x ON x.candidate_id = p.k""")
+def import_job_intentions(spark, d):
+    return _imported(spark, d).job_intentions
+
+
+@query(_IMPORT + """SELECT CAST(row_number() OVER (ORDER BY p.id, x.id) AS BIGINT) AS id, p.id AS candidate_id, CASE x.id % 3 WHEN 0 THEN 'calm' WHEN 1 THEN '' ELSE 'likes ' || position END AS text,
+  CASE WHEN x.id % 2 = 0 THEN '["calm","' || position || '"]' END AS traits FROM people p JOIN job_intentions x ON x.candidate_id = p.k""")
+def import_self_evaluations(spark, d):
+    return _imported(spark, d).self_evaluations
+
+
+@query(_IMPORT + """SELECT CAST(c.id AS VARCHAR) AS doc_key, CASE WHEN c.id IN (SELECT k FROM people) THEN 'ok'
+  WHEN c.id IN (SELECT candidate_id FROM experiences UNION ALL SELECT candidate_id FROM certifications UNION ALL SELECT candidate_id FROM job_intentions) THEN 'no candidate' ELSE 'no extractions' END AS status FROM candidates c""")
 def import_status(spark, d):
     """Which documents an import adds, and why it leaves out the others."""
     documents = binding(spark, d, "candidates").select(F.col("id").cast("string").alias("doc_key"))
