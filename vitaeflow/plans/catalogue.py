@@ -185,7 +185,7 @@ def _told(spark: SparkSession, d: str) -> DataFrame:
     taught = binding(spark, d, "educations")
     rows = rows.unionByName(a(taught, "education", k + 2, F.col("school"), school=F.col("school"), major=F.when(k % 8 == 0, "physics"), degree=F.col("degree"), period_end=F.when(k % 12 == 0, F.col("start_date")), end_date=F.lit("2001.01"), gpa=F.when(k % 20 == 0, "3.5")))
     wishes = binding(spark, d, "job_intentions")
-    rows = rows.unionByName(a(wishes, "job_intention", k + 2, F.col("position"), position=F.when(k % 2 == 0, F.col("position")), salary_min=F.col("salary_min"), salary_max=F.when(k % 3 == 0, "much").otherwise(F.col("salary_max")), entry_date=F.when(k % 4 == 0, "soon")))
+    rows = rows.unionByName(a(wishes, "job_intention", k + 2, F.col("position"), position=F.when(k % 2 == 0, F.col("position")), salary_min=F.col("salary_min"), salary_max=F.when(k % 3 == 0, "much").otherwise(F.col("salary_max").cast("string")), entry_date=F.when(k % 4 == 0, "soon")))
     rows = rows.unionByName(a(wishes, "self_evaluation", k + 3, F.concat(F.lit("likes "), "position"), text=F.when(k % 3 == 0, "calm").when(k % 3 == 1, ""), traits=F.when(k % 2 == 0, F.array(F.lit("calm"), F.col("position")))))
     return rows.unionByName(a(binding(spark, d, "certifications"), "certification", k + 2, F.col("name"), name=F.when(k % 2 == 0, F.col("name")), issuer=F.lit("board"), date=F.when(k % 3 == 0, "2020.02")))
 
