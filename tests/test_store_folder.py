@@ -36,26 +36,26 @@ def files(path):
 
 @pytest.fixture
 def folder(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store_folder, "BUCKETS", 4)
+    monkeypatch.setattr(store_folder, "BUCKETS", 3)
     return StoreFolder(spark, str(tmp_path / "db"))
 
 
 def test_changes(spark, folder):
     assert folder.read().candidates.count() == 0 and folder.current()[0] == 0
-    first, second = [f"a{k}" for k in range(9)], ["b0", "b1", "a3"]
-    assert folder.add(said(spark, first)) == 9
+    first, second = [f"a{k}" for k in range(5)], ["b0", "a3"]
+    assert folder.add(said(spark, first)) == 5
     want = import_extractions(said(spark, first), TalentStore.empty(spark))
     assert rows_of(folder.read()) == rows_of(want)
-    assert [r["name"] for r in want.certifications.collect()] == [""] * 9 and want.job_intentions.first()["position"] is None and want.skills.count() == 10
+    assert [r["name"] for r in want.certifications.collect()] == [""] * 5 and want.job_intentions.first()["position"] is None and want.skills.count() == 6
     before = files(folder.path)
-    assert folder.add(said(spark, second)) == 3  # a3 comes again, unless known sources are refused
+    assert folder.add(said(spark, second)) == 2  # a3 comes again, unless known sources are refused
     assert rows_of(folder.read()) == rows_of(import_extractions(said(spark, second), want))
     assert all(files(folder.path)[f] == t for f, t in before.items())
     assert folder.add(said(spark, [*second, "c"]), refuse_known=True) == 1
     whole, held = rows_of(folder.read()), files(folder.path)
     assert folder.delete(spark.createDataFrame([(2,), (99,)], "id long")) == 1 and folder.delete(spark.createDataFrame([(2,)], "id long")) == 0
     left = rows_of(folder.read())
-    assert len(left["candidates"]) == 12 and len(left["experiences"]) == 36 and left["skills"] == whole["skills"] and len(left["candidate_skills"]) == 24
+    assert len(left["candidates"]) == 7 and len(left["experiences"]) == 21 and left["skills"] == whole["skills"] and len(left["candidate_skills"]) == 14
     listed = {f for own in folder.current()[1]["experiences"].values() for f in own}
     assert sum(any(f"{folder.path}/{x}/" in f for x in listed) for f in held) > 0  # other buckets are as they were
     folder.compact()

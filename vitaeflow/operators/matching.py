@@ -68,12 +68,12 @@ def _total(parts: dict[str, Column]) -> Column:
     return scoring.rounded(sum((parts[k] * w for k, w in scoring.FIT_WEIGHTS.items()), F.lit(0.0)))
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """The scores of pairs, structs p (with skills) and j."""
+def _scored(pairs: DataFrame, *more: str) -> DataFrame:
+    """The scores of pairs, structs p (with skills) and j, and further columns."""
     parts = _parts(scoring.skill_fit(F.col("j.skills"), F.col("p.skills")))
     plain = pairs.select(
         F.col("j.jd_id").alias("jd_id"), F.col("p.id").alias("candidate_id"), F.col("p.name").alias("name"), F.col("p.city").alias("city"), F.col("p.education_level").alias("education"),
-        *(v.alias(f"{k}_score") for k, v in parts.items()),
+        *(v.alias(f"{k}_score") for k, v in parts.items()), *more,
     )
     raw = {k: F.col(f"{k}_score") for k in parts}
     return plain.withColumn("total_score", _total(raw)).withColumns({f"{k}_score": scoring.rounded(v) for k, v in raw.items()})
@@ -118,22 +118,29 @@ def reachable(known: DataFrame, jds: DataFrame) -> DataFrame:
     return jds.join(counts, "jd_id", "left").withColumn("reach", reach).drop("n")
 
 
-def contenders(store: TalentStore, jds: DataFrame, top: int = TOP) -> tuple[DataFrame, DataFrame]:
-    """(pairs, known): the pairs (p without skills, j) that can be among the best ``top`` of each job description,
-    and the skills that count.
+def gathered(store: TalentStore, jds: DataFrame, top: int = TOP) -> DataFrame:
+    """The scores of the pairs that can be among the best ``top`` of each job description, and of some more.
 
     A threshold algorithm: the four parts that need no skills, with all reachable skills, bound a total from
-    above. The skills of the ``SEEDS`` highest bounds of each description are gathered; the total that is ``top``-th
-    among them can't be missed by the best, so a pair whose bound is lower is left out. Equal bounds stay.
+    above. The skills of the ``SEEDS`` highest bounds of each description are gathered. The total that is ``top``-th
+    among these can't be missed by the best; if the last of the bounds is lower, no other pair can reach it.
+    Else the pairs with such a bound (equal ones too) follow, and no others. Where no skills are asked for, bounds
+    are totals, and nothing follows.
     """
-    known = asked_skills(store, jds)
+    known, seeds = asked_skills(store, jds), max(SEEDS, top)
     pairs = _pairs(basics(store), reachable(known, jds)).withColumn("bound", _total(_parts(F.col("j.reach"))))
     order = Window.partitionBy("j.jd_id").orderBy(F.desc("bound"), F.desc("p.id"))
-    seeds = cut(pairs.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= max(SEEDS, top)).drop("_k"))
-    totals = _scored(with_skills(store, seeds, known)).groupBy("jd_id").agg(F.sort_array(F.collect_list("total_score"), False).alias("totals"))
-    least = totals.select("jd_id", F.get("totals", F.lit(top - 1)).alias("least"))
-    left = pairs.join(least, F.col("j.jd_id") == F.col("jd_id")).filter(F.coalesce(F.col("bound") >= F.col("least"), F.lit(True)))
-    return left.select("p", "j", "bound"), known
+    first = cut(pairs.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= seeds).drop("_k"))
+    scores = cut(_scored(with_skills(store, first, known), "bound"))
+    ends = scores.groupBy("jd_id").agg(F.get(F.sort_array(F.collect_list("total_score"), False), F.lit(top - 1)).alias("least"), F.min("bound").alias("last"), F.count("*").alias("n"))
+    asking = jds.filter(F.size("skills") > 0).select("jd_id")
+    unsure = cut(ends.filter((F.col("n") >= seeds) & (F.col("last") >= F.col("least"))).join(asking, "jd_id", "left_semi").select(F.col("jd_id").alias("unsure_id"), "least"))
+    if unsure.isEmpty():
+        return scores.drop("bound")
+    seen = scores.select(F.col("jd_id").alias("seen_jd"), F.col("candidate_id").alias("seen_id"))
+    more = pairs.join(unsure, F.col("j.jd_id") == F.col("unsure_id")).filter(F.col("bound") >= F.col("least"))
+    rest = cut(more.join(seen, (F.col("j.jd_id") == F.col("seen_jd")) & (F.col("p.id") == F.col("seen_id")), "left_anti").select("p", "j", "bound"))
+    return scores.drop("bound").unionByName(_scored(with_skills(store, rest, known)))
 
 
 def with_skills(store: TalentStore, pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -147,10 +154,9 @@ def with_skills(store: TalentStore, pairs: DataFrame, known: DataFrame) -> DataF
     else:
         held = store.candidate_skills.join(ids, "candidate_id", "left_semi")
     own = skills_of(store, known, held)
-    return pairs.join(own, F.col("p.id") == F.col("id"), "left").select(F.col("p").withField("skills", F.col("skills")).alias("p"), "j")
+    return pairs.join(own, F.col("p.id") == F.col("id"), "left").select(F.col("p").withField("skills", F.col("skills")).alias("p"), "j", "bound")
 
 
 def best_in_store(store: TalentStore, jds: DataFrame, top: int = TOP) -> DataFrame:
     """The best candidates of each job description, with their rank, without gathering all profiles."""
-    pairs, known = contenders(store, jds, top)
-    return _ranked(_scored(with_skills(store, cut(pairs), known)), top)
+    return _ranked(gathered(store, jds, top), top)
