@@ -126,22 +126,27 @@ def _searching(key_type: pa.DataType):
     return run
 
 
-def search(texts: DataFrame, documents: DataFrame) -> DataFrame:
+def search(texts: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_key, text, char_start, char_end, line, match_type, common) of the distinct texts (doc_key, text)
     of documents (doc_key, text); match_type is exact, normalized or null, in which case ``common`` has the
-    common characters of the source."""
-    counts = texts.groupBy("doc_key").agg(F.count("*").alias("n"))
-    total = texts.agg(F.count("*").alias("total"))
-    hot = counts.filter(F.col("n") > TEXTS).join(F.broadcast(total)).filter(F.col("n") * HOT_SHARE > F.col("total")).select("doc_key", F.ceil(F.col("n") / TEXTS).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    asked = texts.join(F.broadcast(hot), "doc_key", "left").select("doc_key", F.pmod(F.xxhash64("text"), parts).cast("int").alias("part"), F.lit(None).cast("int").alias("at"), F.col("text").alias("body"))
+    common characters of the source. ``rows``: what the texts were taken from; how many there are of a document
+    bounds its texts."""
     whole = F.coalesce("text", F.lit(""))
     bodies = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
     sources = documents.select("doc_key", F.posexplode(F.when(whole == "", F.array(F.lit(""))).otherwise(bodies)).alias("at", "body"))
-    dealt = sources.join(F.broadcast(hot), "doc_key", "left").select("doc_key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "at", "body")
-    rows = dealt.unionByName(asked).repartition("doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"))
+    asked = texts.select("doc_key", F.lit(None).cast("int").alias("at"), F.col("text").alias("body"))
+    if rows.select("doc_key").limit(TEXTS + 1).count() <= TEXTS:  # no document has more
+        asked, dealt = asked.withColumn("part", F.lit(0)), sources.withColumn("part", F.lit(0))
+    else:
+        counts = rows.groupBy("doc_key").agg(F.count("*").alias("n"))
+        total = rows.agg(F.count("*").alias("total"))
+        hot = counts.filter(F.col("n") > TEXTS).join(F.broadcast(total)).filter(F.col("n") * HOT_SHARE > F.col("total")).select("doc_key", F.ceil(F.col("n") / TEXTS).cast("int").alias("parts"))
+        parts = F.coalesce("parts", F.lit(1))
+        asked = asked.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.pmod(F.xxhash64("body"), parts).cast("int")).drop("parts")
+        dealt = sources.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    both = dealt.unionByName(asked).repartition("doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"))
     kind = texts.schema["doc_key"].dataType
-    return rows.mapInArrow(_searching(to_arrow_type(kind)), f"doc_key {kind.simpleString()}, text string, char_start int, char_end int, line int, match_type string, common string")
+    return both.mapInArrow(_searching(to_arrow_type(kind)), f"doc_key {kind.simpleString()}, text string, char_start int, char_end int, line int, match_type string, common string")
 
 
 def asked_texts(extractions: DataFrame) -> DataFrame:
@@ -149,10 +154,10 @@ def asked_texts(extractions: DataFrame) -> DataFrame:
     return extractions.filter(truthy(F.col("text"))).select("doc_key", "text").distinct()
 
 
-def locations(texts: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
+def locations(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
     """(doc_key, text, source_location) of the distinct texts that are found. The search runs at once, and
     what it finds is kept in the shared folder."""
-    found = cut(search(texts, documents))
+    found = cut(search(asked_texts(extractions), documents, extractions))
     sure = F.when(F.col("match_type") == "exact", CONFIDENCE["exact"]).otherwise(CONFIDENCE["normalized"])
     every = found.filter("match_type IS NOT NULL").withColumn("confidence", sure).drop("common")
     missing = found.filter("match_type IS NULL").select("doc_key", "text", ("common" if autojunk else F.lit("").alias("common")))
@@ -169,7 +174,7 @@ def locations(texts: DataFrame, documents: DataFrame, min_ratio: float = MIN_RAT
 def ground(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
     """Adds source_location to every extraction; texts not found have match_type none, extractions
     without text no location. Sources meet distinct texts only; what comes back are places."""
-    found = locations(asked_texts(extractions), documents, min_ratio, autojunk)
+    found = locations(extractions, documents, min_ratio, autojunk)
     nowhere = F.struct(
         *(F.lit(None).cast("int").alias(c) for c in ("char_start", "char_end", "line")), F.lit("none").alias("match_type"), F.lit(CONFIDENCE["none"]).alias("confidence")
     )

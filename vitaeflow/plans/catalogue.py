@@ -377,7 +377,7 @@ def _lines_and_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFr
 def _searched(spark: SparkSession, d: str) -> DataFrame:
     """The lines that are found as they are or without white space."""
     lines, docs = _lines_and_documents(spark, d)
-    return lines.join(grounding.search(grounding.asked_texts(lines), docs), ["doc_key", "text"])
+    return lines.join(grounding.search(grounding.asked_texts(lines), docs, lines), ["doc_key", "text"])
 
 
 _FOUND = ctes("doc_lines").rstrip() + r""",

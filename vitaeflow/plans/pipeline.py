@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitaeflow.config import PipelineConfig
 from vitaeflow.functions.dates import normalize_period
 from vitaeflow.operators import confidence, graph, grounding, overlap, relations, resolution, summary
+from vitaeflow.operators.keys import cut
 
 DATE_ATTRIBUTES = ("period_start", "period_end", "date", "expiry")
 _LOCATION = "struct<char_start:int,char_end:int,line:int,match_type:string,confidence:double>"
@@ -23,19 +24,12 @@ class PipelineResult:
     stats: DataFrame
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
-    held: tuple[DataFrame, ...] = ()
-
-    def release(self) -> None:
-        """Give back what was persisted, once the results have been used."""
-        for df in self.held:
-            df.unpersist()
 
 
 def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | None = None) -> PipelineResult:
-    """documents: (doc_key, source_file, text); extractions: schema.EXTRACTION. The searches of grounding and the
-    rounds of entity resolution run at once and keep what they find in the shared folder; all else runs when a
-    result is used. What several later stages read is persisted and held by the result until it is
-    released: the grounded, the scored and the processed extractions."""
+    """documents: (doc_key, source_file, text); extractions: schema.EXTRACTION. What several later stages read, the
+    grounded, the scored and the processed extractions, is computed at once and kept in the shared folder, so
+    plans stay short and nothing runs twice; relations, statistics and graph run when they are used."""
     config = config or PipelineConfig()
     out = extractions
     if config.time_normalization:
@@ -45,23 +39,16 @@ def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | N
     out = grounding.ground(out, documents) if config.source_grounding else out.withColumn("source_location", F.lit(None).cast(_LOCATION))
     files = documents.select("doc_key", F.col("source_file").alias("_file"))
     out = out.join(files, "doc_key", "left").withColumn("source_file", F.coalesce("source_file", "_file")).drop("_file")
-    held = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        held.append(df.persist())
-        return df
-
     if config.overlap_dedup:
-        out = hold(out)
-        out = overlap.deduplicate(out, config.overlap_threshold)
+        out = overlap.deduplicate(cut(out), config.overlap_threshold)
     if config.confidence_scoring:
         out = confidence.score(out)
     if config.entity_resolution:
-        out = resolution.resolve(hold(out), config.entity_similarity_threshold)
-    out = hold(out)
+        out = resolution.resolve(cut(out), config.entity_similarity_threshold)
+    out = cut(out)
     spark = documents.sparkSession
     edges = relations.infer(out) if config.relation_inference else spark.createDataFrame([], _EDGES)
     stats = summary.summarize(out, edges)
     if not config.kg_injection:
-        return PipelineResult(out, edges, stats, held=tuple(held))
-    return PipelineResult(out, edges, stats, graph.nodes(out, config.confidence_threshold), graph.edges(out, edges, config.confidence_threshold), tuple(held))
+        return PipelineResult(out, edges, stats)
+    return PipelineResult(out, edges, stats, graph.nodes(out, config.confidence_threshold), graph.edges(out, edges, config.confidence_threshold))

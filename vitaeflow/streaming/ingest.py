@@ -27,7 +27,6 @@ def watch(spark: SparkSession, extractions: str, documents: DataFrame, out: str,
         result = pipeline.run(documents, rows, config)
         result.extractions.write.mode("overwrite").parquet(f"{out}/extractions/batch={number}")
         result.relations.write.mode("overwrite").parquet(f"{out}/relations/batch={number}")
-        result.release()
         rows.unpersist()
 
     writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
