@@ -99,3 +99,20 @@ def test_rows_and_edge_cases(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order)
     assert links.near_embeddings(docs.limit(0)).count() == 0
     assert [tuple(r) for r in links.near_embeddings(docs.filter("vec_id = 4000")).collect()] == [(4000, 0, 4000, True)]
+
+
+def test_trees_are_not_shuffled_to_their_pairs(spark, monkeypatch):
+    """What is written must not grow with the pairs of blocks: trees are read where they are kept."""
+    monkeypatch.setattr(links, "BLOCK", 20)
+    plans, kept = [], links.cut_in_batches
+
+    def noted(df, rows):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, rows)
+
+    monkeypatch.setattr(links, "cut_in_batches", noted)
+    rng = np.random.default_rng(5)
+    rows = [(k, v.tolist()) for k, v in enumerate(groups(rng, 200, 16, [0.1, 0.3]))]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, links.near_embeddings(docs).collect())) == sorted(by_hand([(k, np.array(v, dtype=np.float32).tolist()) for k, v in rows]))
+    assert len(plans) == 1 and "Exchange" not in plans[0]

@@ -6,9 +6,10 @@ keeps near ones together (nearest of ``PIVOTS`` sampled vectors, then the signs
 numbered, and cut into blocks of ``BLOCK`` classes. Every block gets a cover tree: nested levels with
 halving radii, in which each node covers its descendants; the true covering radius of each node is kept.
 
-The trees are traversed in pairs, level by level, in two steps. Blocks' roots, with their covering
-radii, meet first, in superblocks of ``BALLS`` roots. What isn't pruned there are pairs of blocks, whose
-nodes meet in a task each. In both steps a pair of nodes at distance d with covering radii r and s
+The trees are traversed in pairs, level by level. They are written once, to the shared folder, and every
+task reads two parts of them from there, of at most ``BALLS`` trees each: pairs of blocks whose roots, with
+their covering radii, are too far from each other never leave it, and no tree is shipped to other tasks.
+A pair of nodes at distance d with covering radii r and s
 
 * is dropped if d > r + s + REACH: no descendants are linked;
 * counts as a whole if d + r + s <= REACH: all descendants are linked with each other;
@@ -20,7 +21,8 @@ with the classes, not with the links. The components of those connections are th
 
 Cost: what the bounds can prune depends on the data. Among vectors without structure in many dimensions
 (random ones) radii under half of the usual distance hold single vectors, so all pairs of these meet
-once, as products of matrices: the work is quadratic there, in blocks, and no task holds more than two.
+once, as products of matrices: the work is quadratic there, in blocks. What is written isn't: it grows with
+the classes and the links between blocks, and a task holds one part of the trees and two of them unpacked.
 
 Skew: copies are counted before anything is joined and hot classes are broadcast to their rows (there
 can be at most ``HOT_SHARE`` of them); a group of near copies of any size is cut into blocks, and pairs
@@ -53,17 +55,20 @@ REACH = float(np.sqrt(2 - 2 * COSINE))
 #: Vectors that are sampled to put near ones into an order; the result doesn't depend on them.
 PIVOTS = 256
 SIGNS = 24
-#: Classes of a block, blocks of a superblock, and nodes of a side whose distances are computed at once.
+#: Classes of a block, trees of a part at most, and nodes of a side whose distances are computed at once.
 BLOCK = 2048
-BALLS = 4096
+BALLS = 64
 ROWS = 512
+#: Bytes of a part at most, and parts that there are if there are as many blocks.
+PART = 1 << 25
+PARTS = 16
 #: Radii of the levels; below the last one come the vectors themselves.
 RADII = tuple(2.0 / 2**k for k in range(7))
 #: What rounding may take from a bound.
 MARGIN = 1e-9
 HOT_SHARE = 1000
-#: Rows of a batch when rows hold whole trees.
-TREES = 32
+#: Rows of a batch when rows hold two whole trees.
+TREES = 16
 
 
 # --- cover trees ---------------------------------------------------------------------------------
@@ -293,7 +298,7 @@ def _placing(kind: str, pivots: dict[int, np.ndarray]):
     return run
 
 
-_TREE = "dim int, block long, root long, center binary, radius double, weight long, tree binary"
+_TREE = "dim int, block long, root long, center array<double>, radius double, weight long, tree binary"
 
 
 def _growing(kind: str):
@@ -303,10 +308,10 @@ def _growing(kind: str):
         tree = grown(np.frombuffer(b"".join(raws), dtype=kind).reshape(-1, dim), np.array(counts))
         top = tree.levels[0]
         root = int(top.points[0])
-        return dim, block, places[root], tree.units[root].tobytes(), float(top.radii[0]), int(top.weights[0]), pickle.dumps((np.array(places), raws, tree._replace(units=None)))
+        return dim, block, places[root], tree.units[root].tolist(), float(top.radii[0]), int(top.weights[0]), pickle.dumps((np.array(places), raws, tree._replace(units=None)))
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int64(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.binary()]
         names = ["dim", "block", "root", "center", "radius", "weight", "tree"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -331,80 +336,55 @@ def _loaded(kind: str, dim: int, packed: bytes) -> tuple[np.ndarray, Tree]:
     return places, tree._replace(units=units_of(np.frombuffer(b"".join(raws), dtype=kind).reshape(-1, dim)))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list, list]]:
-    """(dim, low, high), the rows of the lower and those of the higher part of each piece of work, which
-    are next to each other; ``block`` tells the part a row belongs to."""
-    last, held = None, ([], [])
-    for batch in batches:
-        for dim, low, high, block, *row in zip(*(batch.column(c).to_pylist() for c in ("dim", "low", "high", "block", *names)), strict=True):
-            if (dim, low, high) != last:
-                if last:
-                    yield last, *held
-                last, held = (dim, low, high), ([], [])
-            held[int(block != low)].append(row)
-    if last:
-        yield last, *held
-
-
-_MET = "dim int, low long, high long, links long, mate long"
-
-
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks whose roots can't tell whether they are linked (links null), and what is linked as
-    a whole: the rows linked with a block (low) and a root that it is connected with."""
-    for (dim, low, high), one, two in _pieces(batches, ["own", "root", "center", "radius", "weight"]):
-        same = low == high
-        both = one if same else [*one, *two]
-        own, roots, radii, weights = (np.array([r[k] for r in both]) for k in (0, 1, 3, 4))
-        units = np.frombuffer(b"".join(r[2] for r in both), dtype=np.float64).reshape(-1, dim)
-        sets, sums = Sets(len(both)), np.zeros(len(both), dtype=np.int64)
-        right = np.arange(0 if same else len(one), len(both))
-        for k in range(0, len(one), ROWS):
-            left = np.arange(k, min(k + ROWS, len(one)))
-            whole, further = verdicts(units[left] @ units[right].T, radii[left][:, None], radii[right][None, :], np.array(False))
-            i, j = np.nonzero(whole)
-            sums += np.bincount(left[i], weights=weights[right[j]], minlength=len(both)).astype(np.int64)
-            if not same:
-                sums += np.bincount(right[j], weights=weights[left[i]], minlength=len(both)).astype(np.int64)
-            sets.join(left[i], right[j])
-            i, j = np.nonzero(further)
-            i, j = left[i], right[j]
-            kept = i <= j
-            i, j = i[kept], j[kept]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(i), dim, dtype=np.int32)), pa.array(np.minimum(own[i], own[j])), pa.array(np.maximum(own[i], own[j])), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())],
-                names=["dim", "low", "high", "links", "mate"],
-            )
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), dim, dtype=np.int32)), pa.array(own[at]), pa.array(own[at]), pa.array(sums[at]), pa.array(roots[sets.labels[at]])],
-            names=["dim", "low", "high", "links", "mate"],
-        )
+_SIDE = ("block", "root", "center", "radius", "weight", "tree")
+_LINKS = "dim int, block long, place long, links long, mate long"
 
 
 def _linking(kind: str):
-    """(place, links, mate) of the classes with links between the two blocks of a piece of work."""
+    """Links between the two blocks of a pair: (place, links, mate) of the classes with links or, of blocks that
+    are linked as a whole, (block, links, mate) with the rows linked with each class and the other root."""
+
+    def out(dim: int, blocks: list, places: np.ndarray, links: np.ndarray, mates: np.ndarray) -> pa.RecordBatch:
+        empty = pa.nulls(len(links), pa.int64())
+        columns = [pa.array(np.full(len(links), dim, dtype=np.int32)), pa.array(blocks, pa.int64()) if blocks else empty, empty if blocks else pa.array(places), pa.array(links, pa.int64()), pa.array(mates, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["dim", "block", "place", "links", "mate"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (dim, low, high), one, two in _pieces(batches, ["tree"]):
-            places, a = _loaded(kind, dim, one[0][0])
-            if low == high:
-                links, _, labels = traversed(a, a)
-            else:
-                more, b = _loaded(kind, dim, two[0][0])
-                *links, labels = traversed(a, b)
-                places, links = np.concatenate([places, more]), np.concatenate(links)
-            at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(places[at]), pa.array(links[at]), pa.array(places[labels[at]])], names=["place", "links", "mate"])
+        last, held = None, None
+        for batch in batches:
+            for dim, *row in zip(*(batch.column(c).to_pylist() for c in ("dim", *(f"{s}_{c}" for s in ("low", "high") for c in _SIDE))), strict=True):
+                (low, root, center, r, weight, tree), (high, other, around, s, further, more) = row[: len(_SIDE)], row[len(_SIDE) :]
+                if verdicts(np.dot(center, around), np.float64(r), np.float64(s), np.array(False))[0]:
+                    yield out(dim, [low, high], None, [further, weight], [other, root]) if low != high else out(dim, [low], None, [weight], [root])
+                    continue
+                if last != (dim, low):
+                    last, held = (dim, low), _loaded(kind, dim, tree)
+                places, a = held
+                if low == high:
+                    links, _, labels = traversed(a, a)
+                else:
+                    beyond, b = _loaded(kind, dim, more)
+                    *links, labels = traversed(a, b)
+                    places, links = np.concatenate([places, beyond]), np.concatenate(links)
+                at = np.flatnonzero(links)
+                if len(at):
+                    yield out(dim, [], places[at], links[at], places[labels[at]])
 
     return run
 
 
-def _paired(parts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of ``parts`` (dim, block, ...) beside every pair (dim, low, high) they take part in, the rows
-    of a pair next to each other."""
-    asked = pairs.select("dim", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    return asked.join(parts, ["dim", "block"]).repartition("dim", "low", "high").sortWithinPartitions("dim", "low", "high", "block")
+def _paired(trees: DataFrame) -> DataFrame:
+    """Every pair of trees, each with itself too, whose vectors can be linked by the distance of their roots.
+    Parts of the trees are read where they are kept; nothing is shuffled or broadcast."""
+    known = trees.agg(F.count("*").alias("n"), F.sum(F.length("tree")).alias("bytes")).first()
+    parts = max(min(known["n"], PARTS), -(-known["n"] // BALLS), -(-known["bytes"] // PART))
+    few = trees.coalesce(parts)
+    low, high = (few.select(F.col("dim").alias(f"{side}_dim"), *(F.col(c).alias(f"{side}_{c}") for c in _SIDE)) for side in ("low", "high"))
+    cosine = F.aggregate(F.zip_with("low_center", "high_center", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    far = F.col("low_radius") + F.col("high_radius") + REACH
+    # Twice the margin, as sums may be rounded in another way than where the pair is opened.
+    met = (F.col("low_dim") == F.col("high_dim")) & (F.col("low_block") <= F.col("high_block")) & (cosine >= 1 - far * far / 2 - 2 * MARGIN)
+    return low.hint("shuffle_replicate_nl").join(high, met).withColumnRenamed("low_dim", "dim").drop("high_dim")
 
 
 def linked_classes(classes: DataFrame, kind: str) -> DataFrame:
@@ -418,16 +398,10 @@ def linked_classes(classes: DataFrame, kind: str) -> DataFrame:
     placed = numbered(near, ["dim", "cell", "signs", "key"], "place").drop("cell", "signs").withColumn("block", F.floor(F.col("place") / BLOCK))
     rows = placed.select("dim", "block", "place", "n", "raw").repartition("dim", "block").sortWithinPartitions("dim", "block", "place")
     trees = cut(rows.mapInArrow(_growing(kind), _TREE))
-    # Roots by superblock, every superblock with itself and the others of its dimension.
-    above = F.floor(F.col("block") / BALLS)
-    ends = trees.groupBy("dim").agg(F.min(above).alias("from"), F.max(above).alias("to"))
-    supers = ends.select("dim", "to", F.explode(F.sequence("from", "to")).alias("low")).select("dim", "low", F.explode(F.sequence("low", "to")).alias("high"))
-    balls = trees.select("dim", above.alias("block"), F.col("block").alias("own"), "root", "center", "radius", "weight")
-    met = cut(_paired(balls, supers).mapInArrow(_meeting, _MET))
-    few = _paired(trees.select("dim", "block", "tree"), met.filter("links IS NULL")).select("dim", "low", "high", "block", "tree")
-    within = cut_in_batches(few.mapInArrow(_linking(kind), "place long, links long, mate long"), TREES)
+    met = cut_in_batches(_paired(trees).mapInArrow(_linking(kind), _LINKS), TREES)
+    within = met.filter("place IS NOT NULL").select("place", "links", "mate")
     # All classes of a block that is linked as a whole are connected with its root, and the root further on.
-    whole = met.filter("links IS NOT NULL").select("dim", F.col("low").alias("block"), "links", "mate")
+    whole = met.filter("block IS NOT NULL").select("dim", "block", "links", "mate")
     roots = trees.select("dim", "block", "root")
     sums = whole.groupBy("dim", "block").agg(F.sum("links").alias("links")).join(roots, ["dim", "block"])
     shared = placed.select("dim", "block", "place").join(sums, ["dim", "block"]).select("place", "links", F.col("root").alias("mate"))
