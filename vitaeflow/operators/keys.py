@@ -20,6 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly to all cores. For much work on narrow rows: a small file of many rows is read by
+    one task or a few, whatever the number of cores."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def numbered(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
     """Adds ``name``: after + 1, after + 2, ... in the given order.
 
