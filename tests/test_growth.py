@@ -27,3 +27,9 @@ def test_parts_of_a_file_name_are_matched_once(spark):
 def test_file_names_are_read_by_all_cores(spark):
     tasks, want = _tasks(spark, "filename_metadata")
     assert tasks == want
+
+
+@needs_tables
+def test_hints_are_made_by_all_cores(spark):
+    tasks, want = _tasks(spark, "context_hints")
+    assert tasks == want
