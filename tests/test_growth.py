@@ -33,3 +33,9 @@ def test_file_names_are_read_by_all_cores(spark):
 def test_hints_are_made_by_all_cores(spark):
     tasks, want = _tasks(spark, "context_hints")
     assert tasks == want
+
+
+@needs_tables
+def test_word_files_are_parsed_by_all_cores(spark):
+    tasks, want = _tasks(spark, "parse_word_files")
+    assert tasks == want
