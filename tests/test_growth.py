@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitaeflow.functions import filename
+from vitaeflow.operators import grounding
 from vitaeflow.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,14 @@ def test_hints_are_made_by_all_cores(spark):
 def test_word_files_are_parsed_by_all_cores(spark):
     tasks, want = _tasks(spark, "parse_word_files")
     assert tasks == want
+
+
+def test_few_texts_need_no_automaton(monkeypatch):
+    """Texts of small documents are looked for as they are; both ways tell the same places."""
+    source, texts = "ab  cd　ef\nab cd\n\U0001F600gh ij", ["ab cd", "cdef", "gh  ij", "ij", "zz", "\n", " ", "a", "ij\n"]
+    monkeypatch.setattr(grounding, "PLAIN", 0)
+    want = grounding.find_all(source, texts)
+    monkeypatch.undo()
+    monkeypatch.setattr(grounding.ahocorasick, "Automaton", None)
+    assert grounding.find_all(source, texts) == want
+    assert want[0] == (10, 15, 2, "exact") and want[1] == (4, 10, 1, "normalized") and want[4] == (None,) * 4

@@ -11,7 +11,6 @@ of all texts; there can't be more of these than ``HOT_SHARE``, and they are broa
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,11 +36,16 @@ HOT_SHARE = 1000
 SHORT = 4
 #: In sources of this many characters those are common that stand there more than 1 + length // 100 times.
 LONG, COMMON = 200, 100
-_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
+#: Patterns are looked for one by one, too, while they times the characters of their source are no more than this.
+PLAIN = 1 << 22
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # the last one stands for all that follow
 
 
 def first_places(source: str, patterns: list[str]) -> list[int]:
-    """The first place of each pattern in a source, -1 for none, in one pass for all that aren't short."""
+    """The first place of each pattern in a source, -1 for none; if there is much to do, in one pass for all that
+    aren't short."""
+    if len(source) * len(patterns) <= PLAIN:
+        return [source.find(p) for p in patterns]
     places = [source.find(p) if len(p) < SHORT else -1 for p in patterns]
     numbers: dict[str, list[int]] = {}
     for k, p in enumerate(patterns):
@@ -68,8 +72,8 @@ def find_all(source: str, texts: list[str]) -> list[tuple]:
     """(start, end, line, kind) of each text in a source; all None if it isn't found with or without white
     space. A text found without it ends where the next solid character stands."""
     codes = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.flatnonzero(codes == 10).tolist()
-    line = lambda start: bisect_right(ends, start - 1) + 1
+    ends = np.flatnonzero(codes == 10)
+    line = lambda start: int(ends.searchsorted(start)) + 1
     out: list[tuple] = [(None, None, None, None)] * len(texts)
     left = []
     for k, at in enumerate(first_places(source, texts)):
@@ -78,8 +82,8 @@ def find_all(source: str, texts: list[str]) -> list[tuple]:
         else:
             left.append(k)
     if left:
-        solid = np.flatnonzero(~np.isin(codes, _SPACES)).tolist()
-        place = lambda k: solid[k] if k < len(solid) else len(source)
+        solid = np.flatnonzero(~_SPACE[np.minimum(codes, len(_SPACE) - 1)])
+        place = lambda k: int(solid[k]) if k < len(solid) else len(source)
         queries = ["".join(texts[k].split()) for k in left]
         for k, query, at in zip(left, queries, first_places("".join(source.split()), queries), strict=True):
             if at >= 0:
@@ -139,7 +143,7 @@ def search(texts: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame
         asked, dealt = asked.withColumn("part", F.lit(0)), sources.withColumn("part", F.lit(0))
     else:
         counts = rows.groupBy("doc_key").agg(F.count("*").alias("n"))
-        total = rows.agg(F.count("*").alias("total"))
+        total = counts.agg(F.sum("n").alias("total"))  # the same counts; rows are read once
         hot = counts.filter(F.col("n") > TEXTS).join(F.broadcast(total)).filter(F.col("n") * HOT_SHARE > F.col("total")).select("doc_key", F.ceil(F.col("n") / TEXTS).cast("int").alias("parts"))
         parts = F.coalesce("parts", F.lit(1))
         asked = asked.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.pmod(F.xxhash64("body"), parts).cast("int")).drop("parts")
