@@ -51,3 +51,27 @@ def test_few_texts_need_no_automaton(monkeypatch):
     monkeypatch.setattr(grounding.ahocorasick, "Automaton", None)
     assert grounding.find_all(source, texts) == want
     assert want[0] == (10, 15, 2, "exact") and want[1] == (4, 10, 1, "normalized") and want[4] == (None,) * 4
+
+
+def _grounded(spark):
+    import random
+
+    draw = random.Random(4)
+    said = lambda n, chars: "".join(draw.choice(chars) for _ in range(n))
+    docs, rows = [], []
+    for k, (size, chars) in enumerate([(0, "a"), (40, "ab \n"), (150, "abcdef\n"), (400, "abcdefghijklmnop\U0001F600é\n "), (900, [chr(c) for c in range(40, 900)])]):
+        source = said(size, chars)
+        docs.append((k, source))
+        at = lambda: draw.randrange(len(source) + 1)
+        rows += [(k, f"~{source[a : a + draw.randrange(30)]}{said(draw.randrange(6), chars)}~{source[b : b + 9]}") for a, b in ((at(), at()) for _ in range(25))]
+    texts = spark.createDataFrame([(k, o, t) for o, (k, t) in enumerate(rows)], "doc_key long, ord int, text string")
+    return sorted(map(str, (tuple(r) for autojunk in (True, False) for r in grounding.ground(texts, spark.createDataFrame(docs, "doc_key long, text string"), autojunk=autojunk).collect())))
+
+
+def test_small_blocks_are_told_without_joins(spark, monkeypatch):
+    """Longest blocks of small texts need no joins, and are those that joins tell."""
+    monkeypatch.setattr(grounding, "SMALL", -1)
+    want = _grounded(spark)
+    monkeypatch.undo()
+    monkeypatch.setattr(grounding, "longest_blocks", None)
+    assert _grounded(spark) == want and any("fuzzy" in x for x in want)

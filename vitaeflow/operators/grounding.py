@@ -2,7 +2,8 @@
 
 All texts of a document are searched in one pass over its source, which is held once, by an automaton of
 all patterns; first as they are, then without white space on either side. Only texts and sources that
-this doesn't bring together are looked at for their longest common block, by joins (see ``blocks``).
+this doesn't bring together are looked at for their longest common block: at once where text and source are
+small, by joins if they aren't (see ``blocks``).
 
 Sources travel in pieces, so that no batch holds more than ``ROWS`` pieces, and are put together one at a
 time. Documents with over ``TEXTS`` texts are dealt to several tasks if they have more than one in ``HOT_SHARE``
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vitaeflow.functions.coerce import truthy
-from vitaeflow.operators.blocks import longest_blocks
+from vitaeflow.operators.blocks import BREAK, longest_blocks
 from vitaeflow.operators.keys import cut
 
 MIN_RATIO = 0.3
@@ -38,6 +39,8 @@ SHORT = 4
 LONG, COMMON = 200, 100
 #: Patterns are looked for one by one, too, while they times the characters of their source are no more than this.
 PLAIN = 1 << 22
+#: Longest blocks are told at once while a text times its source has no more characters than this.
+SMALL = 1 << 22
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # the last one stands for all that follow
 
 
@@ -99,7 +102,44 @@ def common_characters(source: str) -> str:
     return "".join(map(chr, codes[counts > len(source) // COMMON + 1].tolist()))
 
 
-def _searching(key_type: pa.DataType):
+def longest_block(text: str, source: str, mask: dict[int, str], masked: str) -> tuple[int, int]:
+    """(start, size) in a source of the longest block it shares with a text, as ``blocks`` tells it. ``mask``
+    takes common characters to a break, which ``masked`` is the source with."""
+    n, i, j, at = 0, 0, 0, 0
+    for run in text.translate(mask).split(BREAK):
+        k = 0
+        while k + n < len(run):
+            found = masked.find(run[k : k + n + 1])
+            if found < 0:
+                k += 1
+                continue
+            n += 1
+            while k + n < len(run) and found + n < len(masked) and run[k + n] == masked[found + n]:
+                n += 1
+            i, j = at + k, found
+        at += len(run) + 1
+    before, after = 0, 0
+    while before < min(i, j) and text[i - before - 1] == source[j - before - 1]:
+        before += 1
+    while i + n + after < len(text) and j + n + after < len(source) and text[i + n + after] == source[j + n + after]:
+        after += 1
+    return j - before, before + n + after
+
+
+def _blocks(source: str, texts: list[str], found: list[tuple], common: str, small: int) -> list[tuple]:
+    """``found`` with (start, end, line, block) for the texts that weren't found and are small."""
+    mask = dict.fromkeys(map(ord, common), BREAK)
+    masked = source.translate(mask)
+    out = []
+    for text, own in zip(texts, found, strict=True):
+        if own[3] is None and len(text) * len(source) <= small:
+            start, size = longest_block(text, source, mask, masked)
+            own = (start, start + size, source.count("\n", 0, start) + 1, "block")
+        out.append(own)
+    return out
+
+
+def _searching(key_type: pa.DataType, autojunk: bool | None):
     """Rows of one document are next to each other: the pieces of its source, then its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +148,8 @@ def _searching(key_type: pa.DataType):
                 source = "".join(pieces)
                 found = find_all(source, texts)
                 common = common_characters(source) if any(x[3] is None for x in found) else None
+                if common is not None and autojunk is not None:
+                    found = _blocks(source, texts, found, common if autojunk else "", SMALL)
                 columns = [[last[0]] * len(texts), texts, *zip(*found, strict=True), [common if x[3] is None else None for x in found]]
                 kinds = [key_type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_key", "text", "char_start", "char_end", "line", "match_type", "common"])
@@ -130,11 +172,12 @@ def _searching(key_type: pa.DataType):
     return run
 
 
-def search(texts: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
+def search(texts: DataFrame, documents: DataFrame, rows: DataFrame, autojunk: bool | None = None) -> DataFrame:
     """(doc_key, text, char_start, char_end, line, match_type, common) of the distinct texts (doc_key, text)
     of documents (doc_key, text); match_type is exact, normalized or null, in which case ``common`` has the
     common characters of the source. ``rows``: what the texts were taken from; how many there are of a document
-    bounds its texts."""
+    bounds its texts. With ``autojunk`` given, small texts that aren't found have their longest block instead,
+    with match_type block."""
     whole = F.coalesce("text", F.lit(""))
     bodies = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
     sources = documents.select("doc_key", F.posexplode(F.when(whole == "", F.array(F.lit(""))).otherwise(bodies)).alias("at", "body"))
@@ -150,7 +193,7 @@ def search(texts: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame
         dealt = sources.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     both = dealt.unionByName(asked).repartition("doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"))
     kind = texts.schema["doc_key"].dataType
-    return both.mapInArrow(_searching(to_arrow_type(kind)), f"doc_key {kind.simpleString()}, text string, char_start int, char_end int, line int, match_type string, common string")
+    return both.mapInArrow(_searching(to_arrow_type(kind), autojunk), f"doc_key {kind.simpleString()}, text string, char_start int, char_end int, line int, match_type string, common string")
 
 
 def asked_texts(extractions: DataFrame) -> DataFrame:
@@ -161,17 +204,18 @@ def asked_texts(extractions: DataFrame) -> DataFrame:
 def locations(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
     """(doc_key, text, source_location) of the distinct texts that are found. The search runs at once, and
     what it finds is kept in the shared folder."""
-    found = cut(search(asked_texts(extractions), documents, extractions))
+    found = cut(search(asked_texts(extractions), documents, extractions, autojunk))
     sure = F.when(F.col("match_type") == "exact", CONFIDENCE["exact"]).otherwise(CONFIDENCE["normalized"])
-    every = found.filter("match_type IS NOT NULL").withColumn("confidence", sure).drop("common")
+    sure = found.filter("match_type IN ('exact', 'normalized')").withColumn("confidence", sure).drop("common")
+    blocks = found.filter("match_type = 'block'").select("doc_key", "text", F.col("char_start").alias("start"), (F.col("char_end") - F.col("char_start")).alias("size"), "line")
     missing = found.filter("match_type IS NULL").select("doc_key", "text", ("common" if autojunk else F.lit("").alias("common")))
     if not missing.isEmpty():
-        blocks = longest_blocks(missing, documents)
-        ratio = F.col("size") / F.length("text")
-        fuzzy = blocks.filter((F.col("size") > 0) & (ratio >= min_ratio)).select(
-            "doc_key", "text", F.col("start").alias("char_start"), (F.col("start") + F.col("size")).alias("char_end"), "line", F.lit("fuzzy").alias("match_type"), (ratio * FUZZY).alias("confidence")
-        )
-        every = every.unionByName(fuzzy)
+        blocks = blocks.unionByName(longest_blocks(missing, documents))
+    ratio = F.col("size") / F.length("text")
+    fuzzy = blocks.filter((F.col("size") > 0) & (ratio >= min_ratio)).select(
+        "doc_key", "text", F.col("start").alias("char_start"), (F.col("start") + F.col("size")).alias("char_end"), "line", F.lit("fuzzy").alias("match_type"), (ratio * FUZZY).alias("confidence")
+    )
+    every = sure.unionByName(fuzzy)
     return every.select("doc_key", "text", F.struct("char_start", "char_end", "line", "match_type", "confidence").alias("source_location"))
 
 
