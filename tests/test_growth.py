@@ -75,3 +75,20 @@ def test_small_blocks_are_told_without_joins(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(grounding, "longest_blocks", None)
     assert _grounded(spark) == want and any("fuzzy" in x for x in want)
+
+
+def test_blocks_of_few_rare_characters_need_no_joins(spark, monkeypatch):
+    """What has to be looked for counts, not the length of a text and its source; both ways tell the same blocks."""
+    import random
+
+    draw = random.Random(5)
+    source = "".join(draw.choice("abcdefgh \n") if k % 150 else chr(0x4E00 + k) for k in range(30_000))
+    rows = [(1, f"~{source[a : a + 400]}") for a in (7, 9_000, 29_500)]
+    texts = spark.createDataFrame([(k, o, t) for o, (k, t) in enumerate(rows)], "doc_key long, ord int, text string")
+    docs = spark.createDataFrame([(1, source)], "doc_key long, text string")
+    told = lambda: sorted(map(tuple, grounding.ground(texts, docs).collect()))
+    monkeypatch.setattr(grounding, "SMALL", -1)
+    want = told()
+    monkeypatch.undo()
+    monkeypatch.setattr(grounding, "longest_blocks", None)
+    assert told() == want and [r[3]["match_type"] for r in want] == ["fuzzy"] * 3 and [r[3]["char_start"] for r in want] == [7, 9_000, 29_500]

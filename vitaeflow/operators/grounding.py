@@ -2,8 +2,8 @@
 
 All texts of a document are searched in one pass over its source, which is held once, by an automaton of
 all patterns; first as they are, then without white space on either side. Only texts and sources that
-this doesn't bring together are looked at for their longest common block: at once where text and source are
-small, by joins if they aren't (see ``blocks``).
+this doesn't bring together are looked at for their longest common block: at once where that takes little work,
+by joins if it doesn't (see ``blocks``).
 
 Sources travel in pieces, so that no batch holds more than ``ROWS`` pieces, and are put together one at a
 time. Documents with over ``TEXTS`` texts are dealt to several tasks if they have more than one in ``HOT_SHARE``
@@ -39,8 +39,9 @@ SHORT = 4
 LONG, COMMON = 200, 100
 #: Patterns are looked for one by one, too, while they times the characters of their source are no more than this.
 PLAIN = 1 << 22
-#: Longest blocks are told at once while a text times its source has no more characters than this.
-SMALL = 1 << 22
+#: Longest blocks are told at once while a text's characters that aren't common times its source's characters are
+#: no more than this, and beyond it while all such texts of a source take no more than ``PATIENCE`` times as much.
+SMALL, PATIENCE = 1 << 22, 1 << 8
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # the last one stands for all that follow
 
 
@@ -127,14 +128,20 @@ def longest_block(text: str, source: str, mask: dict[int, str], masked: str) ->
 
 
 def _blocks(source: str, texts: list[str], found: list[tuple], common: str, small: int) -> list[tuple]:
-    """``found`` with (start, end, line, block) for the texts that weren't found and are small."""
+    """``found`` with (start, end, line, block) for the texts that weren't found and take little work: each of their
+    characters that aren't common may be looked for in all of the source."""
     mask = dict.fromkeys(map(ord, common), BREAK)
     masked = source.translate(mask)
-    out = []
+    drop = dict.fromkeys(map(ord, common))
+    out, left = [], small * PATIENCE
     for text, own in zip(texts, found, strict=True):
-        if own[3] is None and len(text) * len(source) <= small:
-            start, size = longest_block(text, source, mask, masked)
-            own = (start, start + size, source.count("\n", 0, start) + 1, "block")
+        if own[3] is None:
+            work = len(text.translate(drop)) * len(source)
+            if work > small:
+                left -= work
+            if work <= small or left >= 0:
+                start, size = longest_block(text, source, mask, masked)
+                own = (start, start + size, source.count("\n", 0, start) + 1, "block")
         out.append(own)
     return out
 
