@@ -12,6 +12,7 @@ of all texts; there can't be more of these than ``HOT_SHARE``, and they are broa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from vitaeflow.functions.coerce import truthy
 from vitaeflow.operators.blocks import BREAK, longest_blocks
-from vitaeflow.operators.keys import cut
+from vitaeflow.operators.keys import cut, many
 
 MIN_RATIO = 0.3
 CONFIDENCE = {"exact": 1.0, "normalized": 0.85, "none": 0.1}
@@ -45,6 +46,10 @@ SMALL, PATIENCE = 1 << 22, 1 << 8
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # the last one stands for all that follow
 
 
+def codes_of(source: str) -> np.ndarray:
+    return np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def first_places(source: str, patterns: list[str]) -> list[int]:
     """The first place of each pattern in a source, -1 for none; if there is much to do, in one pass for all that
     aren't short."""
@@ -75,7 +80,7 @@ def first_places(source: str, patterns: list[str]) -> list[int]:
 def find_all(source: str, texts: list[str]) -> list[tuple]:
     """(start, end, line, kind) of each text in a source; all None if it isn't found with or without white
     space. A text found without it ends where the next solid character stands."""
-    codes = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = codes_of(source)
     ends = np.flatnonzero(codes == 10)
     line = lambda start: int(ends.searchsorted(start)) + 1
     out: list[tuple] = [(None, None, None, None)] * len(texts)
@@ -99,15 +104,26 @@ def common_characters(source: str) -> str:
     """The characters that make up more than a hundredth of a long source; there are less than a hundred."""
     if len(source) < LONG:
         return ""
-    codes, counts = np.unique(np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
-    return "".join(map(chr, codes[counts > len(source) // COMMON + 1].tolist()))
-
-
-def longest_block(text: str, source: str, mask: dict[int, str], masked: str) -> tuple[int, int]:
-    """(start, size) in a source of the longest block it shares with a text, as ``blocks`` tells it. ``mask``
-    takes common characters to a break, which ``masked`` is the source with."""
-    n, i, j, at = 0, 0, 0, 0
-    for run in text.translate(mask).split(BREAK):
+    counts = np.bincount(codes_of(source))
+    return "".join(map(chr, np.flatnonzero(counts > len(source) // COMMON + 1).tolist()))
+
+
+def without(source: str, common: str) -> str:
+    """A source with a break for each common character."""
+    if not common or not source:
+        return source
+    codes = codes_of(source).copy()
+    is_common = np.zeros(int(codes.max()) + 1, dtype=bool)
+    is_common[list(map(ord, common))] = True
+    codes[is_common[codes]] = ord(BREAK)
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def longest_block(text: str, source: str, runs: list[tuple[int, str]], masked: str) -> tuple[int, int]:
+    """(start, size) in a source of the longest block it shares with a text, as ``blocks`` tells it. ``runs``: places
+    and characters of what stands between the text's common characters, which are breaks in ``masked``."""
+    n, i, j = 0, 0, 0
+    for at, run in runs:
         k = 0
         while k + n < len(run):
             found = masked.find(run[k : k + n + 1])
@@ -118,7 +134,6 @@ def longest_block(text: str, source: str, mask: dict[int, str], masked: str) ->
             while k + n < len(run) and found + n < len(masked) and run[k + n] == masked[found + n]:
                 n += 1
             i, j = at + k, found
-        at += len(run) + 1
     before, after = 0, 0
     while before < min(i, j) and text[i - before - 1] == source[j - before - 1]:
         before += 1
@@ -130,17 +145,16 @@ def longest_block(text: str, source: str, mask: dict[int, str], masked: str) ->
 def _blocks(source: str, texts: list[str], found: list[tuple], common: str, small: int) -> list[tuple]:
     """``found`` with (start, end, line, block) for the texts that weren't found and take little work: each of their
     characters that aren't common may be looked for in all of the source."""
-    mask = dict.fromkeys(map(ord, common), BREAK)
-    masked = source.translate(mask)
-    drop = dict.fromkeys(map(ord, common))
+    masked, rare = without(source, common), re.compile(f"[^{re.escape(common)}{BREAK}]+")
     out, left = [], small * PATIENCE
     for text, own in zip(texts, found, strict=True):
         if own[3] is None:
-            work = len(text.translate(drop)) * len(source)
+            runs = [(m.start(), m.group()) for m in rare.finditer(text)]
+            work = sum(len(run) for _, run in runs) * len(source)
             if work > small:
                 left -= work
             if work <= small or left >= 0:
-                start, size = longest_block(text, source, mask, masked)
+                start, size = longest_block(text, source, runs, masked)
                 own = (start, start + size, source.count("\n", 0, start) + 1, "block")
         out.append(own)
     return out
@@ -189,16 +203,16 @@ def search(texts: DataFrame, documents: DataFrame, rows: DataFrame, autojunk: bo
     bodies = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
     sources = documents.select("doc_key", F.posexplode(F.when(whole == "", F.array(F.lit(""))).otherwise(bodies)).alias("at", "body"))
     asked = texts.select("doc_key", F.lit(None).cast("int").alias("at"), F.col("text").alias("body"))
-    if rows.select("doc_key").limit(TEXTS + 1).count() <= TEXTS:  # no document has more
+    counts = rows.groupBy("doc_key").agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= TEXTS:
         asked, dealt = asked.withColumn("part", F.lit(0)), sources.withColumn("part", F.lit(0))
     else:
-        counts = rows.groupBy("doc_key").agg(F.count("*").alias("n"))
-        total = counts.agg(F.sum("n").alias("total"))  # the same counts; rows are read once
-        hot = counts.filter(F.col("n") > TEXTS).join(F.broadcast(total)).filter(F.col("n") * HOT_SHARE > F.col("total")).select("doc_key", F.ceil(F.col("n") / TEXTS).cast("int").alias("parts"))
+        hot = cut(counts.filter((F.col("n") > TEXTS) & (F.col("n") * HOT_SHARE > total)).select("doc_key", F.ceil(F.col("n") / TEXTS).cast("int").alias("parts")))
         parts = F.coalesce("parts", F.lit(1))
         asked = asked.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.pmod(F.xxhash64("body"), parts).cast("int")).drop("parts")
         dealt = sources.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    both = dealt.unionByName(asked).repartition("doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"))
+    both = dealt.unionByName(asked).repartition(many(texts.sparkSession), "doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"))
     kind = texts.schema["doc_key"].dataType
     return both.mapInArrow(_searching(to_arrow_type(kind), autojunk), f"doc_key {kind.simpleString()}, text string, char_start int, char_end int, line int, match_type string, common string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def many(spark: SparkSession) -> int:
+    """How many tasks much work on rows is dealt to: small tables would be dealt to a few only, by their bytes."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows, dealt evenly to all cores. For much work on narrow rows: a small file of many rows is read by
     one task or a few, whatever the number of cores."""

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 THRESHOLD = 0.5
@@ -120,11 +121,13 @@ def fold_counts(spans: DataFrame, kept: DataFrame) -> DataFrame:
 
 def spans_of(extractions: DataFrame) -> DataFrame:
     """The spans of grounded extractions."""
-    raw = F.from_json(F.to_json(F.struct(*(c for c in extractions.columns if c not in ("text", "source_location", "type", "confidence", "doc_key", "ord")))), "map<string,string>")
-    given = F.size(F.filter(F.map_entries(raw), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "0", "false", "[]", "{}")))
+    said = (f for f in extractions.schema if f.name not in ("text", "source_location", "type", "confidence", "doc_key", "ord"))
+    nested = lambda f: isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+    values = [F.to_json(f.name) if nested(f) else F.col(f.name).cast("string") for f in said]
+    given = sum((F.coalesce(~v.isin("", "0", "false", "[]", "{}"), F.lit(False)).cast("int") for v in values), F.lit(0))
     return extractions.select(
         "doc_key", "ord", "type", F.col("attributes.name").alias("name"), F.col("source_location.char_start").alias("start"), F.col("source_location.char_end").alias("end"),
-        F.coalesce(given, F.lit(0)).alias("n_attrs"), F.length(F.coalesce("text", F.lit(""))).alias("text_length"), "confidence",
+        given.alias("n_attrs"), F.length(F.coalesce("text", F.lit(""))).alias("text_length"), "confidence",
     )
 
 

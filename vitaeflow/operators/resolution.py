@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vitaeflow.functions.coerce import truthy
-from vitaeflow.operators.keys import cut
+from vitaeflow.operators.keys import cut, many
 
 THRESHOLD = 0.7
 #: What a name inside another counts for, at most.
@@ -159,7 +159,8 @@ def seeds(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kinds = [to_arrow_type(f.dataType) for f in schema]
     left, done = names.select(*columns), []
     while True:
-        first = left.withColumn("_k", F.row_number().over(_in_document())).filter(F.col("_k") <= LEADERS).drop("_k")
+        dealt = left.repartition(many(names.sparkSession), "doc_key")
+        first = dealt.withColumn("_k", F.row_number().over(_in_document())).filter(F.col("_k") <= LEADERS).drop("_k")
         decided = cut(first.sortWithinPartitions("doc_key", "place", "name").mapInArrow(_leading(threshold, kinds), schema))
         done.append(decided)
         ends = decided.groupBy("doc_key").agg(F.max(F.struct("place", "name")).alias("end"), F.count("*").alias("n")).filter(F.col("n") == LEADERS)
@@ -170,7 +171,7 @@ def seeds(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         fresh = decided.filter("name = seed").join(sizes, "doc_key").select("doc_key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_seed"), "place", "name")
         asked = rest.join(sizes, "doc_key").select("doc_key", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_seed"), "place", "name")
         order = ["doc_key", "part", F.desc("is_seed"), "place", "name"]
-        met = cut(fresh.unionByName(asked).repartition("doc_key", "part").sortWithinPartitions(*order).mapInArrow(_joining(threshold, kinds), schema))
+        met = cut(fresh.unionByName(asked).repartition(many(names.sparkSession), "doc_key", "part").sortWithinPartitions(*order).mapInArrow(_joining(threshold, kinds), schema))
         done.append(met.filter("seed IS NOT NULL"))
         left = met.filter("seed IS NULL").select(*columns)
     out = done[0]

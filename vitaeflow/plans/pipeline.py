@@ -28,14 +28,16 @@ class PipelineResult:
 
 def run(documents: DataFrame, extractions: DataFrame, config: PipelineConfig | None = None) -> PipelineResult:
     """documents: (doc_key, source_file, text); extractions: schema.EXTRACTION. What several later stages read, the
-    grounded, the scored and the processed extractions, is computed at once and kept in the shared folder, so
+    dated, the grounded, the scored and the processed extractions, is computed at once and kept in the shared folder, so
     plans stay short and nothing runs twice; relations, statistics and graph run when they are used."""
     config = config or PipelineConfig()
     out = extractions
     if config.time_normalization:
-        out = out.withColumn("attributes", F.col("attributes").withField(DATE_ATTRIBUTES[0], normalize_period(F.col(f"attributes.{DATE_ATTRIBUTES[0]}"))))
-        for name in DATE_ATTRIBUTES[1:]:
-            out = out.withColumn("attributes", F.col("attributes").withField(name, normalize_period(F.col(f"attributes.{name}"))))
+        dated = F.col("attributes")
+        for name in DATE_ATTRIBUTES:
+            dated = dated.withField(name, normalize_period(F.col(f"attributes.{name}")))
+        out = out.withColumn("attributes", dated)
+    out = cut(out)
     out = grounding.ground(out, documents) if config.source_grounding else out.withColumn("source_location", F.lit(None).cast(_LOCATION))
     files = documents.select("doc_key", F.col("source_file").alias("_file"))
     out = out.join(files, "doc_key", "left").withColumn("source_file", F.coalesce("source_file", "_file")).drop("_file")
