@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vitaeflow.functions.text import strip
+from vitaeflow.functions.text import let, strip
 
 #: Words for the present, month names.
 PRESENT = ("至今", "present", "至今在职", "在职", "now", "current")
@@ -28,14 +28,16 @@ def _month_number(name: Column) -> Column:
 
 def normalize_period(value: Column) -> Column:
     """A date in one of the common notations as YYYY.MM; others stay, without blanks around them."""
-    v = strip(value)
+    return F.when(value.isNull() | (value == ""), value).otherwise(let(strip(value), _normalized))
 
+
+def _normalized(v: Column) -> Column:
     def pieces(pattern: str) -> Column:
         return F.concat(F.regexp_extract(v, pattern, 1), F.lit("."), F.lpad(F.regexp_extract(v, pattern, 2), 2, "0"))
 
     month = _month_number(F.regexp_extract(v, NAME_AND_YEAR, 1))
     kept = F.lower(v).isin(*PRESENT) | v.rlike(DONE)
-    out = F.when(value.isNull() | (value == ""), value).when(kept, v).when(v.rlike(YEAR), F.concat(F.substring(v, 1, 4), F.lit(".01")))
+    out = F.when(kept, v).when(v.rlike(YEAR), F.concat(F.substring(v, 1, 4), F.lit(".01")))
     for pattern in YEAR_AND_MONTH:
         out = out.when(v.rlike(pattern), pieces(pattern))
     out = out.when(v.rlike(NAME_AND_YEAR) & month.isNotNull(), F.concat(F.regexp_extract(v, NAME_AND_YEAR, 2), F.lit("."), month))

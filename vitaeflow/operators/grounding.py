@@ -12,7 +12,6 @@ of all texts; there can't be more of these than ``HOT_SHARE``, and they are broa
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -119,11 +118,11 @@ def without(source: str, common: str) -> str:
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def longest_block(text: str, source: str, runs: list[tuple[int, str]], masked: str) -> tuple[int, int]:
-    """(start, size) in a source of the longest block it shares with a text, as ``blocks`` tells it. ``runs``: places
-    and characters of what stands between the text's common characters, which are breaks in ``masked``."""
-    n, i, j = 0, 0, 0
-    for at, run in runs:
+def longest_block(text: str, source: str, runs: list[str], masked: str) -> tuple[int, int]:
+    """(start, size) in a source of the longest block it shares with a text, as ``blocks`` tells it. ``runs``: what
+    stands between the text's common characters, which are breaks in ``masked``."""
+    n, i, j, at = 0, 0, 0, 0
+    for run in runs:
         k = 0
         while k + n < len(run):
             found = masked.find(run[k : k + n + 1])
@@ -134,6 +133,7 @@ def longest_block(text: str, source: str, runs: list[tuple[int, str]], masked: s
             while k + n < len(run) and found + n < len(masked) and run[k + n] == masked[found + n]:
                 n += 1
             i, j = at + k, found
+        at += len(run) + 1
     before, after = 0, 0
     while before < min(i, j) and text[i - before - 1] == source[j - before - 1]:
         before += 1
@@ -145,12 +145,12 @@ def longest_block(text: str, source: str, runs: list[tuple[int, str]], masked: s
 def _blocks(source: str, texts: list[str], found: list[tuple], common: str, small: int) -> list[tuple]:
     """``found`` with (start, end, line, block) for the texts that weren't found and take little work: each of their
     characters that aren't common may be looked for in all of the source."""
-    masked, rare = without(source, common), re.compile(f"[^{re.escape(common)}{BREAK}]+")
+    masked, mask = without(source, common), dict.fromkeys(map(ord, common), BREAK)
     out, left = [], small * PATIENCE
     for text, own in zip(texts, found, strict=True):
         if own[3] is None:
-            runs = [(m.start(), m.group()) for m in rare.finditer(text)]
-            work = sum(len(run) for _, run in runs) * len(source)
+            runs = text.translate(mask).split(BREAK)
+            work = sum(map(len, runs)) * len(source)
             if work > small:
                 left -= work
             if work <= small or left >= 0:

@@ -27,6 +27,8 @@ THRESHOLD = 0.7
 INSIDE = 0.9
 #: Names of a document that are decided among themselves in a round, and names that meet the seeds at once.
 LEADERS, NAMES = 1000, 1024
+#: Pairs of names whose counts of characters are compared at once.
+PAIRS = 4096
 #: Counters of characters; several characters may share one.
 COUNTERS = 64
 
@@ -51,37 +53,34 @@ def containment_similarity(a: Column, b: Column) -> Column:
 
 def histograms(names: list[str]) -> np.ndarray:
     """Counts of the characters of each name."""
-    out = np.zeros((len(names), COUNTERS), dtype=np.int16)
-    for k, name in enumerate(names):
-        if name:
-            codes = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            out[k] = np.minimum(np.bincount(codes % COUNTERS, minlength=COUNTERS), 32767)
-    return out
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    places = np.repeat(np.arange(len(names)) * COUNTERS, list(map(len, names))) + codes % COUNTERS
+    return np.minimum(np.bincount(places, minlength=len(names) * COUNTERS), 32767).astype(np.int16).reshape(-1, COUNTERS)
 
 
-def may_be_similar(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of many names could be similar to one: matching blocks can't hold more characters than both names
-    have in common, whatever their order."""
-    fits = 2 * np.minimum(size, sizes) >= threshold * (size + sizes) - 1e-9
-    at = np.flatnonzero(fits)
-    common = np.minimum(one, many[at]).sum(axis=1, dtype=np.int64)
-    fits[at] = (2 * common >= threshold * (size + sizes[at]) - 1e-9) | (size > 32767)
-    return fits
+def may_be_similar(one: np.ndarray, size: int | np.ndarray, many: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of many names could be similar to one, or to each of some that stand along a first axis: matching blocks
+    can't hold more characters than both names have in common, whatever their order."""
+    least = threshold * (size + sizes) - 1e-9
+    common = np.minimum(one, many).sum(axis=-1, dtype=np.int64)
+    return (2 * np.minimum(size, sizes) >= least) & ((2 * common >= least) | (size > 32767))
 
 
 def cluster(names: list[str], threshold: float) -> list[int]:
     """For each of distinct names the place of its cluster's seed: a name joins the first similar seed."""
+    if len(names) == 1:
+        return [0]
     seed = np.full(len(names), -1)
     counts, sizes = histograms(names), np.array(list(map(len, names)), dtype=np.int64)
-    for i, name in enumerate(names):
-        if seed[i] >= 0:
-            continue
-        seed[i] = i
-        later = i + 1 + np.flatnonzero(seed[i + 1 :] < 0)
-        for j in later[may_be_similar(counts[i], sizes[i], counts[later], sizes[later], threshold)].tolist():
-            if similarity(name, names[j]) >= threshold:
+    step = max(1, PAIRS // len(names))
+    for low in range(0, len(names), step):
+        first = low + np.flatnonzero(seed[low : low + step] < 0)  # names that may be seeds, against all that follow
+        later = low + np.flatnonzero(seed[low:] < 0)
+        pairs = may_be_similar(counts[first][:, None], sizes[first][:, None], counts[later], sizes[later], threshold)
+        for i, j in zip(*(x[y].tolist() for x, y in zip((first, later), np.nonzero(pairs), strict=True)), strict=True):
+            if i < j and seed[i] < 0 and seed[j] < 0 and similarity(names[i], names[j]) >= threshold:
                 seed[j] = i
-    return seed.tolist()
+    return np.where(seed < 0, np.arange(len(names)), seed).tolist()
 
 
 def first_similar(seeds: list[str], names: list[str], threshold: float) -> list[int]:
