@@ -2,11 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vitaeflow.functions import filename
-from vitaeflow.operators import grounding
+from vitaeflow.operators import grounding, overlap, resolution
 from vitaeflow.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,32 @@ def test_blocks_of_few_rare_characters_need_no_joins(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(grounding, "longest_blocks", None)
     assert told() == want and [r[3]["match_type"] for r in want] == ["fuzzy"] * 3 and [r[3]["char_start"] for r in want] == [7, 9_000, 29_500]
+
+
+def test_documents_share_batches():
+    """What is found in many small documents leaves Python in a few batches."""
+    keys = [f"d{k}" for k in range(600)]
+    rows = [r for k in keys for r in ((k, 0, 0, f"text of {k}"), (k, 0, None, k))]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+    found = list(grounding._searching(pa.string(), True)(iter([pa.RecordBatch.from_arrays(columns, names=["doc_key", "part", "at", "body"])])))
+    assert len(found) == 1 and found[0].column("text").to_pylist() == keys and set(found[0].column("char_start").to_pylist()) == {8}
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string()]
+    named = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, [0] * 600, keys), kinds[:3], strict=True)], names=["doc_key", "place", "name"])
+    led = list(resolution._leading(0.7, kinds)(iter([named])))
+    assert len(led) == 1 and led[0].column("seed").to_pylist() == keys
+
+
+def test_attributes_are_counted_without_json(spark):
+    kinds = "doc_key string, ord int, type string, text string, summary_cn string, reason string, related_entities array<string>, confidence double, attributes struct<name: string>, source_location struct<char_start: int, char_end: int>"
+    rows = [("a", 0, "x", "t", "0", "r", [], 1.0, (None,), (0, 1)), ("a", 1, "x", "t", None, "[]", ["q"], 1.0, ("n",), (0, 1)), ("a", 2, "x", "t", "false", "", None, 1.0, None, None), ("a", 3, "x", "t", "s", "{}", [None], 1.0, ("",), None)]
+    spans = overlap.spans_of(spark.createDataFrame(rows, kinds))
+    assert [r["n_attrs"] for r in spans.orderBy("ord").collect()] == [1, 2, 0, 3]
+    assert "from_json" not in spans._jdf.queryExecution().analyzed().toString()
+
+
+def test_dates_are_stripped_once(spark):
+    from vitaeflow.functions.dates import normalize_period
+
+    values = spark.createDataFrame([(" 2019/5 ",), ("",), (None,), ("Now",), ("May 2020",)], "v string").select(normalize_period(F.col("v")).alias("d"))
+    assert [r["d"] for r in values.collect()] == ["2019.05", "", None, "Now", "2020.05"]
+    assert values._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1

@@ -5,13 +5,14 @@ all patterns; first as they are, then without white space on either side. Only t
 this doesn't bring together are looked at for their longest common block: at once where that takes little work,
 by joins if it doesn't (see ``blocks``).
 
-Sources travel in pieces, so that no batch holds more than ``ROWS`` pieces, and are put together one at a
+Sources travel in pieces, so that no batch holds many of them, and are put together one at a
 time. Documents with over ``TEXTS`` texts are dealt to several tasks if they have more than one in ``HOT_SHARE``
 of all texts; there can't be more of these than ``HOT_SHARE``, and they are broadcast.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from vitaeflow.functions.coerce import truthy
 from vitaeflow.operators.blocks import BREAK, longest_blocks
-from vitaeflow.operators.keys import cut, many
+from vitaeflow.operators.keys import cut, many, told
 
 MIN_RATIO = 0.3
 CONFIDENCE = {"exact": 1.0, "normalized": 0.85, "none": 0.1}
@@ -39,9 +40,12 @@ SHORT = 4
 LONG, COMMON = 200, 100
 #: Patterns are looked for one by one, too, while they times the characters of their source are no more than this.
 PLAIN = 1 << 22
+#: Rows that a task gathers before it hands them on: most documents have a few.
+BATCH = 1000
 #: Longest blocks are told at once while a text's characters that aren't common times its source's characters are
 #: no more than this, and beyond it while all such texts of a source take no more than ``PATIENCE`` times as much.
 SMALL, PATIENCE = 1 << 22, 1 << 8
+_RUN = re.compile(f"[^{BREAK}]+")
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # the last one stands for all that follow
 
 
@@ -118,11 +122,11 @@ def without(source: str, common: str) -> str:
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def longest_block(text: str, source: str, runs: list[str], masked: str) -> tuple[int, int]:
-    """(start, size) in a source of the longest block it shares with a text, as ``blocks`` tells it. ``runs``: what
-    stands between the text's common characters, which are breaks in ``masked``."""
-    n, i, j, at = 0, 0, 0, 0
-    for run in runs:
+def longest_block(text: str, source: str, runs: list[tuple[int, str]], masked: str) -> tuple[int, int]:
+    """(start, size) in a source of the longest block it shares with a text, as ``blocks`` tells it. ``runs``: places
+    and characters of what stands between the text's common characters, which are breaks in ``masked``."""
+    n, i, j = 0, 0, 0
+    for at, run in runs:
         k = 0
         while k + n < len(run):
             found = masked.find(run[k : k + n + 1])
@@ -133,7 +137,6 @@ def longest_block(text: str, source: str, runs: list[str], masked: str) -> tuple
             while k + n < len(run) and found + n < len(masked) and run[k + n] == masked[found + n]:
                 n += 1
             i, j = at + k, found
-        at += len(run) + 1
     before, after = 0, 0
     while before < min(i, j) and text[i - before - 1] == source[j - before - 1]:
         before += 1
@@ -149,8 +152,8 @@ def _blocks(source: str, texts: list[str], found: list[tuple], common: str, smal
     out, left = [], small * PATIENCE
     for text, own in zip(texts, found, strict=True):
         if own[3] is None:
-            runs = text.translate(mask).split(BREAK)
-            work = sum(map(len, runs)) * len(source)
+            runs = [(m.start(), m.group()) for m in _RUN.finditer(text.translate(mask))]
+            work = sum(len(run) for _, run in runs) * len(source)
             if work > small:
                 left -= work
             if work <= small or left >= 0:
@@ -163,6 +166,9 @@ def _blocks(source: str, texts: list[str], found: list[tuple], common: str, smal
 def _searching(key_type: pa.DataType, autojunk: bool | None):
     """Rows of one document are next to each other: the pieces of its source, then its texts."""
 
+    names = ["doc_key", "text", "char_start", "char_end", "line", "match_type", "common"]
+    kinds = dict(zip(names, [key_type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()], strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle() -> Iterator[pa.RecordBatch]:
             if texts and pieces:
@@ -171,10 +177,12 @@ def _searching(key_type: pa.DataType, autojunk: bool | None):
                 common = common_characters(source) if any(x[3] is None for x in found) else None
                 if common is not None and autojunk is not None:
                     found = _blocks(source, texts, found, common if autojunk else "", SMALL)
-                columns = [[last[0]] * len(texts), texts, *zip(*found, strict=True), [common if x[3] is None else None for x in found]]
-                kinds = [key_type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_key", "text", "char_start", "char_end", "line", "match_type", "common"])
+                rows = [[last[0]] * len(texts), texts, *zip(*found, strict=True), [common if x[3] is None else None for x in found]]
+                for column, more in zip(held, rows, strict=True):
+                    column.extend(more)
+                yield from told(held, kinds, BATCH)
 
+        held: list[list] = [[] for _ in names]
         last, pieces, texts = None, [], []
         for batch in batches:
             for key, part, at, body in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "part", "at", "body")), strict=True):
@@ -189,6 +197,7 @@ def _searching(key_type: pa.DataType, autojunk: bool | None):
                         yield from settle()
                         texts = []
         yield from settle()
+        yield from told(held, kinds)
 
     return run
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ def many(spark: SparkSession) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def told(held: list[list], kinds: dict[str, pa.DataType], least: int = 1) -> Iterator[pa.RecordBatch]:
+    """The columns that a task has gathered as one batch, once they hold ``least`` rows; then they are empty."""
+    if len(held[0]) >= least:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds.values(), strict=True)], names=list(kinds))
+        for c in held:
+            c.clear()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows, dealt evenly to all cores. For much work on narrow rows: a small file of many rows is read by
     one task or a few, whatever the number of cores."""

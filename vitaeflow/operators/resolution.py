@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vitaeflow.functions.coerce import truthy
-from vitaeflow.operators.keys import cut, many
+from vitaeflow.operators.keys import cut, many, told
 
 THRESHOLD = 0.7
 #: What a name inside another counts for, at most.
@@ -100,13 +100,17 @@ def canonical(names: list[str]) -> str:
 
 def _leading(threshold: float, kinds: list[pa.DataType]):
     """(doc_key, place, name, seed) of the leaders of each document, which are next to each other in order."""
+    schema = dict(zip(("doc_key", "place", "name", "seed"), kinds, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle() -> Iterator[pa.RecordBatch]:
             if names:
                 chosen = [names[k] for k in cluster(names, threshold)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([last] * len(names), places, names, chosen), kinds, strict=True)], names=["doc_key", "place", "name", "seed"])
+                for column, more in zip(held, ([last] * len(names), places, names, chosen), strict=True):
+                    column.extend(more)
+                yield from told(held, schema, NAMES)
 
+        held: list[list] = [[] for _ in schema]
         last, places, names = None, [], []
         for batch in batches:
             for key, place, name in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "place", "name")), strict=True):
@@ -116,6 +120,7 @@ def _leading(threshold: float, kinds: list[pa.DataType]):
                 places.append(place)
                 names.append(name)
         yield from settle()
+        yield from told(held, schema)
 
     return run
 
