@@ -122,3 +122,57 @@ def test_dates_are_stripped_once(spark):
     values = spark.createDataFrame([(" 2019/5 ",), ("",), (None,), ("Now",), ("May 2020",)], "v string").select(normalize_period(F.col("v")).alias("d"))
     assert [r["d"] for r in values.collect()] == ["2019.05", "", None, "Now", "2020.05"]
     assert values._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_stages_keep_little_on_disk(spark):
+    """Texts of extractions are kept once, in columns, and shuffle files go with the job that wrote them."""
+    import random
+
+    from vitaeflow.config import PipelineConfig
+    from vitaeflow.operators import keys
+    from vitaeflow.plans import pipeline
+    from vitaeflow.schema import EXTRACTION
+
+    draw = random.Random(6)
+    sources = [["".join(draw.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(300)) for _ in range(20)] for _ in range(60)]
+    docs = spark.createDataFrame([(f"d{k}", f"d{k}.md", "\n".join(x)) for k, x in enumerate(sources)], "doc_key string, source_file string, text string")
+    rows = [{"doc_key": f"d{k}", "ord": o, "type": ("candidate", "entity", "skill", "relation")[o % 4], "text": t} for k, x in enumerate(sources) for o, t in enumerate(x)]
+    said = spark.createDataFrame([tuple(r.get(n) for n in EXTRACTION.fieldNames()) for r in rows], EXTRACTION)
+    shared = keys.cut(spark.range(1)) and spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    shuffles = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)}
+    kept, before = _bytes(shared), shuffles()
+    result = pipeline.run(docs, said, PipelineConfig(kg_injection=True))
+    texts = sum(len(r["text"]) for r in rows)
+    assert _bytes(shared) - kept < 2 * texts  # nearly 6 times the texts when each stage kept all rows
+    left = shuffles() - before
+    assert sum(os.path.getsize(f) for f in left if os.path.exists(f)) < texts / 10  # nearly 9 times the texts before
+    assert result.extractions.count() == len(rows) == result.stats.first()["total_extractions"] and result.edges.count() > 0
+    keys.remove(spark, result.folder)
+    assert _bytes(shared) - kept < texts / 2
+
+
+def test_stages_with_odd_rows(spark):
+    """Rows that share a place, have none or no text, stand in no document, or come with a file."""
+    from vitaeflow.config import PipelineConfig
+    from vitaeflow.plans import pipeline
+    from vitaeflow.schema import EXTRACTION
+
+    docs = spark.createDataFrame([("a", "a.md", "one two three\nfour five"), ("b", None, None)], "doc_key string, source_file string, text string")
+    rows = [("a", 0, "one two"), ("a", 0, "four"), ("a", 0, "four"), ("a", None, "five"), ("a", 1, None), ("a", 2, ""), ("b", 0, "one"), ("c", 0, "one"), (None, 0, "one")]
+    said = [{"doc_key": k, "ord": o, "type": "skill", "text": t, "source_file": "own.md" if t == "five" else None} for k, o, t in rows]
+    frame = spark.createDataFrame([tuple(r.get(n) for n in EXTRACTION.fieldNames()) for r in said], EXTRACTION)
+    told = lambda **flags: sorted(
+        (str(r["doc_key"]), str(r["ord"]), str(r["text"]), str(r["source_file"]), r["source_location"] and r["source_location"]["match_type"], r["source_location"] and r["source_location"]["char_start"])
+        for r in pipeline.run(docs, frame, PipelineConfig(**flags)).extractions.collect()
+    )
+    want = [
+        ("None", "0", "one", "None", "none", None), ("a", "0", "four", "a.md", "exact", 14), ("a", "0", "four", "a.md", "exact", 14), ("a", "0", "one two", "a.md", "exact", 0), ("a", "1", "None", "a.md", None, None),
+        ("a", "2", "", "a.md", None, None), ("a", "None", "five", "own.md", "exact", 19), ("b", "0", "one", "None", "none", None), ("c", "0", "one", "None", "none", None),
+    ]
+    assert told(overlap_dedup=False) == want
+    assert told() == [w for w in want if "None" not in w[:2]]
+    assert {w[4:] for w in told(source_grounding=False)} == {(None, None)}

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -164,7 +164,7 @@ def _blocks(source: str, texts: list[str], found: list[tuple], common: str, smal
 
 
 def _searching(key_type: pa.DataType, autojunk: bool | None):
-    """Rows of one document are next to each other: the pieces of its source, then its texts."""
+    """Rows of one document are next to each other: the pieces of its source, then its texts in order."""
 
     names = ["doc_key", "text", "char_start", "char_end", "line", "match_type", "common"]
     kinds = dict(zip(names, [key_type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()], strict=True))
@@ -191,11 +191,11 @@ def _searching(key_type: pa.DataType, autojunk: bool | None):
                     last, pieces, texts = (key, part), [], []
                 if at is not None:
                     pieces.append(body)
-                else:
-                    texts.append(body)
+                elif not texts or body != texts[-1]:  # equal ones follow each other
                     if len(texts) >= 2 * TEXTS:
                         yield from settle()
                         texts = []
+                    texts.append(body)
         yield from settle()
         yield from told(held, kinds)
 
@@ -203,8 +203,8 @@ def _searching(key_type: pa.DataType, autojunk: bool | None):
 
 
 def search(texts: DataFrame, documents: DataFrame, rows: DataFrame, autojunk: bool | None = None) -> DataFrame:
-    """(doc_key, text, char_start, char_end, line, match_type, common) of the distinct texts (doc_key, text)
-    of documents (doc_key, text); match_type is exact, normalized or null, in which case ``common`` has the
+    """(doc_key, text, char_start, char_end, line, match_type, common) of the distinct ones of
+    texts (doc_key, text) in documents (doc_key, text); match_type is exact, normalized or null, in which case ``common`` has the
     common characters of the source. ``rows``: what the texts were taken from; how many there are of a document
     bounds its texts. With ``autojunk`` given, small texts that aren't found have their longest block instead,
     with match_type block."""
@@ -221,42 +221,52 @@ def search(texts: DataFrame, documents: DataFrame, rows: DataFrame, autojunk: bo
         parts = F.coalesce("parts", F.lit(1))
         asked = asked.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.pmod(F.xxhash64("body"), parts).cast("int")).drop("parts")
         dealt = sources.join(F.broadcast(hot), "doc_key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    both = dealt.unionByName(asked).repartition(many(texts.sparkSession), "doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"))
+    both = dealt.unionByName(asked).repartition(many(texts.sparkSession), "doc_key", "part").sortWithinPartitions("doc_key", "part", F.asc_nulls_last("at"), "body")
     kind = texts.schema["doc_key"].dataType
     return both.mapInArrow(_searching(to_arrow_type(kind), autojunk), f"doc_key {kind.simpleString()}, text string, char_start int, char_end int, line int, match_type string, common string")
 
 
 def asked_texts(extractions: DataFrame) -> DataFrame:
-    """The distinct texts to look for, by document."""
-    return extractions.filter(truthy(F.col("text"))).select("doc_key", "text").distinct()
+    """The texts to look for, by document; equal ones meet in the search."""
+    return extractions.filter(truthy(F.col("text"))).select("doc_key", "text")
+
+
+def text_id() -> Column:
+    """What stands for a text within its document, so that texts needn't be kept or moved again."""
+    return F.xxhash64("text").alias("text_id")
 
 
 def locations(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
-    """(doc_key, text, source_location) of the distinct texts that are found. The search runs at once, and
-    what it finds is kept in the shared folder."""
-    found = cut(search(asked_texts(extractions), documents, extractions, autojunk))
+    """(doc_key, text_id, source_location) of the distinct texts that are found. The search runs at once, and
+    what it finds is kept in the shared folder, with the texts only that are still to be looked for."""
+    places = ("char_start", "char_end", "line", "match_type")
+    missed = F.when(F.col("match_type").isNull(), F.col("text")).alias("text")
+    found = cut(search(asked_texts(extractions), documents, extractions, autojunk).select("doc_key", text_id(), F.length("text").alias("length"), *places, "common", missed))
     sure = F.when(F.col("match_type") == "exact", CONFIDENCE["exact"]).otherwise(CONFIDENCE["normalized"])
-    sure = found.filter("match_type IN ('exact', 'normalized')").withColumn("confidence", sure).drop("common")
-    blocks = found.filter("match_type = 'block'").select("doc_key", "text", F.col("char_start").alias("start"), (F.col("char_end") - F.col("char_start")).alias("size"), "line")
+    sure = found.filter("match_type IN ('exact', 'normalized')").select("doc_key", "text_id", *places, sure.alias("confidence"))
+    blocks = found.filter("match_type = 'block'").select("doc_key", "text_id", "length", F.col("char_start").alias("start"), (F.col("char_end") - F.col("char_start")).alias("size"), "line")
     missing = found.filter("match_type IS NULL").select("doc_key", "text", ("common" if autojunk else F.lit("").alias("common")))
     if not missing.isEmpty():
-        blocks = blocks.unionByName(longest_blocks(missing, documents))
-    ratio = F.col("size") / F.length("text")
+        blocks = blocks.unionByName(longest_blocks(missing, documents).select("doc_key", text_id(), F.length("text").alias("length"), "start", "size", "line"))
+    ratio = F.col("size") / F.col("length")
     fuzzy = blocks.filter((F.col("size") > 0) & (ratio >= min_ratio)).select(
-        "doc_key", "text", F.col("start").alias("char_start"), (F.col("start") + F.col("size")).alias("char_end"), "line", F.lit("fuzzy").alias("match_type"), (ratio * FUZZY).alias("confidence")
+        "doc_key", "text_id", F.col("start").alias("char_start"), (F.col("start") + F.col("size")).alias("char_end"), "line", F.lit("fuzzy").alias("match_type"), (ratio * FUZZY).alias("confidence")
     )
     every = sure.unionByName(fuzzy)
-    return every.select("doc_key", "text", F.struct("char_start", "char_end", "line", "match_type", "confidence").alias("source_location"))
+    return every.select("doc_key", "text_id", F.struct(*places, "confidence").alias("source_location"))
+
+
+def told_location() -> Column:
+    """source_location of an extraction: match_type none where its text isn't found, null without text."""
+    nowhere = F.struct(
+        *(F.lit(None).cast("int").alias(c) for c in ("char_start", "char_end", "line")), F.lit("none").alias("match_type"), F.lit(CONFIDENCE["none"]).alias("confidence")
+    )
+    return F.when(F.coalesce(truthy(F.col("text")), F.lit(False)), F.coalesce("source_location", nowhere)).alias("source_location")
 
 
 def ground(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
     """Adds source_location to every extraction; texts not found have match_type none, extractions
     without text no location. Sources meet distinct texts only; what comes back are places."""
     found = locations(extractions, documents, min_ratio, autojunk)
-    nowhere = F.struct(
-        *(F.lit(None).cast("int").alias(c) for c in ("char_start", "char_end", "line")), F.lit("none").alias("match_type"), F.lit(CONFIDENCE["none"]).alias("confidence")
-    )
-    given = F.coalesce(truthy(F.col("text")), F.lit(False))
     plain = extractions.select(*(c for c in extractions.columns if c != "source_location"))
-    joined = plain.join(found, ["doc_key", "text"], "left")
-    return joined.select(*plain.columns, F.when(given, F.coalesce("source_location", nowhere)).alias("source_location"))
+    return plain.withColumn("text_id", text_id()).join(found, ["doc_key", "text_id"], "left").select(*plain.columns, told_location())

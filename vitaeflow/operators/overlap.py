@@ -119,12 +119,21 @@ def fold_counts(spans: DataFrame, kept: DataFrame) -> DataFrame:
     return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("before", "remaining"))).select("before", (F.col("before") - F.col("remaining")).alias("removed"), "remaining")
 
 
+def n_given(extractions: DataFrame, *names: str) -> Column:
+    """How many of the named columns of extractions say something."""
+    nested = lambda f: isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+    values = [F.to_json(n) if nested(extractions.schema[n]) else F.col(n).cast("string") for n in names]
+    return sum((F.coalesce(~v.isin("", "0", "false", "[]", "{}"), F.lit(False)).cast("int") for v in values), F.lit(0))
+
+
+def attributes_of(extractions: DataFrame) -> list[str]:
+    """The columns that count as an extraction's attributes."""
+    return [c for c in extractions.columns if c not in ("text", "source_location", "type", "confidence", "doc_key", "ord")]
+
+
 def spans_of(extractions: DataFrame) -> DataFrame:
     """The spans of grounded extractions."""
-    said = (f for f in extractions.schema if f.name not in ("text", "source_location", "type", "confidence", "doc_key", "ord"))
-    nested = lambda f: isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-    values = [F.to_json(f.name) if nested(f) else F.col(f.name).cast("string") for f in said]
-    given = sum((F.coalesce(~v.isin("", "0", "false", "[]", "{}"), F.lit(False)).cast("int") for v in values), F.lit(0))
+    given = n_given(extractions, *attributes_of(extractions))
     return extractions.select(
         "doc_key", "ord", "type", F.col("attributes.name").alias("name"), F.col("source_location.char_start").alias("start"), F.col("source_location.char_end").alias("end"),
         given.alias("n_attrs"), F.length(F.coalesce("text", F.lit(""))).alias("text_length"), "confidence",

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitaeflow.config import PipelineConfig
 from vitaeflow.functions.filename import stem
+from vitaeflow.operators.keys import remove
 from vitaeflow.plans import pipeline
 from vitaeflow.schema import EXTRACTION
 from vitaeflow.sources.extractions import items
@@ -27,6 +28,7 @@ def watch(spark: SparkSession, extractions: str, documents: DataFrame, out: str,
         result = pipeline.run(documents, rows, config)
         result.extractions.write.mode("overwrite").parquet(f"{out}/extractions/batch={number}")
         result.relations.write.mode("overwrite").parquet(f"{out}/relations/batch={number}")
+        remove(batch.sparkSession, result.folder)
         rows.unpersist()
 
     writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
