@@ -210,7 +210,7 @@ def search(texts: DataFrame, documents: DataFrame, rows: DataFrame, autojunk: bo
     with match_type block."""
     whole = F.coalesce("text", F.lit(""))
     bodies = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    sources = documents.select("doc_key", F.posexplode(F.when(whole == "", F.array(F.lit(""))).otherwise(bodies)).alias("at", "body"))
+    sources = documents.select("doc_key", F.posexplode(F.when(F.length(whole) <= PIECE, F.array(whole)).otherwise(bodies)).alias("at", "body"))
     asked = texts.select("doc_key", F.lit(None).cast("int").alias("at"), F.col("text").alias("body"))
     counts = rows.groupBy("doc_key").agg(F.count("*").alias("n"))
     total, most = counts.agg(F.sum("n"), F.max("n")).first()
@@ -236,12 +236,13 @@ def text_id() -> Column:
     return F.xxhash64("text").alias("text_id")
 
 
-def locations(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True) -> DataFrame:
-    """(doc_key, text_id, source_location) of the distinct texts that are found. The search runs at once, and
+def locations(extractions: DataFrame, documents: DataFrame, min_ratio: float = MIN_RATIO, autojunk: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """(doc_key, text_id, source_location) of the distinct texts that are found. ``rows``: the extractions again, if they
+    are at hand in another form, where those of a document are counted with less work. The search runs at once, and
     what it finds is kept in the shared folder, with the texts only that are still to be looked for."""
     places = ("char_start", "char_end", "line", "match_type")
     missed = F.when(F.col("match_type").isNull(), F.col("text")).alias("text")
-    found = cut(search(asked_texts(extractions), documents, extractions, autojunk).select("doc_key", text_id(), F.length("text").alias("length"), *places, "common", missed))
+    found = cut(search(asked_texts(extractions), documents, extractions if rows is None else rows, autojunk).select("doc_key", text_id(), F.length("text").alias("length"), *places, "common", missed))
     sure = F.when(F.col("match_type") == "exact", CONFIDENCE["exact"]).otherwise(CONFIDENCE["normalized"])
     sure = found.filter("match_type IN ('exact', 'normalized')").select("doc_key", "text_id", *places, sure.alias("confidence"))
     blocks = found.filter("match_type = 'block'").select("doc_key", "text_id", "length", F.col("char_start").alias("start"), (F.col("char_end") - F.col("char_start")).alias("size"), "line")

@@ -33,21 +33,19 @@ def _facts(documents: DataFrame, extractions: DataFrame, config: PipelineConfig,
     """(doc_key, ord, text_id, source_file, source_location) of the extractions that stay, each once: what is told of
     them by joins, without their texts and attributes."""
     said = [c for c in overlap.attributes_of(extractions) if c != "source_file"]
-    facts = extractions.select(
-        "doc_key", "ord", grounding.text_id(), "source_file", "type", F.col("attributes.name").alias("name"), overlap.n_given(extractions, *said).alias("n_attrs"),
-        F.length(F.coalesce("text", F.lit(""))).alias("text_length"), "confidence",
-    )
-    files = documents.groupBy("doc_key").agg(F.min("source_file").alias("_file"))
-    facts = facts.join(files, "doc_key", "left").withColumn("source_file", F.coalesce("source_file", "_file")).drop("_file")
-    if config.source_grounding:
-        facts = facts.join(grounding.locations(extractions, documents), ["doc_key", "text_id"], "left")
-    else:
-        facts = facts.withColumn("source_location", F.lit(None).cast(_LOCATION))
     own = ["doc_key", "ord", "text_id"]
     once = lambda facts: kept(facts.select(*own, "source_file", "source_location").dropDuplicates(own))
-    if not config.overlap_dedup:
-        return once(facts)
-    with meanwhile(facts.sparkSession) as first:
+    with meanwhile(extractions.sparkSession) as first:
+        facts = first(extractions.select(
+            "doc_key", "ord", grounding.text_id(), "source_file", "type", F.col("attributes.name").alias("name"), overlap.n_given(extractions, *said).alias("n_attrs"),
+            F.length(F.coalesce("text", F.lit(""))).alias("text_length"), "confidence",
+        ))
+        places = grounding.locations(extractions, documents, rows=facts) if config.source_grounding else None
+        files = documents.groupBy("doc_key").agg(F.min("source_file").alias("_file"))
+        facts = facts.join(files, "doc_key", "left").withColumn("source_file", F.coalesce("source_file", "_file")).drop("_file")
+        facts = facts.join(places, ["doc_key", "text_id"], "left") if config.source_grounding else facts.withColumn("source_location", F.lit(None).cast(_LOCATION))
+        if not config.overlap_dedup:
+            return once(facts)
         facts = first(facts)
         place = (F.col(f"source_location.char_{c}").alias(c) for c in ("start", "end"))
         spans = facts.select("doc_key", "ord", "type", "name", *place, (F.col("n_attrs") + overlap.n_given(facts, "source_file")).alias("n_attrs"), "text_length", "confidence")
